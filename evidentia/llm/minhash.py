@@ -1,17 +1,20 @@
 """Near-duplicate documents by banded MinHash, odd sketches and exact confirmation.
 
 Every document becomes its set of distinct word shingles. Equal sets collapse to one
-representative first. SAMPLES MinHash values of a representative make BANDS band
-keys, and the same values are folded into an odd sketch: value i flips one bit of a
-512-bit parity bitmap, so the population count of the XOR of two sketches tells how
-many samples differ. Representatives that share a band key and whose sketches differ
-in at most MOST_BITS are candidates; their full sets are compared before they are linked.
+representative first. SAMPLES MinHash values of a representative make BANDS band keys. For
+verification, one-permutation MinHash takes the smallest shingle hash of each of BINS ranges, and
+these samples are folded into an odd sketch: each flips one bit of a BITS-bit parity bitmap.
+The population count of the XOR of two sketches tells how many samples differ, to within a
+few for similar sets. Representatives that share a band key and whose sketches
+allow the similarity (SIGMAS standard deviations of sampling and of the sketch) are
+candidates; their full sets are compared before they are linked.
 
 No pairs within a band are listed. Each member is first held against the smallest
-member of its bands; then only pairs from different components that still share a
-band are looked at. At a similarity of 0.8 a link is missed with probability
-(1 - 0.8**5)**30 < 1e-5 by the bands; a sketch differs in more than MOST_BITS at
-that similarity with probability below 1e-6.
+member of its bands, then against its CLOSEST nearest members of other components by
+their sketches; only pairs that are then still in different components and
+share a band are all looked at, in cells of CELL by CELL members, each pair in its first
+common band. At a similarity of 0.8 the bands miss a link with probability
+(1 - 0.8**5)**30 < 1e-5.
 
 Defined results: null and blank texts have the empty set, n_shingles 0, and no links.
 A text with fewer words than a shingle has has its whole sequence as its one
@@ -30,12 +33,14 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import kernel as K
 from evidentia.llm.components import components
-from evidentia.llm.storage import prepare, written
+from evidentia.llm.storage import partitions, prepare, written
 
-ROWS, BANDS, BITS, MOST_BITS = 5, 30, 512, 104
+ROWS, BANDS = 5, 30
 SAMPLES = ROWS * BANDS
-_SKETCH = [f"o{i}" for i in range(BITS // 64)]
-_SIGNATURE = "id long, n_shingles long, k1 long, k2 long, keys array<long>, sketch array<long>"
+BINS, BITS, SIGMAS = 1024, 2048, 6
+CLOSEST = 4
+CELL = 1024
+_SIGNATURE = "id long, n_shingles long, k1 long, k2 long, keys array<long>, n_bins int, sketch array<long>"
 
 
 @functools.lru_cache(maxsize=1)
@@ -77,26 +82,26 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """Bit (i, value) mod BITS flips for every sample i."""
-    place = K.mix64((np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32)) | least.astype(np.uint64)) % np.uint64(BITS)
+def odd_sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of samples of a sorted set, and the parity of the bits they flip."""
+    bins = shingles >> np.uint64(64 - BINS.bit_length() + 1)
+    first = np.ones(len(bins), bool)
+    first[1:] = bins[1:] != bins[:-1]
+    place = K.mix64(shingles[first] ^ np.uint64(0xBB67AE8584CAA73B)) % np.uint64(BITS)
     parity = np.bincount(place.astype(np.int64), minlength=BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+    return int(first.sum()), np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
 def _signatures(width: int):
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(1), width)
-            keys, sketches = [], []
-            for s in sets:
-                least = samples(s) if len(s) else None
-                keys.append(None if least is None else band_keys(least))
-                sketches.append(None if least is None else odd_sketch(least))
+            keys = [band_keys(samples(s)) if len(s) else None for s in sets]
+            sketches = [odd_sketch(s) if len(s) else (0, None) for s in sets]
             one = [int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
             two = [int(K.mix64(s ^ np.uint64(0x6A09E667F3BCC909)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs)], names=["id", "n_shingles", "k1", "k2", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, longs), pa.array([n for n, _ in sketches], pa.int32()), pa.array([x for _, x in sketches], longs)], names=["id", "n_shingles", "k1", "k2", "keys", "n_bins", "sketch"])
 
     return run
 
@@ -114,10 +119,105 @@ def _linked(width: int, percent: int):
     return run
 
 
-def _close(left: str, right: str):
-    """Whether two odd sketches differ in few bits."""
-    bits = [F.bit_count(F.col(f"{left}.sketch")[i].bitwiseXOR(F.col(f"{right}.sketch")[i])) for i in range(len(_SKETCH))]
-    return functools.reduce(lambda x, y: x + y, bits) <= MOST_BITS
+def allowed(x: tuple, y: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether two odd sketches allow the similarity, and in how many bits they differ; x and y are (n_shingles, n_bins, sketch).
+
+    With union u and J = percent / 100, m = J * (non-empty ranges of the union) samples
+    should agree, so n_x + n_y - 2 m differ; the XOR's population count is held
+    against the count expected for that many and its deviation.
+    """
+    j = percent / 100
+    differ = np.bitwise_count((x[2] ^ y[2]).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+    union = (x[0] + y[0]) / (1 + j)
+    ranges = BINS * -np.expm1(-union / BINS)
+    d = np.maximum(x[1] + y[1] - 2 * j * ranges, 0.0)
+    sampled = 4 * j * (1 - j) * ranges * np.maximum(1 - ranges / union, 0.02)
+    decay = np.exp(-4 * d / BITS)
+    folded = (BITS / 4 * (1 - decay) - d * decay) / decay + 4
+    most = d + SIGMAS * np.sqrt(sampled + folded)
+    sizes = 100 * np.minimum(x[0], y[0]) >= percent * np.maximum(x[0], y[0])
+    return sizes & (differ <= BITS / 2 * -np.expm1(-2 * most / BITS)), differ
+
+
+def _flat(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten()).reshape(len(column), -1)
+
+
+def _sketches(table, suffix: str = "") -> tuple:
+    one = lambda c: np.asarray(table.column(c + suffix)).astype(np.int64)
+    return one("n_shingles"), one("n_bins"), _flat(table.column("sketch" + suffix))
+
+
+def _plausible(percent: int):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                keep = pa.array(allowed(_sketches(batch), _sketches(batch, "2"), percent)[0])
+                yield batch.select(["a", "b"]).filter(keep)
+
+    return run
+
+
+def _cells(percent: int, closest: int = 0):
+    """Pairs from different components within every cell of a band, each in its first common
+    band; only the closest few of each member by their sketches, if so asked."""
+
+    def pairs(t: pa.Table, key: int, square: bool):
+        sketch, ids, of, keys = _sketches(t), t["id"].to_numpy(), t["component"].to_numpy(), _flat(t["keys"])
+        side = t["side"].to_numpy()
+        left = np.arange(len(ids)) if square else np.flatnonzero(side == side.min())
+        right = left if square else np.flatnonzero(side != side.min())
+        if not len(right):
+            return
+        for at in range(0, len(left), 64):
+            rows = left[at : at + 64]
+            near = of[rows][:, None] < of[right][None] if square else of[rows][:, None] != of[right][None]
+            x, y = np.nonzero(near)
+            x, y = rows[x], right[y]
+            keep, differ = allowed(tuple(v[x] for v in sketch), tuple(v[y] for v in sketch), percent)
+            x, y, differ = x[keep], y[keep], differ[keep]
+            if closest and len(x):
+                order = np.lexsort((differ, x))
+                x, y = x[order], y[order]
+                start = np.flatnonzero(np.diff(x, prepend=-1))
+                keep = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x)))) < closest
+                x, y = x[keep], y[keep]
+            both = keys[x] == keys[y]
+            first = keys[x, both.argmax(axis=1)] == key
+            x, y = ids[x[first]], ids[y[first]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches):
+        held, current = [], None
+
+        def done():
+            return pairs(pa.Table.from_batches(held).combine_chunks(), current[0], current[1] == current[2])
+
+        for batch in batches:
+            cells = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            if not len(cells):
+                continue
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)]):
+                cell = tuple(cells[lo].tolist())
+                if current is not None and cell != current:
+                    yield from done()
+                    held = []
+                current = cell
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from done()
+
+    return run
+
+
+def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, component) of the bands that hold several components of these links."""
+    rows = written(members.join(components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return written(rows.join(mixed, "key", "left_semi"), "mixed")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -131,12 +231,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(texts.mapInArrow(_signatures(width), _SIGNATURE), "signatures")
     sets = signed.where("n_shingles > 0 and id is not null")
     classes = sets.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep"))
-    reps = written(sets.join(classes, ["k1", "k2", "n_shingles"]).where("id = rep").dropDuplicates(["id", "k1", "k2"]).select("id", "keys", "sketch"), "representatives")
+    reps = written(sets.join(classes, ["k1", "k2", "n_shingles"]).where("id = rep").dropDuplicates(["id", "k1", "k2"]).select("id", "n_shingles", "keys", "n_bins", "sketch"), "representatives")
 
     keyed = reps.select("id", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head < tail").drop("tail")
     members = written(keyed.join(heads, "key"), "members")
-    sketches = reps.select("id", "sketch")
+    sketches = reps.select("id", "n_shingles", "n_bins", "sketch")
     wanted = members.select("id").distinct()
     sources = written(texts.join(wanted, "id", "left_semi"), "candidates")
 
@@ -145,20 +245,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = left.join(sources.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
         return full.mapInArrow(_linked(width, percent), "a long, b long").distinct()
 
-    pairs = members.where("id > head").select("head", "id").distinct().alias("p")
-    pairs = pairs.join(sketches.alias("x"), F.col("p.head") == F.col("x.id")).join(sketches.alias("y"), F.col("p.id") == F.col("y.id")).where(_close("x", "y"))
-    stars = pairs.groupBy(F.col("p.id").alias("b")).agg(F.min("p.head").alias("a")).select("a", "b")
-    links = written(confirmed(stars), "links")
-
-    placed = members.select("key", "id").join(components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = placed.join(mixed, "key", "left_semi").join(sketches, "id")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _close("x", "y"))
-    across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = written(confirmed(across), "links")
-    found = components(links.union(more))
+    def plausible(pairs: DataFrame) -> DataFrame:
+        second = sketches.select(F.col("id").alias("b"), *[F.col(c).alias(c + "2") for c in sketches.columns[1:]])
+        full = pairs.join(sketches.withColumnRenamed("id", "a"), "a").join(second, "b")
+        return full.mapInArrow(_plausible(percent), "a long, b long")
+
+    stars = plausible(members.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    links = written(confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "links")
+    placed = _placed(members.select("key", "id"), links)
+    def across(closest: int) -> DataFrame:
+        cells = placed.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
+        part = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+        dealt = placed.join(cells, "key").select("key", "id", "component", part.alias("side"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+        dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "component").join(reps, "id")
+        dealt = dealt.repartition(partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return dealt.mapInArrow(_cells(percent, closest), "a long, b long").distinct()
+
+    links = links.union(written(confirmed(across(CLOSEST)), "links"))
+    placed = _placed(placed.select("key", "id"), links)
+    found = components(links.union(written(confirmed(across(0)), "links")))
 
     of_class = classes.join(found, classes.rep == found.id, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2", "n_shingles"], "left")
