@@ -2,10 +2,147 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from evidentia.functions import text as X
+from evidentia.operators import corpus, evaluation, retrieval, trust
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def token_count(s, d):
+    return _t(s, d, "documents").select("doc_id", X.token_count(F.col("text")).alias("n_tokens"))
+
+
+def chunks(s, d):
+    return corpus.chunks(_t(s, d, "documents")).select("doc_id", "chunk_index", "start_offset", "end_offset", "token_count", "chunk_id")
+
+
+def ingest_report(s, d):
+    return corpus.report(corpus.chunks(_t(s, d, "documents")))
+
+
+def manifest_allowlist(s, d):
+    path = F.concat("source", F.lit("/"), F.col("lang"), F.lit("/d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".md").when(F.col("doc_id") % 3 == 1, ".mdx").otherwise(".html"))
+    rows = _t(s, d, "documents").select("doc_id", path.alias("path"))
+    return rows.where(corpus.admitted(F.col("path"), ["src1", "src2", "src3"], ["src2/fr"])).select("doc_id", "path", corpus.doc_id_of(F.col("path")).alias("manifest_id"))
+
+
+def section_offsets(s, d):
+    rows = _t(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("section_index", "text"))
+    return corpus.section_offsets(rows).select("doc_id", F.col("section_index").cast("long").alias("section_index"), "start_offset", F.col("end_offset").cast("long").alias("end_offset"))
+
+
+def _bm25(s, d, k, b=retrieval.B):
+    return retrieval.bm25(_t(s, d, "documents"), _t(s, d, "benchmark").withColumnRenamed("item_id", "query_id"), k, b=b)
+
+
+def bm25_topk(s, d):
+    return _bm25(s, d, 5)
+
+
+def rrf_topk(s, d):
+    both = retrieval.fused(_bm25(s, d, 20), _bm25(s, d, 20, 0.25), 5)
+    return both.select("query_id", "doc_id", "first_rank", "second_rank", F.round("score", 9).alias("score"), "rank")
+
+
+def _cosine(s, d, k=5):
+    v = _t(s, d, "embeddings")
+    return retrieval.cosine(v, v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k)
+
+
+def cosine_topk(s, d):
+    return _cosine(s, d)
+
+
+def gate_decisions(s, d):
+    return trust.gate(_cosine(s, d, 8).withColumn("score", F.round(retrieval.unit_score(F.col("score")), 6)))
+
+
+def retrieval_metrics(s, d):
+    v = _t(s, d, "embeddings")
+    same = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label").join(v.select("vec_id", "label"), "label").select("query_id", "vec_id")
+    return evaluation.per_query(_cosine(s, d), same, "vec_id")
+
+
+def canonical_hits(s, d):
+    hits = _cosine(s, d)
+    doubled = hits.union(hits.withColumn("rank", F.col("rank") + 1))
+    return retrieval.canonical(doubled, 4, "vec_id").select("query_id", "vec_id", "score", "rank")
+
+
+def latency_percentiles(s, d):
+    return evaluation.latency(_t(s, d, "events"), "value", "event_type")
+
+
+def citation_markers(s, d):
+    noted = F.concat(F.col("text"), F.lit(" [1] see [two] and ["), F.col("turn").cast("string"), F.lit("]."))
+    return trust.markers(_t(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", noted.alias("text"))).select("conv_id", "turn", "valid_markers", "malformed_markers")
+
+
+def registry(s, d):
+    rows = _t(s, d, "documents").groupBy("lang").agg(F.sort_array(F.collect_set("source")).alias("x"))
+    return rows.select("lang", F.array_join("x", ",").alias("sources"))
+
+
+def duplicate_rows(s, d):
+    """Second and later occurrences of a text, in id order."""
+    rows = _t(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    again = Window.partitionBy("digest").orderBy("doc_id")
+    return rows.withColumn("occurrence", F.row_number().over(again).cast("long")).where("occurrence > 1").select("doc_id", "occurrence")
+
 
 def queries() -> dict:
-    return {}
+    fs = (token_count, chunks, ingest_report, manifest_allowlist, section_offsets, bm25_topk, rrf_topk, cosine_topk, gate_decisions, retrieval_metrics, canonical_hits, latency_percentiles, citation_markers, registry, duplicate_rows)
+    return {f.__name__: f for f in fs}
+
+
+_WORDS = f"SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{X.TERM}', 0) AS w FROM documents"
+_CHUNKS = f"""
+seg AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{X.SEGMENT}', 0) AS s FROM documents),
+c AS (SELECT doc_id, s, len(s) AS n, unnest(range(0, 1 + greatest(0, ceil((len(s) - 350) / 300.0))::BIGINT)) AS i FROM seg WHERE len(s) > 0),
+r AS (SELECT doc_id, i AS chunk_index, length(array_to_string(s[1 : i * 300], '')) AS pre, array_to_string(s[i * 300 + 1 : least(i * 300 + 350, n)], '') AS raw, least(350, n - i * 300) AS token_count FROM c),
+x AS (SELECT doc_id, chunk_index, pre + length(raw) - length(regexp_replace(raw, '^[{X.WS}]+', '')) AS start_offset, pre + length(raw) AS end_offset, token_count, regexp_replace(raw, '^[{X.WS}]+', '') AS text FROM r),
+chunked AS (SELECT *, doc_id || '-chk-' || printf('%04d', chunk_index) || '-' || substr(sha1(doc_id || '|' || chunk_index || '|' || start_offset || '|' || end_offset), 1, 12) AS chunk_id FROM x)"""
+
+
+def _bm25_sql(name: str, k: int, b: float = retrieval.B) -> str:
+    return f"""
+{name}_s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM words),
+{name}_q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, lower(unnest(regexp_extract_all(text, '{X.TERM}', 0))) AS term FROM benchmark) GROUP BY ALL),
+{name}_tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, lower(unnest(w)) AS term FROM words) GROUP BY ALL),
+{name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term),
+{name}_x AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - {b} + {b} * len / mean))), 9) AS score
+  FROM {name}_tf JOIN {name}_df USING (term) JOIN {name}_q USING (term), {name}_s GROUP BY ALL),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}_x WHERE score > 0) WHERE rank <= {k})"""
+
+
+def _cosine_sql(k: int) -> str:
+    return f"""
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings e, embeddings q WHERE q.vec_id < 10)) WHERE rank <= {k})"""
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    gain = "coalesce(1::DOUBLE / (60 + {}), 0::DOUBLE)"
+    return {
+        "token_count": f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{X.TOKEN}', 0))::BIGINT AS n_tokens FROM documents",
+        "chunks": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, start_offset, end_offset, token_count, chunk_id FROM chunked",
+        "ingest_report": f"WITH {_CHUNKS} SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, count(*) - count(DISTINCT chunk_id) AS duplicate_ids, count(*) FILTER (text = '') AS empty_texts, count(*) FILTER (start_offset >= end_offset) AS bad_offsets, sum(token_count)::BIGINT AS estimated_tokens FROM chunked",
+        "manifest_allowlist": "WITH p AS (SELECT doc_id, source || '/' || lang || '/d' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.mdx' ELSE '.html' END AS path FROM documents) SELECT doc_id, path, replace(regexp_replace(path, '\\.[^./]+$', ''), '/', '-') AS manifest_id FROM p WHERE doc_id % 3 < 2 AND split_part(path, '/', 1) IN ('src1', 'src2', 'src3') AND NOT starts_with(path, 'src2/fr/')",
+        "section_offsets": "WITH s AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS section_index, unnest(string_split(text, chr(10))) AS t FROM documents), o AS (SELECT doc_id, section_index, t, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY section_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_offset FROM s) SELECT doc_id, section_index, start_offset, start_offset + length(t) AS end_offset FROM o",
+        "bm25_topk": f"WITH words AS ({_WORDS}), {_bm25_sql('a', 5)} SELECT query_id, doc_id, score, rank FROM a",
+        "rrf_topk": f"WITH words AS ({_WORDS}), {_bm25_sql('a', 20)}, {_bm25_sql('b', 20, 0.25)}, f AS (SELECT query_id, doc_id, a.rank AS first_rank, b.rank AS second_rank, {gain.format('a.rank')} + {gain.format('b.rank')} AS score FROM a FULL JOIN b USING (query_id, doc_id)) SELECT query_id, doc_id, first_rank, second_rank, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 5",
+        "cosine_topk": f"WITH {_cosine_sql(5)} SELECT query_id, vec_id, score, rank FROM hits",
+        "gate_decisions": f"WITH {_cosine_sql(8)}, u AS (SELECT query_id, rank, round(greatest(0, least(1, (score + 1) / 2)), 6) AS s FROM hits), f AS (SELECT query_id, max(s) FILTER (rank = 1) AS top1, (max(s) FILTER (rank = 1) + coalesce(max(s) FILTER (rank = 2), 0) + coalesce(max(s) FILTER (rank = 3), 0)) / least(3, count(*)) AS mean3, count(*) FILTER (s >= 0.55) AS support, count(*) AS n FROM u GROUP BY query_id), g AS (SELECT *, concat_ws(',', CASE WHEN top1 < 0.75 THEN 'low_top1' END, CASE WHEN mean3 < 0.60 THEN 'low_mean3' END, CASE WHEN support < 2 THEN 'insufficient_support' END) AS low, concat_ws(',', CASE WHEN support = 2 THEN 'support_floor_only' END, CASE WHEN n < 3 THEN 'sparse_context' END) AS thin FROM f) SELECT query_id, round(top1, 6) AS top1, round(mean3, 6) AS mean3, support, CASE WHEN top1 < 0.2 THEN 'no_relevant_docs' WHEN low <> '' THEN 'insufficient_evidence' WHEN thin <> '' THEN 'thin' ELSE 'full' END AS decision, CASE WHEN top1 < 0.2 THEN 'no_hit_floor' WHEN low <> '' THEN low ELSE thin END AS reasons FROM g",
+        "retrieval_metrics": f"WITH {_cosine_sql(5)}, w AS (SELECT q.vec_id AS query_id, e.vec_id FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id < 10), t AS (SELECT query_id, count(*) AS total FROM w GROUP BY query_id), m AS (SELECT query_id, min(rank) AS best, count(*) AS n FROM hits JOIN w USING (query_id, vec_id) GROUP BY query_id) SELECT query_id, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, round(coalesce(n / total, 0), 6) AS recall, round(coalesce(1 / best, 0), 6) AS reciprocal_rank FROM t LEFT JOIN m USING (query_id)",
+        "canonical_hits": f"WITH {_cosine_sql(5)} SELECT query_id, vec_id, score, rank FROM hits WHERE rank <= 4",
+        "latency_percentiles": "SELECT event_type, round(avg(value), 4) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS longest FROM events GROUP BY event_type",
+        "citation_markers": r"WITH t AS (SELECT conv_id, turn, text || ' [1] see [two] and [' || turn || '].' AS text FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, array_to_string(regexp_extract_all(text, '\[\d+\]', 0), ',') AS valid_markers, array_to_string(list_filter(regexp_extract_all(text, '\[[^\[\]\n]*\]', 0), lambda m: NOT regexp_full_match(m, '\[\d+\]')), ',') AS malformed_markers FROM t",
+        "registry": "SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY lang",
+        "duplicate_rows": "SELECT doc_id, occurrence FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS occurrence FROM documents) WHERE occurrence > 1",
+    }
