@@ -51,7 +51,7 @@ def fused(first: DataFrame, second: DataFrame, k: int = 5, depth: int = DEPTH, r
     """Reciprocal-rank fusion of two rank lists, with each one's rank kept."""
     cut = lambda df, name: df.where(F.col("rank") <= max(k, depth)).select("query_id", id_col, F.col("rank").alias(name))
     both = cut(first, "first_rank").join(cut(second, "second_rank"), ["query_id", id_col], "full_outer")
-    gain = lambda c: F.coalesce(1 / (rrf_k + F.greatest(F.lit(1), F.col(c))), F.lit(0.0))
+    gain = lambda c: F.when(F.col(c).isNull(), 0.0).otherwise(1 / (rrf_k + F.greatest(F.lit(1), F.col(c))))
     return ranked(both.withColumn("score", gain("first_rank") + gain("second_rank")), k, tie=id_col)
 
 
