@@ -10,10 +10,12 @@ allow the similarity (SIGMAS standard deviations of sampling and of the sketch)
 candidates; their full sets are compared before they are linked.
 
 No pairs within a band are listed. Each member is first held against the smallest
-member of its bands, then against its CLOSEST nearest members of other components by
-their sketches; only pairs that are then still in different components and
-share a band are all looked at, in cells of CELL by CELL members, each pair in its first
-common band. At a similarity of 0.8 the bands miss a link with probability
+member of its bands. Only bands that then still hold several components are looked at
+again, in cells of CELL by CELL members, each pair of different components in its first
+common band. A cell carries the full sets of its members of at most CARRIED shingles, compares
+them on the spot and gives only the links that join components there. Pairs with a
+larger set are compared outside: first the CLOSEST of each member by their sketches, then
+all that are still apart. At a similarity of 0.8 the bands miss a link with probability
 (1 - 0.8**5)**30 < 1e-5.
 
 Defined results: null and blank texts have the empty set, n_shingles 0, and no links.
@@ -40,6 +42,7 @@ SAMPLES = ROWS * BANDS
 BINS, BITS, SIGMAS = 1024, 2048, 6
 CLOSEST = 4
 CELL = 1024
+CARRIED = 4096
 _SIGNATURE = "id long, n_shingles long, k1 long, k2 long, keys array<long>, n_bins int, sketch array<long>"
 
 
@@ -159,13 +162,64 @@ def _plausible(percent: int):
     return run
 
 
+def _carried(width: int):
+    def run(batches):
+        for batch in batches:
+            sets = [s.view(np.int64) if len(s) <= CARRIED else None for s in shingle_sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return run
+
+
+class _Sets:
+    """The sorted shingle hashes of a cell's members."""
+
+    def __init__(self, column):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        self.first = np.asarray(column.offsets).astype(np.int64)
+        self.values = np.asarray(column.values).view(np.uint64)
+
+    def common(self, x: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles x shares with each of others."""
+        mine = self.values[self.first[x] : self.first[x + 1]]
+        size = self.first[others + 1] - self.first[others]
+        ends = np.cumsum(size)
+        flat = self.values[np.arange(ends[-1]) + np.repeat(self.first[others] - (ends - size), size)]
+        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        return np.add.reduceat((mine[at] == flat).astype(np.int64), ends - size)
+
+
+def _joining(x: np.ndarray, y: np.ndarray, root: np.ndarray, sets: _Sets, n: np.ndarray, percent: int):
+    """Of candidate pairs sorted by x, links that join different roots; root is changed."""
+    cuts = np.flatnonzero(np.diff(x, prepend=-1))
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(x)]):
+        one, others = int(x[lo]), y[lo:hi]
+        others = others[root[others] != root[one]]
+        if not len(others):
+            continue
+        both = sets.common(one, others)
+        others = others[(both > 0) & (100 * both >= percent * (n[one] + n[others] - both))]
+        for other in others.tolist():
+            if root[other] != root[one]:
+                root[root == root[other]] = root[one]
+                yield one, other
+
+
 def _cells(percent: int, closest: int = 0):
-    """Pairs from different components within every cell of a band, each in its first common
-    band; only the closest few of each member by their sketches, if so asked."""
+    """Pairs from different components within every cell of a band, each in its first common band.
+
+    Where the cells carry sets, links of carried members that join components are sure; pairs with a
+    larger set are not, and only the closest few of each member by their sketches, if so asked.
+    """
 
     def pairs(t: pa.Table, key: int, square: bool):
         sketch, ids, of, keys = _sketches(t), t["id"].to_numpy(), t["component"].to_numpy(), _flat(t["keys"])
-        side = t["side"].to_numpy()
+        side, n, root = t["side"].to_numpy(), sketch[0], of.copy()
+        small, sets = n <= CARRIED, None
+        if "shingles" in t.column_names:
+            sets = _Sets(t["shingles"])
+            n = np.diff(sets.first)
+            small &= n > 0
         left = np.arange(len(ids)) if square else np.flatnonzero(side == side.min())
         right = left if square else np.flatnonzero(side != side.min())
         if not len(right):
@@ -177,17 +231,25 @@ def _cells(percent: int, closest: int = 0):
             x, y = rows[x], right[y]
             keep, differ = allowed(tuple(v[x] for v in sketch), tuple(v[y] for v in sketch), percent)
             x, y, differ = x[keep], y[keep], differ[keep]
+            if not len(x):
+                continue
+            first = keys[x, (keys[x] == keys[y]).argmax(axis=1)] == key
+            carried = small[x] & small[y]
+            found = []
+            if sets:
+                found = list(_joining(x[carried & first], y[carried & first], root, sets, n, percent))
+            sure = len(found)
+            x, y, differ, first = (v[~carried] for v in (x, y, differ, first))
             if closest and len(x):
                 order = np.lexsort((differ, x))
-                x, y = x[order], y[order]
+                x, y, first = x[order], y[order], first[order]
                 start = np.flatnonzero(np.diff(x, prepend=-1))
                 keep = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x)))) < closest
-                x, y = x[keep], y[keep]
-            both = keys[x] == keys[y]
-            first = keys[x, both.argmax(axis=1)] == key
-            x, y = ids[x[first]], ids[y[first]]
+                x, y, first = x[keep], y[keep], first[keep]
+            x = ids[np.concatenate([np.array([p for p, _ in found], np.int64), x[first]])]
+            y = ids[np.concatenate([np.array([p for _, p in found], np.int64), y[first]])]
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.arange(len(x)) < sure)], names=["a", "b", "sure"])
 
     def run(batches):
         held, current = [], None
@@ -253,17 +315,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = plausible(members.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
     links = written(confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "links")
     placed = _placed(members.select("key", "id"), links)
-    def across(closest: int) -> DataFrame:
+
+    def across(placed: DataFrame, carried: DataFrame | None = None, closest: int = 0) -> DataFrame:
         cells = placed.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
         part = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
         dealt = placed.join(cells, "key").select("key", "id", "component", part.alias("side"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-        dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "component").join(reps, "id")
+        dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "component").join(carried or reps, "id")
         dealt = dealt.repartition(partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return dealt.mapInArrow(_cells(percent, closest), "a long, b long").distinct()
+        return written(dealt.mapInArrow(_cells(percent, closest), "a long, b long, sure boolean"), "across")
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        return pairs.where("sure").select("a", "b").union(written(confirmed(pairs.where("not sure").select("a", "b").distinct()), "links"))
 
-    links = links.union(written(confirmed(across(CLOSEST)), "links"))
-    placed = _placed(placed.select("key", "id"), links)
-    found = components(links.union(written(confirmed(across(0)), "links")))
+    shingles = sources.join(placed.select("id").distinct(), "id", "left_semi").mapInArrow(_carried(width), "id long, shingles array<long>")
+    links = links.union(joined(across(placed, reps.join(shingles, "id"), CLOSEST)))
+    large = reps.where(F.col("n_shingles") * 100 >= percent * CARRIED).select("id")
+    links = links.union(joined(across(_placed(members.select("key", "id").join(large, "id", "left_semi"), links))))
+    found = components(links)
 
     of_class = classes.join(found, classes.rep == found.id, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2", "n_shingles"], "left")
