@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
-from evidentia.operators import corpus, evaluation, retrieval, trust
+from evidentia.operators import answers, corpus, evaluation, retrieval, sections, trust
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,8 +95,53 @@ def duplicate_rows(s, d):
     return rows.withColumn("occurrence", F.row_number().over(again).cast("long")).where("occurrence > 1").select("doc_id", "occurrence")
 
 
+def _answers(s, d):
+    """Assistant turns as answers: the last sentence of odd turns cites [1], even ones cite nothing."""
+    rows = _t(s, d, "conversations").where("role = 'assistant' and text is not null")
+    key = F.concat_ws("-", "conv_id", "turn").alias("answer_id")
+    cited = F.when(F.col("conv_id") % 2 == 1, answers.with_marker(F.col("text"), F.lit("[1]"))).otherwise(F.col("text"))
+    record = F.array(F.struct(F.lit("[1]").alias("marker"), F.lit("d").alias("doc_id"), F.lit("c").alias("chunk_id"), F.lit(0).alias("start_offset"), F.lit(1).alias("end_offset")))
+    got = rows.select(key, cited.alias("answer"), record.alias("citations"), F.lit(False).alias("is_refusal"), F.lit(None).cast("string").alias("message")).dropDuplicates(["answer_id"])
+    context = got.select("answer_id", F.lit("c").alias("chunk_id"), F.lit("ab").alias("text"), F.lit(0).alias("start_offset"), F.lit(2).alias("end_offset"))
+    return got, context
+
+
+def claims(s, d):
+    return answers.claims(_answers(s, d)[0], "answer_id")
+
+
+def citation_validation(s, d):
+    got, context = _answers(s, d)
+    codes = F.array_join(F.transform("failures", lambda f: f.code), ",")
+    return answers.validated(got, context, "answer_id").select("answer_id", "outcome", codes.alias("codes"))
+
+
+def citation_repair(s, d):
+    got, context = _answers(s, d)
+    fixed = answers.repaired(answers.validated(got, context, "answer_id"), "answer_id").drop("failures", "outcome")
+    return answers.validated(fixed, context, "answer_id").select("answer_id", "answer", "outcome")
+
+
+def prompt_context(s, d):
+    hits = bm25_topk(s, d).join(_t(s, d, "documents").select("doc_id", "text"), "doc_id")
+    return answers.prompt_context(hits, "query_id", "doc_id")
+
+
+def refusals(s, d):
+    decided = _t(s, d, "labels").select("doc_id", F.when(F.col("quality") == 0, "insufficient_evidence").when(F.col("toxic") == 1, "no_relevant_docs").otherwise("full").alias("decision"))
+    return answers.refusals(decided, "doc_id", next_step="Ask about a documented feature")
+
+
+def markdown_sections(s, d):
+    return sections.sections(_t(s, d, "documents"), sections.markdown).withColumn("section_path", X.breadcrumb(F.col("section_path")))
+
+
+def html_sections(s, d):
+    return sections.sections(_t(s, d, "pages"), sections.webpage, "page_id", "html").withColumn("section_path", X.breadcrumb(F.col("section_path")))
+
+
 def queries() -> dict:
-    fs = (token_count, chunks, ingest_report, manifest_allowlist, section_offsets, bm25_topk, rrf_topk, cosine_topk, gate_decisions, retrieval_metrics, canonical_hits, latency_percentiles, citation_markers, registry, duplicate_rows)
+    fs = (token_count, chunks, ingest_report, manifest_allowlist, section_offsets, bm25_topk, rrf_topk, cosine_topk, gate_decisions, retrieval_metrics, canonical_hits, latency_percentiles, citation_markers, registry, duplicate_rows, claims, citation_validation, citation_repair, prompt_context, refusals, markdown_sections, html_sections)
     return {f.__name__: f for f in fs}
 
 
@@ -141,6 +186,8 @@ def oracle_sql() -> dict[str, str]:
         "gate_decisions": f"WITH {_cosine_sql(8)}, u AS (SELECT query_id, rank, round(greatest(0, least(1, (score + 1) / 2)), 6) AS s FROM hits), f AS (SELECT query_id, max(s) FILTER (rank = 1) AS top1, (max(s) FILTER (rank = 1) + coalesce(max(s) FILTER (rank = 2), 0) + coalesce(max(s) FILTER (rank = 3), 0)) / least(3, count(*)) AS mean3, count(*) FILTER (s >= 0.55) AS support, count(*) AS n FROM u GROUP BY query_id), g AS (SELECT *, concat_ws(',', CASE WHEN top1 < 0.75 THEN 'low_top1' END, CASE WHEN mean3 < 0.60 THEN 'low_mean3' END, CASE WHEN support < 2 THEN 'insufficient_support' END) AS low, concat_ws(',', CASE WHEN support = 2 THEN 'support_floor_only' END, CASE WHEN n < 3 THEN 'sparse_context' END) AS thin FROM f) SELECT query_id, round(top1, 6) AS top1, round(mean3, 6) AS mean3, support, CASE WHEN top1 < 0.2 THEN 'no_relevant_docs' WHEN low <> '' THEN 'insufficient_evidence' WHEN thin <> '' THEN 'thin' ELSE 'full' END AS decision, CASE WHEN top1 < 0.2 THEN 'no_hit_floor' WHEN low <> '' THEN low ELSE thin END AS reasons FROM g",
         "retrieval_metrics": f"WITH {_cosine_sql(5)}, w AS (SELECT q.vec_id AS query_id, e.vec_id FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id < 10), t AS (SELECT query_id, count(*) AS total FROM w GROUP BY query_id), m AS (SELECT query_id, min(rank) AS best, count(*) AS n FROM hits JOIN w USING (query_id, vec_id) GROUP BY query_id) SELECT query_id, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, round(coalesce(n / total, 0), 6) AS recall, round(coalesce(1 / best, 0), 6) AS reciprocal_rank FROM t LEFT JOIN m USING (query_id)",
         "canonical_hits": f"WITH {_cosine_sql(5)} SELECT query_id, vec_id, score, rank FROM hits WHERE rank <= 4",
+        "prompt_context": f"WITH words AS ({_WORDS}), {_bm25_sql('a', 5)} SELECT query_id, count(*) AS n_blocks, string_agg('[' || rank || '] chunk=' || doc_id || chr(10) || '<<<' || chr(10) || coalesce(text, '') || chr(10) || '>>>', chr(10) || chr(10) ORDER BY rank) AS context FROM a JOIN documents USING (doc_id) GROUP BY query_id",
+        "refusals": f"SELECT doc_id, CASE WHEN quality = 0 THEN 'insufficient_evidence' ELSE 'no_relevant_docs' END AS reason_code, CASE WHEN quality = 0 THEN '{answers.MESSAGES['insufficient_evidence']}' ELSE '{answers.MESSAGES['no_relevant_docs']}' END || ' Ask about a documented feature.' AS message FROM labels WHERE quality = 0 OR toxic = 1",
         "latency_percentiles": "SELECT event_type, round(avg(value), 4) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS longest FROM events GROUP BY event_type",
         "citation_markers": r"WITH t AS (SELECT conv_id, turn, text || ' [1] see [two] and [' || turn || '].' AS text FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, array_to_string(regexp_extract_all(text, '\[\d+\]', 0), ',') AS valid_markers, array_to_string(list_filter(regexp_extract_all(text, '\[[^\[\]\n]*\]', 0), lambda m: NOT regexp_full_match(m, '\[\d+\]')), ',') AS malformed_markers FROM t",
         "registry": "SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY lang",
