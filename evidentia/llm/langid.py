@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import kernel as K
-from evidentia.llm.storage import prepare
+from evidentia.llm.storage import prepare, release_memory
 
 SAMPLE_DOCS = 1000
 ROUNDS = 2
@@ -253,6 +253,8 @@ def identify(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
             else:
                 names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*schema.names, "lang_pred", "score"])
+        del scorer
+        release_memory()
 
     from pyspark.sql import types as T
 

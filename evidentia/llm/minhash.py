@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import kernel as K
 from evidentia.llm.components import components
-from evidentia.llm.storage import partitions, prepare, written
+from evidentia.llm.storage import partitions, prepare, release_memory, written
 
 ROWS, BANDS = 5, 30
 SAMPLES = ROWS * BANDS
@@ -105,6 +105,7 @@ def _signatures(width: int):
             two = [int(K.mix64(s ^ np.uint64(0x6A09E667F3BCC909)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, longs), pa.array([n for n, _ in sketches], pa.int32()), pa.array([x for _, x in sketches], longs)], names=["id", "n_shingles", "k1", "k2", "keys", "n_bins", "sketch"])
+        release_memory()
 
     return run
 

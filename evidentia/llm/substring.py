@@ -33,8 +33,10 @@ from pyspark.sql import types as T
 
 from evidentia.llm import blocks as B
 from evidentia.llm import kernel as K
-from evidentia.llm.storage import partitions, prepare
+from evidentia.llm.storage import partitions, prepare, release_memory
 
+#: A block's windows take about 30 times as many bytes while they are sorted.
+BLOCK_BYTES = 4 << 20
 WIDTH = 20
 GRAM = 8
 _LEAVES = "block long, bucket int, payload binary"
@@ -210,7 +212,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = partitions(spark)
     own = ["n_words", "n_removed", "kept_sha256", "repeats"]
     docs = docs.drop(*[c for c in own if c in docs.columns])
-    rows = B.pack(docs, id_col)
+    rows = B.pack(docs, id_col, BLOCK_BYTES)
 
     def ask(batches):
         for batch in batches:
@@ -218,6 +220,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 tree = _Block(B.opened(payload.as_buffer()), id_col, text_col, width, gram)
                 for bucket, part in tree.leaves(n):
                     yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "payload": pa.array([tree.payload(part)], pa.binary())})
+                del tree
+                release_memory()
 
     answers = rows.mapInArrow(ask, _LEAVES).repartitionById(n, F.col("bucket")).mapInArrow(_answer, _LEAVES)
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
@@ -231,6 +235,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 tree = _Block(B.opened(payload.as_buffer()), id_col, text_col, width, gram)
                 covered = tree.covered({a["bucket"]: a["payload"] for a in got or []}, n)
                 yield from _cleaned(tree, covered, text_col, with_text, with_spans)
+                del tree, covered
+                release_memory()
 
     return rows.join(answers, "block", "left").select("payload", "answers").mapInArrow(clean, out_schema)
 
