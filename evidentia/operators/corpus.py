@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from evidentia.functions import text as X
 def admitted(path: Column, allowed: list[str], denied: list[str]) -> Column:
     """Markdown files under an allowed folder and under no denied one."""
     under = lambda p: path.startswith(p + "/")
-    any_of = lambda ps: __import__("functools").reduce(lambda a, b: a | b, [under(p) for p in ps], F.lit(False))
+    any_of = lambda ps: functools.reduce(operator.or_, [under(p) for p in ps], F.lit(False))
     return path.rlike(r"\.mdx?$") & ~any_of(denied) & any_of(allowed)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.operators.retrieval import canonical
+
 
 def per_query(hits: DataFrame, relevant: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(query_id, hit, recall, reciprocal_rank) for every query with relevant ids."""
@@ -15,8 +17,44 @@ def per_query(hits: DataFrame, relevant: DataFrame, id_col: str = "doc_id") -> D
     return out.select("query_id", F.coalesce((F.col("n") > 0).cast("double"), F.lit(0.0)).alias("hit"), F.round(F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)), 6).alias("recall"), F.round(F.coalesce(1 / F.col("best"), F.lit(0.0)), 6).alias("reciprocal_rank"))
 
 
-def summary(results: DataFrame) -> DataFrame:
-    return results.agg(F.count("*").alias("queries"), F.round(F.avg("hit"), 6).alias("hit_at_k"), F.round(F.avg("recall"), 6).alias("recall_at_k"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
+def summary(queries: DataFrame, hits: DataFrame, relevant: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row for a run. queries: query_id, answerable, latency_ms; means are over queries with relevant ids, 0 without any.
+
+    Latencies below 0 count as 0; percentiles are nearest ranks.
+    """
+    scored = per_query(hits, relevant, id_col)
+    shown = hits.select("query_id").distinct().withColumn("_shown", F.lit(True))
+    rows = queries.join(scored, "query_id", "left").join(shown, "query_id", "left").withColumn("_ms", F.greatest(F.lit(0.0), F.col("latency_ms")))
+    n = lambda test: F.count(F.when(test, 1))
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    p = lambda q: F.round(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY _ms)"), 6)
+    return rows.agg(
+        F.count("*").alias("queries"),
+        n(F.col("answerable")).alias("answerable"),
+        n(~F.col("answerable")).alias("unanswerable"),
+        n(F.col("hit").isNotNull()).alias("relevant"),
+        n(F.col("_shown")).alias("with_results"),
+        n(F.col("_shown").isNull()).alias("without_results"),
+        mean("hit").alias("hit_at_k"),
+        mean("recall").alias("recall_at_k"),
+        mean("reciprocal_rank").alias("mrr"),
+        mean("_ms").alias("average_latency_ms"),
+        p(0.5).alias("p50_latency_ms"),
+        p(0.95).alias("p95_latency_ms"),
+        F.round(F.max("_ms"), 6).alias("max_latency_ms"),
+    )
+
+
+def run_id(snapshot: str, version: str, mode: str, retriever: str, k: int) -> str:
+    return f"{snapshot}-{version}-{mode}-{retriever}-top{k}"
+
+
+def run(retrieve, queries: DataFrame, relevant: DataFrame, k: int, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(hits, summary) of a retriever, a callable (queries, k) -> (query_id, id, score, rank) for all queries at once."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    hits = canonical(retrieve(queries, k), k, id_col)
+    return hits, summary(queries, hits, relevant, id_col)
 
 
 def latency(rows: DataFrame, value: str, *by: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
-from evidentia.operators import answers, corpus, evaluation, retrieval, sections, trust
+from evidentia.operators import answers, checks, corpus, evaluation, generation, retrieval, sections, trust, vectors
+from evidentia.sources import tables
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,8 +144,117 @@ def html_sections(s, d):
     return sections.sections(_t(s, d, "pages"), sections.webpage, "page_id", "html").withColumn("section_path", X.breadcrumb(F.col("section_path")))
 
 
+def _ingested(s, d):
+    """Documents as a manifest, sections and chunks with defects: ids of equal texts repeat, and one language each lacks a field."""
+    docs = _t(s, d, "documents")
+    own = F.when(F.col("lang") != "es", F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 12))
+    key = F.col("doc_id").cast("string").alias("doc_id")
+    manifest = docs.where("lang <> 'de'").select(F.col("doc_id").alias("place"), F.lit("s1").alias("snapshot_id"), key)
+    parsed = docs.select(F.col("doc_id").alias("place"), own.alias("section_id"), key, "text")
+    pieces = docs.select(F.col("doc_id").alias("place"), own.alias("chunk_id"), key, "text", F.lit("s1").alias("snapshot_id"), F.lit("u").alias("source_url"), F.when(F.col("lang") != "fr", "l").alias("license"), F.when(F.col("lang") == "de", " ").otherwise("a").alias("attribution"), F.when(F.col("lang") == "en", F.array("lang")).otherwise(F.array().cast("array<string>")).alias("section_path"), F.lit(0).alias("start_offset"), F.when(F.col("lang") == "fr", "-1").otherwise("x").alias("end_offset"), F.col("n_chars").cast("string").alias("token_count"))
+    return manifest, parsed, pieces
+
+
+def ingest_errors(s, d):
+    _, parsed, pieces = _ingested(s, d)
+    return checks.ingest_errors(parsed, pieces).select("part", "place", "message")
+
+
+def ingest_quality(s, d):
+    return checks.ingest_quality(*_ingested(s, d))
+
+
+def query_set_errors(s, d):
+    """Labels as a query set with defects, held against the English documents as its registry."""
+    rows, known = _t(s, d, "labels"), _t(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("id"))
+    key, no_ids = F.array(F.col("doc_id").cast("string")), F.array().cast("array<string>")
+    entries = rows.select(F.col("doc_id").alias("place"), F.concat(F.lit("q"), F.floor(F.col("doc_id") / 2).cast("string")).alias("query_id"), F.when(F.col("toxic") == 1, "b").otherwise("a").alias("snapshot_id"), (F.col("quality") == 1).alias("answerable"), key.alias("doc_ids"), no_ids.alias("expected_section_ids"), F.when(F.col("toxic") == 0, key).otherwise(no_ids).alias("expected_chunk_ids"))
+    ids = known.select(F.lit("doc").alias("kind"), "id").union(known.select(F.lit("chunk"), "id"))
+    about = {"snapshot_id": "a", "row_count": 0, "doc_count": 0, "section_id_count": 0, "chunk_id_count": 0, "default_chunking": {"max_tokens": 350}}
+    return checks.query_set_errors(entries, about, {"snapshot_id": "c", "default_chunking": {}}, ids).select("part", "place", "message")
+
+
+def response_contract(s, d):
+    rows = _t(s, d, "conversations")
+    record = F.array(F.struct(F.lit("[1]").alias("marker"), F.lit("d").alias("doc_id"), F.lit("c").alias("chunk_id"), F.lit(0).alias("start_offset"), F.col("turn").cast("int").alias("end_offset")))
+    full = rows.withColumn("final_answer", F.col("text")).withColumn("citations", F.when(F.col("conv_id") % 2 == 0, record).otherwise(F.array().cast(answers.CITATIONS)))
+    full = full.withColumn("is_refusal", F.col("role") == "user").withColumn("reason_code", F.when(F.col("turn") == 0, "no_relevant_docs")).withColumn("message", F.when(F.col("turn") < 2, F.lit("m")))
+    return full.select("conv_id", "turn", F.array_join(checks.contract_breaches(full), ",").alias("breaches"))
+
+
+def redacted_events(s, d):
+    return tables.redacted(_t(s, d, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def jsonl_documents(s, d):
+    """Documents written as JSONL and read back."""
+    path = f"{tables.shared_folder(s)}/jsonl-{uuid.uuid4().hex}"
+    docs = _t(s, d, "documents")
+    tables.write_jsonl(docs, path)
+    return tables.read_objects(s, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema))
+
+
+def vector_lengths(s, d):
+    """Lengths of vectors before and after they are normalised."""
+    v = _t(s, d, "embeddings")
+    norm = lambda c: F.round(F.sqrt(F.aggregate(c, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))), 4)
+    return vectors.normalised(v.withColumn("length", norm("embedding"))).select("vec_id", "length", norm("embedding").alias("normalised_length"))
+
+
+def vector_facts(s, d):
+    return vectors.facts(_t(s, d, "embeddings"))
+
+
+def hit_sources(s, d):
+    """Hits with the fields of the document of their id, null where there is none."""
+    docs = _t(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "source", "lang")
+    return vectors.with_chunks(_cosine(s, d), docs, "vec_id", strict=False).select("query_id", "vec_id", "rank", "source", "lang")
+
+
+def promoted_search(s, d):
+    """The chunks nearest to the first vector, by SQL over promoted tables."""
+    v = _t(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+    rows, width = vectors.dimension(v, "vector")
+    about = {"runtime_id": "r1", "snapshot_id": "s1", "embedding_model_name": "given", "vector_dimension": width, "row_count": rows}
+    vectors.promote(v.select("chunk_id", "label"), v, about, "evidentia")
+    first = v.where("chunk_id = '0'").first().vector
+    return vectors.sql_search(s, first, 10, "r1", "evidentia").select("chunk_id", "label", F.round("raw_score", 6).alias("score"))
+
+
+def run_summary(s, d):
+    v = _t(s, d, "embeddings")
+    asked = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") < 9).alias("answerable"), (F.col("vec_id") * F.lit(1.5) - 1).alias("latency_ms"), "label")
+    same = asked.where("answerable").select("query_id", "label").join(v.select("vec_id", "label"), "label").select("query_id", "vec_id")
+    return evaluation.run(lambda q, k: _cosine(s, d, k), asked.drop("label"), same, 5, "vec_id")[1]
+
+
+def _citing_client():
+    """A stand-in for a model: says the head of the first block. Every third question's first reply cannot be read, and every fourth's has no marker."""
+
+    def ask(request: dict) -> dict:
+        number, (chunk, text) = int(request["query_id"]), re.search(r"\[1\] chunk=(.*)\n<<<\n([^.\n]*)", request["user_prompt"]).groups()
+        if number % 3 == 1 and request["attempt"] == 1:
+            raise ValueError("no JSON")
+        said = re.sub(r"[\[\]!?]", "", text).strip() or "Found"
+        record = {"marker": "[1]", "doc_id": chunk, "chunk_id": chunk, "start_offset": 0, "end_offset": max(1, len(text))}
+        return {"final_answer": f"{said}." if number % 4 == 0 else f"{said} [1].", "citations": [record], "is_refusal": False}
+
+    return ask
+
+
+def generated_answers(s, d):
+    """Questions through the gate, a stand-in for a model, citation checks and repair."""
+    hits = _cosine(s, d, 3).withColumn("score", retrieval.unit_score(F.col("score")))
+    docs = _t(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.coalesce("text", F.lit("")).alias("text"))
+    hits = hits.join(docs, "vec_id").select("query_id", F.col("vec_id").cast("string").alias("chunk_id"), "text", F.lit(0).alias("start_offset"), F.length("text").alias("end_offset"), "rank", "score")
+    asked = _t(s, d, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("what is near "), F.col("vec_id").cast("string")).alias("question"))
+    out = generation.answered(asked, hits, generation.worker_generator(_citing_client))
+    return out.select("query_id", "status", "final_answer", F.coalesce(F.size("citations"), F.lit(0)).alias("n_citations"), "reason_code", "failure_code", "attempts")
+
+
 def queries() -> dict:
     fs = (token_count, chunks, ingest_report, manifest_allowlist, section_offsets, bm25_topk, rrf_topk, cosine_topk, gate_decisions, retrieval_metrics, canonical_hits, latency_percentiles, citation_markers, registry, duplicate_rows, claims, citation_validation, citation_repair, prompt_context, refusals, markdown_sections, html_sections)
+    fs += (ingest_errors, ingest_quality, query_set_errors, response_contract, redacted_events, jsonl_documents, vector_lengths, vector_facts, hit_sources, promoted_search, run_summary, generated_answers)
     return {f.__name__: f for f in fs}
 
 
@@ -172,6 +285,63 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
   FROM embeddings e, embeddings q WHERE q.vec_id < 10)) WHERE rank <= {k})"""
 
 
+_BLANK = f"regexp_replace(coalesce(text, ''), '[{X.WS}]+', '', 'g') = ''"
+
+
+def _identified_sql(kind: str) -> str:
+    own = f"coalesce(CASE WHEN lang <> 'es' THEN substr(sha256(coalesce(text, '')), 1, 12) END, '<missing-{kind}-id-' || doc_id || '>')"
+    return f"SELECT *, {own} AS id, lang IS NULL OR lang = 'es' AS no_id, row_number() OVER (PARTITION BY {own} ORDER BY doc_id) > 1 AS again FROM documents"
+
+
+_INGESTED = f"""
+s AS ({_identified_sql('section')}), c AS ({_identified_sql('chunk')}),
+lacking AS (
+  SELECT doc_id, id, unnest(['license', 'attribution', 'chunk_id', 'section_path', 'token_count', 'text']) AS field,
+    unnest([lang IS NULL OR lang = 'fr', coalesce(lang = 'de', false), no_id, lang IS NULL OR lang <> 'en', n_chars IS NULL, {_BLANK}]) AS gone FROM c),
+e AS (
+  SELECT 0 AS part, doc_id AS place, 'Empty section text: ' || id AS message FROM s WHERE {_BLANK}
+  UNION ALL SELECT 0, doc_id, 'Duplicate section_id: ' || id FROM s WHERE again
+  UNION ALL SELECT 1, doc_id, 'Empty chunk text: ' || id FROM c WHERE {_BLANK}
+  UNION ALL SELECT 1, doc_id, 'Duplicate chunk_id: ' || id FROM c WHERE again
+  UNION ALL SELECT 1, doc_id, 'Missing required metadata ''' || field || ''' on chunk ' || id FROM lacking WHERE gone
+  UNION ALL SELECT 1, doc_id, 'Invalid chunk offsets: ' || id FROM c WHERE lang = 'fr')"""
+_QUALITY = f"""
+SELECT 's1' AS snapshot_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE lang <> 'de') AS document_count,
+  (SELECT count(*) FROM s) AS section_count, (SELECT count(*) FROM s WHERE {_BLANK}) AS empty_section_count, (SELECT count(*) FROM s WHERE again) AS duplicate_section_ids,
+  (SELECT count(*) FROM c) AS chunk_count, (SELECT count(*) FROM c WHERE {_BLANK}) AS empty_chunk_count, (SELECT count(*) FROM c WHERE again) AS duplicate_chunk_ids,
+  (SELECT count(*) FROM lacking WHERE gone) AS missing_metadata_count, (SELECT sum(n_chars)::BIGINT FROM c) AS estimated_token_count, (SELECT count(*) FROM e) AS error_count"""
+_QUERY_SET = """
+WITH q AS (SELECT doc_id, 'q' || (doc_id // 2) AS query_id, CASE WHEN toxic = 1 THEN 'b' ELSE 'a' END AS snap, quality = 1 AS answerable, coalesce(toxic = 0, false) AS cited,
+  row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) > 1 AS again FROM labels),
+k AS (SELECT doc_id FROM documents WHERE lang = 'en'), u AS (SELECT * FROM q ANTI JOIN k USING (doc_id))
+SELECT 1 AS part, doc_id AS place, 'Duplicate query_id: ' || query_id AS message FROM q WHERE again
+UNION ALL SELECT 1, doc_id, query_id || ': entry snapshot_id ''b'' does not match metadata snapshot_id ''a''' FROM q WHERE snap = 'b'
+UNION ALL SELECT 1, doc_id, query_id || ': entry snapshot_id ''' || snap || ''' does not match registry snapshot_id ''c''' FROM q
+UNION ALL SELECT 1, doc_id, query_id || ': answerable entries must include at least one section or chunk ID' FROM q WHERE answerable AND NOT cited
+UNION ALL SELECT 1, doc_id, query_id || ': unanswerable entries must not include section/chunk IDs' FROM q WHERE NOT answerable AND cited
+UNION ALL SELECT 1, doc_id, query_id || ': unknown doc_id ''' || doc_id || '''' FROM u
+UNION ALL SELECT 1, doc_id, query_id || ': unknown chunk_id ''' || doc_id || '''' FROM u WHERE cited
+UNION ALL SELECT 0, 0, 'Dataset must contain at least one entry.' WHERE NOT EXISTS (FROM q)
+UNION ALL SELECT 2, 0, 'Metadata row_count=0 does not match dataset size=' || count(*) FROM q HAVING count(*) <> 0
+UNION ALL SELECT 2, 0, 'Metadata doc_count=0 does not match registry size=' || count(*) FROM k HAVING count(*) <> 0
+UNION ALL SELECT 2, 0, 'Metadata chunk_id_count does not match registry chunk ID count' FROM k HAVING count(*) <> 0
+UNION ALL SELECT 2, 0, 'Metadata default_chunking does not match registry default_chunking'"""
+_CONTRACT = f"""
+WITH r AS (SELECT *, coalesce(role = 'user', false) AS refusal, conv_id % 2 = 0 AS cites FROM conversations)
+SELECT conv_id, turn, concat_ws(',', CASE WHEN {_BLANK} THEN 'blank_answer' END, CASE WHEN refusal AND cites THEN 'citations_on_refusal' END, CASE WHEN NOT refusal AND NOT cites THEN 'citations_missing' END,
+  CASE WHEN cites AND turn <= 0 THEN 'citation_bounds' END, CASE WHEN refusal AND turn <> 0 THEN 'reason_missing' END, CASE WHEN refusal AND turn >= 2 THEN 'message_missing' END,
+  CASE WHEN NOT refusal AND turn = 0 THEN 'reason_without_refusal' END, CASE WHEN NOT refusal AND turn < 2 THEN 'message_without_refusal' END) AS breaches FROM r"""
+_SUMMARY = f"""
+WITH {_cosine_sql(5)}, a AS (SELECT vec_id AS query_id, label, vec_id < 9 AS answerable, greatest(0, vec_id * 1.5 - 1)::DOUBLE AS ms FROM embeddings WHERE vec_id < 10),
+w AS (SELECT query_id, e.vec_id FROM a JOIN embeddings e USING (label) WHERE answerable), t AS (SELECT query_id, count(*) AS total FROM w GROUP BY query_id),
+m AS (SELECT query_id, min(rank) AS best, count(*) AS n FROM hits JOIN w USING (query_id, vec_id) GROUP BY query_id),
+p AS (SELECT query_id, CASE WHEN n > 0 THEN 1.0 ELSE 0 END::DOUBLE AS hit, round(coalesce(n / total, 0), 6) AS recall, round(coalesce(1 / best, 0), 6) AS rr FROM t LEFT JOIN m USING (query_id))
+SELECT count(*) AS queries, count(*) FILTER (answerable) AS answerable, count(*) FILTER (NOT answerable) AS unanswerable, count(hit) AS relevant,
+  count(*) FILTER (query_id IN (SELECT query_id FROM hits)) AS with_results, count(*) FILTER (query_id NOT IN (SELECT query_id FROM hits)) AS without_results,
+  round(avg(hit), 6) AS hit_at_k, round(avg(recall), 6) AS recall_at_k, round(avg(rr), 6) AS mrr, round(avg(ms), 6) AS average_latency_ms,
+  quantile_disc(ms, 0.5) AS p50_latency_ms, quantile_disc(ms, 0.95) AS p95_latency_ms, max(ms) AS max_latency_ms FROM a LEFT JOIN p USING (query_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     gain = "coalesce(1::DOUBLE / (60 + {}), 0::DOUBLE)"
     return {
@@ -191,5 +361,16 @@ def oracle_sql() -> dict[str, str]:
         "latency_percentiles": "SELECT event_type, round(avg(value), 4) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS longest FROM events GROUP BY event_type",
         "citation_markers": r"WITH t AS (SELECT conv_id, turn, text || ' [1] see [two] and [' || turn || '].' AS text FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, array_to_string(regexp_extract_all(text, '\[\d+\]', 0), ',') AS valid_markers, array_to_string(list_filter(regexp_extract_all(text, '\[[^\[\]\n]*\]', 0), lambda m: NOT regexp_full_match(m, '\[\d+\]')), ',') AS malformed_markers FROM t",
         "registry": "SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY lang",
+        "ingest_errors": f"WITH {_INGESTED} SELECT part, place, message FROM e",
+        "ingest_quality": f"WITH {_INGESTED} {_QUALITY}",
+        "query_set_errors": _QUERY_SET,
+        "response_contract": _CONTRACT,
+        "redacted_events": "SELECT conv_id, turn, role, CASE WHEN text IS NOT NULL THEN '[redacted]' END AS text FROM conversations",
+        "jsonl_documents": "SELECT * FROM documents",
+        "vector_lengths": "SELECT vec_id, n AS length, CASE WHEN n > 0 THEN 1 ELSE n END::DOUBLE AS normalised_length FROM (SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS n FROM embeddings)",
+        "vector_facts": "SELECT count(*) AS row_count, min(coalesce(len(embedding), -1)) AS least, max(coalesce(len(embedding), -1)) AS most FROM embeddings",
+        "hit_sources": f"WITH {_cosine_sql(5)} SELECT query_id, vec_id, rank, source, lang FROM hits LEFT JOIN documents ON doc_id = vec_id",
+        "promoted_search": "SELECT chunk_id, label, score FROM (SELECT e.vec_id::VARCHAR AS chunk_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0) ORDER BY score DESC, chunk_id LIMIT 10",
+        "run_summary": _SUMMARY,
         "duplicate_rows": "SELECT doc_id, occurrence FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS occurrence FROM documents) WHERE occurrence > 1",
     }

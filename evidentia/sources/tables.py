@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,33 @@ SECTIONS = "snapshot_id string, doc_id string, section_id string, section_index
 CHUNKS = "snapshot_id string, doc_id string, section_id string, chunk_id string, section_index int, chunk_index int, doc_title string, section_path array<string>, source_path string, source_url string, license string, attribution string, language string, start_offset int, end_offset int, token_count int, text string"
 VECTORS = "row_index int, chunk_id string, vector array<float>"
 QUERIES = "query_id string, snapshot_id string, question string, category string, notes string, answerable boolean, tags array<string>, doc_ids array<string>, expected_section_ids array<string>, expected_chunk_ids array<string>"
+QUERY_SET = "dataset_name string, dataset_version string, snapshot_id string, row_count long, doc_count long, section_id_count long, chunk_id_count long, default_chunking map<string,int>, notes string"
+REGISTRY = "snapshot_id string, source_manifest_path string, doc_ids array<string>, section_ids array<string>, chunk_ids array<string>, default_chunking map<string,int>"
+CONTEXTS = "doc_id string, chunk_id string, text string, start_offset int, end_offset int"
+HITS = "array<struct<chunk_id:string,score:double,rank:int,doc_id:string,section_id:string,metadata:map<string,int>>>"
+RESULTS = f"run_id string, query_id string, snapshot_id string, retriever_name string, retriever_type string, top_k int, answerable boolean, expected_chunk_ids array<string>, hit boolean, recall double, reciprocal_rank double, latency_ms double, hits {HITS}"
+INDEX = "backend_name string, metric string, vector_dimension long, row_count long, embedding_model_name string, snapshot_id string"
+RUNTIME = "runtime_id string, snapshot_id string, embedding_model_name string, vector_dimension long, row_count long"
+RUNTIME_NAMES = [part.split()[0] for part in RUNTIME.split(", ")]
+# Fields that logs must not carry, and the keys of the gate's settings.
+SENSITIVE = ("content", "final_answer", "model_output", "output_text", "prompt", "question", "raw_output", "response_text", "retrieved_text", "system_prompt", "text", "user_prompt")
+THRESHOLDS = {"k": "k", "T_top1": "top1", "T_mean3": "mean3", "T_support": "support", "N_support": "n_support", "L_thin_max": "thin", "T_nohit": "no_hit"}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; one of our own only where none is set."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="evidentia-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as checkpointed rows, which are not computed again."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -17,14 +47,57 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, text) of the lines of JSONL files that hold no JSON object; lines count from 1, blank ones too.
+
+    A line's number is its place within its split, plus the lines of the file's earlier splits:
+    only one row a split is shuffled, never the lines.
+    """
+    file, at = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split")
+    lines = spark.read.text(path).select(file, at, F.monotonically_increasing_id().alias("n"), F.col("value").alias("text"))
+    splits = lines.groupBy("path", "split").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    other = splits.select("path", F.col("split").alias("earlier"), F.col("lines").alias("before"))
+    starts = splits.join(other, "path").groupBy("path", "split", "first").agg(F.sum(F.when(F.col("earlier") < F.col("split"), F.col("before")).otherwise(0)).alias("before"))
+    parsed = F.try_parse_json("text")
+    broken = F.length(F.trim("text")) > 0
+    broken &= parsed.isNull() | ~F.ltrim("text").startswith("{")
+    rows = lines.where(broken).join(starts, ["path", "split"])
+    return rows.select("path", (F.col("n") - F.col("first") + F.col("before") + 1).alias("line"), "text")
+
+
+def read_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """read_jsonl of files whose every line is an object; else an error that names the first bad lines."""
+    wrong = bad_lines(spark, path).orderBy("path", "line").limit(5).collect()
+    if wrong:
+        raise ValueError("no JSON object at " + ", ".join(f"{r.path}:{r.line}" for r in wrong))
+    return read_jsonl(spark, path, schema)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    """Run results as JSONL with their fields by name."""
+    write_jsonl(results.select(*sorted(results.columns)), path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return read_objects(spark, path, RESULTS)
+
+
 def read_json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row for one object; an array of objects gives a row each."""
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
 
 
+def write_json_object(spark: SparkSession, record: dict, schema: str, path: str) -> None:
+    """One record of known fields; those that record lacks are null."""
+    names = spark.createDataFrame([], schema).columns
+    row = spark.createDataFrame([tuple(record.get(n) for n in names)], schema)
+    row.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     rows = read_jsonl(spark, path, CHUNKS)
     if rows.isEmpty():
@@ -32,6 +105,23 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def read_contexts(spark: SparkSession, path: str) -> DataFrame:
+    return read_json_object(spark, path, CONTEXTS)
+
+
+def read_registry(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """(snapshot_id and default_chunking, (kind, id) of what the registry knows)."""
+    row = read_json_object(spark, path, REGISTRY)
+    of = lambda kind: row.select(F.lit(kind).alias("kind"), F.explode(f"{kind}_ids").alias("id"))
+    head = row.select("snapshot_id", "default_chunking").first()
+    return head.asDict(), of("doc").union(of("section")).union(of("chunk"))
+
+
+def read_query_set(spark: SparkSession, path: str, metadata_path: str) -> tuple[DataFrame, dict]:
+    """(labelled queries, their metadata record)."""
+    return read_objects(spark, path, QUERIES), read_json_object(spark, metadata_path, QUERY_SET).first().asDict()
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path) of every file below folder; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
@@ -41,3 +131,43 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of whole files."""
     rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def read_matrix(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """(row_index, vector) of a file of float32 rows; its size must be a multiple of a row's."""
+    if width <= 0:
+        raise ValueError("width must be positive")
+    size = spark.read.format("binaryFile").load(path).select("length").first().length
+    if size % (4 * width):
+        raise ValueError(f"{size} bytes are no whole rows of {width} float32 values")
+    if not size:
+        return spark.createDataFrame([], "row_index long, vector array<float>")
+    # Rows of a fixed length are split at their bounds, and only an RDD numbers them in file order.
+    records = spark.sparkContext.binaryRecords(path, 4 * width).zipWithIndex()
+    return spark.createDataFrame(records.map(lambda r: (r[1], np.frombuffer(r[0], "<f4").tolist())), "row_index long, vector array<float>")
+
+
+def read_thresholds(spark: SparkSession, path: str) -> dict:
+    """The gate's settings of a YAML file, as the arguments of its thresholds; scores must be of the unit interval."""
+    lines = [r.value.split("#")[0].rstrip() for r in spark.read.text(path).coalesce(1).collect()]  # a settings file
+    start = next((i for i, line in enumerate(lines) if line.strip() == "retrieval_sufficiency:"), None)
+    if start is None:
+        raise ValueError("no retrieval_sufficiency settings")
+    indent = len(lines[start]) - len(lines[start].lstrip())
+    found = {}
+    for line in lines[start + 1 :]:
+        if line.strip() and len(line) - len(line.lstrip()) <= indent:
+            break
+        key, _, value = line.strip().partition(":")
+        found[key] = value.strip()
+    if found.get("score_normalization", "unit_interval") != "unit_interval":
+        raise ValueError("the gate takes unit scores")
+    lacking = [k for k in THRESHOLDS if k not in found]
+    if lacking:
+        raise ValueError(f"settings lack {lacking}")
+    return {name: (int if key in ("k", "N_support", "L_thin_max") else float)(found[key]) for key, name in THRESHOLDS.items()}
+
+
+def redacted(events: DataFrame, names: tuple[str, ...] = SENSITIVE) -> DataFrame:
+    """Events with a mark in place of what logs must not carry; null stays null."""
+    return events.select(*[F.when(F.col(c).isNotNull(), "[redacted]").alias(c) if c.lower() in names else F.col(c) for c in events.columns])

@@ -19,7 +19,7 @@ def db():
 
 def _rows(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted(tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in rows) if rows else []
+    return [tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in rows]
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
