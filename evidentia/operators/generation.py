@@ -2,8 +2,8 @@
 
 A generator is a callable that takes requests (query_id, question, system_prompt, user_prompt,
 attempt) as a DataFrame and returns responses (RESPONSE); it is called once an attempt, with
-the requests that are still open. Its rows are checkpointed, so no request is sent
-again when an executor is lost later on.
+the requests that are still open. Its rows are written to the shared folder, so no request is
+sent again when an executor is lost later on.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def answered(questions: DataFrame, hits: DataFrame, generate: Generator, thresho
         raise ValueError("attempts must be positive")
     texts = messages or answers.MESSAGES
     asked = questions.select(F.col("query_id").cast("string").alias("query_id"), "question")
-    hits = hits.withColumn("query_id", F.col("query_id").cast("string"))
+    hits = kept(hits.withColumn("query_id", F.col("query_id").cast("string")))
     gated = asked.join(trust.gate(hits, thresholds).select("query_id", "decision"), "query_id", "left").withColumn("decision", F.coalesce("decision", F.lit("no_relevant_docs")))
     admitted = F.col("decision").isin("full", "thin")
     none = F.lit(None).cast(answers.CITATIONS)
@@ -107,13 +107,13 @@ def answered(questions: DataFrame, hits: DataFrame, generate: Generator, thresho
     for attempt in range(1, attempts + 1):
         got = kept(generate(left.withColumn("attempt", F.lit(attempt))))
         plain = got.where("failure_code is null").withColumnRenamed("final_answer", "answer")
-        fixed = answers.repaired(answers.validated(plain, spans, "query_id"), "query_id").drop("failures", "outcome")
-        checked = answers.validated(fixed, spans, "query_id")
+        fixed = kept(answers.repaired(answers.validated(plain, spans, "query_id"), "query_id").drop("failures", "outcome"))
+        checked = kept(answers.validated(fixed, spans, "query_id"))
         status = F.when(F.coalesce("is_refusal", F.lit(False)), "refusal").otherwise("answer")
         broken = got.where(F.col("failure_code").isNotNull() & (F.col("failure_code") != PARSE_ERROR))
         rows = checked.where("outcome = 'valid'").select("query_id", status.alias("status"), F.col("answer").alias("final_answer"), "citations", "reason_code", "failure_code", F.lit(attempt).alias("attempts"))
         rows = rows.union(broken.select("query_id", F.lit("error"), F.lit(None).cast("string"), none, F.lit(None).cast("string"), "failure_code", F.lit(attempt)))
-        rows = kept(rows.union(refused(checked.where("outcome = 'refuse'"), F.lit("citation_validation_failed"), attempt)))
+        rows = rows.union(refused(checked.where("outcome = 'refuse'"), F.lit("citation_validation_failed"), attempt))
         done = done.union(rows)
-        left = kept(left.join(rows.select("query_id"), "query_id", "left_anti"))
+        left = left.join(rows.select("query_id"), "query_id", "left_anti")
     return done.union(refused(left, F.lit("citation_validation_failed"), attempts)).select(*shape)

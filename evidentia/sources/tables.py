@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +38,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df as checkpointed rows, which are not computed again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df as a table in the shared folder; its rows are computed once."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
