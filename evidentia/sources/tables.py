@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.functions import text as X
+
 MANIFEST = "snapshot_id string, source_path string, source_url string, doc_id string, language string, license string, attribution string, allowed boolean"
 SECTIONS = "snapshot_id string, doc_id string, section_id string, section_index int, doc_title string, heading string, section_path array<string>, source_path string, source_url string, license string, attribution string, language string, start_offset int, end_offset int, text string"
 CHUNKS = "snapshot_id string, doc_id string, section_id string, chunk_id string, section_index int, chunk_index int, doc_title string, section_path array<string>, source_path string, source_url string, license string, attribution string, language string, start_offset int, end_offset int, token_count int, text string"
@@ -60,9 +62,8 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("path", "split").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
     other = splits.select("path", F.col("split").alias("earlier"), F.col("lines").alias("before"))
     starts = splits.join(other, "path").groupBy("path", "split", "first").agg(F.sum(F.when(F.col("earlier") < F.col("split"), F.col("before")).otherwise(0)).alias("before"))
-    parsed = F.try_parse_json("text")
-    broken = F.length(F.trim("text")) > 0
-    broken &= parsed.isNull() | ~F.ltrim("text").startswith("{")
+    text = X.stripped(F.col("text"))
+    broken = (text != "") & (F.try_parse_json(text).isNull() | ~text.startswith("{"))
     rows = lines.where(broken).join(starts, ["path", "split"])
     return rows.select("path", (F.col("n") - F.col("first") + F.col("before") + 1).alias("line"), "text")
 

@@ -12,8 +12,8 @@ RECORD = {"marker": "[1]", "doc_id": "d", "chunk_id": "c1", "start_offset": 0, "
 
 
 def test_bad_lines_have_their_numbers(spark, tmp_path):
-    (tmp_path / "a.jsonl").write_text('{"x": 1}\n\n[2]\n{"x": 3}\n{"x": \n')
-    (tmp_path / "b.jsonl").write_text('{"x": 4}\n')
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n \t\n[2]\n{"x": 3}\n{"x": \n')
+    (tmp_path / "b.jsonl").write_text('\t{"x": 4}\n\t\n')
     rows = tables.bad_lines(spark, str(tmp_path)).orderBy("line").collect()
     assert [(r.path.rsplit("/", 1)[-1], r.line, r.text) for r in rows] == [("a.jsonl", 3, "[2]"), ("a.jsonl", 5, '{"x": ')]
     with pytest.raises(ValueError, match="a.jsonl:3"):
