@@ -98,7 +98,7 @@ def test_run_summary(spark):
     row = evaluation.run(lambda q, k: hits, asked, gold, 5)[1].first()
     assert (row.hit_at_k, row.recall_at_k, row.mrr, row.average_latency_ms, row.p50_latency_ms, row.p95_latency_ms, row.max_latency_ms) == (1.0, 0.75, 0.75, 1.333333, 1.0, 2.0, 2.0)
     assert (row.queries, row.answerable, row.relevant, row.with_results) == (3, 2, 2, 2)
-    assert evaluation.run_id("snap-1", "v1", "dense", "dense-faiss", 5) == "snap-1-v1-dense-dense-faiss-top5"
+    assert evaluation.run_id("snap-1", "v1", "dense", "dense-exact", 5) == "snap-1-v1-dense-dense-exact-top5"
 
 
 def test_index_and_joins(spark, tmp_path):
