@@ -3,13 +3,15 @@
 A coarse quantiser of about sqrt(n) centroids and residual subspace codebooks are fitted on
 a sample of about SAMPLE vectors, taken by the hash of the id. Every vector is indexed:
 it lies in the inverted list of its nearest centroid, as codes of its residual. A vector asks
-its own list and the lists across whose border a linked vector could lie, nearest borders
-first, PROBES at most. Within a list, asymmetric distances from lookup tables discard members that cannot
+its own list and every list across whose border a linked vector could lie, so no link is
+lost; where vectors lie far apart in many dimensions these are nearly all lists, and the work
+grows with the square of n. Asymmetric distances from lookup tables discard members that cannot
 be within reach given their own quantisation error (which is kept, so nothing within reach is
 discarded), and the exact cosine in double precision decides the rest.
 
-A list and those who ask it are split into chunks of about CHUNK, and a task
-holds one chunk against one other; it returns counts of links and the edges of a
+Lists are put on shelves of about CHUNK members, and a vector goes once to each shelf with a
+list it asks. Larger lists, and those who ask a shelf, are split into chunks of about CHUNK, and a
+task holds one chunk against one other; it returns counts of links and the edges of a
 spanning forest, never the pairs. Each pair counts once, from its smaller id.
 
 Defined results: vectors that are null, zero, hold nulls or non-finite values, or have
@@ -30,8 +32,9 @@ from evidentia.llm.storage import prepare, written
 SAMPLE = 20_000
 SUBSPACES = 8
 CODES = 64
-PROBES = 8
-CHUNK = 2048
+CHUNK = 4096
+#: Rounding that distances may carry: of double precision at a border, of single precision in the tables.
+_BORDER, _TABLES = 1e-9, 1e-4
 _EDGE = "kind int, a long, b long"
 
 
@@ -51,25 +54,26 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
 
 
 class Index:
-    def __init__(self, sample: np.ndarray, lists: int, reach: float, probes: int):
+    def __init__(self, sample: np.ndarray, lists: int, reach: float):
         rng = np.random.default_rng(7)
-        self.reach, self.probes = reach, probes
+        self.reach = reach
         self.centers = kmeans(sample, lists, 8, rng)
         residual = sample - self.centers[_nearest(sample, self.centers)]
         self.cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         self.books = [kmeans(residual[:, a:b], CODES, 8, rng) for a, b in zip(self.cuts[:-1], self.cuts[1:])]
 
-    def asks(self, x: np.ndarray) -> list[list[int]]:
-        """The lists each vector asks, its own first."""
-        d = (self.centers**2).sum(1) - 2 * x @ self.centers.T
+    def own(self, x: np.ndarray) -> np.ndarray:
+        return _nearest(x, self.centers)
+
+    def asks(self, x: np.ndarray) -> np.ndarray:
+        """Whether each vector asks each list: its own, and those whose border is within reach."""
+        size = (self.centers**2).sum(1)
+        d = size - 2 * x @ self.centers.T
         own = d.argmin(axis=1)
-        gap = np.sqrt(np.maximum(((self.centers[own][:, None] - self.centers[None]) ** 2).sum(-1), 1e-18))
-        border = (d - d[np.arange(len(x)), own][:, None]) / (2 * gap)
-        order = np.argsort(border, axis=1, kind="stable")[:, : self.probes + 1]
-        out = []
-        for i, row in enumerate(order.tolist()):
-            near = [j for j in row if j != own[i] and border[i, j] <= self.reach]
-            out.append([int(own[i]), *near[: self.probes - 1]])
+        rows = np.arange(len(x))
+        gap = np.sqrt(np.maximum(size[own][:, None] + size - 2 * self.centers[own] @ self.centers.T, 0) + _BORDER)
+        out = d - d[rows, own][:, None] <= 2 * gap * self.reach + _BORDER
+        out[rows, own] = True
         return out
 
     def codes(self, x: np.ndarray, center: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,14 +85,25 @@ class Index:
             left += ((residual[:, a:b] - book[codes[:, s]]) ** 2).sum(1)
         return codes, np.sqrt(left)
 
-    def within(self, query: np.ndarray, center: np.ndarray, codes: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Which members can be within reach of which queries, by table lookups."""
-        residual = query - center
-        total = np.zeros((len(query), len(codes)))
-        for s, (book, a, b) in enumerate(zip(self.books, self.cuts[:-1], self.cuts[1:])):
-            table = ((residual[:, None, a:b] - book[None]) ** 2).sum(-1)
-            total += table[:, codes[:, s]]
-        return total <= (self.reach + left + 1e-9)[None] ** 2
+    def rebuilt(self, codes: np.ndarray, centers: np.ndarray) -> np.ndarray:
+        """The points that the codes of members of these centroids' lists stand for."""
+        return centers + np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], axis=1)
+
+    def tables(self, query: np.ndarray) -> list[np.ndarray]:
+        """By subspace, the product of every book entry with every query."""
+        return [(book @ query[:, a:b].T).astype(np.float32) for book, a, b in zip(self.books, self.cuts[:-1], self.cuts[1:])]
+
+    def within(self, query: np.ndarray, lists: np.ndarray, own: np.ndarray, point: np.ndarray, codes: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Which members (rows) can be within reach of which queries, by table lookups; a member's list is lists[own].
+
+        The squared distance of a query q to a member's point c + b is |q|^2 + |c + b|^2 - 2 q.c - 2 q.b, and
+        q.c and q.b are looked up.
+        """
+        product = (self.centers[lists] @ query.T).astype(np.float32)[own]
+        for s, table in enumerate(self.tables(query)):
+            product += table[codes[:, s]]
+        least = ((point**2).sum(1) - (self.reach + left + _BORDER) ** 2 - _TABLES) / 2
+        return product >= (least[:, None] + (query**2).sum(1) / 2).astype(np.float32)
 
 
 def _vectors(column) -> np.ndarray:
@@ -122,11 +137,21 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[label[moved]]
 
 
-def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, probes: int = PROBES) -> DataFrame:
+def shelves(members: np.ndarray) -> np.ndarray:
+    """The shelf of every list, by its number of members: consecutive lists of CHUNK at most, or one larger list."""
+    out, shelf, held = np.zeros(len(members), np.int64), 0, 0
+    for i, n in enumerate(members.tolist()):
+        if held and held + n > CHUNK:
+            shelf, held = shelf + 1, 0
+        out[i], held = shelf, held + n
+    return out
+
+
+def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row of df.
 
-    Vectors with a cosine of at least `threshold` that the index finds are linked;
-    n_links counts a vector's links, component_id is the smallest id that links lead to.
+    Vectors with a cosine of at least `threshold` are linked; n_links counts a vector's
+    links, component_id is the smallest id that links lead to.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -138,51 +163,82 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str =
     if sizes is None:
         return ids.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     good = written(good.where(F.size("v") == sizes["d"]), "vectors")
-    n = sizes["count"]
+    found = _found(good, sizes["count"], threshold)
+    links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n_links")).withColumnRenamed("a", "id")
+    groups = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("id", "of")
+    out = ids.join(links, "id", "left").join(groups, F.col("id") == F.col("of"), "left")
+    component = F.coalesce("component", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _found(good: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Counts of links (kind 0: id, links) and edges of components (kind 1) of n vectors (id, v) of one length."""
+    spark = good.sparkSession
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     share = int((1 << 30) * min(1.0, SAMPLE / n))
     sample = good.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < share).select("v").toArrow()
     if not sample.num_rows:
         sample = good.limit(SAMPLE).select("v").toArrow()
-    index = spark.sparkContext.broadcast(Index(unit(_vectors(sample["v"].combine_chunks())), int(np.clip(np.sqrt(n), 1, 4096)), reach, probes))
+    index = spark.sparkContext.broadcast(Index(unit(_vectors(sample["v"].combine_chunks())), int(np.clip(np.sqrt(n), 1, 4096)), reach))
 
     def assign(batches):
         for batch in batches:
             if batch.num_rows:
-                lists = index.value.asks(unit(_vectors(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=["id", "v", "lists"])
-
-    placed = written(good.select("id", "v").mapInArrow(assign, "id long, v array<double>, lists array<int>"), "lists")
-    asking = placed.select(F.posexplode("lists").alias("at", "list"))
-    load = asking.groupBy("list").agg(F.ceil(F.sum((F.col("at") == 0).cast("long")) / CHUNK).alias("members"), F.ceil(F.count("*") / CHUNK).alias("askers")).where("members > 0")
-    load = F.broadcast(load)  # a row per centroid, 4096 at most
+                lists = index.value.own(unit(_vectors(batch.column(1))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.int32())], names=["id", "v", "list"])
+
+    placed = written(good.select("id", "v").mapInArrow(assign, "id long, v array<double>, list int"), "lists")
+    held = np.zeros(len(index.value.centers), np.int64)
+    for r in placed.groupBy("list").count().collect():  # a row per centroid, 4096 at most
+        held[r["list"]] = r["count"]
+    shelf = spark.sparkContext.broadcast((held, shelves(held)))
+
+    def ask(batches):
+        held, of = shelf.value
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        for batch in batches:
+            if batch.num_rows:
+                asked = np.logical_or.reduceat(index.value.asks(unit(_vectors(batch.column(1)))) & (held > 0), first, axis=1)
+                ends = np.concatenate([[0], np.cumsum(asked.sum(axis=1))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(asked)[1], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "v", "shelves"])
+
+    asking = written(placed.select("id", "v").mapInArrow(ask, "id long, v array<double>, shelves array<int>"), "shelves")
+    members = np.bincount(shelf.value[1], held).astype(np.int64)
+    chunks = lambda n: max(1, -(-int(n) // CHUNK))
+    load = [(r["shelf"], chunks(members[r["shelf"]]), chunks(r["count"])) for r in asking.select(F.explode("shelves").alias("shelf")).groupBy("shelf").count().collect()]
+    load = F.broadcast(spark.createDataFrame(load, "shelf int, members int, askers int"))
+    lists = F.broadcast(spark.createDataFrame(list(enumerate(shelf.value[1].tolist())), "list int, shelf int"))
     part = lambda c, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(c)).cast("int")
-    members = placed.select("id", "v", F.col("lists")[0].alias("list")).join(load, "list").select("list", part("members", "m").alias("m"), F.explode(F.sequence(F.lit(0), (F.col("askers") - 1).cast("int"))).alias("q"), "id", "v")
-    askers = placed.select("id", "v", F.explode("lists").alias("list")).join(load, "list").select("list", F.explode(F.sequence(F.lit(0), (F.col("members") - 1).cast("int"))).alias("m"), part("askers", "q").alias("q"), F.col("id").alias("asker"), F.col("v").alias("w"))
+    members = placed.join(lists, "list").join(load, "shelf").select("shelf", part("members", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("q"), "id", "v", "list")
+    askers = asking.select("id", "v", F.explode("shelves").alias("shelf")).join(load, "shelf").select("shelf", F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("m"), part("askers", "q").alias("q"), F.col("id").alias("asker"), F.col("v").alias("w"))
 
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
             return empty
         it = index.value
-        center = it.centers[key[0].as_py()]
+        left, right = left.sort_by("id"), right.sort_by("asker")
         member, asker = (unit(_vectors(c.combine_chunks())) for c in (left["v"], right["w"]))
         mid, qid = left["id"].to_numpy(), right["asker"].to_numpy()
-        codes, lost = it.codes(member, center)
+        lists, own = np.unique(left["list"].to_numpy(), return_inverse=True)
+        codes, lost = it.codes(member, it.centers[lists[own]])
+        point = it.rebuilt(codes, it.centers[lists[own]])
         counts, pairs = [], []
         for at in range(0, len(asker), 512):
-            q = asker[at : at + 512]
-            near = it.within(q, center, codes, lost) & (qid[at : at + 512, None] < mid[None])
-            x, y = np.nonzero(near)
-            if len(x) * 8 > near.size:
-                linked = near & (q @ member.T >= threshold)
-                x, y = np.nonzero(linked)
+            q, i = asker[at : at + 512], qid[at : at + 512]
+            lo = int(np.searchsorted(mid, i[0], side="right"))  # those of a larger id than one of these
+            m = member[lo:]
+            near = it.within(q, lists, own[lo:], point[lo:], codes[lo:], lost[lo:]) & (i[None] < mid[lo:, None])
+            y, x = np.nonzero(near)
+            if len(x) * 32 > near.size:
+                y, x = np.nonzero(near & (m @ q.T >= threshold))
             else:
-                ok = np.einsum("ij,ij->i", q[x], member[y]) >= threshold
+                ok = np.einsum("ij,ij->i", q[x], m[y]) >= threshold
                 x, y = x[ok], y[ok]
             if len(x):
-                counts += [qid[at + x], mid[y]]
-                pairs.append(np.stack(_forest(qid[at + x], mid[y])))
+                counts += [i[x], mid[lo + y]]
+                pairs.append(np.stack(_forest(i[x], mid[lo + y])))
         if not counts:
             return empty
         ids, links = np.unique(np.concatenate(counts), return_counts=True)
@@ -190,10 +246,5 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str =
         a, b = _forest(a, b)
         return pa.table({"kind": pa.array([0] * len(ids) + [1] * len(a), pa.int32()), "a": pa.array(np.concatenate([ids, a]), pa.int64()), "b": pa.array(np.concatenate([links, b]), pa.int64())})
 
-    keys = ["list", "m", "q"]
-    found = written(members.groupBy(*keys).cogroup(askers.groupBy(*keys)).applyInArrow(compare, _EDGE), "found")
-    links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n_links")).withColumnRenamed("a", "id")
-    groups = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("id", "of")
-    out = ids.join(links, "id", "left").join(groups, F.col("id") == F.col("of"), "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    keys = ["shelf", "m", "q"]
+    return written(members.groupBy(*keys).cogroup(askers.groupBy(*keys)).applyInArrow(compare, _EDGE), "found")

@@ -180,6 +180,20 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(1000, 1006))
 
 
+def test_vectors_finds_links_across_many_lists(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    base = unit(rng.standard_normal((6000, 64)))
+    away = rng.standard_normal((600, 64))
+    away = unit(away - (away * base[:600]).sum(1)[:, None] * base[:600])
+    x = np.concatenate([base, 0.905 * base[:600] + np.sqrt(1 - 0.905**2) * away])
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert links.sum() >= 1200
+    assert {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(links.sum(1).tolist()))
+
+
 def test_language_id_held_out(spark, docs):
     full = spark.read.parquet(f"{SF}/documents.parquet")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
