@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from evidentia.functions import text as X
 
 K1, B, RRF_K, DEPTH = 1.5, 0.75, 60, 20
+#: Rows of a block of vectors or of queries, and queries compared at once within.
+BLOCK, AT_ONCE = 8192, 256
 
 
 def ranked(hits: DataFrame, k: int, query: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -34,13 +40,69 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc_id: str = "doc_id"
 
 
 def cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, score, rank): exact cosine of queries (query_id, vector) against all
-    vectors; the queries are the stated set and are few."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    pairs = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), norm(F.col(vec_col)).alias("vn")).crossJoin(queries.select("query_id", F.col("vector").alias("w"), norm(F.col("vector")).alias("wn")))
-    score = F.coalesce(F.try_divide(dot(F.col("v"), F.col("w")), F.col("vn") * F.col("wn")), F.lit(0.0))
-    return ranked(pairs.select("query_id", "vec_id", F.round(score, 6).alias("score")), k, tie="vec_id")
+    """(query_id, vec_id, score, rank): exact cosine of queries (query_id, vector) against all vectors, to 6 places.
+
+    Both sides are dealt to blocks of about BLOCK rows; a task holds one block against one other and
+    returns the best k of each query. Zero vectors, and pairs of different lengths or with nulls, score 0.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    left = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    right = queries.select("query_id", F.col("vector").cast("array<double>").alias("w"))
+    n_left, n_right = (max(1, -(-df.count() // BLOCK)) for df in (left, right))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.select("vec_id", "v", part("vec_id", n_left).alias("m"), every(n_right).alias("q"))
+    right = right.select("query_id", "w", every(n_left).alias("m"), part("query_id", n_right).alias("q"))
+    types = StructType([StructField("query_id", right.schema["query_id"].dataType), StructField("vec_id", left.schema["vec_id"].dataType), StructField("score", DoubleType())])
+
+    def compare(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        ours = ours.take(pc.sort_indices(ours, sort_keys=[("vec_id", "ascending")], null_placement="at_start"))
+        by_length = _by_length(ours["v"])
+        asked, found, scores = [], [], []
+        for at in range(0, theirs.num_rows if ours.num_rows else 0, AT_ONCE):
+            block = _cosines(_by_length(theirs["w"].slice(at, AT_ONCE)), by_length, min(AT_ONCE, theirs.num_rows - at), ours.num_rows)
+            best = _best(block, k)
+            asked.append(np.repeat(np.arange(at, at + len(best)), best.shape[1]))
+            found.append(best.ravel())
+            scores.append(np.take_along_axis(block, best, axis=1).ravel())
+        asked, found = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (asked, found))
+        return pa.table({"query_id": theirs["query_id"].take(asked), "vec_id": ours["vec_id"].take(found), "score": pa.array(np.concatenate([np.zeros(0), *scores]), from_pandas=False)})
+
+    hits = left.groupBy("m", "q").cogroup(right.groupBy("m", "q")).applyInArrow(compare, types)
+    return ranked(hits, k, tie="vec_id")
+
+
+def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length, the places and the matrix of the vectors without nulls."""
+    column = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).copy()
+    holed = np.unique(pc.list_parent_indices(column).to_numpy()[pc.is_null(column.flatten()).to_numpy(zero_copy_only=False)])
+    sizes[holed] = 0
+    out = {}
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        out[size] = at, np.asarray(column.take(pa.array(at)).flatten(), dtype=np.float64).reshape(-1, size)
+    return out
+
+
+def _cosines(queries: dict, vectors: dict, n: int, m: int) -> np.ndarray:
+    """The cosines of n queries (rows) and m vectors, half away from zero to 6 places."""
+    out = np.zeros((n, m))
+    for size in queries.keys() & vectors.keys():
+        (rows, x), (columns, y) = queries[size], vectors[size]
+        with np.errstate(all="ignore"):
+            norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))
+            score = np.where(norms == 0, 0.0, x @ y.T / norms)
+            out[np.ix_(rows, columns)] = np.copysign(np.floor(np.abs(score) * 1e6 + 0.5) / 1e6, score) + 0.0
+    return out
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k highest scores of each row, the first of equal ones; NaN is the highest."""
+    m = scores.shape[1]
+    order = np.where(np.isnan(scores), 2_000_000, np.rint(np.clip(np.nan_to_num(scores), -1.5, 1.5) * 1e6)).astype(np.int64) * m - np.arange(m)
+    return np.argpartition(-order, k - 1, axis=1)[:, :k] if k < m else np.broadcast_to(np.arange(m), scores.shape)
 
 
 def unit_score(score: Column) -> Column:

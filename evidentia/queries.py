@@ -53,15 +53,20 @@ def rrf_topk(s, d):
     return both.select("query_id", "doc_id", "first_rank", "second_rank", F.round("score", 9).alias("score"), "rank")
 
 
-def _cosine(s, d, k=5):
+def _cosine(s, d, k=5, asked="vec_id < 10"):
     v = _t(s, d, "embeddings")
-    return retrieval.cosine(v, v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k)
+    return retrieval.cosine(v, v.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k)
 
 
 def cosine_topk(s, d):
     return _cosine(s, d)
 
 
+def cosine_topk_stated(s, d):
+    """cosine_topk for every vector whose id is divisible by 100."""
+    return _cosine(s, d, asked="vec_id % 100 = 0")
+
+
 def gate_decisions(s, d):
     return trust.gate(_cosine(s, d, 8).withColumn("score", F.round(retrieval.unit_score(F.col("score")), 6)))
 
@@ -254,7 +259,7 @@ def generated_answers(s, d):
 
 def queries() -> dict:
     fs = (token_count, chunks, ingest_report, manifest_allowlist, section_offsets, bm25_topk, rrf_topk, cosine_topk, gate_decisions, retrieval_metrics, canonical_hits, latency_percentiles, citation_markers, registry, duplicate_rows, claims, citation_validation, citation_repair, prompt_context, refusals, markdown_sections, html_sections)
-    fs += (ingest_errors, ingest_quality, query_set_errors, response_contract, redacted_events, jsonl_documents, vector_lengths, vector_facts, hit_sources, promoted_search, run_summary, generated_answers)
+    fs += (ingest_errors, ingest_quality, query_set_errors, response_contract, redacted_events, jsonl_documents, vector_lengths, vector_facts, hit_sources, promoted_search, run_summary, generated_answers, cosine_topk_stated)
     return {f.__name__: f for f in fs}
 
 
@@ -278,11 +283,11 @@ def _bm25_sql(name: str, k: int, b: float = retrieval.B) -> str:
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}_x WHERE score > 0) WHERE rank <= {k})"""
 
 
-def _cosine_sql(k: int) -> str:
+def _cosine_sql(k: int, asked: str = "q.vec_id < 10") -> str:
     return f"""
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings e, embeddings q WHERE q.vec_id < 10)) WHERE rank <= {k})"""
+  FROM embeddings e, embeddings q WHERE {asked})) WHERE rank <= {k})"""
 
 
 _BLANK = f"regexp_replace(coalesce(text, ''), '[{X.WS}]+', '', 'g') = ''"
@@ -353,6 +358,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_topk": f"WITH words AS ({_WORDS}), {_bm25_sql('a', 5)} SELECT query_id, doc_id, score, rank FROM a",
         "rrf_topk": f"WITH words AS ({_WORDS}), {_bm25_sql('a', 20)}, {_bm25_sql('b', 20, 0.25)}, f AS (SELECT query_id, doc_id, a.rank AS first_rank, b.rank AS second_rank, {gain.format('a.rank')} + {gain.format('b.rank')} AS score FROM a FULL JOIN b USING (query_id, doc_id)) SELECT query_id, doc_id, first_rank, second_rank, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 5",
         "cosine_topk": f"WITH {_cosine_sql(5)} SELECT query_id, vec_id, score, rank FROM hits",
+        "cosine_topk_stated": f"WITH {_cosine_sql(5, 'q.vec_id % 100 = 0')} SELECT query_id, vec_id, score, rank FROM hits",
         "gate_decisions": f"WITH {_cosine_sql(8)}, u AS (SELECT query_id, rank, round(greatest(0, least(1, (score + 1) / 2)), 6) AS s FROM hits), f AS (SELECT query_id, max(s) FILTER (rank = 1) AS top1, (max(s) FILTER (rank = 1) + coalesce(max(s) FILTER (rank = 2), 0) + coalesce(max(s) FILTER (rank = 3), 0)) / least(3, count(*)) AS mean3, count(*) FILTER (s >= 0.55) AS support, count(*) AS n FROM u GROUP BY query_id), g AS (SELECT *, concat_ws(',', CASE WHEN top1 < 0.75 THEN 'low_top1' END, CASE WHEN mean3 < 0.60 THEN 'low_mean3' END, CASE WHEN support < 2 THEN 'insufficient_support' END) AS low, concat_ws(',', CASE WHEN support = 2 THEN 'support_floor_only' END, CASE WHEN n < 3 THEN 'sparse_context' END) AS thin FROM f) SELECT query_id, round(top1, 6) AS top1, round(mean3, 6) AS mean3, support, CASE WHEN top1 < 0.2 THEN 'no_relevant_docs' WHEN low <> '' THEN 'insufficient_evidence' WHEN thin <> '' THEN 'thin' ELSE 'full' END AS decision, CASE WHEN top1 < 0.2 THEN 'no_hit_floor' WHEN low <> '' THEN low ELSE thin END AS reasons FROM g",
         "retrieval_metrics": f"WITH {_cosine_sql(5)}, w AS (SELECT q.vec_id AS query_id, e.vec_id FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id < 10), t AS (SELECT query_id, count(*) AS total FROM w GROUP BY query_id), m AS (SELECT query_id, min(rank) AS best, count(*) AS n FROM hits JOIN w USING (query_id, vec_id) GROUP BY query_id) SELECT query_id, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, round(coalesce(n / total, 0), 6) AS recall, round(coalesce(1 / best, 0), 6) AS reciprocal_rank FROM t LEFT JOIN m USING (query_id)",
         "canonical_hits": f"WITH {_cosine_sql(5)} SELECT query_id, vec_id, score, rank FROM hits WHERE rank <= 4",

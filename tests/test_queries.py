@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,30 @@ def test_chunk_windows(spark):
     assert [r.text for r in rows] == ["one two three four", "three four five six", "five six seven eight", "seven eight nine ten"]
 
 
+def test_cosine_compares_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    monkeypatch.setattr(retrieval, "AT_ONCE", 3)
+    x = np.random.default_rng(2).standard_normal((60, 4)).round(1)
+    x[20:40] = x[0]
+    rows = [*enumerate(x.tolist()), (60, None), (61, [0.0] * 4), (62, [1.0, None, 1.0, 1.0]), (63, [1.0, 2.0]), (64, [-1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = retrieval.cosine(df, df.selectExpr("vec_id AS query_id", "embedding AS vector"), 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+    def cosine(a, b):
+        if a is None or b is None or None in a or None in b or len(a) != len(b):
+            return 0.0
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(np.dot(a, b) / size), 6) + 0.0 if size else 0.0
+
+    want = set()
+    for q, w in rows:
+        best = sorted((-cosine(v, w), i) for i, v in rows)[:4]
+        want |= {(q, i, -c + 0.0, n + 1) for n, (c, i) in enumerate(best)}
+    assert {tuple(r) for r in got.select("query_id", "vec_id", "score", "rank").collect()} == want
+
+
 def test_fusion_breaks_ties_by_id(spark):
     hits = lambda *ids: spark.createDataFrame([("q", i, k + 1) for k, i in enumerate(ids)], "query_id string, doc_id string, rank long")
     rows = retrieval.fused(hits("noise", "service"), hits("service", "noise"), rrf_k=10).orderBy("rank").collect()
