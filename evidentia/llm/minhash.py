@@ -123,19 +123,40 @@ def _linked(width: int, percent: int):
     return run
 
 
+def _agreeing(n_x: np.ndarray, n_y: np.ndarray, j: float) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of these sizes and similarity j, the share s of the samples n of both that agree,
+    and the variance of (agreeing samples - s n).
+
+    Ranges fill as by Poisson numbers of shared and of own shingles; the variance is that
+    of independent ranges less what the known sizes explain: a variance over ranges is
+    lowered by mean * (effect of one more shingle)**2 for each kind of shingle.
+    """
+    union = (n_x + n_y) / (1 + j)
+    a = union / BINS
+    own_x, own_y = np.maximum(n_x / BINS - j * a, 0.0), np.maximum(n_y / BINS - j * a, 0.0)
+    bare, bare_x, bare_y = np.exp(-a), np.exp(-n_x / BINS), np.exp(-n_y / BINS)
+    agree, filled = j * (1 - bare), 2 - bare_x - bare_y
+    share = agree / filled
+    square = agree * (1 - 4 * share) + share**2 * (filled + 2 * (1 - bare_x - bare_y + bare))
+    least = -np.expm1(-a) / a  # how often one more shingle is its range's smallest
+    lost = j * (least - bare)
+    shared = least - lost - share * (bare_x + bare_y)
+    explained = j * a * shared**2 + own_x * (lost + share * bare_x) ** 2 + own_y * (lost + share * bare_y) ** 2
+    return share, BINS * np.maximum(square - explained, 0.0)
+
+
 def allowed(x: tuple, y: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether two odd sketches allow the similarity, and in how many bits they differ; x and y are (n_shingles, n_bins, sketch).
 
-    With union u and J = percent / 100, m = J * (non-empty ranges of the union) samples
-    should agree, so n_x + n_y - 2 m differ; the XOR's population count is held
-    against the count expected for that many and its deviation.
+    Of n_x + n_y samples at J = percent / 100 a known share agrees, so about that many
+    differ; the XOR's population count is held against the count expected for that many and its
+    deviation: that of the agreeing samples, given the filled ranges of both, and that of the sketch.
     """
     j = percent / 100
     differ = np.bitwise_count((x[2] ^ y[2]).view(np.uint64)).sum(axis=-1, dtype=np.int64)
-    union = (x[0] + y[0]) / (1 + j)
-    ranges = BINS * -np.expm1(-union / BINS)
-    d = np.maximum(x[1] + y[1] - 2 * j * ranges, 0.0)
-    sampled = 4 * j * (1 - j) * ranges * np.maximum(1 - ranges / union, 0.02)
+    share, spread = _agreeing(x[0], y[0], j)
+    d = np.maximum((x[1] + y[1]) * (1 - 2 * share), 0.0)
+    sampled = 4 * spread
     decay = np.exp(-4 * d / BITS)
     folded = (BITS / 4 * (1 - decay) - d * decay) / decay + 4
     most = d + SIGMAS * np.sqrt(sampled + folded)

@@ -75,6 +75,20 @@ def test_odd_sketch_never_rejects_similar_sets():
             assert minhash.allowed(one, two, 80)[0].all()
 
 
+def test_odd_sketch_keeps_thousands_of_pairs_at_the_threshold():
+    rng = np.random.default_rng(4)
+    for union in (60, 150, 200, 300, 600, 1200):
+        for part in (0.0, 0.5):  # one set holds the other, or both are of one size
+            both, sketches = -(-union * 4 // 5), ([], [])
+            cut = both + int((union - both) * part)
+            for _ in range(2500):
+                h = rng.integers(0, 2**64, union, dtype=np.uint64)
+                for of, one in zip(sketches, (h[:cut], np.concatenate([h[:both], h[cut:]]))):
+                    of.append((len(one), *minhash.odd_sketch(np.sort(one))))
+            x, y = ((np.array([s[0] for s in of]), np.array([s[1] for s in of]), np.stack([s[2] for s in of])) for of in sketches)
+            assert minhash.allowed(x, y, 80)[0].all()
+
+
 def test_substring(docs, rows):
     seen, want = {}, {}
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
