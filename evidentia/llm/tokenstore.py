@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,16 +43,18 @@ class LibraryEncoder:
 
     Where the tokenizer only splits by the public byte-level pattern and merges,
     a pre-token's ids depend on nothing else: the library's model gets each different one
-    once. Any other tokenizer gets the whole texts. Special tokens' strings are text.
+    once. Any other tokenizer gets the whole texts, and so does this one where a text holds the string of
+    an added token. Special tokens' strings are text, or with special_as_text false the tokens, as by default in the library.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         parts = json.loads(definition)
+        self.added = [t["content"] for t in parts.get("added_tokens") or () if t["content"] and not (special_as_text and t["special"])]
         split = parts.get("pre_tokenizer") or {}
         self.by_word = not parts.get("normalizer") and not parts.get("post_processor") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.index: dict[int, int] = {}  # by hash
@@ -76,10 +79,22 @@ class LibraryEncoder:
     def encode(self, column):
         """(lengths, ids) for consecutive slices of the column's texts."""
         if not self.by_word:
-            for lo in range(0, len(column), 64):
-                got = [e.ids for e in self.tokenizer.encode_batch(K.as_strings(column.slice(lo, 64)).to_pylist(), add_special_tokens=False)]
-                yield np.array([len(x) for x in got], np.int64), np.fromiter((i for x in got for i in x), np.int32)
+            yield from self._whole(column)
             return
+        texts = K.as_strings(column)
+        holds = np.zeros(len(texts), bool)
+        for token in self.added:
+            holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        cuts = [*np.flatnonzero(np.diff(holds, prepend=~holds[:1])).tolist(), len(texts)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield from (self._whole if holds[lo] else self._words)(texts.slice(lo, hi - lo))
+
+    def _whole(self, column):
+        for lo in range(0, len(column), 64):
+            got = [e.ids for e in self.tokenizer.encode_batch(K.as_strings(column.slice(lo, 64)).to_pylist(), add_special_tokens=False)]
+            yield np.array([len(x) for x in got], np.int64), np.fromiter((i for x in got for i in x), np.int32)
+
+    def _words(self, column):
         for p in K.pretokens(column, SLICE_BYTES):
             if len(self.index) > REMEMBERED:
                 self.index, self.flat, self.size = {}, [], []
@@ -109,20 +124,20 @@ class LibraryEncoder:
         self.used, self.filled = n, m
 
 
-_encoders: dict[int, LibraryEncoder] = {}
+_encoders: dict[tuple[int, bool], LibraryEncoder] = {}
 
 
-def _encoder(definition: str) -> LibraryEncoder:
+def _encoder(definition: str, special_as_text: bool) -> LibraryEncoder:
     """One per worker process, which keeps what it remembers from task to task."""
-    key = hash(definition)
+    key = hash(definition), special_as_text
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = LibraryEncoder(definition)
+        _encoders[key] = LibraryEncoder(definition, special_as_text)
     return _encoders[key]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
-    """Encodes docs and writes the store at path; the driver reads the tokenizer's file."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, special_as_text: bool = True) -> None:
+    """Encodes docs and writes the store at path; the driver reads the tokenizer's file. See LibraryEncoder for special_as_text."""
     spark = docs.sparkSession
     prepare(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -130,7 +145,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
 
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0
-        encoder = _encoder(definition.value)
+        encoder = _encoder(definition.value, special_as_text)
         for batch in batches:
             done = 0
             for size, ids in encoder.encode(batch.column(1)):

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evidentia.llm import bpe, chat, decontam, embeddings, langid, minhash, quality, substring, tokenstore, warc
+from evidentia.llm import bpe, chat, decontam, embeddings, langid, minhash, quality, queries, substring, tokenstore, warc
 
 SF = "/root/testdata/sf0.001"
 ODD = [(9000, None), (9001, ""), (9002, " \n\t"), (9003, "One"), (9004, "one"), (9005, "a b"), (9006, "don't <|endoftext|> 漢字 😀 x  y"), (9007, "w " * 30), (9008, "long " * 60000), (9010, "tie tie"), (9010, "tie tie"), (None, "no id here")]
@@ -163,6 +163,18 @@ def test_token_store(spark, docs, rows, tmp_path):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in plan and "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan
 
 
+def test_op6_takes_special_tokens_as_the_library_does(spark, tmp_path):
+    end = "<|endoftext|>"
+    texts = ["plain words", f"one {end} two", "more plain", end, f"{end}{end} x", "<|endoftext", None, f"  {end}  y", "last"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    tk, at, want = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0, []
+    for i, t in enumerate(texts):
+        ids = tk.encode(t or "", add_special_tokens=False).ids + [2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, queries.op6_token_store(spark, str(tmp_path)).collect())) == want
+
+
 def test_warc(spark, tmp_path):
     pages = [(i, f"http://x/{i}", h) for i, h in enumerate(["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "<p>a</p>", "x\r\n\r\nWARC/1.1\r\n\r\n", "é" * 70000])] + [(2, "http://x/2\r\nX: y", "<p>a</p>"), (None, None, "alone")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload_digest", F.lit("clash"))
