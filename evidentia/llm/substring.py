@@ -1,15 +1,16 @@
 """Removal of long word sequences that occur earlier in the corpus.
 
-Prefix-partitioned suffix trees. Every suffix (a word position with at least
-`width` words left) belongs to the group of its variable-length prefix: the
+Hashed windows, grouped by prefix; no suffix tree is built. Every suffix (a word position
+with at least `width` words left) belongs to the group of its variable-length prefix: the
 words up to the end of the smallest of the `gram`-word sequences in its first
-`width` words. Equal windows have equal prefixes, so a group is a complete set
-of subtrees, and the prefix groups are dealt by hash into memory-sized parts.
-Neighbouring suffixes mostly share the end of their prefix and travel as one run.
-Only the path down to depth `width` matters: a node at that depth with two
-leaves is a repeat, its smallest leaf is the first occurrence, and unions of
-neighbouring leaves are the maximal repeated spans. Paths are compared by 112 bits
-of hashes (64 of the prefix's end, 48 of the window), not by the words themselves.
+`width` words. Equal windows have equal prefixes, so a group holds all leaves of its
+subtrees. The prefix groups are dealt by hash into as many buckets as there are shuffle
+partitions, whatever the groups' sizes. Neighbouring suffixes mostly share the end of their
+prefix and travel as one run. Of the trees only the nodes at depth `width` would matter, and these are
+found by sorting the leaves' window hashes: a node with two leaves is a repeat, its smallest
+leaf is the first occurrence, and unions of neighbouring leaves are the maximal repeated
+spans. Windows compare by 128 bits of hashes (64 of the prefix's end, 64 of the window), not by
+the words themselves; within a group, only the 64 of the window tell them apart.
 
 Leaves that repeat within a block of documents are settled there, so a passage
 that fills the corpus reaches its group once per block. A group answers each
@@ -117,9 +118,8 @@ class _Block:
     def payload(self, part: np.ndarray) -> bytes:
         o, run = self.open, self.run[part]
         windows = self.window[o[self.shipped(part)]]
-        six = np.ascontiguousarray(windows.view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
         doc = self.doc[o[run]]
-        columns = [self.prefix[o[run]], self.size[part].astype(np.uint16), np.diff(doc, prepend=np.int64(0)), self.start[o[run]].astype(np.int64), six]
+        columns = [self.prefix[o[run]], self.size[part].astype(np.uint16), np.diff(doc, prepend=np.int64(0)), self.start[o[run]].astype(np.int64), windows]
         return B.packed_table(pa.table({"v": pa.array([c.tobytes() for c in columns], pa.binary())}))
 
     def covered(self, answers: dict[int, bytes], n: int) -> np.ndarray:
@@ -146,10 +146,8 @@ def _opened_leaves(payload) -> tuple[np.ndarray, ...]:
     v = B.opened(payload)["v"].to_pylist()
     prefix, size = np.frombuffer(v[0], np.uint64), np.frombuffer(v[1], np.uint16).astype(np.int64)
     doc, start = np.cumsum(np.frombuffer(v[2], np.int64)), np.frombuffer(v[3], np.int64)
-    window = np.zeros((int(size.sum()), 8), np.uint8)
-    window[:, :6] = np.frombuffer(v[4], np.uint8).reshape(-1, 6)
     place = K.ragged(start, size)
-    return np.repeat(prefix, size), window.view(np.uint64).reshape(-1), np.repeat(doc, size), place
+    return np.repeat(prefix, size), np.frombuffer(v[4], np.uint64), np.repeat(doc, size), place
 
 
 def _late(prefix, window, doc, start) -> np.ndarray:
@@ -173,7 +171,7 @@ def _late(prefix, window, doc, start) -> np.ndarray:
 
 
 def _answer(batches):
-    """Builds the subtrees of a partition's prefix groups, one bucket at a time."""
+    """Finds the repeats of a partition's prefix groups, one bucket at a time."""
     held: dict[int, list] = {}
     for batch in batches:
         for block, bucket, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):

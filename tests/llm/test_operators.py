@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -111,6 +112,14 @@ def test_substring(docs, rows):
     assert got == want
 
 
+def test_substring_ships_whole_window_hashes():
+    text = " ".join(f"w{i * i % 97}" for i in range(200))
+    block = substring._Block(pa.table({"doc_id": [1, 2], "text": [text, "x " + text[50:]]}), "doc_id", "text", 20, 8)
+    for _, part in block.leaves(4):
+        window = substring._opened_leaves(block.payload(part))[1]
+        assert len(window) and (window == block.window[block.open[block.shipped(part)]]).all()
+
+
 def test_decontamination(spark, docs, rows):
     items = [(i, t) for i, t in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, "is THE"), (901, None), (902, "!?"), (None, "of the")]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t or ""))
