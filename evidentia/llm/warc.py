@@ -44,15 +44,15 @@ def record_id(page_id: Column) -> Column:
 
 
 def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, original, original_url) for pages whose payload has a smaller page id.
+    """(page_id, digest, original, original_url) for pages whose payload has a smaller page id.
 
     pages: page_id, url, payload. Payloads under min_bytes bytes are left alone.
     """
     headers = pages.where(F.col("page_id").isNotNull() & (F.octet_length("payload") >= min_bytes)).select("page_id", "url", base32_sha1(F.col("payload")).alias("digest"))
     first = headers.groupBy("digest").agg(F.min("page_id").alias("original"), F.max("page_id").alias("last")).where("original < last").select("digest", "original")
-    revisits = headers.join(first, "digest").where("page_id > original").select("page_id", "original").distinct()
-    urls = headers.groupBy(F.col("page_id").alias("original")).agg(F.min("url").alias("original_url"))
-    return revisits.join(urls, "original", "left")
+    revisits = headers.join(first, "digest").where("page_id > original").select("page_id", "digest", "original").distinct()
+    urls = headers.groupBy(F.col("page_id").alias("original"), "digest").agg(F.min("url").alias("original_url"))
+    return revisits.join(urls, ["original", "digest"], "left")
 
 
 def _line(name: str, value: Column) -> Column:
@@ -62,7 +62,7 @@ def _line(name: str, value: Column) -> Column:
 
 def records(pages: DataFrame, min_bytes: int = 0, date: str = DATE) -> DataFrame:
     """One column, `value`: each page's whole record without its final separator."""
-    p = pages.join(resolve_revisits(pages, min_bytes), "page_id", "left")
+    p = pages.withColumn("digest", base32_sha1(F.col("payload"))).join(resolve_revisits(pages, min_bytes), ["page_id", "digest"], "left")
     again = F.col("original").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(_END))
     block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("payload")))
@@ -72,7 +72,7 @@ def records(pages: DataFrame, min_bytes: int = 0, date: str = DATE) -> DataFrame
         _line("WARC-Record-ID", record_id(F.col("page_id"))),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.col("url")),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("payload")))),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         _line("WARC-Profile", F.when(again, F.lit(PROFILE))),
         _line("WARC-Refers-To", F.when(again, record_id(F.col("original")))),
         _line("WARC-Refers-To-Target-URI", F.when(again, F.col("original_url"))),
@@ -181,7 +181,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     refers_to (the original's page id) and, if asked for, payload."""
     prepare(spark)
     found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read(with_payload), _RECORD)
-    first = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("o_page"), F.col("payload_bytes").alias("o_bytes"), F.col("payload").alias("o_payload"))
-    first = first.dropDuplicates(["refers_to_id"])
-    out = found.join(first, "refers_to_id", "left")
+    first = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), "payload_digest", F.col("page_id").alias("o_page"), F.col("payload_bytes").alias("o_bytes"), F.col("payload").alias("o_payload"))
+    first = first.dropDuplicates(["refers_to_id", "payload_digest"])
+    out = found.join(first, ["refers_to_id", "payload_digest"], "left")
     return out.select("record_id", "record_type", "page_id", "target_uri", "payload_digest", F.coalesce("payload_bytes", "o_bytes").alias("payload_bytes"), F.col("o_page").alias("refers_to"), *([F.coalesce("payload", "o_payload").alias("payload")] if with_payload else []))

@@ -198,6 +198,15 @@ def test_warc(spark, tmp_path):
     assert got == sorted(want, key=str)
 
 
+def test_warc_keeps_different_payloads_of_one_page_id(spark, tmp_path):
+    pages = [(1, "u1", "same"), (2, "u2", "same"), (2, "u2", "only here"), (3, "u3", "only here"), (4, "u4", "other"), (5, "u5", "other"), (5, "u5", "same")]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = warc.read_archives(spark, str(tmp_path / "w")).select("page_id", "payload", "payload_bytes", "record_type", "refers_to").collect()
+    want = [(1, "same", 4, "response", None), (2, "same", 4, "revisit", 1), (2, "only here", 9, "response", None), (3, "only here", 9, "revisit", 2)]
+    want += [(4, "other", 5, "response", None), (5, "other", 5, "revisit", 4), (5, "same", 4, "revisit", 1)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((60, 16))
