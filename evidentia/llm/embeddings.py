@@ -14,13 +14,15 @@ list it asks. Larger lists, and those who ask a shelf, are split into chunks of
 task holds one chunk against one other; it returns counts of links and the edges of a
 spanning forest, never the pairs. Each pair counts once, from its smaller id.
 
-Defined results: vectors that are null, zero, hold nulls or non-finite values, or have
-another length than the commonest link with nothing. Rows with one id are one vector,
+Defined results: vectors that are null, zero, hold nulls or non-finite values link with
+nothing. Vectors of different lengths do not link; each length has an index of its own. Rows with one id are one vector,
 the one whose hash is smallest. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -158,12 +160,12 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str =
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     sound = F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0)
     good = rows.where(sound).groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
-    sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    good = written(good, "vectors")
+    sizes = good.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()  # a row per length
     ids = rows.select("id")
-    if sizes is None:
+    if not sizes:
         return ids.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    good = written(good.where(F.size("v") == sizes["d"]), "vectors")
-    found = _found(good, sizes["count"], threshold)
+    found = reduce(DataFrame.union, [_found(good.where(F.size("v") == r["d"]), r["count"], threshold) for r in sizes])
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n_links")).withColumnRenamed("a", "id")
     groups = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("id", "of")
     out = ids.join(links, "id", "left").join(groups, F.col("id") == F.col("of"), "left")

@@ -238,6 +238,12 @@ def test_vectors_finds_links_across_many_lists(spark):
     assert {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(links.sum(1).tolist()))
 
 
+def test_vectors_of_every_length_link(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [3.0, 0.1, 0.0]), (6, [1.0])]
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True)]
+
+
 def test_language_id_held_out(spark, docs):
     full = spark.read.parquet(f"{SF}/documents.parquet")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
