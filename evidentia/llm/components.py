@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.storage import written
+from evidentia.llm.storage import drop, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,7 +18,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     vertex to itself and nulls count for nothing; repeated edges count once.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e = written(e, "edges")
+    e = edges = written(e, "edges")
     while True:
         ends = e.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
@@ -28,4 +28,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         near = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        e = written(near.union(least).distinct(), "edges")
+        old, e = edges, written(near.union(least).distinct(), "edges")
+        drop(old)
+        edges = e
