@@ -3,13 +3,17 @@
 Headers (page, payload digest) are shuffled by digest to find each payload's original, the
 smallest page id, and joined back to the revisits; payloads are never shuffled by
 digest, so a payload that a third of all pages share burdens no task. Records get fresh
-headers. Archives are written by Spark's text writer with the record separator as
-line end, gzip-compressed, RECORDS_PER_FILE records to a file, which commits whole tasks
-only. The reader goes through Content-Length and accepts any gzip members or plain files.
+headers: an id of page, digest and, where both occur again, the row; the time of writing; and a
+revisit's references to its original. Archives are written by Spark's text writer with the record separator as
+line end, gzip-compressed, about FILE_BYTES of records at most to a file, which commits whole tasks
+only. The reader goes through Content-Length, accepts any gzip members or plain files, and joins
+only revisits, each to the record that it refers to.
 
-Defined results: a null page is an empty payload. Rows that repeat the smallest page id of
+Defined results: a null page is an empty payload, a null address leaves out its header. Rows that repeat the smallest page id of
 a payload are all responses; a null page id is never an original unless a payload has
-no other, and never revisits. Extra columns are not read.
+no other, and never revisits. One page id with several payloads is several pages. Extra columns are not read; empty
+tables give empty archives. Rows are told apart by their place in the input, which a scan repeats; an input
+that would not (a shuffle's output that is computed anew) should be written first.
 """
 
 from __future__ import annotations
@@ -17,15 +21,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.storage import prepare
+from evidentia.llm.storage import prepare, written
 
-RECORDS_PER_FILE = 1000
-DATE = "2024-01-01T00:00:00Z"
+#: A file is read as a whole, compressed, by one task.
+FILE_BYTES = 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n\r\n"
 _RECORD = "record_id string, record_type string, page_id long, target_uri string, payload_digest string, payload_bytes long, refers_to_id string, payload string"
@@ -38,21 +43,24 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*quads)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_id(page_id: Column) -> Column:
-    h = F.md5(F.coalesce(page_id.cast("string"), F.lit("")))
+def record_id(*parts: Column) -> Column:
+    h = F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), F.lit(">"))
 
 
 def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, digest, original, original_url) for pages whose payload has a smaller page id.
+    """(page_id, digest, original, original_url, again) for pages whose payload has a smaller page id, its original,
+    and for those that occur several times with one payload, again being the first such row.
 
-    pages: page_id, url, payload. Payloads under min_bytes bytes are left alone.
+    pages: page_id, url, payload, row. Payloads under min_bytes bytes have no original.
     """
-    headers = pages.where(F.col("page_id").isNotNull() & (F.octet_length("payload") >= min_bytes)).select("page_id", "url", base32_sha1(F.col("payload")).alias("digest"))
-    first = headers.groupBy("digest").agg(F.min("page_id").alias("original"), F.max("page_id").alias("last")).where("original < last").select("digest", "original")
-    revisits = headers.join(first, "digest").where("page_id > original").select("page_id", "digest", "original").distinct()
-    urls = headers.groupBy(F.col("page_id").alias("original"), "digest").agg(F.min("url").alias("original_url"))
-    return revisits.join(urls, ["original", "digest"], "left")
+    headers = pages.where("page_id is not null").select("page_id", "url", "row", base32_sha1(F.col("payload")).alias("digest"), (F.octet_length("payload") >= min_bytes).alias("large"))
+    each = headers.groupBy("page_id", "digest", "large").agg(F.min("url").alias("url"), F.min("row").alias("first"), F.count("*").alias("n"))
+    first = each.where("large").groupBy("digest").agg(F.min("page_id").alias("original"), F.max("page_id").alias("last")).where("original < last").select("digest", "original")
+    revisits = each.where("large").join(first, "digest").where("page_id > original").select("page_id", "digest", "original")
+    urls = each.select(F.col("page_id").alias("original"), "digest", F.col("url").alias("original_url"))
+    again = each.where("n > 1").select("page_id", "digest", F.col("first").alias("again"))
+    return revisits.join(urls, ["original", "digest"], "left").join(again, ["page_id", "digest"], "full_outer").select("page_id", "digest", "original", "original_url", "again")
 
 
 def _line(name: str, value: Column) -> Column:
@@ -60,21 +68,25 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\x00-\x1F\x7F]", ""), F.lit("\r\n")), F.lit(""))
 
 
-def records(pages: DataFrame, min_bytes: int = 0, date: str = DATE) -> DataFrame:
-    """One column, `value`: each page's whole record without its final separator."""
+def records(pages: DataFrame, min_bytes: int = 0, date: str | None = None) -> DataFrame:
+    """One column, `value`: each page's whole record without its final separator. pages: page_id, url, payload; date is now unless given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    pages = pages.withColumn("row", F.monotonically_increasing_id())
     p = pages.withColumn("digest", base32_sha1(F.col("payload"))).join(resolve_revisits(pages, min_bytes), ["page_id", "digest"], "left")
+    plain = F.when(F.col("page_id").isNull() | (F.col("again") < F.col("row")), F.col("row"))  # null for the record that others refer to
+    own = F.when(plain.isNull(), record_id(F.col("page_id"), F.col("digest"))).otherwise(record_id(F.col("page_id"), F.col("digest"), plain))
     again = F.col("original").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(_END))
     block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("payload")))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
-        _line("WARC-Record-ID", record_id(F.col("page_id"))),
+        _line("WARC-Record-ID", own),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         _line("WARC-Profile", F.when(again, F.lit(PROFILE))),
-        _line("WARC-Refers-To", F.when(again, record_id(F.col("original")))),
+        _line("WARC-Refers-To", F.when(again, record_id(F.col("original"), F.col("digest")))),
         _line("WARC-Refers-To-Target-URI", F.when(again, F.col("original_url"))),
         _line("WARC-Refers-To-Date", F.when(again, F.lit(date))),
         _line("X-Page-Id", F.col("page_id")),
@@ -87,7 +99,9 @@ def records(pages: DataFrame, min_bytes: int = 0, date: str = DATE) -> DataFrame
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> None:
     """Writes a deduplicated archive of pages to the folder path."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
-    records(rows, min_bytes).write.option("compression", "gzip").option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    mean = rows.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
+    most = max(1, int(FILE_BYTES / (mean + 1024)))
+    records(rows, min_bytes).write.option("compression", "gzip").option("lineSep", _END).option("maxRecordsPerFile", most).text(path)
 
 
 class _Stream:
@@ -181,7 +195,12 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     refers_to (the original's page id) and, if asked for, payload."""
     prepare(spark)
     found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read(with_payload), _RECORD)
-    first = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), "payload_digest", F.col("page_id").alias("o_page"), F.col("payload_bytes").alias("o_bytes"), F.col("payload").alias("o_payload"))
-    first = first.dropDuplicates(["refers_to_id", "payload_digest"])
-    out = found.join(first, ["refers_to_id", "payload_digest"], "left")
-    return out.select("record_id", "record_type", "page_id", "target_uri", "payload_digest", F.coalesce("payload_bytes", "o_bytes").alias("payload_bytes"), F.col("o_page").alias("refers_to"), *([F.coalesce("payload", "o_payload").alias("payload")] if with_payload else []))
+    if not with_payload:
+        found = written(found, "records")
+    ours = F.col("record_type") == "response"
+    first = found.where(ours).select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("o_page"), F.col("payload_bytes").alias("o_bytes"), F.col("payload").alias("o_payload"))
+    again = found.where(~ours).join(first, "refers_to_id", "left")
+    shown = ["record_id", "record_type", "page_id", "target_uri", "payload_digest"]
+    plain = found.where(ours).select(*shown, "payload_bytes", F.lit(None).cast("long").alias("refers_to"), "payload")
+    out = plain.union(again.select(*shown, F.col("o_bytes"), F.col("o_page"), F.col("o_payload")))
+    return out if with_payload else out.drop("payload")
