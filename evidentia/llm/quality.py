@@ -7,8 +7,10 @@ only matrices of the size of the features travel. An isotonic fit on rows that
 the ridge fit has not seen turns its values into probabilities of label 1.
 
 Defined results: null and empty texts have the statistics of an empty text and get its
-score. Without usable labels every score is 0.5; with one label only, 0 or 1. A label
-counts as often as it is given.
+score, and so do no documents for an empty table. Without usable labels every score is 0.5; with one label only, 0 or 1.
+A label counts as often as it is given, and a row of documents as often as it occurs; labels other than 0 and 1 and
+null ids teach nothing. Statistics are of whole texts and not clipped. Extra columns are not read.
+The calibration takes ridge values in BINS equal steps from -0.5 to 1.5, those beyond as at the end.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ RIDGE = 1e-3
 BINS = 2048
 THRESHOLD = 0.3
 _BYTES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "blank": (9, 10, 11, 12, 13, 32), "line": (10,), "stop": (46,), "comma": (44,), "bang": (33, 63), "bar": (124,), "symbol": (*range(35, 39), 42, 43, 60, 61, 62, 64, 92, 94, 95, 96, 123, 125, 126), "beyond": range(128, 256)}
-NAMES = [*_BYTES, "log_words", "word_bytes", "long_words", "short_words", "distinct", "again", "top", "shout", "ragged"]
+NAMES = [*_BYTES, "log_words", "log_word_bytes", "long_words", "short_words", "distinct", "again", "top", "shout", "ragged"]
 
 
 def statistics(column) -> np.ndarray:
@@ -51,7 +53,7 @@ def statistics(column) -> np.ndarray:
         tail = w.buf[w.end - 1] if len(w.end) else np.zeros(0, np.uint8)
         odd = ~((tail >= 128) | ((tail >= 48) & (tail < 58)) | ((tail >= 65) & (tail < 91)) | ((tail >= 97) & (tail < 123)))
         rows = [sums[k] / size for k in _BYTES]
-        rows += [np.log1p(n), np.minimum(per_text(length) / many, 50), per_text(length > 12) / many, per_text(length < 4) / many, distinct / many, per_text(again) / many, top / many, per_text(upper) / many, per_text(odd) / many]
+        rows += [np.log1p(n), np.log1p(per_text(length) / many), per_text(length > 12) / many, per_text(length < 4) / many, distinct / many, per_text(again) / many, top / many, per_text(upper) / many, per_text(odd) / many]
         out.append(np.stack(rows, axis=1))
     return np.concatenate(out).astype(np.float64) if out else np.zeros((0, len(NAMES)))
 
@@ -75,7 +77,7 @@ def _draw(n: int) -> tuple[np.ndarray, np.ndarray]:
 def fourier(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """Random Fourier features and a constant."""
     matrix, phase = _draw(x.shape[1])
-    z = np.sqrt(2 / FEATURES) * np.cos(np.clip((x - mean) / scale, -8, 8) @ matrix + phase)
+    z = np.sqrt(2 / FEATURES) * np.cos((x - mean) / scale @ matrix + phase)
     return np.concatenate([z, np.ones((len(x), 1))], axis=1)
 
 
