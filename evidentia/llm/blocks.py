@@ -7,11 +7,11 @@ question per block and gets the answer per block, not per word or document.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 8 << 20
@@ -48,18 +48,22 @@ def packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
 def pack(df: DataFrame, order: str, most: int = BLOCK_BYTES) -> DataFrame:
     """df as (block, payload), dealt by block over the shuffle partitions.
 
-    Rows of a block are in the order of the column `order`, nulls first. The
-    number of a block holds its task and its place there, so that a task that
-    runs again makes the same blocks.
+    Rows of a block are in the order of the column `order`, nulls first. A block's number
+    is a digest of its payload: a task that runs again makes the same blocks from the same rows,
+    and what was asked about a block can never be answered to one of other rows.
     """
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
         for table in packed(batches, most):
             table = table.take(pc.sort_indices(table, sort_keys=[(order, "ascending")], null_placement="at_start"))
-            yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "payload": pa.array([packed_table(table)], pa.binary())})
-            number += 1
+            payload = packed_table(table)
+            number = int.from_bytes(hashlib.blake2b(payload, digest_size=8).digest(), "little", signed=True)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
     from evidentia.llm.storage import partitions
 
     return df.mapInArrow(run, BLOCK_SCHEMA).repartition(partitions(df.sparkSession), "block")
+
+
+def unanswered(block: int) -> Exception:
+    return RuntimeError(f"block {block} holds other rows than when it was asked about: the input changed; write it to a table first")

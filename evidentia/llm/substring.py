@@ -1,25 +1,29 @@
-"""Removal of long word sequences that occur earlier in the corpus.
-
-Hashed windows, grouped by prefix; no suffix tree is built. Every suffix (a word position
-with at least `width` words left) belongs to the group of its variable-length prefix: the
-words up to the end of the smallest of the `gram`-word sequences in its first
-`width` words. Equal windows have equal prefixes, so a group holds all leaves of its
-subtrees. The prefix groups are dealt by hash into as many buckets as there are shuffle
-partitions, whatever the groups' sizes. Neighbouring suffixes mostly share the end of their
-prefix and travel as one run. Of the trees only the nodes at depth `width` would matter, and these are
-found by sorting the leaves' window hashes: a node with two leaves is a repeat, its smallest
-leaf is the first occurrence, and unions of neighbouring leaves are the maximal repeated
-spans. Windows compare by 128 bits of hashes (64 of the prefix's end, 64 of the window), not by
-the words themselves; within a group, only the 64 of the window tell them apart.
+"""Removal of long word sequences that occur earlier, by prefix-partitioned suffix trees.
+
+Every suffix (a word position with at least `width` words left) belongs to the group of a
+variable-length prefix, so that all suffixes that agree in `width` words are of one group. A prefix
+first reaches to the smallest, by hash, of the `gram`-word sequences in the suffix's first `width` words (of that
+sequence only its words count, so neighbouring suffixes mostly share it and travel as one run
+of words). Where such a group is larger than a group may be, its prefixes grow: to all words up to the
+end of that sequence, and then to all `width` words. Which groups are that large is
+counted on a sample of the documents, as sizes decide nothing but where a suffix goes.
+
+A task takes its groups in order, as many at a time as GROUP_BYTES of text hold. Suffixes
+that share their `width` words with no other in there can lie below no node of that depth and are left out;
+the rest are sorted by their words. The common prefixes of neighbours give the subtree: every
+internal node of depth `width` is a repeat, its smallest leaf the first occurrence, and
+unions of the other leaves that stand next to each other are the maximal repeated spans. Should one group still be larger
+than GROUP_BYTES (one window in very many blocks), it is reduced as it comes: a leaf with an earlier
+one on its path is answered and let go.
 
 Leaves that repeat within a block of documents are settled there, so a passage
-that fills the corpus reaches its group once per block. A group answers each
-block with one bit per leaf; texts are moved once, compressed.
+that fills the corpus reaches its group once per block. Answers are the late
+leaves, by block; texts are moved once, compressed. Words compare by 64-bit hashes.
 
 Defined results: null and empty texts have no words. A repeated row (same id and
 text) is no earlier than its twin: both keep what either keeps. Rows are ordered
 by (id, start); a null id comes first. Words are never cut; order is kept. Columns
-of the input with a name that the operator returns are replaced.
+of the input with a name that the operator returns are replaced; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -38,44 +42,59 @@ from evidentia.llm.storage import partitions, prepare, release_memory
 
 #: A block's windows take about 30 times as many bytes while they are sorted.
 BLOCK_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 WIDTH = 20
-GRAM = 8
-_LEAVES = "block long, bucket int, payload binary"
+GRAM = 5
+#: About how many bytes of text a suffix takes in a run, and on its own.
+_IN_RUN, _ALONE = 20, 130
+#: One in so many documents is counted at least; a larger share of small tables.
+SAMPLED, SAMPLE_BYTES = 16, 1 << 30
+_RUNS = "label long, block long, place int, n int, doc long, start long, text binary"
+_ANSWERS = "block long, late binary"
 
 
 class _Block:
     """The words of a block and the windows that are not settled inside it."""
 
-    def __init__(self, table: pa.Table, id_col: str, text_col: str, width: int, gram: int):
-        self.table, self.width = table, width
+    def __init__(self, table: pa.Table, id_col: str, text_col: str, width: int, gram: int, spelled: bool = False):
+        self.table, self.width, self.gram = table, width, gram
         self.texts = K.as_strings(table[text_col])
         ids = table[id_col].combine_chunks().cast(pa.int64())
         self.ids = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-        parts = [(w.hash, np.diff(w.first)) for w in K.words(self.texts, K.BLANK_EXACT)]
-        hashes = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64)
-        self.counts = np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64)
+        hashes, counts, sizes, spelling = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for w in K.words(self.texts, K.BLANK_EXACT):
+            hashes.append(w.hash)
+            counts.append(np.diff(w.first))
+            if spelled:
+                size = w.end - w.start + 1
+                chars = np.append(w.buf, np.uint8(32))[K.ragged(w.start, size)]
+                chars[np.cumsum(size) - 1] = 32
+                sizes.append(size)
+                spelling.append(chars.tobytes())
+        self.hashes, self.counts = np.concatenate(hashes), np.concatenate(counts)
         self.first = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
-        self._suffixes(hashes, gram)
+        self.spelling, self.at_byte = b"".join(spelling), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        self._suffixes()
 
-    def _suffixes(self, hashes: np.ndarray, gram: int) -> None:
-        width = self.width
+    def _suffixes(self) -> None:
+        width, gram = self.width, self.gram
         room = np.maximum(self.counts - width + 1, 0)
         self.at = K.ragged(self.first[:-1], room)  # flat positions of all windows
         row = np.repeat(np.arange(len(room)), room)
         self.doc, self.start = self.ids[row], (self.at - self.first[row]).astype(np.int64)
         if not len(self.at):
-            self.window = self.prefix = np.zeros(0, np.uint64)
-            self.settled = np.zeros(0, bool)
+            self.window = self.smallest = np.zeros(0, np.uint64)
+            self.settled, self.open, self.twin_of = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
-        self.window = K.windows(hashes, width)[self.at]
-        ends = K.windows(hashes, gram)
+        self.window = K.windows(self.hashes, width)[self.at]
+        self.grams = ends = K.windows(self.hashes, gram)
         reach, least = 1, ends  # least: the smallest of `reach` sequences from here on
         want = width - gram + 1
         while reach < want:
             step = min(reach, want - reach)
             least = np.minimum(least[: len(least) - step], least[step:])
             reach += step
-        self.prefix = least[self.at]
+        self.smallest = least[self.at]
         # The same window earlier in this block?
         if (self.ids[1:] == self.ids[:-1]).any():
             order = np.lexsort((self.start, self.doc, self.window))
@@ -93,47 +112,49 @@ class _Block:
         self.twin_of = np.zeros(len(order), np.int64)
         self.twin_of[order] = head
 
-    def leaves(self, n: int) -> list[tuple[int, pa.Table]]:
-        """The unsettled windows as runs, for each bucket that has any."""
-        if not len(self.at) or not len(self.open):
-            return []
+    def up_to_smallest(self, some: np.ndarray) -> np.ndarray:
+        """Hashes of all words from these suffixes' beginnings to the end of their smallest sequence."""
+        out = np.zeros(len(some), np.uint64)
+        at = self.at[some]
+        depth = np.zeros(len(some), np.int64)
+        for k in range(self.width - self.gram, -1, -1):
+            depth[self.grams[at + k] == self.smallest[some]] = k + self.gram
+        for n in np.unique(depth).tolist():
+            own = depth == n
+            out[own] = K.windows(self.hashes, n)[at[own]]
+        return out
+
+    def labels(self, large: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The group of every open suffix; large holds the groups of each level that are too large."""
+        out = self.smallest[self.open].copy()
+        grown = np.flatnonzero(_among(out, large[0]))
+        if len(grown):
+            longer = self.up_to_smallest(self.open[grown])
+            whole = _among(longer, large[1])
+            out[grown] = K.mix64(longer + np.uint64(1))
+            out[grown[whole]] = K.mix64(self.window[self.open[grown[whole]]] + np.uint64(2))
+        return out
+
+    def runs(self, block: int, large: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        """The open suffixes, neighbours of one group as one run of words; a row without words says that the block was asked about."""
         o = self.open
-        prefix = self.prefix[o]
+        label = self.labels(large)
         broken = np.ones(len(o), bool)
-        broken[1:] = (prefix[1:] != prefix[:-1]) | (self.at[o][1:] != self.at[o][:-1] + 1) | (self.start[o][1:] == 0)
-        self.run = np.flatnonzero(broken)
-        self.size = np.diff(np.append(self.run, len(o)))
-        bucket = (K.mix64(prefix[self.run]) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        self.by_bucket = []
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        for part in np.split(order, cuts):
-            self.by_bucket.append((int(bucket[part[0]]), part))
-        return self.by_bucket
-
-    def shipped(self, part: np.ndarray) -> np.ndarray:
-        """Indexes into open of the windows of these runs, in order."""
-        return K.ragged(self.run[part], self.size[part])
-
-    def payload(self, part: np.ndarray) -> bytes:
-        o, run = self.open, self.run[part]
-        windows = self.window[o[self.shipped(part)]]
-        doc = self.doc[o[run]]
-        columns = [self.prefix[o[run]], self.size[part].astype(np.uint16), np.diff(doc, prepend=np.int64(0)), self.start[o[run]].astype(np.int64), windows]
-        return B.packed_table(pa.table({"v": pa.array([c.tobytes() for c in columns], pa.binary())}))
-
-    def covered(self, answers: dict[int, bytes], n: int) -> np.ndarray:
+        broken[1:] = (label[1:] != label[:-1]) | (self.at[o][1:] != self.at[o][:-1] + 1) | (self.start[o][1:] == 0)
+        run = np.flatnonzero(broken)
+        n = np.diff(np.append(run, len(o)))
+        lo, hi = self.at_byte[self.at[o[run]]], self.at_byte[self.at[o[run]] + n + self.width - 1] - 1
+        texts = [self.spelling[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
+        ack = lambda v, kind: pa.array(np.append(v, 0), kind)
+        columns = [np.append(label[run].view(np.int64), block), np.full(len(run) + 1, block), ack(run, pa.int32()), ack(n, pa.int32()), ack(self.doc[o[run]], pa.int64()), ack(self.start[o[run]], pa.int64()), pa.array([*texts, b""], pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["label", "block", "place", "n", "doc", "start", "text"])
+
+    def covered(self, answers: list[bytes]) -> np.ndarray:
         """For every word whether a window that occurs earlier covers it."""
         out = np.zeros(len(self.at), bool)
+        for answer in answers:
+            out[self.open[np.frombuffer(answer, np.uint32)]] = True
         if len(self.at):
-            late = np.zeros(len(self.open), bool)
-            for bucket, part in self.leaves(n):
-                if bucket in answers:
-                    place = self.shipped(part)
-                    if len(answers[bucket]) != (len(place) + 7) // 8:
-                        raise ValueError("a block was packed differently when it was read again")
-                    late[place] = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=len(place)).astype(bool)
-            out[self.open] = late
             out = self.settled | out[self.twin_of]
         edge = np.zeros(int(self.first[-1]) + 1, np.int64)
         hits = self.at[out]
@@ -142,47 +163,118 @@ class _Block:
         return np.cumsum(edge)[:-1] > 0
 
 
-def _opened_leaves(payload) -> tuple[np.ndarray, ...]:
-    v = B.opened(payload)["v"].to_pylist()
-    prefix, size = np.frombuffer(v[0], np.uint64), np.frombuffer(v[1], np.uint16).astype(np.int64)
-    doc, start = np.cumsum(np.frombuffer(v[2], np.int64)), np.frombuffer(v[3], np.int64)
-    place = K.ragged(start, size)
-    return np.repeat(prefix, size), np.frombuffer(v[4], np.uint64), np.repeat(doc, size), place
-
-
-def _late(prefix, window, doc, start) -> np.ndarray:
-    """Leaves of the subtrees that have an earlier leaf on the same path."""
-    out = np.zeros(len(prefix), bool)
-    path = K.mix64(prefix ^ (window * np.uint64(0xFF51AFD7ED558CCD)))
-    order = np.argsort(path)
-    sorted_ = path[order]
-    same = sorted_[1:] == sorted_[:-1]
-    inner = np.zeros(len(path), bool)
-    inner[1:] |= same
-    inner[:-1] |= same
-    few = order[inner]  # leaves below a node at full depth
-    few = few[np.lexsort((start[few], doc[few], window[few], prefix[few]))]
-    if len(few):
-        new = np.ones(len(few), bool)
-        new[1:] = (prefix[few][1:] != prefix[few][:-1]) | (window[few][1:] != window[few][:-1])
-        head = few[np.flatnonzero(new)][np.cumsum(new) - 1]
-        out[few] = (doc[few] != doc[head]) | (start[few] != start[head])
-    return out
-
-
-def _answer(batches):
-    """Finds the repeats of a partition's prefix groups, one bucket at a time."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for block, bucket, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            held.setdefault(bucket, []).append((block, payload))
-    for bucket in sorted(held):
-        rows = held.pop(bucket)
-        leaves = [_opened_leaves(p) for _, p in rows]
-        late = _late(*(np.concatenate([x[i] for x in leaves]) for i in range(4)))
-        sizes = [len(x[0]) for x in leaves]
-        bits = [np.packbits(x).tobytes() for x in np.split(late, np.cumsum(sizes)[:-1])]
-        yield pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "payload": pa.array(bits, pa.binary())})
+def _among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+class Subtree:
+    """The deep part of the suffix trees of some runs of words (doc, start, n, text): the leaves that share
+    their first `width` words with others, sorted by these words, and the depth to which neighbours agree."""
+
+    def __init__(self, runs: pa.Table, width: int):
+        n = runs["n"].to_numpy().astype(np.int64)
+        doc, start = runs["doc"].to_numpy(), runs["start"].to_numpy()
+        hashes, windows, at, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for w in K.words(runs["text"].cast(pa.string()), K.BLANK_EXACT):
+            place = K.ragged(w.first[:-1].astype(np.int64), n[w.lo : w.hi])
+            windows.append(K.windows(w.hash, width)[place])
+            hashes.append(w.hash)
+            at.append(place + seen)
+            seen += len(w.hash)
+        hashes, window, at = np.concatenate(hashes), np.concatenate(windows), np.concatenate(at)
+        run = np.repeat(np.arange(len(n)), n)
+        offset = K.ragged(np.zeros(len(n), np.int64), n)
+        order = np.argsort(window)
+        same = window[order][1:] == window[order][:-1]
+        shared = np.zeros(len(order), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        leaf = order[shared]
+        words = hashes[at[leaf][:, None] + np.arange(width)]
+        self.doc, self.start = doc[run[leaf]], start[run[leaf]] + offset[leaf]
+        sort = np.lexsort((self.start, self.doc, *words.T[::-1]))
+        words = words[sort]
+        self.run, self.offset, self.doc, self.start = run[leaf][sort], offset[leaf][sort], self.doc[sort], self.start[sort]
+        agree = words[1:] == words[:-1]
+        self.common = np.where(agree.all(axis=1), width, agree.argmin(axis=1)) if len(words) > 1 else np.zeros(0, np.int64)
+        self.width = width
+
+    def late(self) -> np.ndarray:
+        """Which leaves have an earlier one below the same internal node of depth `width`."""
+        new = np.append(np.ones(min(1, len(self.doc)), bool), self.common < self.width)
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        return (self.doc != self.doc[head]) | (self.start != self.start[head])
+
+
+def _answer(width: int):
+    """Finds the late leaves of a partition's groups, in order of their labels."""
+
+    def settle(runs: pa.Table):
+        tree = Subtree(runs, width)
+        late = np.flatnonzero(tree.late())
+        run = tree.run[late]
+        block, place = runs["block"].to_numpy()[run], (runs["place"].to_numpy()[run] + tree.offset[late]).astype(np.uint32)
+        order = np.argsort(block, kind="stable")
+        parts = [p for p in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(p)]
+        asked = runs.filter(pa.array(runs["n"].to_numpy() == 0))["block"].to_pylist()
+        found = pa.RecordBatch.from_pydict({"block": pa.array([int(block[p[0]]) for p in parts] + asked, pa.int64()), "late": pa.array([place[p].tobytes() for p in parts] + [b""] * len(asked), pa.binary())})
+        gone = np.bincount(run, minlength=runs.num_rows)
+        return found, runs.filter(pa.array(gone < np.maximum(runs["n"].to_numpy(), 1)))
+
+    def run(batches):
+        held, size, most = [], 0, GROUP_BYTES
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label = batch.column(0).to_numpy()
+            if size >= GROUP_BYTES and held:
+                # What goes on in this batch: the last group, if it is one.
+                table = pa.Table.from_batches(held).combine_chunks()
+                own = table["label"].to_numpy() == label[0]
+                if not own.all():
+                    yield settle(table.filter(pa.array(~own)))[0]
+                    held = table.filter(pa.array(own)).to_batches()
+                    most = GROUP_BYTES
+                elif size >= most:
+                    found, left = settle(table)
+                    yield found
+                    held = left.to_batches()
+                    most = max(GROUP_BYTES, 2 * left.nbytes)  # different windows stay
+                size = sum(b.nbytes for b in held)
+                release_memory()
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield settle(pa.Table.from_batches(held).combine_chunks())[0]
+            release_memory()
+
+    return run
+
+
+def _large(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The groups whose suffixes are more than a task should hold at once, by level; there are at most
+    as many as the corpus has times GROUP_BYTES, and none in a small one."""
+    total = (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) * 4  # bytes of runs, about
+    most = min(GROUP_BYTES, max(total // partitions(docs.sparkSession), 1 << 18))
+    none = np.zeros(0, np.uint64)
+    if total <= most:
+        return none, none
+    one_in = int(np.clip(total // SAMPLE_BYTES, SAMPLED, 4096))
+    some = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(one_in)) == 0).select(id_col, text_col)
+
+    def count(batches):
+        for table in B.packed(batches, BLOCK_BYTES):
+            block = _Block(table, id_col, text_col, width, gram)
+            for level, labels in enumerate((block.smallest[block.open], block.up_to_smallest(block.open) if len(block.open) else none)):
+                label, n = np.unique(labels, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(label), level), pa.int32()), pa.array(label.view(np.int64)), pa.array(n, pa.int64())], names=["level", "label", "n"])
+
+    sums = some.mapInArrow(count, "level int, label long, n long").groupBy("level", "label").agg(F.sum("n").alias("n"))
+    size = F.col("n") * one_in * F.when(F.col("level") == 0, _IN_RUN).otherwise(_ALONE)
+    found = sums.where(size > most).select("level", "label").collect()
+    return tuple(np.sort(np.array([r["label"] for r in found if r["level"] == level], np.int64).view(np.uint64)) for level in (0, 1))
 
 
 def _joined(w: K.Words, keep: np.ndarray) -> list[bytes]:
@@ -207,36 +299,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     prepare(spark)
-    n = partitions(spark)
     own = ["n_words", "n_removed", "kept_sha256", "repeats"]
     docs = docs.drop(*[c for c in own if c in docs.columns])
+    large = spark.sparkContext.broadcast(_large(docs, id_col, text_col, width, gram))
     rows = B.pack(docs, id_col, BLOCK_BYTES)
 
     def ask(batches):
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tree = _Block(B.opened(payload.as_buffer()), id_col, text_col, width, gram)
-                for bucket, part in tree.leaves(n):
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "payload": pa.array([tree.payload(part)], pa.binary())})
-                del tree
+                yield _Block(B.opened(payload.as_buffer()), id_col, text_col, width, gram, spelled=True).runs(block, large.value)
                 release_memory()
 
-    answers = rows.mapInArrow(ask, _LEAVES).repartitionById(n, F.col("bucket")).mapInArrow(_answer, _LEAVES)
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
+    runs = rows.mapInArrow(ask, _RUNS).repartition(partitions(spark), "label").sortWithinPartitions("label")
+    answers = runs.mapInArrow(_answer(width), _ANSWERS).groupBy("block").agg(F.collect_list("late").alias("late"))
     out_schema = T.StructType([f for f in docs.schema.fields if with_text or f.name != text_col] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     if with_spans:
         out_schema.add("repeats", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType())])))
 
     def clean(batches):
         for batch in batches:
-            for payload, got in zip(batch.column("payload"), batch.column("answers").to_pylist()):
+            for block, payload, late in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("late").to_pylist()):
+                if late is None:
+                    raise B.unanswered(block)
                 tree = _Block(B.opened(payload.as_buffer()), id_col, text_col, width, gram)
-                covered = tree.covered({a["bucket"]: a["payload"] for a in got or []}, n)
-                yield from _cleaned(tree, covered, text_col, with_text, with_spans)
-                del tree, covered
+                yield from _cleaned(tree, tree.covered(late), text_col, with_text, with_spans)
+                del tree
                 release_memory()
 
-    return rows.join(answers, "block", "left").select("payload", "answers").mapInArrow(clean, out_schema)
+    return rows.join(answers, "block", "left").select("block", "payload", "late").mapInArrow(clean, out_schema)
 
 
 def _cleaned(tree: _Block, covered: np.ndarray, text_col: str, with_text: bool, with_spans: bool):

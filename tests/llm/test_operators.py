@@ -112,12 +112,18 @@ def test_substring(docs, rows):
     assert got == want
 
 
-def test_substring_ships_whole_window_hashes():
+def test_substring_ships_the_words_of_every_open_window():
     text = " ".join(f"w{i * i % 97}" for i in range(200))
-    block = substring._Block(pa.table({"doc_id": [1, 2], "text": [text, "x " + text[50:]]}), "doc_id", "text", 20, 8)
-    for _, part in block.leaves(4):
-        window = substring._opened_leaves(block.payload(part))[1]
-        assert len(window) and (window == block.window[block.open[block.shipped(part)]]).all()
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    block = substring._Block(pa.table({"doc_id": [1, 2], "text": [text, "x\n" + text[50:]]}), "doc_id", "text", 20, 5, spelled=True)
+    runs = block.runs(77, none).to_pylist()
+    assert runs.pop() == {"label": 77, "block": 77, "place": 0, "n": 0, "doc": 0, "start": 0, "text": b""}
+    words = {1: text.split(), 2: ["x", *text[50:].split()]}
+    seen = []
+    for r in runs:
+        assert r["text"].decode().split(" ") == words[r["doc"]][r["start"] : r["start"] + r["n"] + 19]
+        seen += [(r["doc"], r["start"] + i) for i in range(r["n"])]
+    assert seen == list(zip(block.doc[block.open].tolist(), block.start[block.open].tolist()))
 
 
 def test_decontamination(spark, docs, rows):
