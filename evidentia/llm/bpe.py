@@ -1,13 +1,14 @@
 """Byte-level BPE over a corpus: every different word is encoded once, globally.
 
 Texts are packed into blocks and split into pre-tokens; a pre-token's position is its
-place in its block. The distinct words of every block are shuffled by hash, so equal
-words of all blocks meet in one task, which encodes each once. Their ids go back to
-the blocks that asked, joined by block, and are set in by position. Decoding joins
-ids to the token-byte table, which has one entry per id of the vocabulary.
+place in its block. The distinct words of every block are shuffled as rows by word and sorted, so equal
+words of all blocks follow each other in one task, which encodes each once and holds one at a time; a word has one row a
+block at most, however common it is. Ids go back to the blocks that asked, joined by block, and are set in by
+position. Decoding joins ids to the token-byte table, which has one entry per id of the vocabulary.
 
 Defined results: null and empty texts have no ids and decode to no bytes. Columns of
-the input with a name that the operator returns are replaced.
+the input with a name that the operator returns are replaced. Repeated rows get equal results,
+a null id is an id like others, empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +29,8 @@ from evidentia.llm import blocks as B
 from evidentia.llm import kernel as K
 from evidentia.llm.storage import partitions, prepare
 
-_WORDS = "block long, bucket int, payload binary"
+_WORDS = "word string, block long, place int"
+_IDS = "block long, place int, ids binary"
 
 
 @functools.lru_cache(maxsize=4)
@@ -50,10 +53,30 @@ def _piece_encoder(ranks: bytes):
     return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=rank_table(ranks), special_tokens={}).encode_ordinary
 
 
+class TokenBytes:
+    """The token-byte table as arrays: the bytes of id i are flat[start[i] : start[i] + size[i]]."""
+
+    def __init__(self, ranks: bytes):
+        table = byte_table(ranks)
+        self.size = np.full(max(table) + 1, -1, np.int64)
+        for i, token in table.items():
+            self.size[i] = len(token)
+        self.start = np.cumsum(np.maximum(self.size, 0)) - np.maximum(self.size, 0)
+        self.flat = np.frombuffer(b"".join(table[i] for i in sorted(table)), np.uint8)
+
+    def joined(self, ids: np.ndarray, upto: np.ndarray) -> list[bytes]:
+        """The bytes of the ids from each place in upto to the next."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or (self.size[ids] < 0).any()):
+            raise ValueError("an id is not of the vocabulary")
+        whole = self.flat[K.ragged(self.start[ids], self.size[ids])].tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.size[ids])])[upto].tolist()
+        return [whole[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 class _Words:
-    """The distinct pre-tokens of a block, dealt over buckets, and every text's positions."""
+    """The distinct pre-tokens of a block and, for every text, which of them stand where."""
 
-    def __init__(self, table: pa.Table, text_col: str, buckets: int, spelled: bool):
+    def __init__(self, table: pa.Table, text_col: str, spelled: bool):
         hashes, self.parts, seen, held = [], [], 0, []
         for p in K.pretokens(table[text_col]):
             hashes.append(p.hash)
@@ -71,85 +94,78 @@ class _Words:
             mine = at[np.searchsorted(at, before) : np.searchsorted(at, before + len(p.hash))] - before
             self.words += [p.text[a:b] for a, b in zip(p.start[mine].tolist(), p.end[mine].tolist())]
             before += len(p.hash)
-        bucket = (K.mix64(keys[at]) % np.uint64(buckets)).astype(np.int64)
-        # Within a bucket in the order of the hashes, which both readings share.
-        order = np.lexsort((keys[at], bucket))
-        self.buckets = {int(bucket[part[0]]): part for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(part)}
 
 
-def _ask(text_col: str, buckets: int):
+def _ask(text_col: str):
+    """The distinct words of every block."""
+
     def run(batches):
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                w = _Words(B.opened(payload.as_buffer()), text_col, buckets, True)
-                for bucket, part in w.buckets.items():
-                    table = pa.table({"w": pa.array([w.words[i] for i in part.tolist()], pa.string())})
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "payload": pa.array([B.packed_table(table)], pa.binary())})
+                w = _Words(B.opened(payload.as_buffer()), text_col, True)
+                yield pa.RecordBatch.from_arrays([pa.array(w.words, pa.string()), pa.array(np.full(w.n, block)), pa.array(np.arange(w.n, dtype=np.int32))], names=["word", "block", "place"])
 
     return run
 
 
 def _encode_words(ranks):
-    """Encodes each distinct word of a partition once, and answers every block."""
+    """Encodes each distinct word of a partition, whose rows are sorted by word, once."""
 
     def run(batches):
         encode = _piece_encoder(ranks.value)
-        known: dict[str, list[int]] = {}
+        last, ids = None, b""
         for batch in batches:
-            for block, bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                words = B.opened(payload.as_buffer())["w"].to_pylist()
-                ids = []
-                for w in words:
-                    got = known.get(w)
-                    if got is None:
-                        got = known[w] = encode(w)
-                    ids.append(got)
-                sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
-                flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-                table = pa.table({"v": pa.array([sizes.tobytes(), flat.tobytes()], pa.binary())})
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "payload": pa.array([B.packed_table(table)], pa.binary())})
+            n = batch.num_rows
+            if not n:
+                continue
+            words = batch.column(0)
+            new = np.ones(n, bool)
+            new[1:] = pc.not_equal(words.slice(1), words.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            each = []
+            for w in words.filter(pa.array(new)).to_pylist():
+                if w != last:
+                    last, ids = w, np.array(encode(w), np.int32).tobytes()
+                each.append(ids)
+            rows = pa.array(each, pa.binary()).take(pa.array(np.cumsum(new) - 1))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), rows], names=["block", "place", "ids"])
 
     return run
 
 
-def _assemble(text_col: str, buckets: int, ranks, names: list[str], with_ids: bool):
+def _assemble(text_col: str, ranks, names: list[str], with_ids: bool):
     """Sets each block's ids in by position."""
 
     def run(batches):
-        table_of = byte_table(ranks.value)
-        spelled = [b""] * (max(table_of) + 1)
-        for i, token in table_of.items():
-            spelled[i] = token
-        decimal = [str(i).encode() for i in range(len(spelled))]
+        table_of = TokenBytes(ranks.value)
+        decimal = [str(i).encode() for i in range(len(table_of.size))]
         for batch in batches:
-            for payload, got in zip(batch.column("payload"), batch.column("answers").to_pylist()):
+            answers = batch.column("answers")
+            for k, (block, payload) in enumerate(zip(batch.column("block").to_pylist(), batch.column("payload"))):
                 table = B.opened(payload.as_buffer())
-                w = _Words(table, text_col, buckets, False)
-                size, start, flats, base = np.zeros(w.n, np.int64), np.zeros(w.n, np.int64), [], 0
-                for a in got or []:
-                    sizes, flat = B.opened(a["payload"])["v"].to_pylist()
-                    sizes, flat = np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(flat, np.uint32)
-                    part = w.buckets[a["bucket"]]
-                    if len(part) != len(sizes):
-                        raise ValueError("a block was packed differently when it was read again")
-                    size[part] = sizes
-                    start[part] = base + np.cumsum(sizes) - sizes
-                    base += len(flat)
-                    flats.append(flat)
-                flat = np.concatenate(flats).astype(np.int32) if flats else np.zeros(0, np.int32)
+                w = _Words(table, text_col, False)
+                size, start, flat = np.zeros(w.n, np.int64), np.zeros(w.n, np.int64), np.zeros(0, np.int32)
+                got = answers.slice(k, 1).flatten()  # (place, ids) of this block
+                if len(got) < w.n:
+                    raise B.unanswered(block)
+                if w.n:
+                    place, ids = got.flatten()
+                    place = place.to_numpy()
+                    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 4
+                    flat = np.frombuffer(ids.buffers()[2], np.int32, int(ends[-1]))
+                    size[place], start[place] = np.diff(ends), ends[:-1]
                 for lo, hi, first in w.parts:
                     word = w.position[first[0] : first[-1]]
                     ids = flat[K.ragged(start[word], size[word])]
                     upto = np.concatenate([[0], np.cumsum(size[word])])[first - first[0]].astype(np.int64)
-                    yield from _finished(table.slice(lo, hi - lo), ids, upto, spelled, decimal, names, with_ids)
+                    yield from _finished(table.slice(lo, hi - lo), ids, upto, table_of, decimal, names, with_ids)
 
     return run
 
 
-def _finished(part: pa.Table, ids: np.ndarray, upto: np.ndarray, spelled: list, decimal: list, names: list[str], with_ids: bool):
+def _finished(part: pa.Table, ids: np.ndarray, upto: np.ndarray, table_of: TokenBytes, decimal: list, names: list[str], with_ids: bool):
     spans, each = list(zip(upto[:-1].tolist(), upto[1:].tolist())), ids.tolist()
     one = [hashlib.sha256(b" ".join([decimal[i] for i in each[a:b]])).hexdigest() for a, b in spans]
-    two = [hashlib.sha256(b"".join([spelled[i] for i in each[a:b]])).hexdigest() for a, b in spans]
+    two = [hashlib.sha256(x).hexdigest() for x in table_of.joined(ids, upto)]
     part = part.append_column("n_tokens", pa.array(np.diff(upto), pa.int64())).append_column("ids_sha256", pa.array(one, pa.string())).append_column("decoded_sha256", pa.array(two, pa.string()))
     if with_ids:
         part = part.append_column("ids", pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32())))
@@ -165,21 +181,14 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     prepare(spark)
-    n = partitions(spark)
     own = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} | ({"ids": T.ArrayType(T.IntegerType())} if with_ids else {})
     docs = docs.drop(*[c for c in own if c in docs.columns])
     schema = T.StructType([f for f in docs.schema.fields if f.name != text_col] + [T.StructField(k, v) for k, v in own.items()])
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))  # a fixed vocabulary
     rows = B.pack(docs, id_col)
-    asked = rows.mapInArrow(_ask(text_col, n), _WORDS).repartitionById(n, F.col("bucket"))
-    answers = asked.mapInArrow(_encode_words(ranks), _WORDS).groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
-    return rows.join(answers, "block", "left").select("payload", "answers").mapInArrow(_assemble(text_col, n, ranks, schema.names, with_ids), schema)
-
-
-def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:
-    """The token-byte table: (id, bytes), one row per id of the vocabulary."""
-    rows = sorted((i, bytearray(t)) for t, i in rank_table(read_ranks(ranks_path)).items())
-    return spark.createDataFrame(rows, "id int, bytes binary")
+    asked = rows.mapInArrow(_ask(text_col), _WORDS).repartition(partitions(spark), "word").sortWithinPartitions("word")
+    answers = asked.mapInArrow(_encode_words(ranks), _IDS).groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("answers"))
+    return rows.join(answers, "block", "left").select("block", "payload", "answers").mapInArrow(_assemble(text_col, ranks, schema.names, with_ids), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -190,10 +199,12 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):
-        table = byte_table(ranks.value)
+        table = TokenBytes(ranks.value)
         for batch in batches:
-            out = [b"".join([table[i] for i in x or []]) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "bytes"])
+            lists = pc.fill_null(batch.column(1), [])
+            ids = np.asarray(lists.flatten()).astype(np.int64)
+            upto = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(table.joined(ids, upto), pa.binary())], names=[id_col, "bytes"])
 
     schema = T.StructType([encoded.schema[id_col], T.StructField("bytes", T.BinaryType())])
     return encoded.select(id_col, ids_col).mapInArrow(run, schema)
