@@ -1,21 +1,22 @@
 """Benchmark decontamination: verbatim benchmark passages in training documents.
 
 Training suffix arrays. Each slice of documents is a shard. The shard's suffixes are
-its word positions; those that leave the benchmark's vocabulary of short word
+its word positions; those that leave the benchmark's short word
 sequences before a window's length can hold no match and are left out. The rest are sorted by
 their words up to the window's length, and every test suffix (each window of each
-benchmark item) is binary-searched in that array; the range found gives all its
-locations, and neighbouring locations on one diagonal merge into the longest
-verbatim matches. Nothing is shuffled: documents are read once where they lie.
+benchmark item, unless the shard lacks its first words) is binary-searched in that array; the range found gives all its
+locations, and neighbouring locations on one diagonal (the same place further on in text and
+item) make up the longest verbatim matches: one of m words shows as m - width + 1 windows. Nothing is
+shuffled: documents are read once where they lie.
 
-The benchmark goes to the executors in blocks of at most about BLOCK_BYTES of text, of
-which a worker holds one at a time; GROUP blocks make one pass, and a larger
-benchmark makes further passes that hand on what was found.
+A benchmark of at most BLOCK_BYTES of text goes to the executors at once, and a task indexes it once. A larger one
+goes block by block, one at a time: a sieve of all its short sequences (a bitmap of at most 2**SIEVE bits)
+first finds the documents that can hold any window; only these are written and searched for each block.
 
 Defined results: null and wordless texts have no words, no hits and are clean. Null and
 wordless items have no windows, items without id are not looked for, and items
-with one id count once. Words compare by 64-bit hashes. Columns of the input with
-a name that the operator returns are replaced.
+with one id count once. Words compare by 64-bit hashes. Repeated rows get equal results, empty tables stay
+empty. Columns of the input with a name that the operator returns are replaced.
 """
 
 from __future__ import annotations
@@ -30,53 +31,64 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.llm import kernel as K
-from evidentia.llm.storage import prepare
+from evidentia.llm.storage import drop, prepare, written
 
 WIDTH = 10
 BLOCK_BYTES = 8 << 20
-GROUP = 32
 SHARD_BYTES = 4 << 20
+SIEVE = 30
 _BLOOM = 22
-_FOUND = "_found"
+_FOUND, _MAYBE = "_found", "_maybe"
+
+
+def _sequences(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of some texts, and where each text's begin."""
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for w in K.words(texts, K.ALNUM_LOWER):
+        hashes.append(w.hash)
+        counts.append(np.diff(w.first))
+    return np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
 
 
 class TestIndex:
     """The windows of some benchmark items, ready to be searched for."""
 
     def __init__(self, ids: list[str], texts: list[str], width: int):
-        self.width = width
-        self.ids = ids
-        rows = []  # item, start in the item, words
-        for w in K.words(pa.array(texts, pa.string()), K.ALNUM_LOWER):
-            for k in range(w.hi - w.lo):
-                h = w.hash[w.first[k] : w.first[k + 1]]
-                depth = min(width, len(h))
-                rows += [(w.lo + k, at, h[at : at + depth]) for at in range(len(h) - depth + 1)] if depth else []
-        self.vocabulary = np.unique(np.concatenate([r[2] for r in rows])) if rows else np.zeros(0, np.uint64)
-        depths = np.array([len(r[2]) for r in rows], np.int64)
-        self.least = int(depths.min()) if rows else 0
+        self.width, self.ids = width, ids
+        self.hashes, first = _sequences(pa.array(texts, pa.string()))
+        n = np.diff(first)
+        depth = np.minimum(n, width)
+        count = np.where(n > 0, n - depth + 1, 0)
+        self.vocabulary = np.unique(self.hashes)
+        at, item = K.ragged(first[:-1], count), np.repeat(np.arange(len(n)), count)
+        depth = depth[item]
+        self.least = int(depth.min(initial=width)) if len(at) else 0
         self.gram = min(3, self.least)
-        keys = np.zeros((len(rows), width), ">u4")
-        for i, (_, _, h) in enumerate(rows):
-            keys[i, : len(h)] = self.rank(h)
+        if not len(at):
+            return
+        key = np.zeros(len(at), np.uint64)
+        for d in np.unique(depth).tolist():
+            own = depth == d
+            key[own] = K.mix64(K.windows(self.hashes, d)[at[own]] + np.uint64(d))
         # Equal windows are searched for once; owners says whose they are.
-        flat = keys.reshape(len(rows), -1).view(f"V{4 * width}").reshape(-1) if rows else np.zeros(0, f"V{4 * width}")
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(key, kind="stable")
         new = np.ones(len(order), bool)
-        new[1:] = flat[order][1:] != flat[order][:-1]
+        new[1:] = key[order][1:] != key[order][:-1]
         head = np.flatnonzero(new)
-        self.low = np.ascontiguousarray(keys[order[head]])
-        self.depth = depths[order[head]]
-        self.high = self.low.copy()
-        self.high[np.arange(width) >= self.depth[:, None]] = 0xFFFFFFFF
+        self.at, self.depth = at[order[head]], depth[order[head]]
         self.owner_at = np.append(head, len(order)).astype(np.int64)
-        self.owner_item = np.array([rows[i][0] for i in order], np.int64)
-        self.owner_start = np.array([rows[i][1] for i in order], np.int64)
+        self.owner_item, self.owner_start = item[order], (at - first[item])[order]
+        grams = K.windows(self.hashes, self.gram)
+        self.begins = grams[self.at]
         self.bloom = np.zeros(1 << _BLOOM, bool)
-        for _, _, h in rows:
-            self.bloom[K.windows(h, self.gram) >> np.uint64(64 - _BLOOM)] = True
-        self.words = np.zeros(1 << _BLOOM, bool)
-        self.words[self.vocabulary >> np.uint64(64 - _BLOOM)] = True
+        self.bloom[grams[K.ragged(first[:-1], np.maximum(n - self.gram + 1, 0))] >> np.uint64(64 - _BLOOM)] = True
+
+    def bounds(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest key of the suffixes that begin with each of these windows."""
+        index = np.minimum(self.at[some][:, None] + np.arange(self.width), len(self.hashes) - 1)
+        low = self.rank(self.hashes[index.reshape(-1)]).reshape(index.shape)
+        beyond = np.arange(self.width) >= self.depth[some][:, None]
+        return tuple(np.ascontiguousarray(np.where(beyond, np.uint32(fill), low).astype(">u4")).view(f"S{4 * self.width}").reshape(-1) for fill in (0, 0xFFFFFFFF))
 
     def rank(self, hashes: np.ndarray) -> np.ndarray:
         """1 + the place in the vocabulary, 0 outside it."""
@@ -92,20 +104,12 @@ class TestIndex:
         if not self.least or n < self.least:
             return none, none
         grams = K.windows(w.hash, self.gram)
-        inside = np.zeros(n, bool)
-        inside[: len(grams)] = self.bloom[grams >> np.uint64(64 - _BLOOM)]
-        stop = w.first[1:]  # sequences do not cross the end of a text
-        for back in range(1, self.gram):
-            at = stop - back
-            inside[at[at >= np.repeat(w.first[:-1], 1)]] = False
-        # How many sequences in a row from each position are the benchmark's?
-        out = np.flatnonzero(~inside)
-        reach = np.append(out, n)[np.searchsorted(out, np.arange(n))] - np.arange(n)
-        text = np.searchsorted(w.first, np.arange(n), side="right") - 1
-        room = w.first[text + 1] - np.arange(n)
-        suffix = np.flatnonzero((np.minimum(reach + self.gram - 1, room) >= self.least) & inside)
+        suffix, room = _candidates(w, self.gram, self.least, self.bloom[grams >> np.uint64(64 - _BLOOM)])
         if not len(suffix):
             return none, none
+        here = np.zeros(1 << 18, bool)
+        here[grams[suffix] >> np.uint64(64 - 18)] = True
+        window = np.flatnonzero(here[self.begins >> np.uint64(64 - 18)])
         steps = np.arange(self.width)
         index = np.minimum(suffix[:, None] + steps, n - 1)
         used = np.unique(index)
@@ -116,10 +120,26 @@ class TestIndex:
         flat = np.ascontiguousarray(key).view(f"S{4 * self.width}").reshape(-1)
         order = np.argsort(flat, kind="stable")
         array = flat[order]
-        lo = np.searchsorted(array, self.low.view(f"S{4 * self.width}").reshape(-1), side="left")
-        hi = np.searchsorted(array, self.high.view(f"S{4 * self.width}").reshape(-1), side="right")
+        low, high = self.bounds(window)
+        lo = np.searchsorted(array, low, side="left")
+        hi = np.searchsorted(array, high, side="right")
         count = np.maximum(hi - lo, 0)
-        return np.repeat(np.arange(len(lo)), count), suffix[order[K.ragged(lo, count)]]
+        return np.repeat(window, count), suffix[order[K.ragged(lo, count)]]
+
+
+def _candidates(w: K.Words, gram: int, least: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes whose first `least` words hold only known sequences of `gram` words, and how many words every position has left."""
+    n = len(w.hash)
+    inside = np.zeros(n, bool)
+    inside[: len(known)] = known
+    here = np.arange(n)
+    text = np.searchsorted(w.first, here, side="right") - 1
+    room = w.first[text + 1] - here
+    inside &= room >= gram  # sequences do not cross the end of a text
+    # How many sequences in a row from each position are the benchmark's?
+    out = np.flatnonzero(~inside)
+    reach = np.append(out, n)[np.searchsorted(out, here)] - here
+    return np.flatnonzero((np.minimum(reach + gram - 1, room) >= least) & inside), room
 
 
 def _longest(index: TestIndex, window: np.ndarray, place: np.ndarray) -> list[dict]:
@@ -144,22 +164,20 @@ _MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.S
 _OWN = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
 
 
-def _search(blocks, text_col: str, width: int, out_names: list[str], last: bool, with_matches: bool):
-    """A pass over some blocks; `_found` holds hit spans, items and matches so far."""
+def _search(block, text_col: str, width: int, out_names: list[str], last: bool, with_matches: bool):
+    """A pass for one block; `_found` holds hit spans, items and matches so far."""
 
     def run(batches):
-        held = None
+        index = None
         for batch in batches:
+            if index is None:
+                index = TestIndex(*block.value, width)
             table = pa.Table.from_batches([batch])
             n = table.num_rows
             before = table[_FOUND].to_pylist() if _FOUND in table.column_names else [None] * n
             found = [json.loads(x) if x else [[], [], []] for x in before]
             counts = [0] * n
-            for number, block in enumerate(blocks):
-                if held is None or held[0] != number:
-                    held = (number, TestIndex(*block.value, width))
-                    vars(block).pop("_value", None)  # one block in memory at a time
-                _apply(held[1], table[text_col], found, counts, with_matches)
+            _apply(index, table[text_col], found, counts, with_matches)
             if last:
                 yield from _digest(table, found, counts, out_names, with_matches)
             else:
@@ -170,6 +188,61 @@ def _search(blocks, text_col: str, width: int, out_names: list[str], last: bool,
     return run
 
 
+def _shortest(items: DataFrame, width: int) -> int:
+    """The length of the shortest window."""
+
+    def run(batches):
+        for batch in batches:
+            n = np.diff(_sequences(batch.column(0))[1])
+            yield pa.RecordBatch.from_pydict({"n": pa.array(n[n > 0], pa.int64())})
+
+    return min(width, items.select("t").mapInArrow(run, "n long").agg(F.min("n")).first()[0] or 0)
+
+
+def _sieve(items: DataFrame, gram: int, bits: int) -> np.ndarray:
+    """A bitmap of the hashes of all sequences of `gram` words of the items."""
+    piece = 1 << 20
+
+    def mark(batches):
+        out = np.zeros(1 << (bits - 3), np.uint8)
+        for batch in batches:
+            hashes, first = _sequences(batch.column(0))
+            at = K.windows(hashes, gram)[K.ragged(first[:-1], np.maximum(np.diff(first) - gram + 1, 0))] >> np.uint64(64 - bits)
+            np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+        for i in range(0, len(out), piece):
+            if out[i : i + piece].any():
+                yield pa.RecordBatch.from_pydict({"i": pa.array([i // piece], pa.int32()), "bits": pa.array([out[i : i + piece].tobytes()], pa.binary())})
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[i] = held.get(i, 0) | np.frombuffer(raw, np.uint8)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(list(held), pa.int32()), "bits": pa.array([v.tobytes() for v in held.values()], pa.binary())})
+
+    spread = items.select("t").repartition(8).mapInArrow(mark, "i int, bits binary").repartition(8, "i").mapInArrow(merge, "i int, bits binary")
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for i, raw in spread.collect():  # a bitmap of a set size
+        out[i * piece : i * piece + len(raw)] = np.frombuffer(raw, np.uint8)
+    return out
+
+
+def _sift(sieve, gram: int, least: int, bits: int, text_col: str, names: list[str]):
+    """Adds _maybe, whether a text can hold a window."""
+
+    def run(batches):
+        for batch in batches:
+            maybe = np.zeros(batch.num_rows, bool)
+            for w in K.words(batch.column(text_col), K.ALNUM_LOWER, SHARD_BYTES):
+                at = K.windows(w.hash, gram) >> np.uint64(64 - bits)
+                known = (sieve.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+                some = _candidates(w, gram, least, known.astype(bool))[0]
+                maybe[w.lo + np.searchsorted(w.first, some, side="right") - 1] = True
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], names=names)
+
+    return run
+
+
 def _apply(index: TestIndex, texts, found: list, counts: list[int], with_matches: bool) -> None:
     for w in K.words(texts, K.ALNUM_LOWER, SHARD_BYTES):
         counts[w.lo : w.hi] = np.diff(w.first).tolist()
@@ -220,23 +293,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     spark = docs.sparkSession
     prepare(spark)
-    own = [f.name for f in _OWN.fields] + ["matches", _FOUND]
+    own = [f.name for f in _OWN.fields] + ["matches", _FOUND, _MAYBE]
     docs = docs.drop(*[c for c in own if c in docs.columns])
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).where("i is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
-    blocks = []
+    final = T.StructType([f for f in docs.schema.fields if with_text or f.name != text_col] + _OWN.fields)
+    if with_matches:
+        final.add("matches", _MATCH)
+
+    def block(k: int):
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).toArrow()  # about BLOCK_BYTES
+        return spark.sparkContext.broadcast((part["i"].to_pylist(), part["t"].to_pylist()))
+
+    if n == 1:
+        return docs.mapInArrow(_search(block(0), text_col, width, final.names, True, with_matches), final)
+    least = _shortest(items, width)
+    gram, bits = min(3, least), int(np.clip(np.ceil(np.log2(size * 2)), _BLOOM, SIEVE))
+    marked = T.StructType([*docs.schema.fields, T.StructField(_MAYBE, T.BooleanType())])
+    sieve = spark.sparkContext.broadcast(_sieve(items, gram, bits) if least else np.zeros(1 << (bits - 3), np.uint8))
+    sifted = docs.mapInArrow(_sift(sieve, max(gram, 1), max(least, 1), bits, text_col, marked.names), marked)
+    rest = written(sifted.where(_MAYBE).drop(_MAYBE), "candidates")
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).toArrow()
-        blocks.append(spark.sparkContext.broadcast((part["i"].to_pylist(), part["t"].to_pylist())))
-    for at in range(0, n, GROUP):
-        last = at + GROUP >= n
-        schema = T.StructType([f for f in docs.schema.fields if f.name != _FOUND and (not last or with_text or f.name != text_col)])
-        schema = T.StructType(schema.fields + (_OWN.fields if last else [T.StructField(_FOUND, T.StringType())]))
-        if last and with_matches:
-            schema.add("matches", _MATCH)
-        docs = docs.mapInArrow(_search(blocks[at : at + GROUP], text_col, width, schema.names, last, with_matches), schema)
-    return docs
+        last = k == n - 1
+        schema = final if last else T.StructType([*docs.schema.fields, T.StructField(_FOUND, T.StringType())])
+        held = block(k)
+        found = written(rest.mapInArrow(_search(held, text_col, width, schema.names, last, with_matches), schema), "found")
+        held.unpersist()
+        drop(rest)
+        rest = found
+    nothing = spark.sparkContext.broadcast(([], []))
+    clean = sifted.where(~F.col(_MAYBE)).drop(_MAYBE).mapInArrow(_search(nothing, text_col, width, final.names, True, with_matches), final)
+    return rest.union(clean)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
