@@ -43,6 +43,8 @@ BINS, BITS, SIGMAS = 1024, 2048, 6
 CLOSEST = 4
 CELL = 1024
 CARRIED = 4096
+#: A band's members are spread over so many shares before they are joined to what is known of the band.
+SHARES = 64
 _SIGNATURE = "id long, n_shingles long, k1 long, k2 long, keys array<long>, n_bins int, sketch array<long>"
 
 
@@ -339,9 +341,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = _placed(members.select("key", "id"), links)
 
     def across(placed: DataFrame, carried: DataFrame | None = None, closest: int = 0) -> DataFrame:
-        cells = placed.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
-        part = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
-        dealt = placed.join(cells, "key").select("key", "id", "component", part.alias("side"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+        # Only bands of several cells are looked up, by shares of their members, so that no task gets a whole band.
+        share = F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int").alias("share")
+        counts = placed.groupBy("key", share).agg(F.count("*").alias("m")).groupBy("key").agg(F.ceil(F.sum("m") / CELL).cast("int").alias("n"))
+        large = counts.where("n > 1").select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+        n = F.coalesce("n", F.lit(1))
+        part = F.pmod(F.xxhash64("id", F.lit("cell")), n).cast("int")
+        dealt = placed.withColumn("share", share).join(large, ["key", "share"], "left").select("key", "id", "component", part.alias("side"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
         dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "component").join(carried or reps, "id")
         dealt = dealt.repartition(partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
         return written(dealt.mapInArrow(_cells(percent, closest), "a long, b long, sure boolean"), "across")
