@@ -8,9 +8,10 @@ of words). Where such a group is larger than a group may be, its prefixes grow:
 end of that sequence, and then to all `width` words. Which groups are that large is
 counted on a sample of the documents, as sizes decide nothing but where a suffix goes.
 
-A task takes its groups in order, as many at a time as GROUP_BYTES of text hold. Suffixes
-that share their `width` words with no other in there can lie below no node of that depth and are left out;
-the rest are sorted by their words. The common prefixes of neighbours give the subtree: every
+A suffix that shares its `width` words with no other can lie below no node of that depth. So suffixes first meet in
+their groups as prints (32 bits of a hash of these words, besides the group's), and only those that find
+an equal one come back with their words. A task takes its groups in order, as many at a time as GROUP_BYTES hold, and sorts the suffixes
+by their words. The common prefixes of neighbours give the subtrees: every
 internal node of depth `width` is a repeat, its smallest leaf the first occurrence, and
 unions of the other leaves that stand next to each other are the maximal repeated spans. Should one group still be larger
 than GROUP_BYTES (one window in very many blocks), it is reduced as it comes: a leaf with an earlier
@@ -45,10 +46,11 @@ BLOCK_BYTES = 4 << 20
 GROUP_BYTES = 8 << 20
 WIDTH = 20
 GRAM = 5
-#: About how many bytes of text a suffix takes in a run, and on its own.
+#: About how many bytes a suffix takes with its neighbours, and on its own.
 _IN_RUN, _ALONE = 20, 130
-#: One in so many documents is counted at least; a larger share of small tables.
-SAMPLED, SAMPLE_BYTES = 16, 1 << 30
+#: One in so many documents is counted, and fewer where that were more than SAMPLE_BYTES of them.
+SAMPLED, SAMPLE_BYTES = 64, 1 << 30
+_PRINTS = "label long, block long, place int, prints binary"
 _RUNS = "label long, block long, place int, n int, doc long, start long, text binary"
 _ANSWERS = "block long, late binary"
 
@@ -135,18 +137,33 @@ class _Block:
             out[grown[whole]] = K.mix64(self.window[self.open[grown[whole]]] + np.uint64(2))
         return out
 
-    def runs(self, block: int, large: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        """The open suffixes, neighbours of one group as one run of words; a row without words says that the block was asked about."""
-        o = self.open
-        label = self.labels(large)
-        broken = np.ones(len(o), bool)
-        broken[1:] = (label[1:] != label[:-1]) | (self.at[o][1:] != self.at[o][:-1] + 1) | (self.start[o][1:] == 0)
+    def _cut(self, label: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of neighbours of one group begin among some of the open suffixes, and how long they are."""
+        at = self.at[self.open[some]]
+        broken = np.ones(len(some), bool)
+        broken[1:] = (label[1:] != label[:-1]) | (at[1:] != at[:-1] + 1) | (self.start[self.open[some]][1:] == 0)
         run = np.flatnonzero(broken)
-        n = np.diff(np.append(run, len(o)))
-        lo, hi = self.at_byte[self.at[o[run]]], self.at_byte[self.at[o[run]] + n + self.width - 1] - 1
+        return run, np.diff(np.append(run, len(some)))
+
+    def prints(self, block: int, large: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        """The open suffixes as prints, in runs; a row without any says that the block was asked about."""
+        label = self.labels(large)
+        run, n = self._cut(label, np.arange(len(self.open)))
+        ends = np.concatenate([[0], np.cumsum(n), [n.sum()]]) * 4
+        flat = self.window[self.open].astype(np.uint32)
+        prints = pa.Array.from_buffers(pa.binary(), len(run) + 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+        return pa.RecordBatch.from_arrays([pa.array(np.append(label[run].view(np.int64), block)), pa.array(np.full(len(run) + 1, block)), pa.array(np.append(run, 0), pa.int32()), prints], names=["label", "block", "place", "prints"])
+
+    def runs(self, block: int, large: tuple[np.ndarray, np.ndarray], shared: list[bytes]) -> pa.RecordBatch:
+        """The open suffixes that share their print, as runs of words; a row without words says that the block was asked about."""
+        some = np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in shared)])).astype(np.int64)
+        label = self.labels(large)[some]
+        run, n = self._cut(label, some)
+        first = self.open[some[run]]
+        lo, hi = self.at_byte[self.at[first]], self.at_byte[self.at[first] + n + self.width - 1] - 1
         texts = [self.spelling[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
         ack = lambda v, kind: pa.array(np.append(v, 0), kind)
-        columns = [np.append(label[run].view(np.int64), block), np.full(len(run) + 1, block), ack(run, pa.int32()), ack(n, pa.int32()), ack(self.doc[o[run]], pa.int64()), ack(self.start[o[run]], pa.int64()), pa.array([*texts, b""], pa.binary())]
+        columns = [np.append(label[run].view(np.int64), block), np.full(len(run) + 1, block), ack(some[run], pa.int32()), ack(n, pa.int32()), ack(self.doc[first], pa.int64()), ack(self.start[first], pa.int64()), pa.array([*texts, b""], pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["label", "block", "place", "n", "doc", "start", "text"])
 
     def covered(self, answers: list[bytes]) -> np.ndarray:
@@ -208,20 +225,16 @@ class Subtree:
         return (self.doc != self.doc[head]) | (self.start != self.start[head])
 
 
-def _answer(width: int):
-    """Finds the late leaves of a partition's groups, in order of their labels."""
+def _places(block: np.ndarray, place: np.ndarray, asked: list[int]) -> pa.RecordBatch:
+    """Places of suffixes, one row a block, and an empty row for each block that was asked about."""
+    order = np.argsort(block, kind="stable")
+    parts = [p for p in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(p)]
+    return pa.RecordBatch.from_pydict({"block": pa.array([int(block[p[0]]) for p in parts] + asked, pa.int64()), "late": pa.array([place[p].astype(np.uint32).tobytes() for p in parts] + [b""] * len(asked), pa.binary())})
 
-    def settle(runs: pa.Table):
-        tree = Subtree(runs, width)
-        late = np.flatnonzero(tree.late())
-        run = tree.run[late]
-        block, place = runs["block"].to_numpy()[run], (runs["place"].to_numpy()[run] + tree.offset[late]).astype(np.uint32)
-        order = np.argsort(block, kind="stable")
-        parts = [p for p in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(p)]
-        asked = runs.filter(pa.array(runs["n"].to_numpy() == 0))["block"].to_pylist()
-        found = pa.RecordBatch.from_pydict({"block": pa.array([int(block[p[0]]) for p in parts] + asked, pa.int64()), "late": pa.array([place[p].tobytes() for p in parts] + [b""] * len(asked), pa.binary())})
-        gone = np.bincount(run, minlength=runs.num_rows)
-        return found, runs.filter(pa.array(gone < np.maximum(runs["n"].to_numpy(), 1)))
+
+def _in_groups(settle):
+    """Settles the groups of a partition that is sorted by label, whole groups of GROUP_BYTES together. settle
+    gives what it found and what is left of a group that goes on."""
 
     def run(batches):
         held, size, most = [], 0, GROUP_BYTES
@@ -253,6 +266,40 @@ def _answer(width: int):
     return run
 
 
+def _sharing(runs: pa.Table):
+    """Suffixes whose print another of their group has."""
+    prints = runs["prints"].combine_chunks()
+    ends = np.frombuffer(prints.buffers()[1], np.int32)[prints.offset : prints.offset + len(prints) + 1].astype(np.int64) // 4
+    flat = np.frombuffer(prints.buffers()[2], np.uint32)[ends[0] : ends[-1]]
+    n = np.diff(ends)
+    run = np.repeat(np.arange(len(n)), n)
+    place = runs["place"].to_numpy()[run] + K.ragged(np.zeros(len(n), np.int64), n)
+    label, block = runs["label"].to_numpy(), runs["block"].to_numpy()
+    key = label[run].view(np.uint64) ^ K.mix64(flat.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(key)
+    first = np.ones(len(order), bool)
+    first[1:] = key[order][1:] != key[order][:-1]
+    alone = first.copy()
+    alone[:-1] &= first[1:]
+    shared, kept = order[~alone], order[first]
+    left = pa.table({"label": label[run[kept]], "block": block[run[kept]], "place": pa.array(place[kept], pa.int32()), "prints": pa.array([x.tobytes() for x in flat[kept]], pa.binary())})
+    return _places(block[run[shared]], place[shared], block[n == 0].tolist()), left
+
+
+def _late(width: int):
+    """Leaves that have an earlier one on their path."""
+
+    def settle(runs: pa.Table):
+        tree = Subtree(runs, width)
+        late = np.flatnonzero(tree.late())
+        run, n, block = tree.run[late], runs["n"].to_numpy(), runs["block"].to_numpy()
+        found = _places(block[run], runs["place"].to_numpy()[run] + tree.offset[late], block[n == 0].tolist())
+        gone = np.bincount(run, minlength=runs.num_rows)
+        return found, runs.filter(pa.array(gone < np.maximum(n, 1)))
+
+    return settle
+
+
 def _large(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """The groups whose suffixes are more than a task should hold at once, by level; there are at most
     as many as the corpus has times GROUP_BYTES, and none in a small one."""
@@ -307,11 +354,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def ask(batches):
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield _Block(B.opened(payload.as_buffer()), id_col, text_col, width, gram, spelled=True).runs(block, large.value)
+                yield _Block(B.opened(payload.as_buffer()), id_col, text_col, width, gram).prints(block, large.value)
                 release_memory()
 
-    runs = rows.mapInArrow(ask, _RUNS).repartition(partitions(spark), "label").sortWithinPartitions("label")
-    answers = runs.mapInArrow(_answer(width), _ANSWERS).groupBy("block").agg(F.collect_list("late").alias("late"))
+    def spell(batches):
+        for batch in batches:
+            for block, payload, shared in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("late").to_pylist()):
+                if shared is None:
+                    raise B.unanswered(block)
+                yield _Block(B.opened(payload.as_buffer()), id_col, text_col, width, gram, spelled=True).runs(block, large.value, shared)
+                release_memory()
+
+    def answered(asked: DataFrame, settle) -> DataFrame:
+        grouped = asked.repartition(partitions(spark), "label").sortWithinPartitions("label").mapInArrow(_in_groups(settle), _ANSWERS)
+        return rows.join(grouped.groupBy("block").agg(F.collect_list("late").alias("late")), "block", "left").select("block", "payload", "late")
+
+    sharing = answered(rows.mapInArrow(ask, _PRINTS), _sharing)
+    answers = answered(sharing.mapInArrow(spell, _RUNS), _late(width))
     out_schema = T.StructType([f for f in docs.schema.fields if with_text or f.name != text_col] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     if with_spans:
         out_schema.add("repeats", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType())])))
@@ -326,7 +385,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 del tree
                 release_memory()
 
-    return rows.join(answers, "block", "left").select("block", "payload", "late").mapInArrow(clean, out_schema)
+    return answers.mapInArrow(clean, out_schema)
 
 
 def _cleaned(tree: _Block, covered: np.ndarray, text_col: str, with_text: bool, with_spans: bool):

@@ -180,7 +180,7 @@ def test_minhash_with_small_cells(spark, monkeypatch):
 def test_words_are_encoded_wherever_they_stand(spark):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.rank_table(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))), special_tokens={})
     rows = [(i, f"the same words {i % 7} in many blocks, the same") for i in range(400)] + [(None, "null id"), (401, None), (402, ""), (403, "a" * 300000), (404, "twin"), (404, "twin"), (405, "<|endoftext|>  　é\r\n\t x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("block", "word", "place", "n_tokens")}).repartition(9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("block", "bucket", "payload", "n_tokens")}).repartition(9)
     out = bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"))
     want = {i: enc.encode_ordinary(t or "") for i, t in rows}
     got = out.collect()

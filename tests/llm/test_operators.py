@@ -116,7 +116,8 @@ def test_substring_ships_the_words_of_every_open_window():
     text = " ".join(f"w{i * i % 97}" for i in range(200))
     none = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     block = substring._Block(pa.table({"doc_id": [1, 2], "text": [text, "x\n" + text[50:]]}), "doc_id", "text", 20, 5, spelled=True)
-    runs = block.runs(77, none).to_pylist()
+    assert block.prints(77, none)["prints"].to_pylist()[-1] == b"" and sum(len(x) for x in block.prints(77, none)["prints"].to_pylist()) == 4 * len(block.open)
+    runs = block.runs(77, none, [np.arange(len(block.open), dtype=np.uint32).tobytes()]).to_pylist()
     assert runs.pop() == {"label": 77, "block": 77, "place": 0, "n": 0, "doc": 0, "start": 0, "text": b""}
     words = {1: text.split(), 2: ["x", *text[50:].split()]}
     seen = []
