@@ -1,10 +1,11 @@
 """Byte-level BPE over a corpus: every different word is encoded once, globally.
 
 Texts are packed into blocks and split into pre-tokens; a pre-token's position is its
-place in its block. The distinct words of every block are shuffled as rows by word and sorted, so equal
-words of all blocks follow each other in one task, which encodes each once and holds one at a time; a word has one row a
-block at most, however common it is. Ids go back to the blocks that asked, joined by block, and are set in by
-position. Decoding joins ids to the token-byte table, which has one entry per id of the vocabulary.
+place in its block. The distinct words of every block are shuffled by hash, so equal words of all blocks
+meet in one task, which encodes each once; a block asks for a word once, however common it is. There are as many
+such tasks as shuffle partitions, and more where a task would have to take the words of more than TASK_BYTES of text. Ids
+go back to the blocks that asked, joined by block, and are set in by position. Decoding joins ids to the token-byte
+table, which has one entry per id of the vocabulary.
 
 Defined results: null and empty texts have no ids and decode to no bytes. Columns of
 the input with a name that the operator returns are replaced. Repeated rows get equal results,
@@ -29,8 +30,8 @@ from evidentia.llm import blocks as B
 from evidentia.llm import kernel as K
 from evidentia.llm.storage import partitions, prepare
 
-_WORDS = "word string, block long, place int"
-_IDS = "block long, place int, ids binary"
+_WORDS = "block long, bucket int, payload binary"
+TASK_BYTES = 256 << 20
 
 
 @functools.lru_cache(maxsize=4)
@@ -74,9 +75,9 @@ class TokenBytes:
 
 
 class _Words:
-    """The distinct pre-tokens of a block and, for every text, which of them stand where."""
+    """The distinct pre-tokens of a block, dealt over buckets, and every text's positions."""
 
-    def __init__(self, table: pa.Table, text_col: str, spelled: bool):
+    def __init__(self, table: pa.Table, text_col: str, buckets: int, spelled: bool):
         hashes, self.parts, seen, held = [], [], 0, []
         for p in K.pretokens(table[text_col]):
             hashes.append(p.hash)
@@ -94,65 +95,69 @@ class _Words:
             mine = at[np.searchsorted(at, before) : np.searchsorted(at, before + len(p.hash))] - before
             self.words += [p.text[a:b] for a, b in zip(p.start[mine].tolist(), p.end[mine].tolist())]
             before += len(p.hash)
+        bucket = (K.mix64(keys[at]) % np.uint64(buckets)).astype(np.int64)
+        # Within a bucket in the order of the hashes, which both readings share.
+        order = np.lexsort((keys[at], bucket))
+        self.buckets = {int(bucket[part[0]]): part for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(part)}
 
 
-def _ask(text_col: str):
-    """The distinct words of every block."""
-
+def _ask(text_col: str, buckets: int):
     def run(batches):
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                w = _Words(B.opened(payload.as_buffer()), text_col, True)
-                yield pa.RecordBatch.from_arrays([pa.array(w.words, pa.string()), pa.array(np.full(w.n, block)), pa.array(np.arange(w.n, dtype=np.int32))], names=["word", "block", "place"])
+                w = _Words(B.opened(payload.as_buffer()), text_col, buckets, True)
+                for bucket, part in w.buckets.items():
+                    table = pa.table({"w": pa.array([w.words[i] for i in part.tolist()], pa.string())})
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "payload": pa.array([B.packed_table(table)], pa.binary())})
 
     return run
 
 
 def _encode_words(ranks):
-    """Encodes each distinct word of a partition, whose rows are sorted by word, once."""
+    """Encodes each distinct word of a partition once, and answers every block."""
 
     def run(batches):
         encode = _piece_encoder(ranks.value)
-        last, ids = None, b""
+        known: dict[str, list[int]] = {}
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            words = batch.column(0)
-            new = np.ones(n, bool)
-            new[1:] = pc.not_equal(words.slice(1), words.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            each = []
-            for w in words.filter(pa.array(new)).to_pylist():
-                if w != last:
-                    last, ids = w, np.array(encode(w), np.int32).tobytes()
-                each.append(ids)
-            rows = pa.array(each, pa.binary()).take(pa.array(np.cumsum(new) - 1))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), rows], names=["block", "place", "ids"])
+            for block, bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                words = B.opened(payload.as_buffer())["w"].to_pylist()
+                ids = []
+                for w in words:
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = encode(w)
+                    ids.append(got)
+                sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
+                flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+                table = pa.table({"v": pa.array([sizes.tobytes(), flat.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "payload": pa.array([B.packed_table(table)], pa.binary())})
 
     return run
 
 
-def _assemble(text_col: str, ranks, names: list[str], with_ids: bool):
+def _assemble(text_col: str, buckets: int, ranks, names: list[str], with_ids: bool):
     """Sets each block's ids in by position."""
 
     def run(batches):
         table_of = TokenBytes(ranks.value)
         decimal = [str(i).encode() for i in range(len(table_of.size))]
         for batch in batches:
-            answers = batch.column("answers")
-            for k, (block, payload) in enumerate(zip(batch.column("block").to_pylist(), batch.column("payload"))):
+            for block, payload, got in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("answers").to_pylist()):
                 table = B.opened(payload.as_buffer())
-                w = _Words(table, text_col, False)
-                size, start, flat = np.zeros(w.n, np.int64), np.zeros(w.n, np.int64), np.zeros(0, np.int32)
-                got = answers.slice(k, 1).flatten()  # (place, ids) of this block
-                if len(got) < w.n:
-                    raise B.unanswered(block)
-                if w.n:
-                    place, ids = got.flatten()
-                    place = place.to_numpy()
-                    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 4
-                    flat = np.frombuffer(ids.buffers()[2], np.int32, int(ends[-1]))
-                    size[place], start[place] = np.diff(ends), ends[:-1]
+                w = _Words(table, text_col, buckets, False)
+                size, start, flats, base = np.zeros(w.n, np.int64), np.zeros(w.n, np.int64), [], 0
+                answers = {a["bucket"]: a["payload"] for a in got or []}
+                for bucket, part in w.buckets.items():
+                    if bucket not in answers:
+                        raise B.unanswered(block)
+                    sizes, flat = B.opened(answers[bucket])["v"].to_pylist()
+                    sizes, flat = np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(flat, np.uint32)
+                    size[part] = sizes
+                    start[part] = base + np.cumsum(sizes) - sizes
+                    base += len(flat)
+                    flats.append(flat)
+                flat = np.concatenate(flats).astype(np.int32) if flats else np.zeros(0, np.int32)
                 for lo, hi, first in w.parts:
                     word = w.position[first[0] : first[-1]]
                     ids = flat[K.ragged(start[word], size[word])]
@@ -185,10 +190,12 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     docs = docs.drop(*[c for c in own if c in docs.columns])
     schema = T.StructType([f for f in docs.schema.fields if f.name != text_col] + [T.StructField(k, v) for k, v in own.items()])
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))  # a fixed vocabulary
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(partitions(spark), -(-size // TASK_BYTES))
     rows = B.pack(docs, id_col)
-    asked = rows.mapInArrow(_ask(text_col), _WORDS).repartition(partitions(spark), "word").sortWithinPartitions("word")
-    answers = asked.mapInArrow(_encode_words(ranks), _IDS).groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("answers"))
-    return rows.join(answers, "block", "left").select("block", "payload", "answers").mapInArrow(_assemble(text_col, ranks, schema.names, with_ids), schema)
+    asked = rows.mapInArrow(_ask(text_col, n), _WORDS).repartitionById(n, F.col("bucket"))
+    answers = asked.mapInArrow(_encode_words(ranks), _WORDS).groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
+    return rows.join(answers, "block", "left").select("block", "payload", "answers").mapInArrow(_assemble(text_col, n, ranks, schema.names, with_ids), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
