@@ -46,3 +46,8 @@ def preview(c: Column, n: int) -> Column:
 
 def breadcrumb(path: Column) -> Column:
     return F.when(F.size(path) > 0, F.array_join(path, " > ")).otherwise("(root)")
+
+
+def request_id(c: Column, most: int = 128) -> Column:
+    """A request's id, stripped and cut to `most` characters; one of its own where that is blank."""
+    return F.when(blank(c), F.replace(F.uuid(), F.lit("-"), F.lit(""))).otherwise(F.substring(stripped(c), 1, most))

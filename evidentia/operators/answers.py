@@ -21,6 +21,7 @@ MESSAGES = {
     "no_relevant_docs": "The approved support corpus holds nothing on this question.",
     "insufficient_evidence": "The approved support corpus has insufficient evidence for this question.",
     "citation_validation_failed": "I cannot answer: no answer with sound citations was found.",
+    "out_of_scope": "I cannot answer: the question is out of scope of the approved support corpus.",
 }
 
 
@@ -76,16 +77,16 @@ def failures(answers: DataFrame, contexts: DataFrame, id_col: str) -> DataFrame:
 def validated(answers: DataFrame, contexts: DataFrame, id_col: str) -> DataFrame:
     """Adds failures (sorted structs) and outcome: valid, retry, or for a refusal that contradicts itself refuse.
 
-    answers also has is_refusal and message; a null is_refusal counts as false.
+    answers also has is_refusal and message; a null is_refusal counts as false. A blank answer that is no refusal is to be retried.
     """
     refusal = F.coalesce(F.col("is_refusal"), F.lit(False))
     found = failures(answers.where(~refusal), contexts, id_col).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("claim_index", "code", "marker"))).alias("found"))
     answer, text = X.stripped(F.coalesce("answer", F.lit(""))), F.lower("answer")
     cue = F.coalesce(text.rlike("|".join(REFUSAL_CUES)), F.lit(False))
     contradicts = (answer != X.stripped(F.coalesce("message", F.lit("")))) | F.coalesce(F.col("answer").rlike(X.BRACKET), F.lit(False)) | ~cue
-    one = F.array(F.struct(F.lit(None).cast("int").alias("claim_index"), F.lit("refusal_answer_contradiction").alias("code"), F.lit(None).cast("string").alias("marker")))
-    none = F.filter(one, lambda x: F.lit(False))
-    got = F.when(refusal, F.when(contradicts, one).otherwise(none)).otherwise(F.coalesce("found", none))
+    one = lambda code: F.array(F.struct(F.lit(None).cast("int").alias("claim_index"), F.lit(code).alias("code"), F.lit(None).cast("string").alias("marker")))
+    none = F.filter(one(""), lambda x: F.lit(False))
+    got = F.when(refusal, F.when(contradicts, one("refusal_answer_contradiction")).otherwise(none)).when(answer == "", one("blank_answer")).otherwise(F.coalesce("found", none))
     full = answers.join(found, id_col, "left").withColumn("failures", got).drop("found")
     return full.withColumn("outcome", F.when(F.size("failures") == 0, "valid").when(refusal, "refuse").otherwise("retry"))
 
@@ -119,11 +120,13 @@ def prompt_context(hits: DataFrame, id_col: str, chunk_col: str = "chunk_id", te
     return rows.select(id_col, F.size("b").cast("long").alias("n_blocks"), F.array_join(F.transform("b", line), "\n\n").alias("context"))
 
 
-def refusals(decisions: DataFrame, id_col: str, messages: dict[str, str] | None = None, next_step: str = "") -> DataFrame:
-    """(id, reason_code, message) for the decisions that have a message; next_step ends in a full stop."""
+def refusals(decisions: DataFrame, id_col: str, messages: dict[str, str] | None = None, next_step: str | None = None) -> DataFrame:
+    """(id, reason_code, message) for the decisions that have a message; a next step follows it and ends in a mark."""
     known = messages or MESSAGES
     texts = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    tail = next_step.strip()
-    tail = f" {tail}" + ("" if tail.endswith((".", "!", "?")) else ".") if tail else ""
+    if next_step is not None and not next_step.strip():
+        raise ValueError("next_step must not be blank")
+    step = (next_step or "").strip()
+    tail = f" Next step: {step}" + ("" if step.endswith((".", "!", "?")) else ".") if step else ""
     rows = decisions.where(F.col("decision").isin(*known))
     return rows.select(id_col, F.col("decision").alias("reason_code"), F.concat(F.element_at(texts, F.col("decision")), F.lit(tail)).alias("message"))

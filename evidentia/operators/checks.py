@@ -12,7 +12,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 from evidentia.functions import text as X
 
-# What every chunk must carry, in the order it is reported, and the warnings.
+# What every chunk must carry, in the order it is reported, and the warnings. The wording of the
+# errors in ingest_errors and query_set_errors is fixed, too.
 REQUIRED = ("source_url", "license", "attribution", "snapshot_id", "doc_id", "chunk_id", "section_path", "start_offset", "end_offset", "token_count", "text")
 WARNINGS = {
     "manifest": "Manifest was empty.",

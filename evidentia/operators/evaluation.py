@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.operators.retrieval import canonical
+from evidentia.sources import tables
+from evidentia.sources.tables import kept
 
 
 def per_query(hits: DataFrame, relevant: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -45,8 +50,42 @@ def summary(queries: DataFrame, hits: DataFrame, relevant: DataFrame, id_col: st
     )
 
 
+def alternative_summary(queries: DataFrame, hits: DataFrame, relevant: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """One row of unrounded means over the answerable queries, those without relevant ids counting 0; latencies are over all.
+
+    queries: query_id, answerable, latency_ms; means over nothing are 0.
+    """
+    wanted = relevant.select("query_id", id_col).distinct()
+    found = hits.select("query_id", id_col, "rank").join(wanted, ["query_id", id_col], "left_semi").groupBy("query_id").agg(F.min("rank").alias("best"), F.countDistinct(id_col).alias("n"))
+    total = wanted.groupBy("query_id").agg(F.count("*").alias("total"))
+    rows = queries.join(total, "query_id", "left").join(found, "query_id", "left").withColumn("_ms", F.greatest(F.lit(0.0), F.col("latency_ms")))
+    mean = lambda c: F.coalesce(F.avg(F.when(F.col("answerable"), c)), F.lit(0.0))
+    return rows.agg(
+        F.count("*").alias("query_count"),
+        F.count(F.when(F.col("answerable"), 1)).alias("answerable_query_count"),
+        mean(F.coalesce((F.col("n") > 0).cast("double"), F.lit(0.0))).alias("hit_at_k"),
+        mean(F.coalesce(F.col("n") / F.col("total"), F.lit(0.0))).alias("recall_at_k"),
+        mean(F.coalesce(1 / F.col("best"), F.lit(0.0))).alias("mrr"),
+        F.coalesce(F.avg("_ms"), F.lit(0.0)).alias("mean_latency_ms"),
+        F.coalesce(F.max("_ms"), F.lit(0.0)).alias("max_latency_ms"),
+    )
+
+
+def slug(text: str) -> str:
+    """Lower case, with one dash for every run of other characters than letters and digits."""
+    return re.sub("[^a-z0-9]+", "-", text.strip().lower()).strip("-") or "retriever"
+
+
 def run_id(snapshot: str, version: str, mode: str, retriever: str, k: int) -> str:
-    return f"{snapshot}-{version}-{mode}-{retriever}-top{k}"
+    """The name of a run; parts that are empty are left out."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    return "-".join(filter(None, (snapshot, version, slug(mode), slug(retriever), f"top{k}")))
+
+
+def run_paths(folder: str, name: str) -> tuple[str, str]:
+    """Where a run's results and its summary lie."""
+    return f"{folder.rstrip('/')}/{name}.results.jsonl", f"{folder.rstrip('/')}/{name}.summary.json"
 
 
 def run(retrieve, queries: DataFrame, relevant: DataFrame, k: int, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -57,6 +96,73 @@ def run(retrieve, queries: DataFrame, relevant: DataFrame, k: int, id_col: str =
     return hits, summary(queries, hits, relevant, id_col)
 
 
+def timed_run(retrieve, queries: DataFrame, relevant: DataFrame, k: int, id_col: str = "doc_id", clock=time.perf_counter_ns) -> tuple[DataFrame, DataFrame]:
+    """run() with the time it took: hits are made once, kept, and every query gets its share of the time as latency_ms."""
+    asked = kept(queries.drop("latency_ms"))
+    n, begun = max(asked.count(), 1), clock()
+    hits = kept(canonical(retrieve(asked, k), k, id_col))
+    ms = max(0.0, (clock() - begun) / 1e6 / n)
+    return hits, summary(asked.withColumn("latency_ms", F.lit(ms)), hits, relevant, id_col)
+
+
+def relevant_ids(entries: DataFrame) -> DataFrame:
+    """(query_id, kind, id): the expected chunks of a query, or its expected sections where it has no chunks."""
+    chunk_ids, section_ids = (F.coalesce(c, F.array().cast("array<string>")) for c in ("expected_chunk_ids", "expected_section_ids"))
+    kind = F.when(F.size(chunk_ids) > 0, "chunk_id").otherwise("section_id")
+    ids = F.when(F.size(chunk_ids) > 0, chunk_ids).otherwise(section_ids)
+    return entries.select("query_id", kind.alias("kind"), F.explode(F.array_distinct(ids)).alias("id"))
+
+
+def results(name: str, about: dict, retriever: tuple[str, str], entries: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """The results of a run (tables.RESULTS), a row per query of a labelled set.
+
+    hits: query_id, chunk_id, score, rank and, if there are, doc_id, section_id and the ranks of fused lists; entries may have latency_ms.
+    """
+    have = lambda df, c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c)
+    ranks = [c for c in hits.columns if c.endswith("_rank")]
+    pairs = [F.struct(F.lit(c).alias("key"), F.col(c).cast("int").alias("value")) for c in ranks]
+    told = F.filter(F.array(*pairs), lambda p: p.value.isNotNull()) if pairs else F.array().cast("array<struct<key:string,value:int>>")
+    hit = F.struct(F.col("rank").cast("int").alias("rank"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("score").cast("double").alias("score"), have(hits, "doc_id", "string"), have(hits, "section_id", "string"), told.alias("metadata"))
+    listed = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+    listed = listed.withColumn("hits", F.transform("hits", lambda h: F.struct(h.chunk_id.alias("chunk_id"), h.score.alias("score"), h["rank"].alias("rank"), h.doc_id.alias("doc_id"), h.section_id.alias("section_id"), F.map_from_entries(h.metadata).alias("metadata"))))
+    wanted = relevant_ids(entries)
+    by_kind = hits.select("query_id", "rank", F.explode(F.array(F.struct(F.lit("chunk_id").alias("kind"), F.col("chunk_id").cast("string").alias("id")), F.struct(F.lit("section_id").alias("kind"), have(hits, "section_id", "string").alias("id")))).alias("x")).select("query_id", "rank", "x.*")
+    found = by_kind.join(wanted, ["query_id", "kind", "id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("best"), F.countDistinct("id").alias("n"))
+    total = wanted.groupBy("query_id").agg(F.count("*").alias("total"))
+    rows = entries.join(listed, "query_id", "left").join(found, "query_id", "left").join(total, "query_id", "left")
+    snapshot, (retriever_name, kind) = about.get("snapshot_id"), retriever
+    recall, rr = F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)), F.coalesce(1 / F.col("best"), F.lit(0.0))
+    no_hits = F.array().cast(tables.HITS)
+    return rows.select(F.lit(name).alias("run_id"), "query_id", F.lit(snapshot).alias("snapshot_id"), F.lit(retriever_name).alias("retriever_name"), F.lit(kind).alias("retriever_type"), F.lit(k).alias("top_k"), "answerable", "expected_chunk_ids", (F.coalesce("n", F.lit(0)) > 0).alias("hit"), recall.alias("recall"), rr.alias("reciprocal_rank"), have(entries, "latency_ms", "double"), F.coalesce(F.col("hits").cast(tables.HITS), no_hits).alias("hits"))
+
+
+def baseline(retrieve, retriever: tuple[str, str], entries: DataFrame, about: dict, k: int, folder: str) -> tuple[str, str]:
+    """Runs a retriever, named (name, type), over a labelled query set and writes results and summary below folder; returns their paths."""
+    name = run_id(about.get("snapshot_id") or "", about.get("dataset_version") or "", retriever[1], retriever[0], k)
+    asked = kept(entries)
+    n, begun = max(asked.count(), 1), time.perf_counter_ns()
+    hits = kept(canonical(retrieve(asked, k), k, "chunk_id"))
+    asked = asked.withColumn("latency_ms", F.lit(max(0.0, (time.perf_counter_ns() - begun) / 1e6 / n)))
+    rows = kept(results(name, about, retriever, asked, hits, k))
+    to_results, to_summary = run_paths(folder, name)
+    tables.write_results(rows, to_results)
+    scored = rows.select("query_id", "answerable", "latency_ms", F.size("hits").alias("_n"), "hit", "recall", "reciprocal_rank")
+    of = relevant_ids(entries).select("query_id").distinct().withColumn("_labelled", F.lit(True))
+    tables.write_summary(_totals(scored.join(of, "query_id", "left")), name, to_summary)
+    return to_results, to_summary
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    count = lambda test: F.count(F.when(test, 1))
+    mean = lambda c: F.round(F.coalesce(F.avg(F.when(F.col("_labelled"), F.col(c).cast("double"))), F.lit(0.0)), 6)
+    p = lambda q: F.round(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY latency_ms)"), 6)
+    return rows.agg(
+        F.count("*").alias("queries"), count(F.col("answerable")).alias("answerable"), count(~F.col("answerable")).alias("unanswerable"), count(F.col("_labelled")).alias("relevant"),
+        count(F.col("_n") > 0).alias("with_results"), count(F.col("_n") == 0).alias("without_results"), mean("hit").alias("hit_at_k"), mean("recall").alias("recall_at_k"), mean("reciprocal_rank").alias("mrr"),
+        F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 6).alias("average_latency_ms"), p(0.5).alias("p50_latency_ms"), p(0.95).alias("p95_latency_ms"), F.round(F.max("latency_ms"), 6).alias("max_latency_ms"),
+    )
+
+
 def latency(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Nearest-rank percentiles."""
     p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")

@@ -8,6 +8,10 @@ sent again when an executor is lost later on.
 
 from __future__ import annotations
 
+import json
+import re
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,15 +19,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
-from evidentia.operators import answers, trust
+from evidentia.operators import answers, checks, prompts, trust
+from evidentia.operators.retrieval import question_key
 from evidentia.sources.tables import kept
 
 RESPONSE = f"query_id string, final_answer string, citations {answers.CITATIONS}, is_refusal boolean, reason_code string, message string, failure_code string"
 _CITATION = pa.struct([("marker", pa.string()), ("doc_id", pa.string()), ("chunk_id", pa.string()), ("start_offset", pa.int32()), ("end_offset", pa.int32())])
 _RESPONSE = pa.schema([("query_id", pa.string()), ("final_answer", pa.string()), ("citations", pa.list_(_CITATION)), ("is_refusal", pa.bool_()), ("reason_code", pa.string()), ("message", pa.string()), ("failure_code", pa.string())])
 PARSE_ERROR = "parse_error"
-#: Our own wording.
-SYSTEM_PROMPT = "Answer only from the numbered evidence blocks. End every sentence with the marker of a block that supports it, such as [1]. Say so if the evidence does not answer the question."
+# The fields of a reply, its reasons to refuse, and where two kinds of servers take requests.
+REPLY = {"final_answer", "citations", "refusal"}
+REFUSAL = {"is_refusal", "reason_code", "message"}
+CITATION = {"marker": str, "doc_id": str, "chunk_id": str, "start_offset": int, "end_offset": int}
+REASONS = ("insufficient_evidence", "no_relevant_docs", "citation_validation_failed", "out_of_scope")
+ENDPOINTS = {"http": "/generate", "openai_compatible": "/v1/chat/completions"}
 
 Generator = Callable[[DataFrame], DataFrame]
 
@@ -54,8 +63,93 @@ def worker_generator(connect: Callable[[], Callable[[dict], dict]]) -> Generator
     return lambda requests: requests.mapInArrow(run, RESPONSE)
 
 
-def question_key(question: Column) -> Column:
-    return F.lower(X.collapsed(question))
+def _field(record: dict, name: str, *kinds: type):
+    value = record[name]
+    if not isinstance(value, kinds) or isinstance(value, bool) and bool not in kinds:
+        raise ValueError(f"{name} has the wrong type")
+    return value
+
+
+def _fields(reply) -> dict:
+    """The fields of RESPONSE from a reply, whose names and types must be exactly those of the contract."""
+    if not isinstance(reply, dict) or set(reply) != REPLY:
+        raise ValueError(f"a reply has the fields {sorted(REPLY)}")
+    refusal = _field(reply, "refusal", dict)
+    if set(refusal) != REFUSAL:
+        raise ValueError(f"a refusal has the fields {sorted(REFUSAL)}")
+    citations = _field(reply, "citations", list)
+    for record in citations:
+        if not isinstance(record, dict) or set(record) != set(CITATION):
+            raise ValueError(f"a citation has the fields {list(CITATION)}")
+        for name, kind in CITATION.items():
+            _field(record, name, kind)
+    reason = _field(refusal, "reason_code", str, type(None))
+    if reason is not None and reason not in REASONS:
+        raise ValueError(f"unknown reason {reason!r}")
+    return {"final_answer": _field(reply, "final_answer", str), "citations": citations, "is_refusal": _field(refusal, "is_refusal", bool), "reason_code": reason, "message": _field(refusal, "message", str, type(None))}
+
+
+def parsed_reply(content: str) -> dict:
+    """The fields of RESPONSE from a model's text: JSON, bare or in a Markdown fence; anything else is a ValueError."""
+    text = content.strip()
+    fenced = re.fullmatch(r"```[^\n]*\n(.*)\n```", text, re.DOTALL)
+    for candidate in (text, *([fenced[1].strip()] if fenced else [])):
+        try:
+            return _fields(json.loads(candidate))
+        except ValueError as error:
+            last = error
+    raise last
+
+
+def chat_content(payload) -> str:
+    """The text of the first choice of a chat server's reply; text parts are joined by line ends."""
+    try:
+        content = payload["choices"][0]["message"]["content"]
+    except (KeyError, IndexError, TypeError):
+        raise ValueError("no choices[0].message.content") from None
+    if isinstance(content, list):
+        parts = (p.get("text") for p in content if isinstance(p, dict) and str(p.get("type", "")).lower() == "text")
+        content = "\n".join(filter(None, (str(p).strip() for p in parts if p is not None)))
+    if not isinstance(content, str) or not content.strip():
+        raise ValueError("the content is no text")
+    return content.strip()
+
+
+class BackendError(RuntimeError):
+    """A server's reply with an error status."""
+
+
+def http_client(base_url: str, dialect: str = "http", model: str | None = None, timeout: float = 30.0, path: str | None = None, key: str | None = None) -> Callable[[], Callable[[dict], dict]]:
+    """connect() for worker_generator: requests as JSON over HTTP.
+
+    The dialect http posts the request and gets a reply; openai_compatible posts messages to a model and gets a chat
+    completion whose text holds the reply.
+    """
+    base = base_url.strip().rstrip("/")
+    if not base or dialect not in ENDPOINTS or dialect == "openai_compatible" and not model:
+        raise ValueError(f"need a base_url, a dialect of {list(ENDPOINTS)}, and a model for the latter")
+    url = base + (path or ENDPOINTS[dialect])
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+
+    def body(request: dict) -> dict:
+        if dialect == "http":
+            return {k: v for k, v in request.items() if v is not None}
+        system = [{"role": "system", "content": request["system_prompt"]}] if request.get("system_prompt") else []
+        return {"model": model, "messages": [*system, {"role": "user", "content": request.get("user_prompt") or request["question"]}], "temperature": 0.0}
+
+    def ask(request: dict) -> dict:
+        post = urllib.request.Request(url, json.dumps(body(request)).encode(), headers, method="POST")
+        try:
+            with urllib.request.urlopen(post, timeout=timeout) as got:
+                text = got.read().decode("utf-8")
+        except urllib.error.HTTPError as error:
+            raise BackendError(f"HTTP {error.code}") from error
+        except urllib.error.URLError as error:
+            raise error.reason if isinstance(error.reason, OSError) else OSError(str(error.reason)) from error
+        payload = json.loads(text)
+        return _fields(payload) if dialect == "http" else parsed_reply(chat_content(payload))
+
+    return lambda: ask
 
 
 def canned_generator(known: DataFrame) -> Generator:
@@ -75,13 +169,13 @@ def canned_generator(known: DataFrame) -> Generator:
     return run
 
 
-def answered(questions: DataFrame, hits: DataFrame, generate: Generator, thresholds: trust.Thresholds = trust.Thresholds(), attempts: int = 2, messages: dict[str, str] | None = None) -> DataFrame:
+def answered(questions: DataFrame, hits: DataFrame, generate: Generator, thresholds: trust.Thresholds = trust.Thresholds(), attempts: int = 2, messages: dict[str, str] | None = None, system_prompt: str | None = None) -> DataFrame:
     """(query_id, status, final_answer, citations, reason_code, failure_code, attempts), a row per question.
 
     questions: query_id, question; hits: query_id, chunk_id, text, start_offset, end_offset, rank and
     unit score. The gate refuses first; admitted questions are generated, their citations
-    checked and missing ones repaired. An answer that fails, or that could not be parsed, is asked for again up to
-    attempts times and then refused. Any other failure ends as status error. status is answer, refusal or error.
+    checked and missing ones repaired. A reply that breaks the contract counts as one that could not be parsed. An answer that fails, or that
+    could not be parsed, is asked for again up to attempts times and then refused. Any other failure ends as status error. status is answer, refusal or error.
     """
     if attempts <= 0:
         raise ValueError("attempts must be positive")
@@ -101,11 +195,13 @@ def answered(questions: DataFrame, hits: DataFrame, generate: Generator, thresho
     done = refused(gated.where(~admitted), F.col("decision"), 0)
     context = answers.prompt_context(hits, "query_id").select("query_id", F.col("context").alias("evidence"))
     prompt = F.concat(F.lit("Question: "), F.coalesce("question", F.lit("")), F.lit("\n\n"), F.col("evidence"))
-    left = kept(gated.where(admitted).join(context, "query_id").select("query_id", "question", F.lit(SYSTEM_PROMPT).alias("system_prompt"), prompt.alias("user_prompt")))
+    left = kept(gated.where(admitted).join(context, "query_id").select("query_id", "question", F.lit(system_prompt or prompts.system_prompt()).alias("system_prompt"), prompt.alias("user_prompt")))
     spans = hits.select("query_id", "chunk_id", "text", "start_offset", "end_offset")
 
     for attempt in range(1, attempts + 1):
         got = kept(generate(left.withColumn("attempt", F.lit(attempt))))
+        sound = F.size(checks.contract_breaches(got)) == 0
+        got = got.withColumn("failure_code", F.coalesce("failure_code", F.when(~sound, PARSE_ERROR)))
         plain = got.where("failure_code is null").withColumnRenamed("final_answer", "answer")
         fixed = kept(answers.repaired(answers.validated(plain, spans, "query_id"), "query_id").drop("failures", "outcome"))
         checked = kept(answers.validated(fixed, spans, "query_id"))

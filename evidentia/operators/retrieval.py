@@ -7,13 +7,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from evidentia.functions import text as X
+from evidentia.sources.tables import kept
 
 K1, B, RRF_K, DEPTH = 1.5, 0.75, 60, 20
 #: Rows of a block of vectors or of queries, and queries compared at once within.
 BLOCK, AT_ONCE = 8192, 256
+#: Terms of all questions together up to which they go to every task; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
 
 
 def ranked(hits: DataFrame, k: int, query: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -24,19 +27,46 @@ def ranked(hits: DataFrame, k: int, query: str = "query_id", score: str = "score
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+class Postings:
+    """How often the terms of some questions occur in documents, kept as a table: one scan and one reading of
+    the texts, whatever is asked of it.
+
+    A document has a row of its own (term null, its length) besides one for each asked term.
+    """
+
+    def __init__(self, docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "query_id", query_text: str = "text"):
+        terms = queries.select(F.col(query_id).alias("query_id"), F.explode(X.terms(F.col(query_text))).alias("term"))
+        self.asked = kept(terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
+        words = docs.select(F.col(doc_id).alias("doc_id"), X.terms(F.col(doc_text)).alias("terms"))
+        # The document's own row leads its terms, so both come from one pass over the text.
+        each = words.select("doc_id", F.size("terms").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term"))
+        wanted = self.asked.select(F.col("term").alias("asked")).distinct()
+        if wanted.count() <= BROADCAST_TERMS:
+            wanted = F.broadcast(wanted)
+        found = each.join(wanted, F.col("term") == F.col("asked"), "left").where(F.col("term").isNull() | F.col("asked").isNotNull())
+        self.rows = kept(found.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")))
+
+    def ranked(self, k: int, k1: float = K1, b: float = B) -> DataFrame:
+        """(query_id, doc_id, score, rank): the k best by Okapi BM25 over all documents."""
+        own = F.col("term").isNull()
+        stats = self.rows.where(own).agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("mean")).first()
+        n, mean = stats["n"] or 0, F.lit(float(stats["mean"] or 0))
+        found = self.rows.where(~own)
+        df = found.groupBy("term").agg(F.count("*").alias("df"))
+        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weights = kept(self.asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight")))
+        if weights.count() <= BROADCAST_TERMS:
+            weights = F.broadcast(weights)
+        part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
+        # Dealt by document: scores are whole, and the best of each task chosen, before anything is shuffled by question.
+        scores = found.repartition("doc_id").join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
+        return ranked(scores.where("score > 0"), k)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "query_id", query_text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score, rank): Okapi BM25 over all documents, scores rounded to 9
     places before ranking so that the order of summation decides nothing."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), X.terms(F.col(doc_text)).alias("terms"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(X.terms(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    tf = words.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weights = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scores = tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
-    return ranked(scores.where("score > 0"), k)
+    return Postings(docs, queries, doc_id, doc_text, query_id, query_text).ranked(k, k1, b)
 
 
 def cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -109,17 +139,108 @@ def unit_score(score: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score + 1) / 2))
 
 
-def fused(first: DataFrame, second: DataFrame, k: int = 5, depth: int = DEPTH, rrf_k: int = RRF_K, id_col: str = "doc_id") -> DataFrame:
-    """Reciprocal-rank fusion of two rank lists, with each one's rank kept."""
-    cut = lambda df, name: df.where(F.col("rank") <= max(k, depth)).select("query_id", id_col, F.col("rank").alias(name))
-    both = cut(first, "first_rank").join(cut(second, "second_rank"), ["query_id", id_col], "full_outer")
+def sound_unit_score(score: Column) -> Column:
+    """unit_score; a score that is no finite number is an error when read."""
+    wrong = score.isNull() | F.isnan(score) | (F.abs(score) == float("inf"))
+    return F.when(wrong, F.raise_error(F.lit("a score is not finite")).cast("double")).otherwise(unit_score(score))
+
+
+def fused(first: DataFrame, second: DataFrame, k: int = 5, depth: int = DEPTH, rrf_k: int = RRF_K, id_col: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
+    """Reciprocal-rank fusion of two rank lists, with each one's rank kept.
+
+    carried names columns, such as the document and section of a chunk, of which a hit gets the
+    first list's value, or the second's where that is null or not there.
+    """
+    if rrf_k <= 0 or depth <= 0:
+        raise ValueError("rrf_k and depth must be positive")
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        extra = [(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(f"{name}_{c}") for c in carried]
+        return df.where(F.col("rank") <= max(k, depth)).select("query_id", id_col, F.col("rank").alias(f"{name}_rank"), *extra)
+
+    both = cut(first, "first").join(cut(second, "second"), ["query_id", id_col], "full_outer")
     gain = lambda c: F.when(F.col(c).isNull(), 0.0).otherwise(1 / (rrf_k + F.greatest(F.lit(1), F.col(c))))
+    both = both.withColumns({c: F.coalesce(f"first_{c}", f"second_{c}") for c in carried}).drop(*[f"{n}_{c}" for n in ("first", "second") for c in carried])
     return ranked(both.withColumn("score", gain("first_rank") + gain("second_rank")), k, tie=id_col)
 
 
-def canonical(hits: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
-    """One hit per id: by (rank, score descending, id), the first kept, numbered anew, cut at k."""
-    order = [F.asc("rank"), F.desc("score"), F.asc(id_col)]
+def canonical(hits: DataFrame, k: int, id_col: str = "doc_id", place: str | None = None) -> DataFrame:
+    """One hit per id, numbered anew and cut at k: by (rank, score descending, id, place), the first is kept.
+
+    Ids of strings are stripped and must not be blank. place names a column with a hit's position in its list, from 0; a
+    rank that is not positive counts as position + 1, and is an error when read where there is no position.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    kind = hits.schema[id_col].dataType
+    own = X.stripped(F.col(id_col)) if isinstance(kind, StringType) else F.col(id_col)
+    blank = F.coalesce(own.cast("string") == "", F.lit(True))
+    own = F.when(blank, F.raise_error(F.lit("a hit has no id")).cast(kind)).otherwise(own)
+    unplaced = F.raise_error(F.lit("a hit has neither rank nor position")).cast("long")
+    at = F.when(F.col("rank") > 0, F.col("rank").cast("long")).otherwise(F.col(place).cast("long") + 1 if place else unplaced)
+    hits = hits.withColumn("_id", F.col(id_col)).withColumn(id_col, own).withColumn("_rank", at)
+    order = [F.asc("_rank"), F.desc("score"), F.asc("_id"), *([F.asc(place)] if place else [])]
     first = hits.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", id_col).orderBy(*order))).where("_n = 1").drop("_n")
     again = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
-    return again.where(F.col("rank") <= k)
+    return again.where(F.col("rank") <= k).drop("_rank", "_id")
+
+
+# --- retrievers: callables (queries, k) -> (query_id, id, score, rank) for all queries at once ---
+
+
+def static(hits: DataFrame):
+    """Gives the hits that it was given, cut at k; queries without any get none."""
+    return lambda queries, k: hits.where(F.col("rank") <= k).join(queries.select("query_id").distinct(), "query_id", "left_semi")
+
+
+FIXTURES = ("oracle", "first-gold", "empty")
+
+
+def fixture(name: str):
+    """A retriever that knows the answers: all expected ids in order (oracle), the first (first-gold), or none (empty).
+
+    Its queries have the lists expected_chunk_ids and expected_section_ids; where only sections are expected, a hit stands for each.
+    """
+    name = name.strip().lower()
+    if name not in FIXTURES:
+        raise ValueError(f"a fixture is one of {', '.join(FIXTURES)}, not {name!r}")
+
+    def retrieve(queries: DataFrame, k: int) -> DataFrame:
+        chunk_ids, section_ids = (F.coalesce(c, F.array().cast("array<string>")) for c in ("expected_chunk_ids", "expected_section_ids"))
+        none = F.lit(None).cast("string")
+        of_chunks = F.transform(chunk_ids, lambda c: F.struct(c.alias("chunk_id"), none.alias("section_id")))
+        of_sections = F.transform(section_ids, lambda c: F.struct(F.concat(F.lit("section-only::"), c).alias("chunk_id"), c.alias("section_id")))
+        gold = F.when(F.size(chunk_ids) > 0, of_chunks).otherwise(of_sections)
+        rows = queries.select("query_id", F.posexplode(gold).alias("at", "hit"))
+        rows = rows.where("false" if name == "empty" else "at = 0" if name == "first-gold" else F.col("at") < k)
+        return rows.select("query_id", "hit.*", (1.0 / (F.col("at") + 1)).alias("score"), (F.col("at") + 1).cast("long").alias("rank"))
+
+    return retrieve
+
+
+def question_key(question: Column) -> Column:
+    """A question regardless of case and blanks."""
+    return F.lower(X.collapsed(question))
+
+
+def canned(known: DataFrame):
+    """Hits by question, regardless of case and blanks; a question that is not known has none.
+
+    known: question, rank, score and what else a hit has. queries have question besides query_id.
+    """
+    keyed = known.select(question_key(F.col("question")).alias("_key"), *[c for c in known.columns if c != "question"])
+
+    def retrieve(queries: DataFrame, k: int) -> DataFrame:
+        if k <= 0:
+            raise ValueError("k must be positive")
+        asked = queries.select("query_id", question_key(F.col("question")).alias("_key"))
+        order = Window.partitionBy("query_id").orderBy(F.asc("rank"), F.desc("score"))
+        hits = asked.join(keyed, "_key").drop("_key")
+        return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+    return retrieve
+
+
+def hybrid(dense, lexical, depth: int = DEPTH, rrf_k: int = RRF_K, id_col: str = "chunk_id", carried: tuple[str, ...] = ("doc_id", "section_id")):
+    """A retriever that fuses two others, each asked for the best max(k, depth)."""
+    return lambda queries, k: fused(dense(queries, max(k, depth)), lexical(queries, max(k, depth)), k, depth, rrf_k, id_col, carried)

@@ -21,10 +21,31 @@ class Thresholds:
     no_hit: float = 0.20
 
     def __post_init__(self):
-        if min(self.k, self.n_support, self.thin) <= 0 or not 0 <= self.no_hit <= self.top1 <= 1:
+        scores = (self.top1, self.mean3, self.support, self.no_hit)
+        if min(self.k, self.n_support, self.thin) <= 0 or not all(0 <= s <= 1 for s in scores) or self.no_hit > self.top1:
             raise ValueError("thresholds out of range")
 
 
+UNIT = "unit_interval"
+
+
+def unit_scores(hits: DataFrame, normalization: str) -> DataFrame:
+    """hits, whose scores must be said to be of the unit interval, with any that is not in it an error when read."""
+    if normalization != UNIT:
+        raise ValueError(f"the gate takes scores of the {UNIT}, not {normalization!r}")
+    wrong = F.col("score").isNull() | F.isnan("score") | ~F.col("score").between(0, 1)
+    return hits.withColumn("score", F.when(wrong, F.raise_error(F.lit("a score is not of the unit interval")).cast("double")).otherwise(F.col("score").cast("double")))
+
+
+def as_contexts(hits: DataFrame) -> DataFrame:
+    """What citations are checked against, from hits with their chunks: query_id, chunk_id, text, start_offset, end_offset.
+
+    A blank chunk id or text is an error when read.
+    """
+    told = lambda c: F.when(X.blank(F.col(c)), F.raise_error(F.lit(f"a hit has no {c}")).cast("string")).otherwise(F.col(c)).alias(c)
+    return hits.select("query_id", told("chunk_id"), told("text"), "start_offset", "end_offset")
+
+
 def gate(hits: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """(query_id, top1, mean3, support, decision, reasons) from unit scores by rank.
 

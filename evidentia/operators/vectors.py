@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.functions import text as X
+from evidentia.operators import corpus, retrieval
 from evidentia.sources import tables
 
 BACKEND, METRIC = "exact-cosine", "cosine"
@@ -113,12 +116,74 @@ def with_chunks(hits: DataFrame, chunks: DataFrame, on: str = "chunk_id", strict
     return full.drop("_there", "_chunk_id")
 
 
+def identifier(name: str) -> str:
+    """A name that may stand in SQL: letters, digits and underscores, not a digit first; else an error."""
+    name = name.strip()
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError(f"{name!r} is no identifier: letters, digits and underscores, and no digit first")
+    return name
+
+
+def write_embeddings(chunks: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], model: str, path: str, source: str = "", batch: int = 32) -> dict:
+    """Embeds chunks (row_index, chunk_id, snapshot_id, text) and writes vectors and their metadata below path; returns the metadata.
+
+    Another number of vectors than of chunks, and vectors of several widths, are errors.
+    """
+    expected = chunks.count()
+    vectors = embedded(chunks.select("row_index", "chunk_id", "text"), load, "text", "vector", batch).drop("text")
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    rows, width = dimension(chunks.sparkSession.read.parquet(f"{path}/vectors"), "vector")
+    if rows != expected:
+        raise ValueError(f"{rows} vectors for {expected} chunks")
+    about = {"artifact_version": "v1", "source_chunks_path": source, "embedding_model_name": model, "vector_dimension": width, "row_count": rows, "snapshot_id": corpus.single_snapshot(chunks), "vectors_path": "vectors"}
+    tables.write_embedding_metadata(chunks.sparkSession, about, f"{path}/metadata")
+    return about
+
+
+def retriever(vectors: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame]):
+    """A retriever for questions: embed (query_id, question) -> (query_id, vector), search, chunks joined, unit scores besides raw ones.
+
+    vectors: chunk_id, vector; chunks: chunk_id and what a hit shall carry.
+    """
+
+    def retrieve(queries: DataFrame, k: int) -> DataFrame:
+        hits = retrieval.cosine(vectors, embed(queries), k, "chunk_id", "vector").withColumnRenamed("vec_id", "chunk_id")
+        return with_chunks(hits.withColumn("raw_score", F.col("score")).withColumn("score", retrieval.sound_unit_score(F.col("score"))), chunks)
+
+    return retrieve
+
+
+def smoke_report(vectors: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], question: str, k: int = 5, preview: int = 160) -> DataFrame:
+    """(rank, score, chunk_id, doc_title, section_path, source_url, source_path, preview): what one question finds.
+
+    vectors: row_index, chunk_id, vector; chunks the same with their texts; each row's chunk must be that of its vector.
+    """
+    question = " ".join(question.split())
+    if not question or k <= 0 or preview <= 0:
+        raise ValueError("need a question, and k and preview must be positive")
+    paired(chunks, vectors)
+    asked = embed(chunks.sparkSession.createDataFrame([(0, question)], "query_id int, question string"))
+    if asked.count() != 1:
+        raise ValueError("one question must have one vector")
+    hits = retrieval.cosine(vectors, asked, k, "row_index", "vector").withColumnRenamed("vec_id", "row_index")
+    full = with_chunks(hits.join(vectors.select("row_index", "chunk_id"), "row_index"), chunks, "row_index")
+    return full.select("rank", "score", "chunk_id", "doc_title", X.breadcrumb(F.col("section_path")).alias("section_path"), "source_url", "source_path", X.preview(F.col("text"), preview).alias("preview"))
+
+
+def smoke_text(report: DataFrame, question: str) -> str:
+    """A smoke report to read; it has k rows."""
+    rows = report.orderBy("rank").collect()
+    found = [f"[{r['rank']}] score={r.score:.6f} chunk_id={r.chunk_id}\n    title: {r.doc_title}\n    section_path: {r.section_path}\n    source_url: {r.source_url}\n    preview: {r.preview}" for r in rows]
+    return "\n\n".join([f'query: "{" ".join(question.split())}"', *(found or ["No matches returned."])])
+
+
 def promote(chunks: DataFrame, vectors: DataFrame, about: dict, prefix: str = "runtime") -> None:
     """Chunks, their vectors and one metadata record as the tables <prefix>_chunks, _embeddings and _metadata, each overwritten.
 
     Row counts are checked before anything is written. Each table is replaced on its own; its files
     lie in a folder of their own in the shared folder.
     """
+    prefix = identifier(prefix)
     rows, _ = dimension(vectors, "vector")
     found = chunks.count()
     if not rows == found == about["row_count"]:
@@ -143,6 +208,7 @@ ORDER BY d.raw_score DESC, c.chunk_id LIMIT :k
 
 def sql_search(spark: SparkSession, query: list[float], k: int, runtime_id: str, prefix: str = "runtime") -> DataFrame:
     """The k chunks nearest to one query vector in promoted tables, by SQL; raw_score is their cosine."""
+    prefix = identifier(prefix)
     if k <= 0 or not query:
         raise ValueError("need a query vector and a positive k")
     meta = spark.table(f"{prefix}_metadata").where(F.col("runtime_id") == runtime_id).first()

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import datetime
+import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
+from evidentia.sources.storage import file_system, kept, shared_folder  # noqa: F401
 
 MANIFEST = "snapshot_id string, source_path string, source_url string, doc_id string, language string, license string, attribution string, allowed boolean"
 SECTIONS = "snapshot_id string, doc_id string, section_id string, section_index int, doc_title string, heading string, section_path array<string>, source_path string, source_url string, license string, attribution string, language string, start_offset int, end_offset int, text string"
@@ -21,6 +23,11 @@ REGISTRY = "snapshot_id string, source_manifest_path string, doc_ids array<strin
 CONTEXTS = "doc_id string, chunk_id string, text string, start_offset int, end_offset int"
 HITS = "array<struct<chunk_id:string,score:double,rank:int,doc_id:string,section_id:string,metadata:map<string,int>>>"
 RESULTS = f"run_id string, query_id string, snapshot_id string, retriever_name string, retriever_type string, top_k int, answerable boolean, expected_chunk_ids array<string>, hit boolean, recall double, reciprocal_rank double, latency_ms double, hits {HITS}"
+SUMMARY = "run_id string, queries long, answerable long, unanswerable long, relevant long, with_results long, without_results long, hit_at_k double, recall_at_k double, mrr double, average_latency_ms double, p50_latency_ms double, p95_latency_ms double, max_latency_ms double"
+EMBEDDINGS = "artifact_version string, source_chunks_path string, embedding_model_name string, vector_dimension long, row_count long, snapshot_id string, vectors_path string"
+ROW_MAPPING = "row_index int, chunk_id string"
+EMBEDDING_MAP = "model_name string, vectors_by_text map<string,array<double>>"
+QUESTIONS = "request_id string, question string"
 INDEX = "backend_name string, metric string, vector_dimension long, row_count long, embedding_model_name string, snapshot_id string"
 RUNTIME = "runtime_id string, snapshot_id string, embedding_model_name string, vector_dimension long, row_count long"
 RUNTIME_NAMES = [part.split()[0] for part in RUNTIME.split(", ")]
@@ -29,23 +36,6 @@ SENSITIVE = ("content", "final_answer", "model_output", "output_text", "prompt",
 THRESHOLDS = {"k": "k", "T_top1": "top1", "T_mean3": "mean3", "T_support": "support", "N_support": "n_support", "L_thin_max": "thin", "T_nohit": "no_hit"}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="evidentia-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder; its rows are computed once."""
-    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; blank lines are skipped and a bad line is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -85,6 +75,20 @@ def write_results(results: DataFrame, path: str) -> None:
     write_jsonl(results.select(*sorted(results.columns)), path)
 
 
+def write_summary(summary: DataFrame, name: str, path: str) -> None:
+    """A run's summary as one JSON object, its fields by name."""
+    row = summary.first().asDict()  # one row
+    write_json_object(summary.sparkSession, {"run_id": name, **row}, ", ".join(sorted(SUMMARY.split(", "))), path)
+
+
+def read_summary(spark: SparkSession, path: str) -> dict:
+    """A run's summary; anything but one object is an error."""
+    rows = read_json_object(spark, path, SUMMARY).take(2)
+    if len(rows) != 1 or rows[0].run_id is None:
+        raise ValueError(f"no run summary at {path}")
+    return rows[0].asDict()
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     return read_objects(spark, path, RESULTS)
 
@@ -108,6 +112,21 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return read_jsonl(spark, path, MANIFEST)
+
+
+def read_sections(spark: SparkSession, path: str) -> DataFrame:
+    return read_jsonl(spark, path, SECTIONS)
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, question) of requests as JSONL; a request without a question is an error when read."""
+    rows = read_jsonl(spark, path, QUESTIONS)
+    blank = F.raise_error(F.lit("a request has no question")).cast("string")
+    return rows.select(X.request_id(F.col("request_id")).alias("query_id"), F.when(X.blank(F.col("question")), blank).otherwise(X.stripped(F.col("question"))).alias("question"))
+
+
 def read_contexts(spark: SparkSession, path: str) -> DataFrame:
     return read_json_object(spark, path, CONTEXTS)
 
@@ -132,22 +151,111 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of whole files."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder)
+    rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """(path, text) of whole files below root; paths are relative to it."""
+    files, at = file_system(spark, root)
+    base = files.getFileStatus(at).getPath().toUri().getPath().rstrip("/") + "/"
+    texts = read_texts(spark, root)
+    return texts.select(F.substring_index("path", base, -1).alias("path"), "text")
+
+
 def read_matrix(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """(row_index, vector) of a file of float32 rows; its size must be a multiple of a row's."""
+    """(row_index, vector) of the float32 rows of a file, or of a folder's files in the order of their names.
+
+    A file's size must be a multiple of a row's; a task reads one file, which may have 2 GB. Parquet is the form that splits.
+    """
     if width <= 0:
         raise ValueError("width must be positive")
-    size = spark.read.format("binaryFile").load(path).select("length").first().length
-    if size % (4 * width):
-        raise ValueError(f"{size} bytes are no whole rows of {width} float32 values")
-    if not size:
-        return spark.createDataFrame([], "row_index long, vector array<float>")
-    # Rows of a fixed length are split at their bounds, and only an RDD numbers them in file order.
-    records = spark.sparkContext.binaryRecords(path, 4 * width).zipWithIndex()
-    return spark.createDataFrame(records.map(lambda r: (r[1], np.frombuffer(r[0], "<f4").tolist())), "row_index long, vector array<float>")
+    files = spark.read.format("binaryFile").load(path)
+    sizes = sorted((r.path, r.length) for r in files.select("path", "length").collect())  # a row per file
+    before, first = 0, {}
+    for name, size in sizes:
+        if size % (4 * width):
+            raise ValueError(f"{size} bytes are no whole rows of {width} float32 values")
+        first[name], before = before, before + size // (4 * width)
+
+    def run(batches):
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = np.frombuffer(raw.as_buffer(), "<f4").reshape(-1, width)
+                for at in range(0, len(rows), 4096):
+                    part = rows[at : at + 4096]
+                    ends = pa.array(np.arange(len(part) + 1) * width, pa.int32())
+                    index = pa.array(np.arange(len(part)) + at + first[name], pa.int64())
+                    yield pa.RecordBatch.from_arrays([index, pa.ListArray.from_arrays(ends, pa.array(part.reshape(-1)))], names=["row_index", "vector"])
+
+    return files.select("path", "content").mapInArrow(run, "row_index long, vector array<float>")
+
+
+def write_matrix(vectors: DataFrame, path: str) -> tuple[int, int]:
+    """The vectors by row_index as one file of float32 rows, for tools that read no Parquet; (rows, width).
+
+    No rows, no components and several widths are errors. Rows pass the driver a partition at a time.
+    """
+    spark = vectors.sparkSession
+    size = F.coalesce(F.size("vector"), F.lit(-1))
+    facts = vectors.agg(F.count("*").alias("n"), F.min(size).alias("lo"), F.max(size).alias("hi")).first()
+    if not facts.n or facts.lo <= 0 or facts.lo != facts.hi:
+        raise ValueError("no vectors" if not facts.n else f"vectors have {facts.lo} to {facts.hi} components")
+    files, at = file_system(spark, path)
+    out = files.create(at, True)
+    try:
+        held = []
+        for row in vectors.orderBy("row_index").select(F.col("vector").cast("array<float>").alias("vector")).toLocalIterator():
+            held.append(row.vector)
+            if len(held) == 4096:
+                out.write(bytearray(np.array(held, "<f4").tobytes()))
+                held = []
+        if held:
+            out.write(bytearray(np.array(held, "<f4").tobytes()))
+    finally:
+        out.close()
+    return facts.n, facts.lo
+
+
+def write_embedding_metadata(spark: SparkSession, about: dict, path: str) -> None:
+    """One JSON object that says what vectors are of: the fields of EMBEDDINGS."""
+    write_json_object(spark, about, EMBEDDINGS, path)
+
+
+def read_embedding_metadata(spark: SparkSession, path: str) -> dict:
+    rows = read_json_object(spark, path, EMBEDDINGS).take(2)
+    if len(rows) != 1 or rows[0].row_count is None:
+        raise ValueError(f"no embedding metadata at {path}")
+    return rows[0].asDict()
+
+
+def write_row_mapping(mapping: DataFrame, path: str) -> None:
+    """(row_index, chunk_id): which chunk the vector of each row is of."""
+    write_jsonl(mapping.select("row_index", "chunk_id"), path)
+
+
+def read_row_mapping(spark: SparkSession, path: str) -> DataFrame:
+    return read_jsonl(spark, path, ROW_MAPPING)
+
+
+def read_embedding_map(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+    """(model name, (text, vector)) of a JSON object; texts must not be blank and vectors must share one width."""
+    row = read_json_object(spark, path, EMBEDDING_MAP)
+    head = row.select("model_name").take(2)
+    if len(head) != 1 or not (head[0].model_name or "").strip():
+        raise ValueError(f"no embedding map at {path}")
+    rows = row.select(F.explode("vectors_by_text").alias("text", "vector")).select(X.stripped(F.col("text")).alias("text"), "vector")
+    size = F.coalesce(F.size("vector"), F.lit(0))
+    facts = rows.agg(F.count("*").alias("n"), F.min(size).alias("lo"), F.max(size).alias("hi"), F.count(F.when(X.blank(F.col("text")), 1)).alias("blank")).first()
+    if not facts.n or facts.blank or facts.lo <= 0 or facts.lo != facts.hi:
+        raise ValueError(f"{facts.n} texts, {facts.blank} of them blank, with vectors of {facts.lo} to {facts.hi} components")
+    return head[0].model_name.strip(), rows
+
+
+def write_embedding_map(known: DataFrame, model_name: str, path: str) -> None:
+    """(text, vector) as one JSON object; a map of this kind is small, and larger ones are tables."""
+    rows = known.agg(F.map_from_entries(F.collect_list(F.struct("text", F.col("vector").cast("array<double>")))).alias("vectors_by_text"))
+    rows.select(F.lit(model_name).alias("model_name"), "vectors_by_text").coalesce(1).write.mode("overwrite").json(path)
 
 
 def read_thresholds(spark: SparkSession, path: str) -> dict:
@@ -174,3 +282,14 @@ def read_thresholds(spark: SparkSession, path: str) -> dict:
 def redacted(events: DataFrame, names: tuple[str, ...] = SENSITIVE) -> DataFrame:
     """Events with a mark in place of what logs must not carry; null stays null."""
     return events.select(*[F.when(F.col(c).isNotNull(), "[redacted]").alias(c) if c.lower() in names else F.col(c) for c in events.columns])
+
+
+def log_line(event: str, names: tuple[str, ...] = SENSITIVE, **fields) -> str:
+    """One line of JSON for the driver's log: time, event, and fields, those of sensitive names marked at any depth."""
+
+    def safe(value):
+        if isinstance(value, dict):
+            return {k: "[redacted]" if k.lower() in names and v is not None else safe(v) for k, v in value.items()}
+        return [safe(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+    return json.dumps({"time": datetime.datetime.now(datetime.UTC).isoformat(), "event": event, **safe(fields)}, sort_keys=True, default=str)
