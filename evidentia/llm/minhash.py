@@ -41,7 +41,7 @@ ROWS, BANDS = 5, 30
 SAMPLES = ROWS * BANDS
 BINS, BITS, SIGMAS = 1024, 2048, 6
 CLOSEST = 4
-CELL = 1024
+CELL = 512
 CARRIED = 4096
 #: A band's members are spread over so many shares before they are joined to what is known of the band.
 SHARES = 64

@@ -1,87 +1,25 @@
-"""Intermediate tables in the shared folder, and what a job needs of its session.
-
-All tables of a session lie in one folder of the shared folder. drop() deletes one that is no longer read,
-clear() all of them; what is left goes when the driver ends.
-"""
+"""What a job of this subpackage needs of its session and its workers; tables lie in the library's shared folder."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from evidentia.sources.storage import clear, drop, fresh_path, shared_folder, written  # noqa: F401
 
 #: Rows per Arrow batch: texts may be long, and a worker holds a whole batch.
 BATCH_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keeps Arrow batches of texts small."""
+    """Keeps Arrow batches of texts small. The setting is the session's and is read when a job is planned, so it
+    stays: other queries of the session get batches of this size, too, and the same results."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set and driver and executors are one machine."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="evidentia-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def _session_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/evidentia-{spark.sparkContext.applicationId}"
-
-
-_leaving: set[str] = set()
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    folder = _session_folder(spark)
-    if folder not in _leaving:
-        _leaving.add(folder)
-        atexit.register(_left, spark, folder)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, with its lineage cut."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def drop(table: DataFrame) -> None:
-    """Deletes the files of a written() table that nothing reads any more."""
-    spark = table.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        if f"/evidentia-{spark.sparkContext.applicationId}/" in path:
-            _delete(spark, path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes all tables of this session; DataFrames that read them end."""
-    _delete(spark, _session_folder(spark))
-
-
-def _left(spark: SparkSession, folder: str) -> None:
-    if SparkContext._active_spark_context is spark.sparkContext:  # still there
-        _delete(spark, folder)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
