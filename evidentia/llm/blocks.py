@@ -45,8 +45,8 @@ def packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def pack(df: DataFrame, order: str, most: int = BLOCK_BYTES) -> DataFrame:
-    """df as (block, payload), dealt by block over the shuffle partitions.
+def pack(df: DataFrame, order: str, most: int, tasks: int) -> DataFrame:
+    """df as (block, payload), dealt by block over as many tasks.
 
     Rows of a block are in the order of the column `order`, nulls first. A block's number
     is a digest of its payload: a task that runs again makes the same blocks from the same rows,
@@ -60,9 +60,7 @@ def pack(df: DataFrame, order: str, most: int = BLOCK_BYTES) -> DataFrame:
             number = int.from_bytes(hashlib.blake2b(payload, digest_size=8).digest(), "little", signed=True)
             yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
-    from evidentia.llm.storage import partitions
-
-    return df.mapInArrow(run, BLOCK_SCHEMA).repartition(partitions(df.sparkSession), "block")
+    return df.mapInArrow(run, BLOCK_SCHEMA).repartition(tasks, "block")
 
 
 def unanswered(block: int) -> Exception:

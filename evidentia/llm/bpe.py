@@ -108,7 +108,12 @@ def _ask(text_col: str, buckets: int):
                 w = _Words(B.opened(payload.as_buffer()), text_col, buckets, True)
                 for bucket, part in w.buckets.items():
                     table = pa.table({"w": pa.array([w.words[i] for i in part.tolist()], pa.string())})
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "payload": pa.array([B.packed_table(table)], pa.binary())})
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()),
+                            "payload": pa.array([B.packed_table(table)], pa.binary())
+                        }
+                    )
 
     return run
 
@@ -131,7 +136,12 @@ def _encode_words(ranks):
                 sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
                 flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
                 table = pa.table({"v": pa.array([sizes.tobytes(), flat.tobytes()], pa.binary())})
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "payload": pa.array([B.packed_table(table)], pa.binary())})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "block": pa.array([block], pa.int64()), "bucket": pa.array([bucket], pa.int32()),
+                        "payload": pa.array([B.packed_table(table)], pa.binary())
+                    }
+                )
 
     return run
 
@@ -186,16 +196,22 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     prepare(spark)
-    own = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} | ({"ids": T.ArrayType(T.IntegerType())} if with_ids else {})
+    own = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} | (
+        {"ids": T.ArrayType(T.IntegerType())} if with_ids else {}
+    )
     docs = docs.drop(*[c for c in own if c in docs.columns])
     schema = T.StructType([f for f in docs.schema.fields if f.name != text_col] + [T.StructField(k, v) for k, v in own.items()])
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))  # a fixed vocabulary
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(partitions(spark), -(-size // TASK_BYTES))
-    rows = B.pack(docs, id_col)
+    rows = B.pack(docs, id_col, B.BLOCK_BYTES, n)
     asked = rows.mapInArrow(_ask(text_col, n), _WORDS).repartitionById(n, F.col("bucket"))
-    answers = asked.mapInArrow(_encode_words(ranks), _WORDS).groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
-    return rows.join(answers, "block", "left").select("block", "payload", "answers").mapInArrow(_assemble(text_col, n, ranks, schema.names, with_ids), schema)
+    answers = asked.mapInArrow(_encode_words(ranks), _WORDS).groupBy("block").agg(
+        F.collect_list(F.struct("bucket", "payload")).alias("answers")
+    )
+    return rows.join(answers, "block", "left").select("block", "payload", "answers").mapInArrow(
+        _assemble(text_col, n, ranks, schema.names, with_ids), schema
+    )
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

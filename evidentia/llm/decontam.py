@@ -88,7 +88,11 @@ class TestIndex:
         index = np.minimum(self.at[some][:, None] + np.arange(self.width), len(self.hashes) - 1)
         low = self.rank(self.hashes[index.reshape(-1)]).reshape(index.shape)
         beyond = np.arange(self.width) >= self.depth[some][:, None]
-        return tuple(np.ascontiguousarray(np.where(beyond, np.uint32(fill), low).astype(">u4")).view(f"S{4 * self.width}").reshape(-1) for fill in (0, 0xFFFFFFFF))
+        return tuple(
+            np.ascontiguousarray(
+                np.where(beyond, np.uint32(fill), low).astype(">u4")
+            ).view(f"S{4 * self.width}").reshape(-1) for fill in (0, 0xFFFFFFFF)
+        )
 
     def rank(self, hashes: np.ndarray) -> np.ndarray:
         """1 + the place in the vocabulary, 0 outside it."""
@@ -155,13 +159,28 @@ def _longest(index: TestIndex, window: np.ndarray, place: np.ndarray) -> list[di
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(order)) - 1
     return [
-        {"item_id": index.ids[int(item[a])], "item_start": int(start[a]), "doc_start": int(place[a]), "n_words": int(place[b] - place[a] + depth[b])}
+        {
+            "item_id": index.ids[int(item[a])], "item_start": int(start[a]), "doc_start": int(place[a]),
+            "n_words": int(place[b] - place[a] + depth[b])
+        }
         for a, b in zip(head, tail) if len(order)
     ]
 
 
-_MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_start", T.LongType()), T.StructField("doc_start", T.LongType()), T.StructField("n_words", T.LongType())]))
-_OWN = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
+_MATCH = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("item_id", T.StringType()), T.StructField("item_start", T.LongType()), T.StructField("doc_start", T.LongType()),
+            T.StructField("n_words", T.LongType())
+        ]
+    )
+)
+_OWN = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
+        T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())
+    ]
+)
 
 
 def _search(block, text_col: str, width: int, out_names: list[str], last: bool, with_matches: bool):
@@ -183,7 +202,9 @@ def _search(block, text_col: str, width: int, out_names: list[str], last: bool,
             else:
                 if _FOUND in table.column_names:
                     table = table.drop_columns([_FOUND])
-                yield from table.append_column(_FOUND, pa.array([json.dumps(f) for f in found])).select(out_names).combine_chunks().to_batches()
+                yield from table.append_column(
+                    _FOUND, pa.array([json.dumps(f) for f in found])
+                ).select(out_names).combine_chunks().to_batches()
 
     return run
 
@@ -211,16 +232,22 @@ def _sieve(items: DataFrame, gram: int, bits: int) -> np.ndarray:
             np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
         for i in range(0, len(out), piece):
             if out[i : i + piece].any():
-                yield pa.RecordBatch.from_pydict({"i": pa.array([i // piece], pa.int32()), "bits": pa.array([out[i : i + piece].tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict(
+                    {"i": pa.array([i // piece], pa.int32()), "bits": pa.array([out[i : i + piece].tobytes()], pa.binary())}
+                )
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held[i] = held.get(i, 0) | np.frombuffer(raw, np.uint8)
-        yield pa.RecordBatch.from_pydict({"i": pa.array(list(held), pa.int32()), "bits": pa.array([v.tobytes() for v in held.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict(
+            {"i": pa.array(list(held), pa.int32()), "bits": pa.array([v.tobytes() for v in held.values()], pa.binary())}
+        )
 
-    spread = items.select("t").repartition(8).mapInArrow(mark, "i int, bits binary").repartition(8, "i").mapInArrow(merge, "i int, bits binary")
+    spread = items.select("t").repartition(8).mapInArrow(mark, "i int, bits binary").repartition(8, "i").mapInArrow(
+        merge, "i int, bits binary"
+    )
     out = np.zeros(1 << (bits - 3), np.uint8)
     for i, raw in spread.collect():  # a bitmap of a set size
         out[i * piece : i * piece + len(raw)] = np.frombuffer(raw, np.uint8)
@@ -256,7 +283,9 @@ def _apply(index: TestIndex, texts, found: list, counts: list[int], with_matches
             at, which = place[part] - w.first[k], window[part]
             spans = np.unique(np.stack([at, at + index.depth[which]], axis=1), axis=0)
             different = np.unique(which)
-            owners = np.unique(index.owner_item[K.ragged(index.owner_at[different], index.owner_at[different + 1] - index.owner_at[different])])
+            owners = np.unique(
+                index.owner_item[K.ragged(index.owner_at[different], index.owner_at[different + 1] - index.owner_at[different])]
+            )
             one = found[w.lo + k]
             one[0] += spans.tolist()
             one[1] += [index.ids[i] for i in owners.tolist()]
@@ -279,12 +308,17 @@ def _digest(table: pa.Table, found: list, counts: list[int], out_names: list[str
     table = table.append_column("items_sha256", pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]))
     table = table.append_column("contaminated", pa.array([x > 0 for x in hits]))
     if with_matches:
-        kind = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("n_words", pa.int64())]))
+        kind = pa.list_(
+            pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("n_words", pa.int64())])
+        )
         table = table.append_column("matches", pa.array([f[2] for f in found], kind))
     yield from table.select(out_names).combine_chunks().to_batches()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, with_text: bool = True, with_matches: bool = False) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH,
+    with_text: bool = True, with_matches: bool = False
+) -> DataFrame:
     """The rows of docs with n_words, n_hit, n_items, items_sha256, contaminated and,
     if asked for, matches: the longest verbatim matches and their locations.
 
@@ -295,7 +329,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     prepare(spark)
     own = [f.name for f in _OWN.fields] + ["matches", _FOUND, _MAYBE]
     docs = docs.drop(*[c for c in own if c in docs.columns])
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).where("i is not null")
+    items = benchmark.select(
+        F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")
+    ).where("i is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
     final = T.StructType([f for f in docs.schema.fields if with_text or f.name != text_col] + _OWN.fields)

@@ -95,7 +95,9 @@ class Index:
         """By subspace, the product of every book entry with every query."""
         return [(book @ query[:, a:b].T).astype(np.float32) for book, a, b in zip(self.books, self.cuts[:-1], self.cuts[1:])]
 
-    def within(self, query: np.ndarray, lists: np.ndarray, own: np.ndarray, point: np.ndarray, codes: np.ndarray, left: np.ndarray) -> np.ndarray:
+    def within(
+        self, query: np.ndarray, lists: np.ndarray, own: np.ndarray, point: np.ndarray, codes: np.ndarray, left: np.ndarray
+    ) -> np.ndarray:
         """Which members (rows) can be within reach of which queries, by table lookups; a member's list is lists[own].
 
         The squared distance of a query q to a member's point c + b is |q|^2 + |c + b|^2 - 2 q.c - 2 q.b, and
@@ -158,19 +160,26 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str =
     spark = df.sparkSession
     prepare(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    sound = F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0)
+    sound = F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists(
+        "v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))
+    ) & F.exists("v", lambda e: e != 0)
     good = rows.where(sound).groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
     good = written(good, "vectors")
     sizes = good.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()  # a row per length
     ids = rows.select("id")
     if not sizes:
-        return ids.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return ids.select(
+            F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")
+        )
     found = reduce(DataFrame.union, [_found(good.where(F.size("v") == r["d"]), r["count"], threshold) for r in sizes])
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n_links")).withColumnRenamed("a", "id")
     groups = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("id", "of")
     out = ids.join(links, "id", "left").join(groups, F.col("id") == F.col("of"), "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
+    )
 
 
 def _found(good: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -208,12 +217,21 @@ def _found(good: DataFrame, n: int, threshold: float) -> DataFrame:
     asking = written(placed.select("id", "v").mapInArrow(ask, "id long, v array<double>, shelves array<int>"), "shelves")
     members = np.bincount(shelf.value[1], held).astype(np.int64)
     chunks = lambda n: max(1, -(-int(n) // CHUNK))
-    load = [(r["shelf"], chunks(members[r["shelf"]]), chunks(r["count"])) for r in asking.select(F.explode("shelves").alias("shelf")).groupBy("shelf").count().collect()]
+    load = [
+        (r["shelf"], chunks(members[r["shelf"]]), chunks(r["count"])) for r in asking.select(
+            F.explode("shelves").alias("shelf")
+        ).groupBy("shelf").count().collect()
+    ]
     load = F.broadcast(spark.createDataFrame(load, "shelf int, members int, askers int"))
     lists = F.broadcast(spark.createDataFrame(list(enumerate(shelf.value[1].tolist())), "list int, shelf int"))
     part = lambda c, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(c)).cast("int")
-    members = placed.join(lists, "list").join(load, "shelf").select("shelf", part("members", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("q"), "id", "v", "list")
-    askers = asking.select("id", "v", F.explode("shelves").alias("shelf")).join(load, "shelf").select("shelf", F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("m"), part("askers", "q").alias("q"), F.col("id").alias("asker"), F.col("v").alias("w"))
+    members = placed.join(lists, "list").join(load, "shelf").select(
+        "shelf", part("members", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("q"), "id", "v", "list"
+    )
+    askers = asking.select("id", "v", F.explode("shelves").alias("shelf")).join(load, "shelf").select(
+        "shelf", F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("m"), part("askers", "q").alias("q"),
+        F.col("id").alias("asker"), F.col("v").alias("w")
+    )
 
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -246,7 +264,12 @@ def _found(good: DataFrame, n: int, threshold: float) -> DataFrame:
         ids, links = np.unique(np.concatenate(counts), return_counts=True)
         a, b = np.concatenate(pairs, axis=1)
         a, b = _forest(a, b)
-        return pa.table({"kind": pa.array([0] * len(ids) + [1] * len(a), pa.int32()), "a": pa.array(np.concatenate([ids, a]), pa.int64()), "b": pa.array(np.concatenate([links, b]), pa.int64())})
+        return pa.table(
+            {
+                "kind": pa.array([0] * len(ids) + [1] * len(a), pa.int32()), "a": pa.array(np.concatenate([ids, a]), pa.int64()),
+                "b": pa.array(np.concatenate([links, b]), pa.int64())
+            }
+        )
 
     keys = ["shelf", "m", "q"]
     return written(members.groupBy(*keys).cogroup(askers.groupBy(*keys)).applyInArrow(compare, _EDGE), "found")

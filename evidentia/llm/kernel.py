@@ -253,6 +253,21 @@ def distinct_at(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(mark), (np.cumsum(mark) - 1)[own]
 
 
+def first_of(hashes: np.ndarray) -> np.ndarray:
+    """For every hash, where the first equal one stands; as distinct_at, by one probe of a table where that settles it."""
+    n = len(hashes)
+    bits = 18 if n < 60_000 else 22
+    slot = hashes >> np.uint64(64 - bits)
+    table = np.empty(1 << bits, dtype=np.int32)
+    table[slot[::-1]] = np.arange(n - 1, -1, -1, dtype=np.int32)
+    own = table[slot].astype(np.int64)
+    lost = np.flatnonzero(hashes[own] != hashes)
+    if len(lost):
+        _, at, inverse = np.unique(hashes[lost], return_index=True, return_inverse=True)
+        own[lost] = lost[at[inverse]]
+    return own
+
+
 class Pieces(NamedTuple):
     """Spans of code points of texts lo..hi-1; span i is text[start[i]:end[i]] of
     their concatenation, those of text lo+k are first[k]..first[k+1]-1."""

@@ -169,7 +169,9 @@ def learned(lattice: Lattice, words: list[str], counts: np.ndarray, rounds: int
             for l in range(1, longest + 1):
                 own = ids[:, : n - l + 1, l - 1]
                 p = prob[own] if l == 1 else np.where(own[..., None] > 0, prob[own], 0)
-                share = alpha[:, : n - l + 1] * p * beta[:, l:] * np.exp(a_log[:, : n - l + 1] + b_log[:, l:] - whole) * counts[part][:, None]
+                share = alpha[:, : n - l + 1] * p * beta[:, l:] * np.exp(
+                    a_log[:, : n - l + 1] + b_log[:, l:] - whole
+                ) * counts[part][:, None]
                 for k in range(n_langs):
                     expected[:, k] += np.bincount(own.reshape(-1), share[..., k].astype(float).reshape(-1), lattice.n)
         prob = _normalised(expected)
@@ -237,10 +239,16 @@ def _counted(batches):
                 n = np.bincount(inverse[mine], minlength=len(words))
                 at = np.flatnonzero(n)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([words[i] for i in at.tolist()]), pa.array(n[at], pa.int64())], names=["lang", "word", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(at)), pa.array([words[i] for i in at.tolist()]), pa.array(n[at], pa.int64())],
+                        names=["lang", "word", "n"]
+                    )
 
 
-def train(labelled: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS):
+def train(
+    labelled: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    sample_docs: int = SAMPLE_DOCS
+):
     """(pieces, languages, probabilities) from rows whose lang is not null."""
     prepare(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -251,7 +259,9 @@ def train(labelled: DataFrame, model_path: str, id_col: str = "doc_id", text_col
         return pieces, langs, np.zeros((len(pieces) + 1, 0))
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30))
     most = functools.reduce(lambda e, l: e.when(F.col(lang_col) == l, F.lit(int((1 << 30) * min(1, sample_docs / many[l])))), langs, F)
-    counted = rows.where(place < most).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(_counted, "lang string, word string, n long")
+    counted = rows.where(place < most).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(
+        _counted, "lang string, word string, n long"
+    )
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).coalesce(1)
 
     def fit(batches):
@@ -288,10 +298,14 @@ def identify(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
                 names, scores = scorer.predict(batch.column(schema.names.index(text_col)))
             else:
                 names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*schema.names, "lang_pred", "score"]
+            )
         del scorer
         release_memory()
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(
+        run, T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    )

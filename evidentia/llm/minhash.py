@@ -106,7 +106,14 @@ def _signatures(width: int):
             one = [int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
             two = [int(K.mix64(s ^ np.uint64(0x6A09E667F3BCC909)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, longs), pa.array([n for n, _ in sketches], pa.int32()), pa.array([x for _, x in sketches], longs)], names=["id", "n_shingles", "k1", "k2", "keys", "n_bins", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()),
+                    pa.array(two, pa.int64()), pa.array(keys, longs), pa.array([n for n, _ in sketches], pa.int32()),
+                    pa.array([x for _, x in sketches], longs)
+                ],
+                names=["id", "n_shingles", "k1", "k2", "keys", "n_bins", "sketch"]
+            )
         release_memory()
 
     return run
@@ -120,7 +127,9 @@ def _linked(width: int, percent: int):
             for x, y in zip(left, right):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"]
+            )
 
     return run
 
@@ -273,7 +282,9 @@ def _cells(percent: int, closest: int = 0):
             x = ids[np.concatenate([np.array([p for p, _ in found], np.int64), x[first]])]
             y = ids[np.concatenate([np.array([p for _, p in found], np.int64), y[first]])]
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.arange(len(x)) < sure)], names=["a", "b", "sure"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.arange(len(x)) < sure)], names=["a", "b", "sure"]
+                )
 
     def run(batches):
         held, current = [], None
@@ -301,7 +312,9 @@ def _cells(percent: int, closest: int = 0):
 
 def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     """(key, id, component) of the bands that hold several components of these links."""
-    rows = written(members.join(components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
+    rows = written(
+        members.join(components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed"
+    )
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     return written(rows.join(mixed, "key", "left_semi"), "mixed")
 
@@ -317,7 +330,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(texts.mapInArrow(_signatures(width), _SIGNATURE), "signatures")
     sets = signed.where("n_shingles > 0 and id is not null")
     classes = sets.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("rep"))
-    reps = written(sets.join(classes, ["k1", "k2", "n_shingles"]).where("id = rep").dropDuplicates(["id", "k1", "k2"]).select("id", "n_shingles", "keys", "n_bins", "sketch"), "representatives")
+    reps = written(
+        sets.join(classes, ["k1", "k2", "n_shingles"]).where("id = rep").dropDuplicates(["id", "k1", "k2"]).select(
+            "id", "n_shingles", "keys", "n_bins", "sketch"
+        ),
+        "representatives"
+    )
 
     keyed = reps.select("id", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head < tail").drop("tail")
@@ -343,12 +361,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def across(placed: DataFrame, carried: DataFrame | None = None, closest: int = 0) -> DataFrame:
         # Only bands of several cells are looked up, by shares of their members, so that no task gets a whole band.
         share = F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int").alias("share")
-        counts = placed.groupBy("key", share).agg(F.count("*").alias("m")).groupBy("key").agg(F.ceil(F.sum("m") / CELL).cast("int").alias("n"))
+        counts = placed.groupBy("key", share).agg(F.count("*").alias("m")).groupBy("key").agg(
+            F.ceil(F.sum("m") / CELL).cast("int").alias("n")
+        )
         large = counts.where("n > 1").select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
         n = F.coalesce("n", F.lit(1))
         part = F.pmod(F.xxhash64("id", F.lit("cell")), n).cast("int")
-        dealt = placed.withColumn("share", share).join(large, ["key", "share"], "left").select("key", "id", "component", part.alias("side"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
-        dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "component").join(carried or reps, "id")
+        dealt = placed.withColumn("share", share).join(large, ["key", "share"], "left").select(
+            "key", "id", "component", part.alias("side"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other")
+        )
+        dealt = dealt.select(
+            "key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "component"
+        ).join(carried or reps, "id")
         dealt = dealt.repartition(partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
         return written(dealt.mapInArrow(_cells(percent, closest), "a long, b long, sure boolean"), "across")
 
@@ -361,8 +385,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(joined(across(_placed(members.select("key", "id").join(large, "id", "left_semi"), links))))
     found = components(links)
 
-    of_class = classes.join(found, classes.rep == found.id, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    of_class = classes.join(found, classes.rep == found.id, "left").select(
+        "k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id")
+    )
     out = signed.select("id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(
+        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
+    )

@@ -29,7 +29,11 @@ WIDTH = 3.0
 RIDGE = 1e-3
 BINS = 2048
 THRESHOLD = 0.3
-_BYTES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "blank": (9, 10, 11, 12, 13, 32), "line": (10,), "stop": (46,), "comma": (44,), "bang": (33, 63), "bar": (124,), "symbol": (*range(35, 39), 42, 43, 60, 61, 62, 64, 92, 94, 95, 96, 123, 125, 126), "beyond": range(128, 256)}
+_BYTES = {
+    "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "blank": (9, 10, 11, 12, 13, 32), "line": (10,), "stop": (46,),
+    "comma": (44,), "bang": (33, 63), "bar": (124,), "symbol": (*range(35, 39), 42, 43, 60, 61, 62, 64, 92, 94, 95, 96, 123, 125, 126),
+    "beyond": range(128, 256)
+}
 NAMES = [*_BYTES, "log_words", "log_word_bytes", "long_words", "short_words", "distinct", "again", "top", "shout", "ragged"]
 
 
@@ -53,7 +57,10 @@ def statistics(column) -> np.ndarray:
         tail = w.buf[w.end - 1] if len(w.end) else np.zeros(0, np.uint8)
         odd = ~((tail >= 128) | ((tail >= 48) & (tail < 58)) | ((tail >= 65) & (tail < 91)) | ((tail >= 97) & (tail < 123)))
         rows = [sums[k] / size for k in _BYTES]
-        rows += [np.log1p(n), np.log1p(per_text(length) / many), per_text(length > 12) / many, per_text(length < 4) / many, distinct / many, per_text(again) / many, top / many, per_text(upper) / many, per_text(odd) / many]
+        rows += [
+            np.log1p(n), np.log1p(per_text(length) / many), per_text(length > 12) / many, per_text(length < 4) / many, distinct / many,
+            per_text(again) / many, top / many, per_text(upper) / many, per_text(odd) / many
+        ]
         out.append(np.stack(rows, axis=1))
     return np.concatenate(out).astype(np.float64) if out else np.zeros((0, len(NAMES)))
 
@@ -138,7 +145,9 @@ def fit(rows: DataFrame):
         yield _rows_of(sorted(held.items()))
 
     kind = "i int, row binary"
-    normal = rows.where("not calibrate").select("x", "y").mapInArrow(partial, kind).repartition(partitions(spark), "i").mapInArrow(summed, kind)
+    normal = rows.where("not calibrate").select("x", "y").mapInArrow(partial, kind).repartition(partitions(spark), "i").mapInArrow(
+        summed, kind
+    )
     matrix = np.zeros((FEATURES + 1, FEATURES + 2))
     for i, row in normal.collect():  # as many rows as features
         matrix[i] = np.frombuffer(row)
@@ -148,7 +157,9 @@ def fit(rows: DataFrame):
 
     def binned(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_bins(fourier(_matrix(batch.column(0)), mean, scale) @ weights), pa.int32()), batch.column(1)], names=["bin", "y"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_bins(fourier(_matrix(batch.column(0)), mean, scale) @ weights), pa.int32()), batch.column(1)], names=["bin", "y"]
+            )
 
     bins = rows.where("calibrate").select("x", F.col("y").cast("int").alias("y")).mapInArrow(binned, "bin int, y int")
     bins = sorted(bins.groupBy("bin").agg(F.avg("y"), F.count("*")).collect())  # at most BINS rows
@@ -160,7 +171,9 @@ def fit(rows: DataFrame):
 
 def _rows_of(pairs) -> pa.RecordBatch:
     pairs = list(pairs)
-    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int32()), pa.array([r.tobytes() for _, r in pairs], pa.binary())], names=["i", "row"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([i for i, _ in pairs], pa.int32()), pa.array([r.tobytes() for _, r in pairs], pa.binary())], names=["i", "row"]
+    )
 
 
 def _bins(values: np.ndarray) -> np.ndarray:
@@ -184,7 +197,10 @@ def scored(rows: DataFrame, model) -> DataFrame:
     return rows.select("id", "x").mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("score", T.DoubleType())]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    threshold: float = THRESHOLD
+) -> DataFrame:
     """(id_col, held_out, score, predicted) for every row of docs.
 
     Rows whose crc32 of the id as text is a multiple of 5 are held out: their labels are not
@@ -196,4 +212,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     usable = rows.join(y, "id").where(fold != 0).select("x", "y", (fold == 1).alias("calibrate"))
     model = fit(written(usable, "labelled"))
     out = scored(rows, model)
-    return out.select(F.col("id").alias(id_col), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select(
+        F.col("id").alias(id_col), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted")
+    )

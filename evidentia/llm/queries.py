@@ -6,23 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, chat, decontam, embeddings, langid, minhash, quality, substring, tokenstore, warc
+from evidentia.llm import bpe, chat, decontam, embeddings, langid, minhash, oracles, quality, substring, tokenstore, warc
 from evidentia.llm.storage import fresh_path
 
 
-# Base 32 of the digest: five hexadecimal digits are four letters.
-_DIGEST = "sha1(coalesce(html, ''))"
-_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr({_DIGEST}, {1 + 5 * (i // 4)}, 5))::BIGINT >> {15 - 5 * (i % 4)}) & 31)::INTEGER, 1)" for i in range(32))
-OP1_SQL = f"""
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, {_BASE32} AS payload_digest FROM pages),
-o AS (SELECT payload_digest, min(page_id) AS original FROM p GROUP BY payload_digest)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> original THEN original END AS refers_to
-FROM p JOIN o USING (payload_digest)
-"""
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,7 +17,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "archives")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
-    return warc.read_archives(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(spark, path, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +49,22 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), with_text=False, with_matches=True)
+    """The contract's columns, and of the longest verbatim matches how many there are, the longest's words and where the first such begins."""
+    docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
+    found = decontam.contamination(docs, items, with_text=False, with_matches=True)
+    best = F.array_max(F.transform("matches", lambda m: F.struct(m.n_words.alias("words"), (-m.doc_start).alias("at"))))
+    return found.select(
+        *[c for c in found.columns if c != "matches"],
+        F.size("matches").cast("long").alias("n_matches"),
+        F.coalesce(best.words, F.lit(0).cast("long")).alias("longest_match"),
+        (-best.at).alias("longest_start"),
+    )
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
+    return bpe.encode(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False
+    )
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +76,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc_revisits": OP1_SQL}
+    return {
+        "op1_warc_revisits": oracles.WARC,
+        "op2_minhash_near_dedup": oracles.MINHASH,
+        "op4_substring_dedup": oracles.SUBSTRING,
+        "op7_decontamination": oracles.DECONTAMINATION,
+        "op9_embedding_near_dedup": oracles.EMBEDDINGS,
+    }
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_revisits, op2_minhash_near_dedup, op3_language_id, op4_substring_dedup, op5_chat_format, op6_token_store, op7_decontamination, op8_byte_bpe, op9_embedding_near_dedup, op10_quality)}
+    return {
+        f.__name__: f for f in (
+            op1_warc_revisits, op2_minhash_near_dedup, op3_language_id, op4_substring_dedup, op5_chat_format, op6_token_store,
+            op7_decontamination, op8_byte_bpe, op9_embedding_near_dedup, op10_quality
+        )
+    }

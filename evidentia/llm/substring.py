@@ -44,6 +44,8 @@ from evidentia.llm.storage import partitions, prepare, release_memory
 #: A block's windows take about 30 times as many bytes while they are sorted.
 BLOCK_BYTES = 4 << 20
 GROUP_BYTES = 8 << 20
+#: As many tasks as shuffle partitions, and more where one would have to take the suffixes of more text.
+TASK_BYTES = 256 << 20
 WIDTH = 20
 GRAM = 5
 #: About how many bytes a suffix takes with its neighbours, and on its own.
@@ -98,21 +100,16 @@ class _Block:
             reach += step
         self.smallest = least[self.at]
         # The same window earlier in this block?
-        if (self.ids[1:] == self.ids[:-1]).any():
+        self.twin_of = K.first_of(self.window)
+        self.settled = self.twin_of != np.arange(len(self.window))
+        if (self.ids[1:] == self.ids[:-1]).any():  # flat order is not that of (id, start)
             order = np.lexsort((self.start, self.doc, self.window))
-        else:  # flat order is already (id, start)
-            order = np.argsort(self.window, kind="stable")
-        sorted_ = self.window[order]
-        new = np.ones(len(order), bool)
-        new[1:] = sorted_[1:] != sorted_[:-1]
-        head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        self.settled = np.zeros(len(order), bool)
-        self.settled[order] = (self.doc[order] != self.doc[head]) | (self.start[order] != self.start[head])
-        twin = np.zeros(len(order), bool)  # a repeated row's window, equal to the head's place
-        twin[order] = ~new
-        self.open = np.flatnonzero(~self.settled & ~twin)
-        self.twin_of = np.zeros(len(order), np.int64)
-        self.twin_of[order] = head
+            new = np.ones(len(order), bool)
+            new[1:] = self.window[order][1:] != self.window[order][:-1]
+            head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+            self.twin_of[order] = head
+            self.settled = (self.doc != self.doc[self.twin_of]) | (self.start != self.start[self.twin_of])
+        self.open = np.flatnonzero(~self.settled & (self.twin_of == np.arange(len(self.window))))  # a repeated row's window is its twin's
 
     def up_to_smallest(self, some: np.ndarray) -> np.ndarray:
         """Hashes of all words from these suffixes' beginnings to the end of their smallest sequence."""
@@ -152,7 +149,13 @@ class _Block:
         ends = np.concatenate([[0], np.cumsum(n), [n.sum()]]) * 4
         flat = self.window[self.open].astype(np.uint32)
         prints = pa.Array.from_buffers(pa.binary(), len(run) + 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
-        return pa.RecordBatch.from_arrays([pa.array(np.append(label[run].view(np.int64), block)), pa.array(np.full(len(run) + 1, block)), pa.array(np.append(run, 0), pa.int32()), prints], names=["label", "block", "place", "prints"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.append(label[run].view(np.int64), block)), pa.array(np.full(len(run) + 1, block)),
+                pa.array(np.append(run, 0), pa.int32()), prints
+            ],
+            names=["label", "block", "place", "prints"]
+        )
 
     def runs(self, block: int, large: tuple[np.ndarray, np.ndarray], shared: list[bytes]) -> pa.RecordBatch:
         """The open suffixes that share their print, as runs of words; a row without words says that the block was asked about."""
@@ -163,7 +166,10 @@ class _Block:
         lo, hi = self.at_byte[self.at[first]], self.at_byte[self.at[first] + n + self.width - 1] - 1
         texts = [self.spelling[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
         ack = lambda v, kind: pa.array(np.append(v, 0), kind)
-        columns = [np.append(label[run].view(np.int64), block), np.full(len(run) + 1, block), ack(some[run], pa.int32()), ack(n, pa.int32()), ack(self.doc[first], pa.int64()), ack(self.start[first], pa.int64()), pa.array([*texts, b""], pa.binary())]
+        columns = [
+            np.append(label[run].view(np.int64), block), np.full(len(run) + 1, block), ack(some[run], pa.int32()), ack(n, pa.int32()),
+            ack(self.doc[first], pa.int64()), ack(self.start[first], pa.int64()), pa.array([*texts, b""], pa.binary())
+        ]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["label", "block", "place", "n", "doc", "start", "text"])
 
     def covered(self, answers: list[bytes]) -> np.ndarray:
@@ -186,6 +192,18 @@ def _among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
 
+def _joint(words: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Columns of several words each, in order; sorting by them is sorting by the words."""
+    each = 64 // bits
+    out = []
+    for at in range(0, words.shape[1], each):
+        key = np.zeros(len(words), np.uint64)
+        for column in words[:, at : at + each].T:
+            key = key << np.uint64(bits) | column.astype(np.uint64)
+        out.append(key)
+    return out
+
+
 class Subtree:
     """The deep part of the suffix trees of some runs of words (doc, start, n, text): the leaves that share
     their first `width` words with others, sorted by these words, and the depth to which neighbours agree."""
@@ -209,9 +227,11 @@ class Subtree:
         shared[1:] |= same
         shared[:-1] |= same
         leaf = order[shared]
-        words = hashes[at[leaf][:, None] + np.arange(width)]
         self.doc, self.start = doc[run[leaf]], start[run[leaf]] + offset[leaf]
-        sort = np.lexsort((self.start, self.doc, *words.T[::-1]))
+        used = at[leaf][:, None] + np.arange(width)
+        alphabet, rank = np.unique(hashes[used.reshape(-1)], return_inverse=True)
+        words = rank.reshape(used.shape)
+        sort = np.lexsort((self.start, self.doc, *_joint(words, max(len(alphabet) - 1, 1).bit_length())[::-1]))
         words = words[sort]
         self.run, self.offset, self.doc, self.start = run[leaf][sort], offset[leaf][sort], self.doc[sort], self.start[sort]
         agree = words[1:] == words[:-1]
@@ -229,12 +249,17 @@ def _places(block: np.ndarray, place: np.ndarray, asked: list[int]) -> pa.Record
     """Places of suffixes, one row a block, and an empty row for each block that was asked about."""
     order = np.argsort(block, kind="stable")
     parts = [p for p in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(p)]
-    return pa.RecordBatch.from_pydict({"block": pa.array([int(block[p[0]]) for p in parts] + asked, pa.int64()), "late": pa.array([place[p].astype(np.uint32).tobytes() for p in parts] + [b""] * len(asked), pa.binary())})
+    return pa.RecordBatch.from_pydict(
+        {
+            "block": pa.array([int(block[p[0]]) for p in parts] + asked, pa.int64()),
+            "late": pa.array([place[p].astype(np.uint32).tobytes() for p in parts] + [b""] * len(asked), pa.binary())
+        }
+    )
 
 
 def _in_groups(settle):
     """Settles the groups of a partition that is sorted by label, whole groups of GROUP_BYTES together. settle
-    gives what it found and what is left of a group that goes on."""
+    gives what it found, and a function for what is left of a group that goes on."""
 
     def run(batches):
         held, size, most = [], 0, GROUP_BYTES
@@ -251,8 +276,9 @@ def _in_groups(settle):
                     held = table.filter(pa.array(own)).to_batches()
                     most = GROUP_BYTES
                 elif size >= most:
-                    found, left = settle(table)
+                    found, rest = settle(table)
                     yield found
+                    left = rest()
                     held = left.to_batches()
                     most = max(GROUP_BYTES, 2 * left.nbytes)  # different windows stay
                 size = sum(b.nbytes for b in held)
@@ -282,7 +308,16 @@ def _sharing(runs: pa.Table):
     alone = first.copy()
     alone[:-1] &= first[1:]
     shared, kept = order[~alone], order[first]
-    left = pa.table({"label": label[run[kept]], "block": block[run[kept]], "place": pa.array(place[kept], pa.int32()), "prints": pa.array([x.tobytes() for x in flat[kept]], pa.binary())})
+
+    def left() -> pa.Table:
+        prints = pa.Array.from_buffers(
+            pa.binary(), len(kept),
+            [None, pa.py_buffer(np.arange(len(kept) + 1, dtype=np.int32) * 4), pa.py_buffer(np.ascontiguousarray(flat[kept]))]
+        )
+        return pa.table(
+            {"label": label[run[kept]], "block": block[run[kept]], "place": pa.array(place[kept], pa.int32()), "prints": prints}
+        )
+
     return _places(block[run[shared]], place[shared], block[n == 0].tolist()), left
 
 
@@ -295,16 +330,16 @@ def _late(width: int):
         run, n, block = tree.run[late], runs["n"].to_numpy(), runs["block"].to_numpy()
         found = _places(block[run], runs["place"].to_numpy()[run] + tree.offset[late], block[n == 0].tolist())
         gone = np.bincount(run, minlength=runs.num_rows)
-        return found, runs.filter(pa.array(gone < np.maximum(n, 1)))
+        return found, lambda: runs.filter(pa.array(gone < np.maximum(n, 1)))
 
     return settle
 
 
-def _large(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def _large(docs: DataFrame, size: int, tasks: int, id_col: str, text_col: str, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """The groups whose suffixes are more than a task should hold at once, by level; there are at most
     as many as the corpus has times GROUP_BYTES, and none in a small one."""
-    total = (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) * 4  # bytes of runs, about
-    most = min(GROUP_BYTES, max(total // partitions(docs.sparkSession), 1 << 18))
+    total = size * 4  # bytes of runs, about
+    most = min(GROUP_BYTES, max(total // (8 * tasks), 1 << 15))  # a small part of a task, too
     none = np.zeros(0, np.uint64)
     if total <= most:
         return none, none
@@ -316,7 +351,10 @@ def _large(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int) -
             block = _Block(table, id_col, text_col, width, gram)
             for level, labels in enumerate((block.smallest[block.open], block.up_to_smallest(block.open) if len(block.open) else none)):
                 label, n = np.unique(labels, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(label), level), pa.int32()), pa.array(label.view(np.int64)), pa.array(n, pa.int64())], names=["level", "label", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(label), level), pa.int32()), pa.array(label.view(np.int64)), pa.array(n, pa.int64())],
+                    names=["level", "label", "n"]
+                )
 
     sums = some.mapInArrow(count, "level int, label long, n long").groupBy("level", "label").agg(F.sum("n").alias("n"))
     size = F.col("n") * one_in * F.when(F.col("level") == 0, _IN_RUN).otherwise(_ALONE)
@@ -335,7 +373,10 @@ def _joined(w: K.Words, keep: np.ndarray) -> list[bytes]:
     return [whole[a : b - 1] if b > a else b"" for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, with_text: bool = True, with_spans: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, with_text: bool = True,
+    with_spans: bool = False
+) -> DataFrame:
     """The rows of docs with each word removed that a repeated window covers.
 
     A window is `width` consecutive words; it is repeated if its words also start
@@ -348,8 +389,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(spark)
     own = ["n_words", "n_removed", "kept_sha256", "repeats"]
     docs = docs.drop(*[c for c in own if c in docs.columns])
-    large = spark.sparkContext.broadcast(_large(docs, id_col, text_col, width, gram))
-    rows = B.pack(docs, id_col, BLOCK_BYTES)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    tasks = max(partitions(spark), -(-size // TASK_BYTES))
+    large = spark.sparkContext.broadcast(_large(docs, size, tasks, id_col, text_col, width, gram))
+    rows = B.pack(docs, id_col, BLOCK_BYTES, tasks)
 
     def ask(batches):
         for batch in batches:
@@ -366,12 +409,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 release_memory()
 
     def answered(asked: DataFrame, settle) -> DataFrame:
-        grouped = asked.repartition(partitions(spark), "label").sortWithinPartitions("label").mapInArrow(_in_groups(settle), _ANSWERS)
-        return rows.join(grouped.groupBy("block").agg(F.collect_list("late").alias("late")), "block", "left").select("block", "payload", "late")
+        grouped = asked.repartition(tasks, "label").sortWithinPartitions("label").mapInArrow(_in_groups(settle), _ANSWERS)
+        return rows.join(
+            grouped.groupBy("block").agg(F.collect_list("late").alias("late")), "block", "left"
+        ).select("block", "payload", "late")
 
     sharing = answered(rows.mapInArrow(ask, _PRINTS), _sharing)
     answers = answered(sharing.mapInArrow(spell, _RUNS), _late(width))
-    out_schema = T.StructType([f for f in docs.schema.fields if with_text or f.name != text_col] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    out_schema = T.StructType(
+        [f for f in docs.schema.fields if with_text or f.name != text_col] + [
+            T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())
+        ]
+    )
     if with_spans:
         out_schema.add("repeats", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType())])))
 
@@ -402,7 +451,9 @@ def _cleaned(tree: _Block, covered: np.ndarray, text_col: str, with_text: bool,
             part = part.set_column(part.schema.get_field_index(text_col), text_col, pa.array(texts, pa.string()))
         else:
             part = part.drop_columns([text_col])
-        part = part.append_column("n_words", pa.array(np.diff(w.first), pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
+        part = part.append_column("n_words", pa.array(np.diff(w.first), pa.int64())).append_column(
+            "n_removed", pa.array(removed, pa.int64())
+        )
         part = part.append_column("kept_sha256", pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()))
         if with_spans:
             spans = []

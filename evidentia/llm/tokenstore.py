@@ -9,7 +9,8 @@ ids. `parts` holds the number of ids before each part; a document's place in the
 whole stream of ids is that plus its local_start.
 
 Defined results: null and empty texts have only the end id. Rows that share an id stand
-next to each other, ordered by the hash of their text; null ids come first.
+next to each other, ordered by the hash of their text; null ids come first. Other columns of the input are not read, whatever
+their names; an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ _SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int
 #: Words whose ids a worker remembers; beyond this it starts over, ids stay the same.
 REMEMBERED = 1 << 20
 SLICE_BYTES = 2 << 20
+#: A file has about the tokens of so many bytes of text at most: as many files as shuffle partitions, or more.
+FILE_BYTES = 512 << 20
 
 
 class LibraryEncoder:
@@ -59,7 +62,9 @@ class LibraryEncoder:
         self.by_word = not parts.get("normalizer") and not parts.get("post_processor") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self.index: dict[int, int] = {}  # by hash
         self.flat, self.size = [], []
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: these as themselves, the rest from 256 on
+        printable = [  # the byte-level alphabet: these as themselves, the rest from 256 on
+            *range(33, 127), *range(161, 173), *range(174, 256)
+        ]
         rest = iter(range(256, 512))
         self.alphabet = {b: b if b in set(printable) else next(rest) for b in range(256)}
 
@@ -100,7 +105,10 @@ class LibraryEncoder:
                 self.index, self.flat, self.size = {}, [], []
             at, inverse = K.distinct_at(p.hash)
             text, base = p.text, len(self.index)
-            local = np.fromiter((self._number(k, text, a, b) for k, a, b in zip(p.hash[at].tolist(), p.start[at].tolist(), p.end[at].tolist())), np.int64, len(at))
+            local = np.fromiter(
+                (self._number(k, text, a, b) for k, a, b in zip(p.hash[at].tolist(), p.start[at].tolist(), p.end[at].tolist())), np.int64,
+                len(at)
+            )
             self._grow(base)
             word = local[inverse]
             size = self.sizes[word]
@@ -136,7 +144,10 @@ def _encoder(definition: str, special_as_text: bool) -> LibraryEncoder:
     return _encoders[key]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, special_as_text: bool = True) -> None:
+def write_tokens(
+    docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID,
+    special_as_text: bool = True
+) -> None:
     """Encodes docs and writes the store at path; the driver reads the tokenizer's file. See LibraryEncoder for special_as_text."""
     spark = docs.sparkSession
     prepare(spark)
@@ -157,15 +168,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
                 whole[mine] = ids
                 starts = np.concatenate([[0], ends])
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(whole))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part), pa.int32()), batch.column(0).slice(done, n).cast(pa.int64()), pa.array(at + starts[:-1], pa.int64()), pa.array(size + 1, pa.int64()), lists], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, part), pa.int32()), batch.column(0).slice(done, n).cast(pa.int64()),
+                        pa.array(at + starts[:-1], pa.int64()), pa.array(size + 1, pa.int64()), lists
+                    ],
+                    names=["part", "doc_id", "local_start", "n_tokens", "ids"]
+                )
                 done += n
                 at += int(starts[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
-    rows = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.repartitionByRange(max(partitions(spark), -(-size // FILE_BYTES)), *order).sortWithinPartitions(*order)
     out = rows.mapInArrow(run, _SCHEMA).write.option("compression", "zstd").option("parquet.enable.dictionary", "true")
-    out = out.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS)
+    out = out.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option(
+        "parquet.page.row.count.limit", PAGE_ROWS
+    )
     out.option("parquet.writer.version", "PARQUET_2_0").parquet(f"{path}/tokens")
     sums = read_tokens(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per part
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -194,6 +214,9 @@ def checksums(tokens: DataFrame) -> DataFrame:
             raw = memoryview(values).cast("B")
             ends = lists.offsets.to_numpy().astype(np.int64) * 4
             sums = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(sums, pa.int64())],
+                names=["doc_id", "start", "n_tokens", "ids_crc32"]
+            )
 
     return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -45,7 +45,11 @@ def base32_sha1(payload: Column) -> Column:
 
 def record_id(*parts: Column) -> Column:
     h = F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), F.lit(">"))
+    return F.concat(
+        F.lit("<urn:uuid:"),
+        F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)),
+        F.lit(">")
+    )
 
 
 def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -54,18 +58,28 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     pages: page_id, url, payload, row. Payloads under min_bytes bytes have no original.
     """
-    headers = pages.where("page_id is not null").select("page_id", "url", "row", base32_sha1(F.col("payload")).alias("digest"), (F.octet_length("payload") >= min_bytes).alias("large"))
-    each = headers.groupBy("page_id", "digest", "large").agg(F.min("url").alias("url"), F.min("row").alias("first"), F.count("*").alias("n"))
-    first = each.where("large").groupBy("digest").agg(F.min("page_id").alias("original"), F.max("page_id").alias("last")).where("original < last").select("digest", "original")
+    headers = pages.where("page_id is not null").select(
+        "page_id", "url", "row", base32_sha1(F.col("payload")).alias("digest"), (F.octet_length("payload") >= min_bytes).alias("large")
+    )
+    each = headers.groupBy("page_id", "digest", "large").agg(
+        F.min("url").alias("url"), F.min("row").alias("first"), F.count("*").alias("n")
+    )
+    first = each.where("large").groupBy("digest").agg(
+        F.min("page_id").alias("original"), F.max("page_id").alias("last")
+    ).where("original < last").select("digest", "original")
     revisits = each.where("large").join(first, "digest").where("page_id > original").select("page_id", "digest", "original")
     urls = each.select(F.col("page_id").alias("original"), "digest", F.col("url").alias("original_url"))
     again = each.where("n > 1").select("page_id", "digest", F.col("first").alias("again"))
-    return revisits.join(urls, ["original", "digest"], "left").join(again, ["page_id", "digest"], "full_outer").select("page_id", "digest", "original", "original_url", "again")
+    return revisits.join(urls, ["original", "digest"], "left").join(again, ["page_id", "digest"], "full_outer").select(
+        "page_id", "digest", "original", "original_url", "again"
+    )
 
 
 def _line(name: str, value: Column) -> Column:
     """A header line, or nothing for a null; a header's value is one line."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\x00-\x1F\x7F]", ""), F.lit("\r\n")), F.lit(""))
+    return F.coalesce(
+        F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\x00-\x1F\x7F]", ""), F.lit("\r\n")), F.lit("")
+    )
 
 
 def records(pages: DataFrame, min_bytes: int = 0, date: str | None = None) -> DataFrame:
@@ -74,9 +88,14 @@ def records(pages: DataFrame, min_bytes: int = 0, date: str | None = None) -> Da
     pages = pages.withColumn("row", F.monotonically_increasing_id())
     p = pages.withColumn("digest", base32_sha1(F.col("payload"))).join(resolve_revisits(pages, min_bytes), ["page_id", "digest"], "left")
     plain = F.when(F.col("page_id").isNull() | (F.col("again") < F.col("row")), F.col("row"))  # null for the record that others refer to
-    own = F.when(plain.isNull(), record_id(F.col("page_id"), F.col("digest"))).otherwise(record_id(F.col("page_id"), F.col("digest"), plain))
+    own = F.when(plain.isNull(), record_id(F.col("page_id"), F.col("digest"))).otherwise(
+        record_id(F.col("page_id"), F.col("digest"), plain)
+    )
     again = F.col("original").isNotNull()
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(_END))
+    http = F.concat(
+        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"),
+        F.lit(_END)
+    )
     block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("payload")))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -96,9 +115,13 @@ def records(pages: DataFrame, min_bytes: int = 0, date: str | None = None) -> Da
     return p.select(F.concat(head, F.octet_length(block).cast("string"), F.lit(_END), block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> None:
+def write_archives(
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0
+) -> None:
     """Writes a deduplicated archive of pages to the folder path."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload")
+    )
     mean = rows.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
     most = max(1, int(FILE_BYTES / (mean + 1024)))
     records(rows, min_bytes).write.option("compression", "gzip").option("lineSep", _END).option("maxRecordsPerFile", most).text(path)
@@ -198,7 +221,10 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     if not with_payload:
         found = written(found, "records")
     ours = F.col("record_type") == "response"
-    first = found.where(ours).select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("o_page"), F.col("payload_bytes").alias("o_bytes"), F.col("payload").alias("o_payload"))
+    first = found.where(ours).select(
+        F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("o_page"), F.col("payload_bytes").alias("o_bytes"),
+        F.col("payload").alias("o_payload")
+    )
     again = found.where(~ours).join(first, "refers_to_id", "left")
     shown = ["record_id", "record_type", "page_id", "target_uri", "payload_digest"]
     plain = found.where(ours).select(*shown, "payload_bytes", F.lit(None).cast("long").alias("refers_to"), "payload")

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, decontam, minhash, substring
+from evidentia.llm import bpe, decontam, embeddings, minhash, substring
 
 BLANK = r"[^\x20\x09-\x0D]+"
 
@@ -29,7 +29,10 @@ def texts():
             at = r.randrange(len(own) + 1)
             own[at:at] = passage[: r.randrange(18, 46)] if i % 6 else passage
         out.append((i, " ".join(own)))
-    out += [(200, out[3][1]), (201, "\n".join(out[6][1].split())), (202, "x " * 500), (203, None), (204, ""), (205, "only few words"), (3, out[3][1]), (206, " ".join(word(4) for _ in range(3000)))]
+    out += [
+        (200, out[3][1]), (201, "\n".join(out[6][1].split())), (202, "x " * 500), (203, None), (204, ""), (205, "only few words"),
+        (3, out[3][1]), (206, " ".join(word(4) for _ in range(3000)))
+    ]
     return out
 
 
@@ -46,7 +49,12 @@ def windows_removed(rows, width=20):
             if seen[tuple(w[a : a + width])] < (i, a):
                 gone.update(range(a, a + width))
         spans = sorted(x for x in gone if x - 1 not in gone), sorted(x + 1 for x in gone if x + 1 not in gone)
-        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest(), list(zip(*spans))))
+        out.append(
+            (
+                i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest(),
+                list(zip(*spans))
+            )
+        )
     return out
 
 
@@ -55,12 +63,16 @@ def test_suffix_trees_with_groups_of_any_size(spark, texts, monkeypatch, group_b
     monkeypatch.setattr(substring, "GROUP_BYTES", group_bytes)
     monkeypatch.setattr(substring, "SAMPLED", 2)
     monkeypatch.setattr(substring, "BLOCK_BYTES", 5000)
-    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("label", "block", "late", "n_words")}).repartition(6)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns(
+        {c: F.lit("clash") for c in ("label", "block", "late", "n_words")}
+    ).repartition(6)
     if group_bytes == 3000:
         monkeypatch.setattr(substring, "_large", lambda *a: large(*a))
-        large = lambda d, i, t, w, g: _all_large(texts, w, g)
+        large = lambda d, size, tasks, i, t, w, g: _all_large(texts, w, g)
     got = substring.remove_repeats(docs, with_spans=True).collect()
-    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, [tuple(s) for s in r.repeats]) for r in got) == sorted(windows_removed(texts))
+    assert sorted(
+        (r.doc_id, r.n_words, r.n_removed, r.kept_sha256, [tuple(s) for s in r.repeats]) for r in got
+    ) == sorted(windows_removed(texts))
 
 
 def _all_large(texts, width, gram):
@@ -75,7 +87,7 @@ def test_large_groups_are_found(spark, monkeypatch):
     passage = " ".join(f"p{i}" for i in range(30))
     rows = [(i, " ".join([f"a{i}b{k}" for k in range(40)] + [passage] + [f"c{i}d{k}" for k in range(40)])) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    first, second = substring._large(docs, "doc_id", "text", 20, 5)
+    first, second = substring._large(docs, sum(len(t) for _, t in rows), 8, "doc_id", "text", 20, 5)
     assert 0 < len(first) < 100 and len(second) <= 100
     got = substring.remove_repeats(docs).collect()
     assert all(r.n_removed == (0 if r.doc_id == 0 else 30) for r in got)
@@ -85,7 +97,12 @@ def test_subtree_against_sorted_suffixes():
     r = random.Random(5)
     words = [f"v{r.randrange(3)}" for _ in range(400)]
     width = 6
-    runs = pa.table({"doc": pa.array([1, 2], pa.int64()), "start": pa.array([0, 0], pa.int64()), "n": pa.array([200 - width + 1] * 2, pa.int32()), "text": pa.array([" ".join(words[:200]).encode(), " ".join(words[200:]).encode()])})
+    runs = pa.table(
+        {
+            "doc": pa.array([1, 2], pa.int64()), "start": pa.array([0, 0], pa.int64()), "n": pa.array([200 - width + 1] * 2, pa.int32()),
+            "text": pa.array([" ".join(words[:200]).encode(), " ".join(words[200:]).encode()])
+        }
+    )
     tree = substring.Subtree(runs, width)
     text = {1: words[:200], 2: words[200:]}
     prefix = [tuple(text[d][s : s + width]) for d, s in zip(tree.doc.tolist(), tree.start.tolist())]
@@ -119,7 +136,9 @@ def brute_matches(doc, item, width):
 def test_longest_matches_and_locations(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block_bytes)
     r = random.Random(7)
-    items = [(f"i{k}", " ".join(f"W{r.randrange(30)}" for _ in range(r.randrange(1, 40)))) for k in range(25)] + [("i0", "another text of one id"), ("none", None), ("blank", " ! "), (None, "w1 w2")]
+    items = [(f"i{k}", " ".join(f"W{r.randrange(30)}" for _ in range(r.randrange(1, 40)))) for k in range(25)] + [
+        ("i0", "another text of one id"), ("none", None), ("blank", " ! "), (None, "w1 w2")
+    ]
     docs = []
     for i in range(60):
         own = [f"w{r.randrange(30)}" for _ in range(r.randrange(0, 60))]
@@ -130,7 +149,9 @@ def test_longest_matches_and_locations(spark, monkeypatch, block_bytes):
         docs.append((i, " ".join(own)))
     docs += [(100, None), (101, ""), (102, "!!"), (103, docs[0][1]), (103, docs[0][1]), (104, "w1 " * 30000)]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("matches", "n_words", "item_id", "_maybe", "i")}).repartition(5)
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns(
+        {c: F.lit("clash") for c in ("matches", "n_words", "item_id", "_maybe", "i")}
+    ).repartition(5)
     got = decontam.contamination(df, spark.createDataFrame(items, "item_id string, text string"), with_matches=True).collect()
     assert len(got) == len(docs)
     for row in got:
@@ -178,9 +199,15 @@ def test_minhash_with_small_cells(spark, monkeypatch):
 
 
 def test_words_are_encoded_wherever_they_stand(spark):
-    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.rank_table(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))), special_tokens={})
-    rows = [(i, f"the same words {i % 7} in many blocks, the same") for i in range(400)] + [(None, "null id"), (401, None), (402, ""), (403, "a" * 300000), (404, "twin"), (404, "twin"), (405, "<|endoftext|>  　é\r\n\t x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("block", "bucket", "payload", "n_tokens")}).repartition(9)
+    enc = tiktoken.Encoding(
+        "own", pat_str=P.PATTERN, mergeable_ranks=bpe.rank_table(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))), special_tokens={}
+    )
+    rows = [(i, f"the same words {i % 7} in many blocks, the same") for i in range(400)] + [
+        (None, "null id"), (401, None), (402, ""), (403, "a" * 300000), (404, "twin"), (404, "twin"), (405, "<|endoftext|>  　é\r\n\t x")
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(
+        {c: F.lit("clash") for c in ("block", "bucket", "payload", "n_tokens")}
+    ).repartition(9)
     out = bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"))
     want = {i: enc.encode_ordinary(t or "") for i, t in rows}
     got = out.collect()
@@ -189,3 +216,27 @@ def test_words_are_encoded_wherever_they_stand(spark):
     assert all(bytes(r.bytes).decode() == (dict(rows)[r.doc_id] or "") for r in back)
     with pytest.raises(Exception, match="not of the vocabulary"):
         bpe.decode(spark.createDataFrame([(1, [70000])], "doc_id long, ids array<int>"), P.path("byte_bpe_50k.tiktoken")).collect()
+
+
+def test_components_of_vectors_and_clashing_columns(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    chains = []
+    for _ in range(40):  # each links to the one before, its ends to nothing else
+        x = unit(rng.standard_normal(48))
+        for _ in range(rng.integers(2, 9)):
+            away = rng.standard_normal(48)
+            x = 0.93 * x + np.sqrt(1 - 0.93**2) * unit(away - (away @ x) * x)
+            chains.append(x)
+    x = np.concatenate([unit(rng.standard_normal((800, 48))), chains])[rng.permutation(800 + len(chains))]
+    links = x @ x.T >= 0.9
+    label = np.arange(len(x))
+    while True:
+        new = np.array([label[row].min() for row in links])
+        if (new == label).all():
+            break
+        label = new
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    df = df.withColumns({c: F.lit("clash") for c in ("id", "v", "shelf", "list", "n_links", "component_id", "kind", "a")}).repartition(5)
+    got = {r.vec_id: (r.component_id, r.kept) for r in embeddings.near_duplicate_vectors(df).collect()}
+    assert got == {i: (int(c), int(c) == i) for i, c in enumerate(label)} and len(set(label.tolist())) < len(x) - 100

@@ -17,14 +17,19 @@ from tokenizers import Tokenizer
 from evidentia.llm import bpe, chat, decontam, embeddings, langid, minhash, quality, queries, substring, tokenstore, warc
 
 SF = "/root/testdata/sf0.001"
-ODD = [(9000, None), (9001, ""), (9002, " \n\t"), (9003, "One"), (9004, "one"), (9005, "a b"), (9006, "don't <|endoftext|> 漢字 😀 x  y"), (9007, "w " * 30), (9008, "long " * 60000), (9010, "tie tie"), (9010, "tie tie"), (None, "no id here")]
+ODD = [
+    (9000, None), (9001, ""), (9002, " \n\t"), (9003, "One"), (9004, "one"), (9005, "a b"), (9006, "don't <|endoftext|> 漢字 😀 x  y"),
+    (9007, "w " * 30), (9008, "long " * 60000), (9010, "tie tie"), (9010, "tie tie"), (None, "no id here")
+]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame(ODD, "doc_id long, text string")
-    return rows.union(extra).withColumns({c: F.lit("clash") for c in ("n_words", "kept", "ids", "score", "id", "key", "block")}).repartition(5).cache()
+    return rows.union(extra).withColumns(
+        {c: F.lit("clash") for c in ("n_words", "kept", "ids", "score", "id", "key", "block")}
+    ).repartition(5).cache()
 
 
 @pytest.fixture(scope="module")
@@ -104,7 +109,9 @@ def test_substring(docs, rows):
         for a in range(len(w) - 19):
             if seen[tuple(w[a : a + 20])] < key(i, a):
                 gone.update(range(a, a + 20))
-        want.setdefault(i, []).append((len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+        want.setdefault(i, []).append(
+            (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
+        )
     got = {}
     for r in substring.remove_repeats(docs, with_spans=True).collect():
         got.setdefault(r.doc_id, []).append((r.n_words, r.n_removed, r.kept_sha256))
@@ -116,7 +123,9 @@ def test_substring_ships_the_words_of_every_open_window():
     text = " ".join(f"w{i * i % 97}" for i in range(200))
     none = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     block = substring._Block(pa.table({"doc_id": [1, 2], "text": [text, "x\n" + text[50:]]}), "doc_id", "text", 20, 5, spelled=True)
-    assert block.prints(77, none)["prints"].to_pylist()[-1] == b"" and sum(len(x) for x in block.prints(77, none)["prints"].to_pylist()) == 4 * len(block.open)
+    assert block.prints(77, none)["prints"].to_pylist()[-1] == b"" and sum(
+        len(x) for x in block.prints(77, none)["prints"].to_pylist()
+    ) == 4 * len(block.open)
     runs = block.runs(77, none, [np.arange(len(block.open), dtype=np.uint32).tobytes()]).to_pylist()
     assert runs.pop() == {"label": 77, "block": 77, "place": 0, "n": 0, "doc": 0, "start": 0, "text": b""}
     words = {1: text.split(), 2: ["x", *text[50:].split()]}
@@ -128,7 +137,9 @@ def test_substring_ships_the_words_of_every_open_window():
 
 
 def test_decontamination(spark, docs, rows):
-    items = [(i, t) for i, t in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, "is THE"), (901, None), (902, "!?"), (None, "of the")]
+    items = [(i, t) for i, t in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [
+        (900, "is THE"), (901, None), (902, "!?"), (None, "of the")
+    ]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t or ""))
     windows = {}
     for i, t in items:
@@ -192,24 +203,45 @@ def test_op6_takes_special_tokens_as_the_library_does(spark, tmp_path):
 
 
 def test_warc(spark, tmp_path):
-    pages = [(i, f"http://x/{i}", h) for i, h in enumerate(["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "<p>a</p>", "x\r\n\r\nWARC/1.1\r\n\r\n", "é" * 70000])] + [(2, "http://x/2\r\nX: y", "<p>a</p>"), (None, None, "alone")]
+    pages = [
+        (i, f"http://x/{i}", h) for i,
+        h in enumerate(["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "<p>a</p>", "x\r\n\r\nWARC/1.1\r\n\r\n", "é" * 70000])
+    ] + [(2, "http://x/2\r\nX: y", "<p>a</p>"), (None, None, "alone")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload_digest", F.lit("clash"))
     warc.write_archives(df, str(tmp_path / "w"))
-    got = sorted((tuple(r) for r in warc.read_archives(spark, str(tmp_path / "w")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload").collect()), key=str)
+    got = sorted(
+        (
+            tuple(r) for r in warc.read_archives(spark, str(tmp_path / "w")).select(
+                "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"
+            ).collect()
+        ),
+        key=str
+    )
     want, first = [], {}
     for i, _, h in sorted(pages, key=lambda r: (r[0] is None, r[0] or 0)):
         b = (h or "").encode()
         o = first.setdefault(b, i)
         same = i == o
-        want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if same else "revisit", None if same else o, h or ""))
+        want.append(
+            (
+                i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if same else "revisit", None if same else o,
+                h or ""
+            )
+        )
     assert got == sorted(want, key=str)
 
 
 def test_warc_keeps_different_payloads_of_one_page_id(spark, tmp_path):
-    pages = [(1, "u1", "same"), (2, "u2", "same"), (2, "u2", "only here"), (3, "u3", "only here"), (4, "u4", "other"), (5, "u5", "other"), (5, "u5", "same")]
+    pages = [
+        (1, "u1", "same"), (2, "u2", "same"), (2, "u2", "only here"), (3, "u3", "only here"), (4, "u4", "other"), (5, "u5", "other"),
+        (5, "u5", "same")
+    ]
     warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"))
     got = warc.read_archives(spark, str(tmp_path / "w")).select("page_id", "payload", "payload_bytes", "record_type", "refers_to").collect()
-    want = [(1, "same", 4, "response", None), (2, "same", 4, "revisit", 1), (2, "only here", 9, "response", None), (3, "only here", 9, "revisit", 2)]
+    want = [
+        (1, "same", 4, "response", None), (2, "same", 4, "revisit", 1), (2, "only here", 9, "response", None),
+        (3, "only here", 9, "revisit", 2)
+    ]
     want += [(4, "other", 5, "response", None), (5, "other", 5, "revisit", 4), (5, "same", 4, "revisit", 1)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
@@ -221,7 +253,11 @@ def test_vectors(spark):
     x = np.concatenate([base, near]).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (1004, [1.0]), (1005, []), (0, rows[0][1])]
-    got = {r.vec_id: r for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")).collect()}
+    got = {
+        r.vec_id: r for r in embeddings.near_duplicate_vectors(
+            spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
+        ).collect()
+    }
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     links = u @ u.T >= 0.9
     np.fill_diagonal(links, False)
@@ -240,7 +276,9 @@ def test_vectors_finds_links_across_many_lists(spark):
     x = np.concatenate([base, 0.905 * base[:600] + np.sqrt(1 - 0.905**2) * away])
     links = x @ x.T >= 0.9
     np.fill_diagonal(links, False)
-    got = embeddings.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = embeddings.near_duplicate_vectors(
+        spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    )
     assert links.sum() >= 1200
     assert {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(links.sum(1).tolist()))
 
@@ -248,7 +286,9 @@ def test_vectors_finds_links_across_many_lists(spark):
 def test_vectors_of_every_length_link(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [3.0, 0.1, 0.0]), (6, [1.0])]
     got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True)]
+    assert sorted(map(tuple, got)) == [
+        (1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True)
+    ]
 
 
 def test_language_id_held_out(spark, docs):
@@ -259,7 +299,9 @@ def test_language_id_held_out(spark, docs):
     assert sum(x.lang == x.lang_pred for x in r) >= 0.95 * len(r) and all(0 <= x.score <= 1 for x in r)
     odd = {x.doc_id: x.lang_pred for x in langid.identify(docs.where("doc_id between 9000 and 9002"), model).collect()}
     assert set(odd.values()) == {"und"}
-    assert {x.lang_pred for x in langid.identify(docs, langid.train(full.where("false"), P.path("piece_bpe_32k.model"))).collect()} == {"und"}
+    assert {
+        x.lang_pred for x in langid.identify(docs, langid.train(full.where("false"), P.path("piece_bpe_32k.model"))).collect()
+    } == {"und"}
 
 
 def test_forward_sums_all_segmentations():

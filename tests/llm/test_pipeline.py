@@ -22,7 +22,12 @@ def data(spark, tmp_path_factory):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     first = docs.where("length(text) > 400 and lang = 'en'").orderBy("doc_id").first()
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
-    odd = [(90001, None, "en", "s", 0), (90002, "", "en", "s", 0), (90003, "12 !? 34", None, "s", 8), (90004, first.text, "en", "s", len(first.text)), (90005, first.text + " more", None, None, 1), (90006, first.text, "en", "s", 1), (90006, first.text, "en", "s", 1), (None, "the words of no id at all and of the rest", "en", "s", 3), (90007, f"the of and {item} in the", "en", "s", 4), (90008, "the and of in to " * 20000, "en", "s", 5)]
+    odd = [
+        (90001, None, "en", "s", 0), (90002, "", "en", "s", 0), (90003, "12 !? 34", None, "s", 8),
+        (90004, first.text, "en", "s", len(first.text)), (90005, first.text + " more", None, None, 1), (90006, first.text, "en", "s", 1),
+        (90006, first.text, "en", "s", 1), (None, "the words of no id at all and of the rest", "en", "s", 3),
+        (90007, f"the of and {item} in the", "en", "s", 4), (90008, "the and of in to " * 20000, "en", "s", 5)
+    ]
     docs.select(*COLUMNS).union(spark.createDataFrame(odd, docs.select(*COLUMNS).schema)).withColumn("label", F.lit("extra")).repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
     return folder
@@ -109,7 +114,9 @@ def test_decontamination_drops_benchmark_passages(spark, data, steps):
 
 def test_byte_bpe_gives_the_library_s_ids(steps):
     before, after, columns = steps["byte_bpe"]
-    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.rank_table(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))), special_tokens={})
+    enc = tiktoken.Encoding(
+        "own", pat_str=P.PATTERN, mergeable_ranks=bpe.rank_table(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))), special_tokens={}
+    )
     want = sorted((str(r.doc_id), enc.encode_ordinary(r.text)) for r in before)
     assert sorted((str(r.doc_id), list(r.ids)) for r in after) == want
     assert columns == ["doc_id", "lang", "source", "label", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
