@@ -41,7 +41,9 @@ def terms(c: Column) -> Column:
 
 def preview(c: Column, n: int) -> Column:
     flat = collapsed(c)
-    return F.when(F.length(flat) <= n, flat).otherwise(F.concat(F.regexp_replace(F.substring(flat, 1, n - 1), rf"[{WS}]+$", ""), F.lit("…")))
+    return F.when(F.length(flat) <= n, flat).otherwise(
+        F.concat(F.regexp_replace(F.substring(flat, 1, n - 1), rf"[{WS}]+$", ""), F.lit("…"))
+    )
 
 
 def breadcrumb(path: Column) -> Column:

@@ -14,7 +14,10 @@ from evidentia.functions import text as X
 
 # What every chunk must carry, in the order it is reported, and the warnings. The wording of the
 # errors in ingest_errors and query_set_errors is fixed, too.
-REQUIRED = ("source_url", "license", "attribution", "snapshot_id", "doc_id", "chunk_id", "section_path", "start_offset", "end_offset", "token_count", "text")
+REQUIRED = (
+    "source_url", "license", "attribution", "snapshot_id", "doc_id", "chunk_id", "section_path", "start_offset", "end_offset",
+    "token_count", "text"
+)
 WARNINGS = {
     "manifest": "Manifest was empty.",
     "sections": "No sections were produced.",
@@ -53,11 +56,15 @@ def _identified(df: DataFrame, kind: str, place: str) -> DataFrame:
 def _again(df: DataFrame, key: str, place: str) -> DataFrame:
     """Adds _again: first places are summed up before the shuffle, so an id of very many rows is no sort of one task."""
     first = df.groupBy(F.col(key).alias("_key")).agg(F.min(place).alias("_first"))
-    return df.join(first, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_again", F.col(place) > F.col("_first")).drop("_key", "_first")
+    return df.join(first, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(
+        "_again", F.col(place) > F.col("_first")
+    ).drop("_key", "_first")
 
 
 def _findings(rows: DataFrame, part: int, place: str, texts: list[Column]) -> DataFrame:
-    out = rows.select(F.lit(part).alias("part"), F.col(place).cast("long").alias("place"), F.posexplode(F.array(*texts)).alias("step", "message"))
+    out = rows.select(
+        F.lit(part).alias("part"), F.col(place).cast("long").alias("place"), F.posexplode(F.array(*texts)).alias("step", "message")
+    )
     return out.where("message is not null")
 
 
@@ -96,12 +103,26 @@ def ingest_quality(manifest: DataFrame, sections: DataFrame, chunks: DataFrame,
     s, c = _identified(sections, "section", place), _identified(chunks, "chunk", place)
     invalid = F.coalesce(_whole(c, "start_offset") >= _whole(c, "end_offset"), F.lit(False))
     lacking = sum((missing(c, name).cast("long") for name in REQUIRED), F.lit(0))
-    of_sections = s.agg(F.count("*").alias("section_count"), total(missing(s, "text")).alias("empty_section_count"), total(F.col("_again")).alias("duplicate_section_ids"))
-    of_chunks = c.agg(F.count("*").alias("chunk_count"), total(missing(c, "text")).alias("empty_chunk_count"), total(F.col("_again")).alias("duplicate_chunk_ids"), total(lacking).alias("missing_metadata_count"), total(invalid).alias("_invalid"), total(F.coalesce(_whole(c, "token_count"), F.lit(0))).alias("estimated_token_count"))
+    of_sections = s.agg(
+        F.count("*").alias("section_count"), total(missing(s, "text")).alias("empty_section_count"),
+        total(F.col("_again")).alias("duplicate_section_ids")
+    )
+    of_chunks = c.agg(
+        F.count("*").alias("chunk_count"), total(missing(c, "text")).alias("empty_chunk_count"),
+        total(F.col("_again")).alias("duplicate_chunk_ids"), total(lacking).alias("missing_metadata_count"),
+        total(invalid).alias("_invalid"), total(F.coalesce(_whole(c, "token_count"), F.lit(0))).alias("estimated_token_count")
+    )
     first = manifest.agg(F.min_by("snapshot_id", place).alias("snapshot_id"))
     docs = _doc_ids(manifest).agg(F.count("*").alias("document_count"))
     one = first.crossJoin(docs).crossJoin(of_sections).crossJoin(of_chunks)  # four tables of one row
-    errors = sum((F.col(n) for n in ("empty_section_count", "duplicate_section_ids", "empty_chunk_count", "duplicate_chunk_ids", "missing_metadata_count")), F.col("_invalid"))
+    errors = sum(
+        (
+            F.col(n) for n in (
+                "empty_section_count", "duplicate_section_ids", "empty_chunk_count", "duplicate_chunk_ids", "missing_metadata_count"
+            )
+        ),
+        F.col("_invalid")
+    )
     return one.withColumn("error_count", errors).drop("_invalid")
 
 
@@ -115,13 +136,21 @@ def query_set_errors(entries: DataFrame, metadata: dict, registry: dict, ids: Da
     rows = _again(entries, "query_id", place)
     lists = {"doc": "doc_ids", "section": "expected_section_ids", "chunk": "expected_chunk_ids"}
     name = F.col("query_id")
-    differs = lambda of, value: F.when(~F.col("snapshot_id").eqNullSafe(F.lit(value)), F.concat(name, F.lit(": entry snapshot_id '"), F.coalesce("snapshot_id", F.lit("")), F.lit(f"' does not match {of} snapshot_id '{value}'")))
+    differs = lambda of, value: F.when(
+        ~F.col("snapshot_id").eqNullSafe(F.lit(value)),
+        F.concat(
+            name, F.lit(": entry snapshot_id '"), F.coalesce("snapshot_id", F.lit("")),
+            F.lit(f"' does not match {of} snapshot_id '{value}'")
+        )
+    )
     evidence = (F.coalesce(F.size("expected_section_ids"), F.lit(0)) > 0) | (F.coalesce(F.size("expected_chunk_ids"), F.lit(0)) > 0)
     own = [
         F.when(F.col("_again"), F.concat(F.lit("Duplicate query_id: "), name)),
         differs("metadata", metadata["snapshot_id"]),
         differs("registry", registry["snapshot_id"]),
-        F.when(F.col("answerable") & ~evidence, F.concat(name, F.lit(": answerable entries must include at least one section or chunk ID"))),
+        F.when(
+            F.col("answerable") & ~evidence, F.concat(name, F.lit(": answerable entries must include at least one section or chunk ID"))
+        ),
         F.when(~F.col("answerable") & evidence, F.concat(name, F.lit(": unanswerable entries must not include section/chunk IDs"))),
     ]
     out = _findings(rows, 1, place, own)
@@ -129,16 +158,29 @@ def query_set_errors(entries: DataFrame, metadata: dict, registry: dict, ids: Da
     for step, (kind, column) in enumerate(lists.items(), len(own)):
         used = entries.select(F.col(place).cast("long").alias("place"), "query_id", F.posexplode(column).alias("at", "id"))
         unknown = used.join(known.where(F.col("kind") == kind).select("id"), "id", "left_anti")
-        out = out.union(unknown.select(F.lit(1), "place", F.lit(step), F.concat(name, F.lit(f": unknown {kind}_id '"), F.col("id"), F.lit("'"))))
+        out = out.union(
+            unknown.select(F.lit(1), "place", F.lit(step), F.concat(name, F.lit(f": unknown {kind}_id '"), F.col("id"), F.lit("'")))
+        )
     n = lambda kind: F.coalesce(F.sum((F.col("kind") == kind).cast("long")), F.lit(0))
     counts = entries.agg(F.count("*").alias("entries")).crossJoin(known.agg(*[n(k).alias(k) for k in lists]))  # one row each
     numbers = lambda head, column: F.concat(F.lit(head), F.col(column).cast("string"))
     whole = [
-        F.when(F.col("entries") != metadata["row_count"], numbers(f"Metadata row_count={metadata['row_count']} does not match dataset size=", "entries")),
-        F.when(F.col("doc") != metadata["doc_count"], numbers(f"Metadata doc_count={metadata['doc_count']} does not match registry size=", "doc")),
-        F.when(F.col("section") != metadata["section_id_count"], F.lit("Metadata section_id_count does not match registry section ID count")),
+        F.when(
+            F.col("entries") != metadata["row_count"],
+            numbers(f"Metadata row_count={metadata['row_count']} does not match dataset size=", "entries")
+        ),
+        F.when(
+            F.col("doc") != metadata["doc_count"],
+            numbers(f"Metadata doc_count={metadata['doc_count']} does not match registry size=", "doc")
+        ),
+        F.when(
+            F.col("section") != metadata["section_id_count"], F.lit("Metadata section_id_count does not match registry section ID count")
+        ),
         F.when(F.col("chunk") != metadata["chunk_id_count"], F.lit("Metadata chunk_id_count does not match registry chunk ID count")),
-        F.when(F.lit(metadata.get("default_chunking") != registry.get("default_chunking")), F.lit("Metadata default_chunking does not match registry default_chunking")),
+        F.when(
+            F.lit(metadata.get("default_chunking") != registry.get("default_chunking")),
+            F.lit("Metadata default_chunking does not match registry default_chunking")
+        ),
     ]
     empty = F.when(F.col("entries") == 0, F.lit("Dataset must contain at least one entry."))
     counts = counts.withColumn("_place", F.lit(0))
@@ -156,7 +198,9 @@ def contract_breaches(responses: DataFrame) -> Column:
     """Why a response (final_answer, citations, is_refusal, reason_code, message) breaks the contract: an array."""
     refusal, cites = F.coalesce("is_refusal", F.lit(False)), F.coalesce(F.size("citations"), F.lit(0))
     no_message = X.blank(F.col("message"))
-    bounds = F.coalesce(F.exists("citations", lambda c: F.coalesce((c.start_offset < 0) | (c.end_offset <= c.start_offset), F.lit(True))), F.lit(False))
+    bounds = F.coalesce(
+        F.exists("citations", lambda c: F.coalesce((c.start_offset < 0) | (c.end_offset <= c.start_offset), F.lit(True))), F.lit(False)
+    )
     rules = (
         (X.blank(F.col("final_answer")), "blank_answer"),
         (refusal & (cites > 0), "citations_on_refusal"),

@@ -60,17 +60,28 @@ def parsed(manifest: DataFrame, texts: DataFrame) -> DataFrame:
     missing = F.raise_error(F.concat(F.lit("no file for "), F.col("source_path"))).cast("string")
     files = texts.select(F.col("path").alias("_path"), F.coalesce("text", F.lit("")).alias("_text"))
     full = wanted.join(files, F.col("source_path") == F.col("_path"), "left").withColumn("_text", F.coalesce("_text", missing))
-    rows = S.sections(full.withColumn("_row", F.struct(*manifest.columns)), S.document, "_row", "_text", "source_path", F.col("_row.doc_id"), titled=True)
+    rows = S.sections(
+        full.withColumn("_row", F.struct(*manifest.columns)), S.document, "_row", "_text", "source_path", F.col("_row.doc_id"), titled=True
+    )
     of = lambda c: (F.col(f"_row.{c}") if c in manifest.columns else F.lit(None).cast("string")).alias(c)
     language = F.coalesce(of("language"), F.lit("en")).alias("language")
-    return rows.select(of("snapshot_id"), of("doc_id"), "section_id", F.col("section_index").cast("int").alias("section_index"), "doc_title", "heading", "section_path", of("source_path"), of("source_url"), of("license"), of("attribution"), language, F.col("start_offset").cast("int").alias("start_offset"), F.col("end_offset").cast("int").alias("end_offset"), "text")
+    return rows.select(
+        of("snapshot_id"), of("doc_id"), "section_id", F.col("section_index").cast("int").alias("section_index"), "doc_title", "heading",
+        "section_path", of("source_path"), of("source_url"), of("license"), of("attribution"), language,
+        F.col("start_offset").cast("int").alias("start_offset"), F.col("end_offset").cast("int").alias("end_offset"), "text"
+    )
 
 
 def chunked_sections(sections: DataFrame, most: int = 350, overlap: int = 50) -> DataFrame:
     """The chunks of sections (tables.SECTIONS), in the columns of tables.CHUNKS; offsets count from the document's beginning."""
-    rows = chunks(sections, "doc_id", "text", most, overlap, base="start_offset", digest=("snapshot_id", "doc_id", "section_id"), keep=tuple(c for c in sections.columns if c not in ("doc_id", "text", "start_offset", "end_offset", "heading")))
+    rows = chunks(
+        sections, "doc_id", "text", most, overlap, base="start_offset", digest=("snapshot_id", "doc_id", "section_id"),
+        keep=tuple(c for c in sections.columns if c not in ("doc_id", "text", "start_offset", "end_offset", "heading"))
+    )
     names = [f.split()[0] for f in tables.CHUNKS.split(", ")]
-    number = lambda c: F.col(c).cast("int").alias(c) if c in ("chunk_index", "start_offset", "end_offset", "token_count") else F.col(c)
+    number = lambda c: F.col(c).cast("int").alias(c) if c in (
+        "chunk_index", "start_offset", "end_offset", "token_count"
+    ) else F.col(c)
     return rows.select(*[number(c) for c in names])
 
 
@@ -83,7 +94,9 @@ def single_snapshot(chunks: DataFrame) -> str | None:
 
 def registry(sections: DataFrame, chunks: DataFrame) -> DataFrame:
     """(kind, id): the different documents, sections and chunks that a corpus has."""
-    pick = lambda df, kind: df.where(~X.blank(F.col(f"{kind}_id"))).select(F.lit(kind).alias("kind"), X.stripped(F.col(f"{kind}_id")).alias("id"))
+    pick = lambda df, kind: df.where(~X.blank(F.col(f"{kind}_id"))).select(
+        F.lit(kind).alias("kind"), X.stripped(F.col(f"{kind}_id")).alias("id")
+    )
     every = [pick(sections, "doc"), pick(chunks, "doc"), pick(sections, "section"), pick(chunks, "section"), pick(chunks, "chunk")]
     return functools.reduce(DataFrame.union, every).distinct()
 
@@ -97,10 +110,14 @@ def occurrences(rows: DataFrame, key: str, order: str) -> DataFrame:
     part = kept(rows.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()))
     counts = part.groupBy(key, "_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.withColumn("_before", before).where("_before > 0").select(F.col(key).alias("_key"), F.col("_part").alias("_of"), "_before")
+    starts = counts.withColumn("_before", before).where("_before > 0").select(
+        F.col(key).alias("_key"), F.col("_part").alias("_of"), "_before"
+    )
     local = F.row_number().over(Window.partitionBy("_part", key).orderBy(order))
     out = part.withColumn("_local", local).join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")), "left")
-    return out.withColumn("occurrence", (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long")).drop("_part", "_local", "_key", "_of", "_before")
+    return out.withColumn("occurrence", (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long")).drop(
+        "_part", "_local", "_key", "_of", "_before"
+    )
 
 
 def section_offsets(sections: DataFrame, doc: str = "doc_id", index: str = "section_index", text: str = "text", gap: int = 2) -> DataFrame:
@@ -110,7 +127,10 @@ def section_offsets(sections: DataFrame, doc: str = "doc_id", index: str = "sect
     return sections.withColumn("start_offset", start.cast("long")).withColumn("end_offset", F.col("start_offset") + F.length(text))
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 350, overlap: int = 50, base: str | None = None, digest: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+def chunks(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 350, overlap: int = 50, base: str | None = None,
+    digest: tuple[str, ...] = (), keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Windows of `most` tokens that overlap: (id, chunk_index, start_offset, end_offset, token_count, text, chunk_id) and the columns in keep.
 
     Offsets count from that in the column base, or 0. A chunk id ends in a digest of the columns in digest (the
@@ -121,7 +141,10 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     stride = most - overlap
     own = {f"_{c}": F.col(c) for c in digest}
     start = F.col(base).cast("long") if base else F.lit(0).cast("long")
-    segments = docs.select(F.col(id_col), *keep, *[c.alias(n) for n, c in own.items()], start.alias("_base"), X.found(F.coalesce(F.col(text_col), F.lit("")), X.SEGMENT).alias("segs"))
+    segments = docs.select(
+        F.col(id_col), *keep, *[c.alias(n) for n, c in own.items()], start.alias("_base"),
+        X.found(F.coalesce(F.col(text_col), F.lit("")), X.SEGMENT).alias("segs")
+    )
     n = F.size("segs")
     last = F.greatest(F.lit(0), F.ceil((n - most) / stride)).cast("int")
     numbers = F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
@@ -129,7 +152,10 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     def window(i):
         at = i * stride + 1
         words = lambda k: F.array_join(F.slice("segs", at, F.lit(k)), "")
-        return F.struct(i.alias("i"), words(most).alias("raw"), F.length(words(stride)).cast("long").alias("size"), F.least(F.lit(most), n - at + 1).cast("long").alias("tokens"))
+        return F.struct(
+            i.alias("i"), words(most).alias("raw"), F.length(words(stride)).cast("long").alias("size"),
+            F.least(F.lit(most), n - at + 1).cast("long").alias("tokens")
+        )
 
     windows = segments.withColumn("windows", F.transform(numbers, window)).drop("segs")
     # Where each window begins: the lengths of the strides before it.
@@ -137,11 +163,16 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     rows = windows.withColumn("before", sums).select(id_col, *keep, *own, "_base", "before", F.explode("windows").alias("w"))
     text = F.regexp_replace("w.raw", rf"^[{X.WS}]+", "")
     end = F.col("_base") + F.element_at("before", F.col("w.i") + 1) + F.length("w.raw")
-    rows = rows.select(id_col, *keep, *own, F.col("w.i").cast("long").alias("chunk_index"), text.alias("text"), end.alias("end_offset"), F.col("w.tokens").alias("token_count"))
+    rows = rows.select(
+        id_col, *keep, *own, F.col("w.i").cast("long").alias("chunk_index"), text.alias("text"), end.alias("end_offset"),
+        F.col("w.tokens").alias("token_count")
+    )
     rows = rows.withColumn("start_offset", F.col("end_offset") - F.length("text"))
     told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*(own or [id_col]), "chunk_index", "start_offset", "end_offset")]
     code = F.substring(F.sha1(F.concat_ws("|", *told)), 1, 12)
-    rows = rows.withColumn("chunk_id", F.concat(F.col(id_col).cast("string"), F.lit("-chk-"), F.format_string("%04d", F.col("chunk_index")), F.lit("-"), code))
+    rows = rows.withColumn(
+        "chunk_id", F.concat(F.col(id_col).cast("string"), F.lit("-chk-"), F.format_string("%04d", F.col("chunk_index")), F.lit("-"), code)
+    )
     return rows.select(id_col, *keep, "chunk_index", "start_offset", "end_offset", "token_count", "text", "chunk_id")
 
 

@@ -16,10 +16,16 @@ from evidentia.sources.tables import kept
 def per_query(hits: DataFrame, relevant: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(query_id, hit, recall, reciprocal_rank) for every query with relevant ids."""
     wanted = relevant.select("query_id", id_col).distinct()
-    found = hits.select("query_id", id_col, "rank").join(wanted, ["query_id", id_col], "left_semi").groupBy("query_id").agg(F.min("rank").alias("best"), F.countDistinct(id_col).alias("n"))
+    found = hits.select("query_id", id_col, "rank").join(wanted, ["query_id", id_col], "left_semi").groupBy("query_id").agg(
+        F.min("rank").alias("best"), F.countDistinct(id_col).alias("n")
+    )
     total = wanted.groupBy("query_id").agg(F.count("*").alias("total"))
     out = total.join(found, "query_id", "left")
-    return out.select("query_id", F.coalesce((F.col("n") > 0).cast("double"), F.lit(0.0)).alias("hit"), F.round(F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)), 6).alias("recall"), F.round(F.coalesce(1 / F.col("best"), F.lit(0.0)), 6).alias("reciprocal_rank"))
+    return out.select(
+        "query_id", F.coalesce((F.col("n") > 0).cast("double"), F.lit(0.0)).alias("hit"),
+        F.round(F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)), 6).alias("recall"),
+        F.round(F.coalesce(1 / F.col("best"), F.lit(0.0)), 6).alias("reciprocal_rank")
+    )
 
 
 def summary(queries: DataFrame, hits: DataFrame, relevant: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -29,7 +35,9 @@ def summary(queries: DataFrame, hits: DataFrame, relevant: DataFrame, id_col: st
     """
     scored = per_query(hits, relevant, id_col)
     shown = hits.select("query_id").distinct().withColumn("_shown", F.lit(True))
-    rows = queries.join(scored, "query_id", "left").join(shown, "query_id", "left").withColumn("_ms", F.greatest(F.lit(0.0), F.col("latency_ms")))
+    rows = queries.join(scored, "query_id", "left").join(shown, "query_id", "left").withColumn(
+        "_ms", F.greatest(F.lit(0.0), F.col("latency_ms"))
+    )
     n = lambda test: F.count(F.when(test, 1))
     mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
     p = lambda q: F.round(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY _ms)"), 6)
@@ -56,9 +64,13 @@ def alternative_summary(queries: DataFrame, hits: DataFrame, relevant: DataFrame
     queries: query_id, answerable, latency_ms; means over nothing are 0.
     """
     wanted = relevant.select("query_id", id_col).distinct()
-    found = hits.select("query_id", id_col, "rank").join(wanted, ["query_id", id_col], "left_semi").groupBy("query_id").agg(F.min("rank").alias("best"), F.countDistinct(id_col).alias("n"))
+    found = hits.select("query_id", id_col, "rank").join(wanted, ["query_id", id_col], "left_semi").groupBy("query_id").agg(
+        F.min("rank").alias("best"), F.countDistinct(id_col).alias("n")
+    )
     total = wanted.groupBy("query_id").agg(F.count("*").alias("total"))
-    rows = queries.join(total, "query_id", "left").join(found, "query_id", "left").withColumn("_ms", F.greatest(F.lit(0.0), F.col("latency_ms")))
+    rows = queries.join(total, "query_id", "left").join(found, "query_id", "left").withColumn(
+        "_ms", F.greatest(F.lit(0.0), F.col("latency_ms"))
+    )
     mean = lambda c: F.coalesce(F.avg(F.when(F.col("answerable"), c)), F.lit(0.0))
     return rows.agg(
         F.count("*").alias("query_count"),
@@ -96,7 +108,9 @@ def run(retrieve, queries: DataFrame, relevant: DataFrame, k: int, id_col: str =
     return hits, summary(queries, hits, relevant, id_col)
 
 
-def timed_run(retrieve, queries: DataFrame, relevant: DataFrame, k: int, id_col: str = "doc_id", clock=time.perf_counter_ns) -> tuple[DataFrame, DataFrame]:
+def timed_run(
+    retrieve, queries: DataFrame, relevant: DataFrame, k: int, id_col: str = "doc_id", clock=time.perf_counter_ns
+) -> tuple[DataFrame, DataFrame]:
     """run() with the time it took: hits are made once, kept, and every query gets its share of the time as latency_ms."""
     asked = kept(queries.drop("latency_ms"))
     n, begun = max(asked.count(), 1), clock()
@@ -122,18 +136,46 @@ def results(name: str, about: dict, retriever: tuple[str, str], entries: DataFra
     ranks = [c for c in hits.columns if c.endswith("_rank")]
     pairs = [F.struct(F.lit(c).alias("key"), F.col(c).cast("int").alias("value")) for c in ranks]
     told = F.filter(F.array(*pairs), lambda p: p.value.isNotNull()) if pairs else F.array().cast("array<struct<key:string,value:int>>")
-    hit = F.struct(F.col("rank").cast("int").alias("rank"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("score").cast("double").alias("score"), have(hits, "doc_id", "string"), have(hits, "section_id", "string"), told.alias("metadata"))
+    hit = F.struct(
+        F.col("rank").cast("int").alias("rank"), F.col("chunk_id").cast("string").alias("chunk_id"),
+        F.col("score").cast("double").alias("score"), have(hits, "doc_id", "string"), have(hits, "section_id", "string"),
+        told.alias("metadata")
+    )
     listed = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
-    listed = listed.withColumn("hits", F.transform("hits", lambda h: F.struct(h.chunk_id.alias("chunk_id"), h.score.alias("score"), h["rank"].alias("rank"), h.doc_id.alias("doc_id"), h.section_id.alias("section_id"), F.map_from_entries(h.metadata).alias("metadata"))))
+    listed = listed.withColumn(
+        "hits",
+        F.transform(
+            "hits",
+            lambda h: F.struct(
+                h.chunk_id.alias("chunk_id"), h.score.alias("score"), h["rank"].alias("rank"), h.doc_id.alias("doc_id"),
+                h.section_id.alias("section_id"), F.map_from_entries(h.metadata).alias("metadata")
+            )
+        )
+    )
     wanted = relevant_ids(entries)
-    by_kind = hits.select("query_id", "rank", F.explode(F.array(F.struct(F.lit("chunk_id").alias("kind"), F.col("chunk_id").cast("string").alias("id")), F.struct(F.lit("section_id").alias("kind"), have(hits, "section_id", "string").alias("id")))).alias("x")).select("query_id", "rank", "x.*")
-    found = by_kind.join(wanted, ["query_id", "kind", "id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("best"), F.countDistinct("id").alias("n"))
+    by_kind = hits.select(
+        "query_id", "rank",
+        F.explode(
+            F.array(
+                F.struct(F.lit("chunk_id").alias("kind"), F.col("chunk_id").cast("string").alias("id")),
+                F.struct(F.lit("section_id").alias("kind"), have(hits, "section_id", "string").alias("id"))
+            )
+        ).alias("x")
+    ).select("query_id", "rank", "x.*")
+    found = by_kind.join(wanted, ["query_id", "kind", "id"], "left_semi").groupBy("query_id").agg(
+        F.min("rank").alias("best"), F.countDistinct("id").alias("n")
+    )
     total = wanted.groupBy("query_id").agg(F.count("*").alias("total"))
     rows = entries.join(listed, "query_id", "left").join(found, "query_id", "left").join(total, "query_id", "left")
     snapshot, (retriever_name, kind) = about.get("snapshot_id"), retriever
     recall, rr = F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)), F.coalesce(1 / F.col("best"), F.lit(0.0))
     no_hits = F.array().cast(tables.HITS)
-    return rows.select(F.lit(name).alias("run_id"), "query_id", F.lit(snapshot).alias("snapshot_id"), F.lit(retriever_name).alias("retriever_name"), F.lit(kind).alias("retriever_type"), F.lit(k).alias("top_k"), "answerable", "expected_chunk_ids", (F.coalesce("n", F.lit(0)) > 0).alias("hit"), recall.alias("recall"), rr.alias("reciprocal_rank"), have(entries, "latency_ms", "double"), F.coalesce(F.col("hits").cast(tables.HITS), no_hits).alias("hits"))
+    return rows.select(
+        F.lit(name).alias("run_id"), "query_id", F.lit(snapshot).alias("snapshot_id"), F.lit(retriever_name).alias("retriever_name"),
+        F.lit(kind).alias("retriever_type"), F.lit(k).alias("top_k"), "answerable", "expected_chunk_ids",
+        (F.coalesce("n", F.lit(0)) > 0).alias("hit"), recall.alias("recall"), rr.alias("reciprocal_rank"),
+        have(entries, "latency_ms", "double"), F.coalesce(F.col("hits").cast(tables.HITS), no_hits).alias("hits")
+    )
 
 
 def baseline(retrieve, retriever: tuple[str, str], entries: DataFrame, about: dict, k: int, folder: str) -> tuple[str, str]:
@@ -159,11 +201,15 @@ def _totals(rows: DataFrame) -> DataFrame:
     return rows.agg(
         F.count("*").alias("queries"), count(F.col("answerable")).alias("answerable"), count(~F.col("answerable")).alias("unanswerable"), count(F.col("_labelled")).alias("relevant"),
         count(F.col("_n") > 0).alias("with_results"), count(F.col("_n") == 0).alias("without_results"), mean("hit").alias("hit_at_k"), mean("recall").alias("recall_at_k"), mean("reciprocal_rank").alias("mrr"),
-        F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 6).alias("average_latency_ms"), p(0.5).alias("p50_latency_ms"), p(0.95).alias("p95_latency_ms"), F.round(F.max("latency_ms"), 6).alias("max_latency_ms"),
+        F.round(
+            F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 6
+        ).alias("average_latency_ms"), p(0.5).alias("p50_latency_ms"), p(0.95).alias("p95_latency_ms"), F.round(F.max("latency_ms"), 6).alias("max_latency_ms"),
     )
 
 
 def latency(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Nearest-rank percentiles."""
     p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
-    return rows.groupBy(*by).agg(F.round(F.avg(value), 4).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.max(value).alias("longest"))
+    return rows.groupBy(*by).agg(
+        F.round(F.avg(value), 4).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.max(value).alias("longest")
+    )

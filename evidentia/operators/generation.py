@@ -18,14 +18,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions import text as X
 from evidentia.operators import answers, checks, prompts, trust
 from evidentia.operators.retrieval import question_key
 from evidentia.sources.tables import kept
 
 RESPONSE = f"query_id string, final_answer string, citations {answers.CITATIONS}, is_refusal boolean, reason_code string, message string, failure_code string"
-_CITATION = pa.struct([("marker", pa.string()), ("doc_id", pa.string()), ("chunk_id", pa.string()), ("start_offset", pa.int32()), ("end_offset", pa.int32())])
-_RESPONSE = pa.schema([("query_id", pa.string()), ("final_answer", pa.string()), ("citations", pa.list_(_CITATION)), ("is_refusal", pa.bool_()), ("reason_code", pa.string()), ("message", pa.string()), ("failure_code", pa.string())])
+_CITATION = pa.struct(
+    [("marker", pa.string()), ("doc_id", pa.string()), ("chunk_id", pa.string()), ("start_offset", pa.int32()), ("end_offset", pa.int32())]
+)
+_RESPONSE = pa.schema(
+    [
+        ("query_id", pa.string()), ("final_answer", pa.string()), ("citations", pa.list_(_CITATION)), ("is_refusal", pa.bool_()),
+        ("reason_code", pa.string()), ("message", pa.string()), ("failure_code", pa.string())
+    ]
+)
 PARSE_ERROR = "parse_error"
 # The fields of a reply, its reasons to refuse, and where two kinds of servers take requests.
 REPLY = {"final_answer", "citations", "refusal"}
@@ -86,7 +92,10 @@ def _fields(reply) -> dict:
     reason = _field(refusal, "reason_code", str, type(None))
     if reason is not None and reason not in REASONS:
         raise ValueError(f"unknown reason {reason!r}")
-    return {"final_answer": _field(reply, "final_answer", str), "citations": citations, "is_refusal": _field(refusal, "is_refusal", bool), "reason_code": reason, "message": _field(refusal, "message", str, type(None))}
+    return {
+        "final_answer": _field(reply, "final_answer", str), "citations": citations, "is_refusal": _field(refusal, "is_refusal", bool),
+        "reason_code": reason, "message": _field(refusal, "message", str, type(None))
+    }
 
 
 def parsed_reply(content: str) -> dict:
@@ -119,7 +128,9 @@ class BackendError(RuntimeError):
     """A server's reply with an error status."""
 
 
-def http_client(base_url: str, dialect: str = "http", model: str | None = None, timeout: float = 30.0, path: str | None = None, key: str | None = None) -> Callable[[], Callable[[dict], dict]]:
+def http_client(
+    base_url: str, dialect: str = "http", model: str | None = None, timeout: float = 30.0, path: str | None = None, key: str | None = None
+) -> Callable[[], Callable[[dict], dict]]:
     """connect() for worker_generator: requests as JSON over HTTP.
 
     The dialect http posts the request and gets a reply; openai_compatible posts messages to a model and gets a chat
@@ -135,7 +146,10 @@ def http_client(base_url: str, dialect: str = "http", model: str | None = None,
         if dialect == "http":
             return {k: v for k, v in request.items() if v is not None}
         system = [{"role": "system", "content": request["system_prompt"]}] if request.get("system_prompt") else []
-        return {"model": model, "messages": [*system, {"role": "user", "content": request.get("user_prompt") or request["question"]}], "temperature": 0.0}
+        return {
+            "model": model, "messages": [*system, {"role": "user", "content": request.get("user_prompt") or request["question"]}],
+            "temperature": 0.0
+        }
 
     def ask(request: dict) -> dict:
         post = urllib.request.Request(url, json.dumps(body(request)).encode(), headers, method="POST")
@@ -164,12 +178,18 @@ def canned_generator(known: DataFrame) -> Generator:
         got = requests.select("query_id", question_key(F.col("question")).alias("_key")).join(by_key, "_key", "left")
         have = lambda name, kind: (F.col(name) if name in fields else F.lit(None)).cast(kind).alias(name)
         failure = F.coalesce(have("failure_code", "string"), F.when(F.col("_known").isNull(), "backend_error")).alias("failure_code")
-        return got.select(F.col("query_id").cast("string").alias("query_id"), have("final_answer", "string"), have("citations", answers.CITATIONS), have("is_refusal", "boolean"), have("reason_code", "string"), have("message", "string"), failure)
+        return got.select(
+            F.col("query_id").cast("string").alias("query_id"), have("final_answer", "string"), have("citations", answers.CITATIONS),
+            have("is_refusal", "boolean"), have("reason_code", "string"), have("message", "string"), failure
+        )
 
     return run
 
 
-def answered(questions: DataFrame, hits: DataFrame, generate: Generator, thresholds: trust.Thresholds = trust.Thresholds(), attempts: int = 2, messages: dict[str, str] | None = None, system_prompt: str | None = None) -> DataFrame:
+def answered(
+    questions: DataFrame, hits: DataFrame, generate: Generator, thresholds: trust.Thresholds = trust.Thresholds(), attempts: int = 2,
+    messages: dict[str, str] | None = None, system_prompt: str | None = None
+) -> DataFrame:
     """(query_id, status, final_answer, citations, reason_code, failure_code, attempts), a row per question.
 
     questions: query_id, question; hits: query_id, chunk_id, text, start_offset, end_offset, rank and
@@ -182,7 +202,9 @@ def answered(questions: DataFrame, hits: DataFrame, generate: Generator, thresho
     texts = messages or answers.MESSAGES
     asked = questions.select(F.col("query_id").cast("string").alias("query_id"), "question")
     hits = kept(hits.withColumn("query_id", F.col("query_id").cast("string")))
-    gated = asked.join(trust.gate(hits, thresholds).select("query_id", "decision"), "query_id", "left").withColumn("decision", F.coalesce("decision", F.lit("no_relevant_docs")))
+    gated = asked.join(trust.gate(hits, thresholds).select("query_id", "decision"), "query_id", "left").withColumn(
+        "decision", F.coalesce("decision", F.lit("no_relevant_docs"))
+    )
     admitted = F.col("decision").isin("full", "thin")
     none = F.lit(None).cast(answers.CITATIONS)
     said = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])
@@ -190,12 +212,19 @@ def answered(questions: DataFrame, hits: DataFrame, generate: Generator, thresho
 
     def refused(rows: DataFrame, code: Column, attempt: int) -> DataFrame:
         rows = rows.withColumn("reason_code", code)
-        return rows.select("query_id", F.lit("refusal").alias("status"), F.element_at(said, F.col("reason_code")).alias("final_answer"), none.alias("citations"), "reason_code", F.lit(None).cast("string").alias("failure_code"), F.lit(attempt).alias("attempts"))
+        return rows.select(
+            "query_id", F.lit("refusal").alias("status"), F.element_at(said, F.col("reason_code")).alias("final_answer"),
+            none.alias("citations"), "reason_code", F.lit(None).cast("string").alias("failure_code"), F.lit(attempt).alias("attempts")
+        )
 
     done = refused(gated.where(~admitted), F.col("decision"), 0)
     context = answers.prompt_context(hits, "query_id").select("query_id", F.col("context").alias("evidence"))
     prompt = F.concat(F.lit("Question: "), F.coalesce("question", F.lit("")), F.lit("\n\n"), F.col("evidence"))
-    left = kept(gated.where(admitted).join(context, "query_id").select("query_id", "question", F.lit(system_prompt or prompts.system_prompt()).alias("system_prompt"), prompt.alias("user_prompt")))
+    left = kept(
+        gated.where(admitted).join(context, "query_id").select(
+            "query_id", "question", F.lit(system_prompt or prompts.system_prompt()).alias("system_prompt"), prompt.alias("user_prompt")
+        )
+    )
     spans = hits.select("query_id", "chunk_id", "text", "start_offset", "end_offset")
 
     for attempt in range(1, attempts + 1):
@@ -207,8 +236,15 @@ def answered(questions: DataFrame, hits: DataFrame, generate: Generator, thresho
         checked = kept(answers.validated(fixed, spans, "query_id"))
         status = F.when(F.coalesce("is_refusal", F.lit(False)), "refusal").otherwise("answer")
         broken = got.where(F.col("failure_code").isNotNull() & (F.col("failure_code") != PARSE_ERROR))
-        rows = checked.where("outcome = 'valid'").select("query_id", status.alias("status"), F.col("answer").alias("final_answer"), "citations", "reason_code", "failure_code", F.lit(attempt).alias("attempts"))
-        rows = rows.union(broken.select("query_id", F.lit("error"), F.lit(None).cast("string"), none, F.lit(None).cast("string"), "failure_code", F.lit(attempt)))
+        rows = checked.where("outcome = 'valid'").select(
+            "query_id", status.alias("status"), F.col("answer").alias("final_answer"), "citations", "reason_code", "failure_code",
+            F.lit(attempt).alias("attempts")
+        )
+        rows = rows.union(
+            broken.select(
+                "query_id", F.lit("error"), F.lit(None).cast("string"), none, F.lit(None).cast("string"), "failure_code", F.lit(attempt)
+            )
+        )
         rows = rows.union(refused(checked.where("outcome = 'refuse'"), F.lit("citation_validation_failed"), attempt))
         done = done.union(rows)
         left = left.join(rows.select("query_id"), "query_id", "left_anti")

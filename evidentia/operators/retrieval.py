@@ -34,12 +34,17 @@ class Postings:
     A document has a row of its own (term null, its length) besides one for each asked term.
     """
 
-    def __init__(self, docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "query_id", query_text: str = "text"):
+    def __init__(
+        self, docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "query_id",
+        query_text: str = "text"
+    ):
         terms = queries.select(F.col(query_id).alias("query_id"), F.explode(X.terms(F.col(query_text))).alias("term"))
         self.asked = kept(terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
         words = docs.select(F.col(doc_id).alias("doc_id"), X.terms(F.col(doc_text)).alias("terms"))
         # The document's own row leads its terms, so both come from one pass over the text.
-        each = words.select("doc_id", F.size("terms").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term"))
+        each = words.select(
+            "doc_id", F.size("terms").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term")
+        )
         wanted = self.asked.select(F.col("term").alias("asked")).distinct()
         if wanted.count() <= BROADCAST_TERMS:
             wanted = F.broadcast(wanted)
@@ -63,7 +68,10 @@ class Postings:
         return ranked(scores.where("score > 0"), k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "query_id", query_text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+def bm25(
+    docs: DataFrame, queries: DataFrame, k: int = 5, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "query_id",
+    query_text: str = "text", k1: float = K1, b: float = B
+) -> DataFrame:
     """(query_id, doc_id, score, rank): Okapi BM25 over all documents, scores rounded to 9
     places before ranking so that the order of summation decides nothing."""
     return Postings(docs, queries, doc_id, doc_text, query_id, query_text).ranked(k, k1, b)
@@ -84,7 +92,12 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = left.select("vec_id", "v", part("vec_id", n_left).alias("m"), every(n_right).alias("q"))
     right = right.select("query_id", "w", every(n_left).alias("m"), part("query_id", n_right).alias("q"))
-    types = StructType([StructField("query_id", right.schema["query_id"].dataType), StructField("vec_id", left.schema["vec_id"].dataType), StructField("score", DoubleType())])
+    types = StructType(
+        [
+            StructField("query_id", right.schema["query_id"].dataType), StructField("vec_id", left.schema["vec_id"].dataType),
+            StructField("score", DoubleType())
+        ]
+    )
 
     def compare(ours: pa.Table, theirs: pa.Table) -> pa.Table:
         ours = ours.take(pc.sort_indices(ours, sort_keys=[("vec_id", "ascending")], null_placement="at_start"))
@@ -97,7 +110,12 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
             found.append(best.ravel())
             scores.append(np.take_along_axis(block, best, axis=1).ravel())
         asked, found = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (asked, found))
-        return pa.table({"query_id": theirs["query_id"].take(asked), "vec_id": ours["vec_id"].take(found), "score": pa.array(np.concatenate([np.zeros(0), *scores]), from_pandas=False)})
+        return pa.table(
+            {
+                "query_id": theirs["query_id"].take(asked), "vec_id": ours["vec_id"].take(found),
+                "score": pa.array(np.concatenate([np.zeros(0), *scores]), from_pandas=False)
+            }
+        )
 
     hits = left.groupBy("m", "q").cogroup(right.groupBy("m", "q")).applyInArrow(compare, types)
     return ranked(hits, k, tie="vec_id")
@@ -131,7 +149,9 @@ def _cosines(queries: dict, vectors: dict, n: int, m: int) -> np.ndarray:
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
     """The columns of the k highest scores of each row, the first of equal ones; NaN is the highest."""
     m = scores.shape[1]
-    order = np.where(np.isnan(scores), 2_000_000, np.rint(np.clip(np.nan_to_num(scores), -1.5, 1.5) * 1e6)).astype(np.int64) * m - np.arange(m)
+    order = np.where(
+        np.isnan(scores), 2_000_000, np.rint(np.clip(np.nan_to_num(scores), -1.5, 1.5) * 1e6)
+    ).astype(np.int64) * m - np.arange(m)
     return np.argpartition(-order, k - 1, axis=1)[:, :k] if k < m else np.broadcast_to(np.arange(m), scores.shape)
 
 
@@ -145,7 +165,10 @@ def sound_unit_score(score: Column) -> Column:
     return F.when(wrong, F.raise_error(F.lit("a score is not finite")).cast("double")).otherwise(unit_score(score))
 
 
-def fused(first: DataFrame, second: DataFrame, k: int = 5, depth: int = DEPTH, rrf_k: int = RRF_K, id_col: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:
+def fused(
+    first: DataFrame, second: DataFrame, k: int = 5, depth: int = DEPTH, rrf_k: int = RRF_K, id_col: str = "doc_id",
+    carried: tuple[str, ...] = ()
+) -> DataFrame:
     """Reciprocal-rank fusion of two rank lists, with each one's rank kept.
 
     carried names columns, such as the document and section of a chunk, of which a hit gets the
@@ -160,7 +183,9 @@ def fused(first: DataFrame, second: DataFrame, k: int = 5, depth: int = DEPTH, r
 
     both = cut(first, "first").join(cut(second, "second"), ["query_id", id_col], "full_outer")
     gain = lambda c: F.when(F.col(c).isNull(), 0.0).otherwise(1 / (rrf_k + F.greatest(F.lit(1), F.col(c))))
-    both = both.withColumns({c: F.coalesce(f"first_{c}", f"second_{c}") for c in carried}).drop(*[f"{n}_{c}" for n in ("first", "second") for c in carried])
+    both = both.withColumns({c: F.coalesce(f"first_{c}", f"second_{c}") for c in carried}).drop(
+        *[f"{n}_{c}" for n in ("first", "second") for c in carried]
+    )
     return ranked(both.withColumn("score", gain("first_rank") + gain("second_rank")), k, tie=id_col)
 
 
@@ -209,7 +234,9 @@ def fixture(name: str):
         chunk_ids, section_ids = (F.coalesce(c, F.array().cast("array<string>")) for c in ("expected_chunk_ids", "expected_section_ids"))
         none = F.lit(None).cast("string")
         of_chunks = F.transform(chunk_ids, lambda c: F.struct(c.alias("chunk_id"), none.alias("section_id")))
-        of_sections = F.transform(section_ids, lambda c: F.struct(F.concat(F.lit("section-only::"), c).alias("chunk_id"), c.alias("section_id")))
+        of_sections = F.transform(
+            section_ids, lambda c: F.struct(F.concat(F.lit("section-only::"), c).alias("chunk_id"), c.alias("section_id"))
+        )
         gold = F.when(F.size(chunk_ids) > 0, of_chunks).otherwise(of_sections)
         rows = queries.select("query_id", F.posexplode(gold).alias("at", "hit"))
         rows = rows.where("false" if name == "empty" else "at = 0" if name == "first-gold" else F.col("at") < k)
@@ -223,6 +250,11 @@ def question_key(question: Column) -> Column:
     return F.lower(X.collapsed(question))
 
 
+def known_questions(known: DataFrame) -> DataFrame:
+    """(question): the different questions that canned() answers, as it compares them."""
+    return known.select(question_key(F.col("question")).alias("question")).distinct()
+
+
 def canned(known: DataFrame):
     """Hits by question, regardless of case and blanks; a question that is not known has none.
 
@@ -241,6 +273,8 @@ def canned(known: DataFrame):
     return retrieve
 
 
-def hybrid(dense, lexical, depth: int = DEPTH, rrf_k: int = RRF_K, id_col: str = "chunk_id", carried: tuple[str, ...] = ("doc_id", "section_id")):
+def hybrid(
+    dense, lexical, depth: int = DEPTH, rrf_k: int = RRF_K, id_col: str = "chunk_id", carried: tuple[str, ...] = ("doc_id", "section_id")
+):
     """A retriever that fuses two others, each asked for the best max(k, depth)."""
     return lambda queries, k: fused(dense(queries, max(k, depth)), lexical(queries, max(k, depth)), k, depth, rrf_k, id_col, carried)

@@ -11,7 +11,9 @@ from evidentia.operators import generation, retrieval, trust, vectors
 from evidentia.sources import tables
 from evidentia.sources.storage import file_system
 
-RETRIEVAL, GENERATION, EMBEDDERS, TARGETS = ("fixture", "artifact", "sql"), ("fixture", "http", "openai_compatible"), ("local", "fixture"), ("local", "cloud")
+RETRIEVAL, GENERATION, EMBEDDERS, TARGETS = ("fixture", "artifact", "sql"), (
+    "fixture", "http", "openai_compatible"
+), ("local", "fixture"), ("local", "cloud")
 
 
 @dataclass(frozen=True)
@@ -86,7 +88,7 @@ def readiness(spark: SparkSession, s: Settings) -> list[tuple[str, str, bool]]:
     out = [(n, getattr(s, n) or "(unset)", there(getattr(s, n))) for n in paths]
     out += [(n, getattr(s, n) or "(unset)", bool(getattr(s, n))) for n in values]
     if s.retrieval == "sql":
-        out += [(f"{s.table_prefix}_{n}", "table", spark.catalog.tableExists(f"{s.table_prefix}_{n}")) for n in ("chunks", "embeddings", "metadata")]
+        out.append((f"{s.table_prefix}_metadata", "table", spark.catalog.tableExists(f"{s.table_prefix}_metadata")))
     return out
 
 
@@ -113,9 +115,8 @@ def retriever_of(spark: SparkSession, s: Settings, embed: Embed | None = None):
         raise ValueError("a local embedder must be given")
     if s.retrieval == "artifact":
         return vectors.retriever(vectors.read_index(spark, s.index_path), tables.read_chunks(spark, s.chunks_path), embed)
-    if spark.table(f"{s.table_prefix}_metadata").where(f"runtime_id = '{vectors.identifier(s.runtime_id)}'").isEmpty():
-        raise ValueError(f"no metadata of runtime {s.runtime_id!r}")
-    return vectors.retriever(spark.table(f"{s.table_prefix}_embeddings"), spark.table(f"{s.table_prefix}_chunks"), embed)
+    _, chunks, embeddings = vectors.promoted(spark, s.runtime_id, s.table_prefix)
+    return vectors.retriever(spark.table(embeddings), spark.table(chunks), embed)
 
 
 def generator_of(spark: SparkSession, s: Settings) -> generation.Generator:
@@ -124,7 +125,9 @@ def generator_of(spark: SparkSession, s: Settings) -> generation.Generator:
     return generation.worker_generator(generation.http_client(s.base_url or "", s.generation, s.model, s.timeout, key=s.api_key))
 
 
-def answering(spark: SparkSession, s: Settings, embed: Embed | None = None, thresholds: trust.Thresholds = trust.Thresholds()) -> Callable[[DataFrame], DataFrame]:
+def answering(
+    spark: SparkSession, s: Settings, embed: Embed | None = None, thresholds: trust.Thresholds = trust.Thresholds()
+) -> Callable[[DataFrame], DataFrame]:
     """Questions (query_id, question) -> answers, by the parts that the settings choose; readers are opened once."""
     retrieve, generate = retriever_of(spark, s, embed), generator_of(spark, s)
     return lambda questions: generation.answered(questions, retrieve(questions, s.top_k), generate, thresholds)

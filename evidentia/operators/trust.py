@@ -34,7 +34,10 @@ def unit_scores(hits: DataFrame, normalization: str) -> DataFrame:
     if normalization != UNIT:
         raise ValueError(f"the gate takes scores of the {UNIT}, not {normalization!r}")
     wrong = F.col("score").isNull() | F.isnan("score") | ~F.col("score").between(0, 1)
-    return hits.withColumn("score", F.when(wrong, F.raise_error(F.lit("a score is not of the unit interval")).cast("double")).otherwise(F.col("score").cast("double")))
+    return hits.withColumn(
+        "score",
+        F.when(wrong, F.raise_error(F.lit("a score is not of the unit interval")).cast("double")).otherwise(F.col("score").cast("double"))
+    )
 
 
 def as_contexts(hits: DataFrame) -> DataFrame:
@@ -42,7 +45,9 @@ def as_contexts(hits: DataFrame) -> DataFrame:
 
     A blank chunk id or text is an error when read.
     """
-    told = lambda c: F.when(X.blank(F.col(c)), F.raise_error(F.lit(f"a hit has no {c}")).cast("string")).otherwise(F.col(c)).alias(c)
+    told = lambda c: F.when(
+        X.blank(F.col(c)), F.raise_error(F.lit(f"a hit has no {c}")).cast("string")
+    ).otherwise(F.col(c)).alias(c)
     return hits.select("query_id", told("chunk_id"), told("text"), "start_offset", "end_offset")
 
 
@@ -55,14 +60,25 @@ def gate(hits: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     best = hits.where(F.col("rank") <= t.k).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "score"))).alias("h"))
     scores = F.transform("h", lambda x: x.score)
     head = F.slice(scores, 1, 3)
-    f = best.select("query_id", scores[0].alias("top1"), (F.aggregate(head, F.lit(0.0), lambda a, x: a + x) / F.size(head)).alias("mean3"), F.size(F.filter(scores, lambda s: s >= t.support)).cast("long").alias("support"), F.size(scores).alias("considered"))
+    f = best.select(
+        "query_id", scores[0].alias("top1"), (F.aggregate(head, F.lit(0.0), lambda a, x: a + x) / F.size(head)).alias("mean3"),
+        F.size(F.filter(scores, lambda s: s >= t.support)).cast("long").alias("support"), F.size(scores).alias("considered")
+    )
     none = F.col("top1") < t.no_hit
-    low = [F.when(F.col("top1") < t.top1, "low_top1"), F.when(F.col("mean3") < t.mean3, "low_mean3"), F.when(F.col("support") < t.n_support, "insufficient_support")]
+    low = [
+        F.when(F.col("top1") < t.top1, "low_top1"), F.when(F.col("mean3") < t.mean3, "low_mean3"),
+        F.when(F.col("support") < t.n_support, "insufficient_support")
+    ]
     thin = [F.when(F.col("support") == t.n_support, "support_floor_only"), F.when(F.col("considered") < t.thin, "sparse_context")]
     joined = lambda cs: F.concat_ws(",", *cs)
-    decision = F.when(none, "no_relevant_docs").when(joined(low) != "", "insufficient_evidence").when(joined(thin) != "", "thin").otherwise("full")
+    decision = F.when(none, "no_relevant_docs").when(joined(low) != "", "insufficient_evidence").when(
+        joined(thin) != "", "thin"
+    ).otherwise("full")
     reasons = F.when(none, "no_hit_floor").when(joined(low) != "", joined(low)).otherwise(joined(thin))
-    return f.select("query_id", F.round("top1", 6).alias("top1"), F.round("mean3", 6).alias("mean3"), "support", decision.alias("decision"), reasons.alias("reasons"))
+    return f.select(
+        "query_id", F.round("top1", 6).alias("top1"), F.round("mean3", 6).alias("mean3"), "support", decision.alias("decision"),
+        reasons.alias("reasons")
+    )
 
 
 def markers(answers: DataFrame, text_col: str = "text") -> DataFrame:

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
 from evidentia.operators import corpus, retrieval
-from evidentia.sources import tables
+from evidentia.sources import storage, tables
 
 BACKEND, METRIC = "exact-cosine", "cosine"
 
 
-def embedded(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], text_col: str = "text", out: str = "embedding", batch: int = 32) -> DataFrame:
+def embedded(
+    rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], text_col: str = "text", out: str = "embedding",
+    batch: int = 32
+) -> DataFrame:
     """rows with a vector of their text; load() opens the model once a worker, which takes batches of texts.
 
     Null texts count as empty. A model that returns another number of vectors than it got texts is an error.
@@ -42,13 +45,21 @@ def looked_up(rows: DataFrame, known: DataFrame, text_col: str = "text", out: st
     """rows with the vector that known (text, vector) has for their text; a text without one is an error when read."""
     by_text = known.select(F.col("text").alias("_text"), F.col("vector").alias(out)).dropDuplicates(["_text"])
     full = rows.join(by_text, F.col(text_col) == F.col("_text"), "left").drop("_text")
-    return full.withColumn(out, F.coalesce(F.col(out), F.raise_error(F.concat(F.lit("no vector for text: "), F.coalesce(F.col(text_col), F.lit("null")))).cast("array<float>")))
+    return full.withColumn(
+        out,
+        F.coalesce(
+            F.col(out),
+            F.raise_error(F.concat(F.lit("no vector for text: "), F.coalesce(F.col(text_col), F.lit("null")))).cast("array<float>")
+        )
+    )
 
 
 def normalised(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """Vectors of length 1; the zero vector stays zero and null stays null."""
     norm = F.sqrt(F.aggregate(vec_col, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return vectors.withColumn("_norm", norm).withColumn(vec_col, F.transform(vec_col, lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(F.lit(0.0)).cast("float"))).drop("_norm")
+    return vectors.withColumn("_norm", norm).withColumn(
+        vec_col, F.transform(vec_col, lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(F.lit(0.0)).cast("float"))
+    ).drop("_norm")
 
 
 def facts(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
@@ -71,7 +82,10 @@ def write_index(vectors: DataFrame, path: str, model: str = "", snapshot: str |
     """Normalised vectors (row_index, chunk_id, vector) and their metadata below path; returns the metadata."""
     rows, width = dimension(vectors, "vector")
     normalised(vectors.select("row_index", "chunk_id", "vector"), "vector").write.mode("overwrite").parquet(f"{path}/vectors")
-    about = {"backend_name": BACKEND, "metric": METRIC, "vector_dimension": width, "row_count": rows, "embedding_model_name": model, "snapshot_id": snapshot}
+    about = {
+        "backend_name": BACKEND, "metric": METRIC, "vector_dimension": width, "row_count": rows, "embedding_model_name": model,
+        "snapshot_id": snapshot
+    }
     tables.write_json_object(vectors.sparkSession, about, tables.INDEX, f"{path}/metadata")
     return about
 
@@ -124,7 +138,10 @@ def identifier(name: str) -> str:
     return name
 
 
-def write_embeddings(chunks: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], model: str, path: str, source: str = "", batch: int = 32) -> dict:
+def write_embeddings(
+    chunks: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], model: str, path: str, source: str = "",
+    batch: int = 32
+) -> dict:
     """Embeds chunks (row_index, chunk_id, snapshot_id, text) and writes vectors and their metadata below path; returns the metadata.
 
     Another number of vectors than of chunks, and vectors of several widths, are errors.
@@ -135,7 +152,10 @@ def write_embeddings(chunks: DataFrame, load: Callable[[], Callable[[list[str]],
     rows, width = dimension(chunks.sparkSession.read.parquet(f"{path}/vectors"), "vector")
     if rows != expected:
         raise ValueError(f"{rows} vectors for {expected} chunks")
-    about = {"artifact_version": "v1", "source_chunks_path": source, "embedding_model_name": model, "vector_dimension": width, "row_count": rows, "snapshot_id": corpus.single_snapshot(chunks), "vectors_path": "vectors"}
+    about = {
+        "artifact_version": "v1", "source_chunks_path": source, "embedding_model_name": model, "vector_dimension": width, "row_count": rows,
+        "snapshot_id": corpus.single_snapshot(chunks), "vectors_path": "vectors"
+    }
     tables.write_embedding_metadata(chunks.sparkSession, about, f"{path}/metadata")
     return about
 
@@ -148,12 +168,16 @@ def retriever(vectors: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame]
 
     def retrieve(queries: DataFrame, k: int) -> DataFrame:
         hits = retrieval.cosine(vectors, embed(queries), k, "chunk_id", "vector").withColumnRenamed("vec_id", "chunk_id")
-        return with_chunks(hits.withColumn("raw_score", F.col("score")).withColumn("score", retrieval.sound_unit_score(F.col("score"))), chunks)
+        return with_chunks(
+            hits.withColumn("raw_score", F.col("score")).withColumn("score", retrieval.sound_unit_score(F.col("score"))), chunks
+        )
 
     return retrieve
 
 
-def smoke_report(vectors: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], question: str, k: int = 5, preview: int = 160) -> DataFrame:
+def smoke_report(
+    vectors: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], question: str, k: int = 5, preview: int = 160
+) -> DataFrame:
     """(rank, score, chunk_id, doc_title, section_path, source_url, source_path, preview): what one question finds.
 
     vectors: row_index, chunk_id, vector; chunks the same with their texts; each row's chunk must be that of its vector.
@@ -167,53 +191,75 @@ def smoke_report(vectors: DataFrame, chunks: DataFrame, embed: Callable[[DataFra
         raise ValueError("one question must have one vector")
     hits = retrieval.cosine(vectors, asked, k, "row_index", "vector").withColumnRenamed("vec_id", "row_index")
     full = with_chunks(hits.join(vectors.select("row_index", "chunk_id"), "row_index"), chunks, "row_index")
-    return full.select("rank", "score", "chunk_id", "doc_title", X.breadcrumb(F.col("section_path")).alias("section_path"), "source_url", "source_path", X.preview(F.col("text"), preview).alias("preview"))
+    return full.select(
+        "rank", "score", "chunk_id", "doc_title", X.breadcrumb(F.col("section_path")).alias("section_path"), "source_url", "source_path",
+        X.preview(F.col("text"), preview).alias("preview")
+    )
 
 
 def smoke_text(report: DataFrame, question: str) -> str:
     """A smoke report to read; it has k rows."""
     rows = report.orderBy("rank").collect()
-    found = [f"[{r['rank']}] score={r.score:.6f} chunk_id={r.chunk_id}\n    title: {r.doc_title}\n    section_path: {r.section_path}\n    source_url: {r.source_url}\n    preview: {r.preview}" for r in rows]
+    found = [
+        f"[{r['rank']}] score={r.score:.6f} chunk_id={r.chunk_id}\n    title: {r.doc_title}\n    section_path: {r.section_path}\n    "
+            f"source_url: {r.source_url}\n    preview: {r.preview}" for r in rows
+    ]
     return "\n\n".join([f'query: "{" ".join(question.split())}"', *(found or ["No matches returned."])])
 
 
+def _tables(prefix: str, version: str) -> tuple[str, str]:
+    return f"{prefix}_chunks_{version}", f"{prefix}_embeddings_{version}"
+
+
 def promote(chunks: DataFrame, vectors: DataFrame, about: dict, prefix: str = "runtime") -> None:
-    """Chunks, their vectors and one metadata record as the tables <prefix>_chunks, _embeddings and _metadata, each overwritten.
+    """Chunks, their vectors and one metadata record as tables, what was promoted before replaced at once.
 
-    Row counts are checked before anything is written. Each table is replaced on its own; its files
-    lie in a folder of their own in the shared folder.
+    Row counts are checked before anything is written. Chunks and vectors go to new tables whose version the record
+    <prefix>_metadata names; replacing that one record is the commit, and readers never see parts of two versions. The tables of the version
+    before are dropped then. Files lie in folders of their own in the shared folder.
     """
     prefix = identifier(prefix)
     rows, _ = dimension(vectors, "vector")
     found = chunks.count()
     if not rows == found == about["row_count"]:
         raise ValueError(f"metadata say {about['row_count']} rows, there are {found} chunks and {rows} vectors")
-    spark = chunks.sparkSession
-    meta = spark.createDataFrame([tuple(about.get(n) for n in tables.RUNTIME_NAMES)], tables.RUNTIME)
-    folder = f"{tables.shared_folder(spark)}/{prefix}-{uuid.uuid4().hex}"
-    for name, df in (("chunks", chunks), ("embeddings", vectors.select("chunk_id", "vector")), ("metadata", meta)):
-        df.write.mode("overwrite").option("path", f"{folder}/{name}").saveAsTable(f"{prefix}_{name}")
+    spark, version = chunks.sparkSession, uuid.uuid4().hex[:12]
+    before = [r.version for r in spark.table(f"{prefix}_metadata").collect()] if spark.catalog.tableExists(f"{prefix}_metadata") else []
+    folder = f"{storage.shared_folder(spark)}/{prefix}-{version}"
+    for name, df in zip(_tables(prefix, version), (chunks, vectors.select("chunk_id", "vector"))):
+        df.write.option("path", f"{folder}/{name}").saveAsTable(name)
+    record = {**about, "version": version}
+    meta = spark.createDataFrame([tuple(record.get(n) for n in tables.RUNTIME_NAMES)], tables.RUNTIME)
+    meta.write.mode("overwrite").option("path", f"{folder}/metadata").saveAsTable(f"{prefix}_metadata")
+    for old in before:
+        for name in _tables(prefix, old):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def promoted(spark: SparkSession, runtime_id: str, prefix: str = "runtime"):
+    """(metadata, chunks table, embeddings table) of a promoted runtime; another runtime is an error."""
+    prefix = identifier(prefix)
+    meta = spark.table(f"{prefix}_metadata").where(F.col("runtime_id") == runtime_id).first()
+    if meta is None:
+        raise ValueError(f"no metadata of runtime {runtime_id!r}")
+    return (meta, *_tables(prefix, identifier("v" + meta.version)[1:]))
 
 
 SEARCH = """
 SELECT c.*, d.raw_score FROM (
   SELECT e.chunk_id, aggregate(zip_with(e.vector, q.v, (x, y) -> double(x) * y), 0D, (s, x) -> s + x)
          / nullif(sqrt(aggregate(e.vector, 0D, (s, x) -> s + double(x) * x)) * sqrt(aggregate(q.v, 0D, (s, x) -> s + x * x)), 0D) AS raw_score
-  FROM {prefix}_embeddings e CROSS JOIN (SELECT from_json(:query, 'array<double>') AS v) q
-) d JOIN {prefix}_chunks c ON c.chunk_id = d.chunk_id
-WHERE EXISTS (SELECT 1 FROM {prefix}_metadata m WHERE m.runtime_id = :runtime_id)
+  FROM {embeddings} e CROSS JOIN (SELECT from_json(:query, 'array<double>') AS v) q
+) d JOIN {chunks} c ON c.chunk_id = d.chunk_id
 ORDER BY d.raw_score DESC, c.chunk_id LIMIT :k
 """
 
 
 def sql_search(spark: SparkSession, query: list[float], k: int, runtime_id: str, prefix: str = "runtime") -> DataFrame:
     """The k chunks nearest to one query vector in promoted tables, by SQL; raw_score is their cosine."""
-    prefix = identifier(prefix)
     if k <= 0 or not query:
         raise ValueError("need a query vector and a positive k")
-    meta = spark.table(f"{prefix}_metadata").where(F.col("runtime_id") == runtime_id).first()
-    if meta is None:
-        raise ValueError(f"no metadata of runtime {runtime_id!r}")
+    meta, chunks, embeddings = promoted(spark, runtime_id, prefix)
     if meta.vector_dimension != len(query):
         raise ValueError(f"the query has {len(query)} components, the table {meta.vector_dimension}")
-    return spark.sql(SEARCH.format(prefix=prefix), args={"query": str(list(map(float, query))), "runtime_id": runtime_id, "k": k})
+    return spark.sql(SEARCH.format(chunks=chunks, embeddings=embeddings), args={"query": str(list(map(float, query))), "k": k})

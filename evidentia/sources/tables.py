@@ -29,11 +29,17 @@ ROW_MAPPING = "row_index int, chunk_id string"
 EMBEDDING_MAP = "model_name string, vectors_by_text map<string,array<double>>"
 QUESTIONS = "request_id string, question string"
 INDEX = "backend_name string, metric string, vector_dimension long, row_count long, embedding_model_name string, snapshot_id string"
-RUNTIME = "runtime_id string, snapshot_id string, embedding_model_name string, vector_dimension long, row_count long"
+RUNTIME = "runtime_id string, snapshot_id string, embedding_model_name string, vector_dimension long, row_count long, version string"
 RUNTIME_NAMES = [part.split()[0] for part in RUNTIME.split(", ")]
 # Fields that logs must not carry, and the keys of the gate's settings.
-SENSITIVE = ("content", "final_answer", "model_output", "output_text", "prompt", "question", "raw_output", "response_text", "retrieved_text", "system_prompt", "text", "user_prompt")
-THRESHOLDS = {"k": "k", "T_top1": "top1", "T_mean3": "mean3", "T_support": "support", "N_support": "n_support", "L_thin_max": "thin", "T_nohit": "no_hit"}
+SENSITIVE = (
+    "content", "final_answer", "model_output", "output_text", "prompt", "question", "raw_output", "response_text", "retrieved_text",
+    "system_prompt", "text", "user_prompt"
+)
+THRESHOLDS = {
+    "k": "k", "T_top1": "top1", "T_mean3": "mean3", "T_support": "support", "N_support": "n_support", "L_thin_max": "thin",
+    "T_nohit": "no_hit"
+}
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -51,7 +57,9 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(file, at, F.monotonically_increasing_id().alias("n"), F.col("value").alias("text"))
     splits = lines.groupBy("path", "split").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
     other = splits.select("path", F.col("split").alias("earlier"), F.col("lines").alias("before"))
-    starts = splits.join(other, "path").groupBy("path", "split", "first").agg(F.sum(F.when(F.col("earlier") < F.col("split"), F.col("before")).otherwise(0)).alias("before"))
+    starts = splits.join(other, "path").groupBy("path", "split", "first").agg(
+        F.sum(F.when(F.col("earlier") < F.col("split"), F.col("before")).otherwise(0)).alias("before")
+    )
     text = X.stripped(F.col("text"))
     broken = (text != "") & (F.try_parse_json(text).isNull() | ~text.startswith("{"))
     rows = lines.where(broken).join(starts, ["path", "split"])
@@ -98,6 +106,13 @@ def read_json_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of one row as one JSON object; any other number of rows is an error."""
+    if len(report.take(2)) != 1:
+        raise ValueError("a report is one row")
+    report.select(*sorted(report.columns)).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_json_object(spark: SparkSession, record: dict, schema: str, path: str) -> None:
     """One record of known fields; those that record lacks are null."""
     names = spark.createDataFrame([], schema).columns
@@ -124,7 +139,10 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, question) of requests as JSONL; a request without a question is an error when read."""
     rows = read_jsonl(spark, path, QUESTIONS)
     blank = F.raise_error(F.lit("a request has no question")).cast("string")
-    return rows.select(X.request_id(F.col("request_id")).alias("query_id"), F.when(X.blank(F.col("question")), blank).otherwise(X.stripped(F.col("question"))).alias("question"))
+    return rows.select(
+        X.request_id(F.col("request_id")).alias("query_id"),
+        F.when(X.blank(F.col("question")), blank).otherwise(X.stripped(F.col("question"))).alias("question")
+    )
 
 
 def read_contexts(spark: SparkSession, path: str) -> DataFrame:
@@ -186,7 +204,9 @@ def read_matrix(spark: SparkSession, path: str, width: int) -> DataFrame:
                     part = rows[at : at + 4096]
                     ends = pa.array(np.arange(len(part) + 1) * width, pa.int32())
                     index = pa.array(np.arange(len(part)) + at + first[name], pa.int64())
-                    yield pa.RecordBatch.from_arrays([index, pa.ListArray.from_arrays(ends, pa.array(part.reshape(-1)))], names=["row_index", "vector"])
+                    yield pa.RecordBatch.from_arrays(
+                        [index, pa.ListArray.from_arrays(ends, pa.array(part.reshape(-1)))], names=["row_index", "vector"]
+                    )
 
     return files.select("path", "content").mapInArrow(run, "row_index long, vector array<float>")
 
@@ -246,7 +266,9 @@ def read_embedding_map(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
         raise ValueError(f"no embedding map at {path}")
     rows = row.select(F.explode("vectors_by_text").alias("text", "vector")).select(X.stripped(F.col("text")).alias("text"), "vector")
     size = F.coalesce(F.size("vector"), F.lit(0))
-    facts = rows.agg(F.count("*").alias("n"), F.min(size).alias("lo"), F.max(size).alias("hi"), F.count(F.when(X.blank(F.col("text")), 1)).alias("blank")).first()
+    facts = rows.agg(
+        F.count("*").alias("n"), F.min(size).alias("lo"), F.max(size).alias("hi"), F.count(F.when(X.blank(F.col("text")), 1)).alias("blank")
+    ).first()
     if not facts.n or facts.blank or facts.lo <= 0 or facts.lo != facts.hi:
         raise ValueError(f"{facts.n} texts, {facts.blank} of them blank, with vectors of {facts.lo} to {facts.hi} components")
     return head[0].model_name.strip(), rows
@@ -292,4 +314,6 @@ def log_line(event: str, names: tuple[str, ...] = SENSITIVE, **fields) -> str:
             return {k: "[redacted]" if k.lower() in names and v is not None else safe(v) for k, v in value.items()}
         return [safe(v) for v in value] if isinstance(value, (list, tuple)) else value
 
-    return json.dumps({"time": datetime.datetime.now(datetime.UTC).isoformat(), "event": event, **safe(fields)}, sort_keys=True, default=str)
+    return json.dumps(
+        {"time": datetime.datetime.now(datetime.UTC).isoformat(), "event": event, **safe(fields)}, sort_keys=True, default=str
+    )

@@ -12,6 +12,14 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
-    s = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate()
+    builder = SparkSession.builder.master("local[8]")
+    for key, value in {
+        "spark.sql.shuffle.partitions": "8",
+        "spark.ui.enabled": "false",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+    }.items():
+        builder = builder.config(key, value)
+    s = builder.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s

@@ -1,7 +1,6 @@
 """Claims, citation checks, repair, prompts, refusals and sections on literal cases."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from evidentia import queries as Q
 from evidentia.operators import answers as A
@@ -20,8 +19,12 @@ def _claims(spark, text):
 
 
 def test_claims(spark):
-    assert [k for k, _ in _claims(spark, "First point. Second point!\n- a bullet\n1. another")] == ["sentence", "sentence", "bullet", "bullet"]
-    assert _claims(spark, "Ask Dr. Ito, vs. the others, etc. about it [1]. Nobody else knows") == [("sentence", "Ask Dr. Ito, vs. the others, etc. about it [1]."), ("sentence", "Nobody else knows")]
+    assert [k for k, _ in _claims(spark, "First point. Second point!\n- a bullet\n1. another")] == [
+        "sentence", "sentence", "bullet", "bullet"
+    ]
+    assert _claims(spark, "Ask Dr. Ito, vs. the others, etc. about it [1]. Nobody else knows") == [
+        ("sentence", "Ask Dr. Ito, vs. the others, etc. about it [1]."), ("sentence", "Nobody else knows")
+    ]
     assert [t for _, t in _claims(spark, "One.\r\n* two. three\rFour")] == ["One.", "* two. three", "Four"]
     assert _claims(spark, " \n\n") == [] and _claims(spark, None or "") == []
 
@@ -40,8 +43,14 @@ CASES = [
 @pytest.fixture(scope="module")
 def checked(spark):
     rows = [(name, text, records, False, None) for name, text, records, *_ in CASES]
-    rows += [("refusal", A.MESSAGES["no_relevant_docs"], [], True, A.MESSAGES["no_relevant_docs"]), ("false refusal", "Pods run.", [], True, "Pods run."), ("null", None, None, None, None)]
-    contexts = spark.createDataFrame([(r[0], "c1", "a text of the chunk", 10, 29) for r in rows], "id string, chunk_id string, text string, start_offset int, end_offset int")
+    rows += [
+        ("refusal", A.MESSAGES["no_relevant_docs"], [], True, A.MESSAGES["no_relevant_docs"]),
+        ("false refusal", "Pods run.", [], True, "Pods run."), ("null", None, None, None, None)
+    ]
+    contexts = spark.createDataFrame(
+        [(r[0], "c1", "a text of the chunk", 10, 29) for r in rows],
+        "id string, chunk_id string, text string, start_offset int, end_offset int"
+    )
     return A.validated(spark.createDataFrame(rows, SCHEMA), contexts, "id"), contexts
 
 
@@ -63,7 +72,9 @@ def test_repair(checked):
 def test_refusals_end_with_a_next_step(spark):
     rows = spark.createDataFrame([(1, "full"), (2, "no_relevant_docs"), (3, "out_of_scope")], "id int, decision string")
     said = {r.id: r.message for r in A.refusals(rows, "id", next_step=" Try another ").collect()}
-    assert said == {2: A.MESSAGES["no_relevant_docs"] + " Next step: Try another.", 3: A.MESSAGES["out_of_scope"] + " Next step: Try another."}
+    assert said == {
+        2: A.MESSAGES["no_relevant_docs"] + " Next step: Try another.", 3: A.MESSAGES["out_of_scope"] + " Next step: Try another."
+    }
     assert {r.message for r in A.refusals(rows, "id").collect()} == {A.MESSAGES["no_relevant_docs"], A.MESSAGES["out_of_scope"]}
     with pytest.raises(ValueError):
         A.refusals(rows, "id", next_step=" ")
@@ -95,13 +106,21 @@ Before you *begin* read [the notes](http://tea.example/notes) , all of them.
 
 
 def test_markdown(spark):
-    docs = spark.createDataFrame([(1, MARKDOWN), (2, None), (3, "---\ntitle: only\n---\n"), (4, "no heading"), (5, "# Alone\n\n## Below")], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, MARKDOWN), (2, None), (3, "---\ntitle: only\n---\n"), (4, "no heading"), (5, "# Alone\n\n## Below")],
+        "doc_id long, text string"
+    )
     rows = S.sections(docs, S.markdown).orderBy("doc_id", "section_index").collect()
     one = [r for r in rows if r.doc_id == 1]
     assert [r.section_path for r in one] == [["Tea, a manual"], ["Tea, a manual", "Water ##"], ["Tea, a manual", "Water ##", "Leaves"]]
-    assert [r.text for r in one] == ["Before you begin read the notes, all of them.", "Boil it & wait.\nnot too long", "how much\nspoon: 1\nas strong as you like\n\n####"]
+    assert [r.text for r in one] == [
+        "Before you begin read the notes, all of them.", "Boil it & wait.\nnot too long",
+        "how much\nspoon: 1\nas strong as you like\n\n####"
+    ]
     assert all(b.start_offset == a.end_offset + 2 for a, b in zip(one, one[1:])) and one[0].start_offset == 0
-    assert [(r.doc_id, r.section_path, r.heading, r.text, r.section_id) for r in rows if r.doc_id != 1] == [(4, ["Untitled Document"], None, "no heading", "4-sec-0000"), (5, ["Alone"], None, "Alone\n\nBelow", "5-sec-0000")]
+    assert [(r.doc_id, r.section_path, r.heading, r.text, r.section_id) for r in rows if r.doc_id != 1] == [
+        (4, ["Untitled Document"], None, "no heading", "4-sec-0000"), (5, ["Alone"], None, "Alone\n\nBelow", "5-sec-0000")
+    ]
 
 
 def test_html():

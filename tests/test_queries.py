@@ -1,7 +1,6 @@
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from evidentia import queries as Q
 from evidentia.operators import corpus, retrieval, trust
@@ -30,7 +29,9 @@ def test_query_matches_sql(spark, db, name):
     names = [x[0] for x in c.description]
     assert sorted(got.columns) == sorted(names)
     key = lambda r: str(r)
-    assert sorted(_rows(got.columns, [tuple(map(_plain, r)) for r in got.collect()]), key=key) == sorted(_rows(names, [tuple(map(_plain, r)) for r in c.fetchall()]), key=key)
+    assert sorted(_rows(got.columns, [tuple(map(_plain, r)) for r in got.collect()]), key=key) == sorted(
+        _rows(names, [tuple(map(_plain, r)) for r in c.fetchall()]), key=key
+    )
 
 
 def _plain(v):
@@ -68,12 +69,21 @@ def test_cosine_compares_blocks(spark, monkeypatch):
 
 
 def test_fusion_breaks_ties_by_id(spark):
-    hits = lambda *ids: spark.createDataFrame([("q", i, k + 1) for k, i in enumerate(ids)], "query_id string, doc_id string, rank long")
+    hits = lambda *ids: spark.createDataFrame(
+        [("q", i, k + 1) for k, i in enumerate(ids)], "query_id string, doc_id string, rank long"
+    )
     rows = retrieval.fused(hits("noise", "service"), hits("service", "noise"), rrf_k=10).orderBy("rank").collect()
     assert [r.doc_id for r in rows] == ["noise", "service"]
 
 
-@pytest.mark.parametrize("scores,decision,reasons", [((0.94, 0.82, 0.76, 0.40), "full", ""), ((0.75, 0.60, 0.45), "thin", "support_floor_only"), ((0.90, 0.70), "thin", "support_floor_only,sparse_context"), ((0.19, 0.10), "no_relevant_docs", "no_hit_floor"), ((0.82, 0.44, 0.41), "insufficient_evidence", "low_mean3,insufficient_support")])
+@pytest.mark.parametrize(
+    "scores,decision,reasons",
+    [
+        ((0.94, 0.82, 0.76, 0.40), "full", ""), ((0.75, 0.60, 0.45), "thin", "support_floor_only"),
+        ((0.90, 0.70), "thin", "support_floor_only,sparse_context"), ((0.19, 0.10), "no_relevant_docs", "no_hit_floor"),
+        ((0.82, 0.44, 0.41), "insufficient_evidence", "low_mean3,insufficient_support")
+    ]
+)
 def test_gate(spark, scores, decision, reasons):
     hits = spark.createDataFrame([("q", k + 1, s) for k, s in enumerate(scores)], "query_id string, rank long, score double")
     row = trust.gate(hits).first()

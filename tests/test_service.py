@@ -25,11 +25,17 @@ def test_canonical_hits(spark):
 
 
 def test_hybrid_coalesces_where_hits_come_from(spark):
-    dense = spark.createDataFrame([("q", "x", 1.0, 1, None, "s1"), ("q", "y", 0.5, 2, "d2", None)], HIT + ", doc_id string, section_id string")
-    lexical = spark.createDataFrame([("q", "y", 9.0, 1, "other", "s2"), ("q", "z", 8.0, 2, "d3", "s3")], HIT + ", doc_id string, section_id string")
+    dense = spark.createDataFrame(
+        [("q", "x", 1.0, 1, None, "s1"), ("q", "y", 0.5, 2, "d2", None)], HIT + ", doc_id string, section_id string"
+    )
+    lexical = spark.createDataFrame(
+        [("q", "y", 9.0, 1, "other", "s2"), ("q", "z", 8.0, 2, "d3", "s3")], HIT + ", doc_id string, section_id string"
+    )
     asked = spark.createDataFrame([("q",), ("none",)], "query_id string")
     got = retrieval.hybrid(retrieval.static(dense), retrieval.static(lexical))(asked, 2).orderBy("rank").collect()
-    assert [(r.chunk_id, r.doc_id, r.section_id, r.first_rank, r.second_rank) for r in got] == [("y", "d2", "s2", 2, 1), ("x", None, "s1", 1, None)]
+    assert [(r.chunk_id, r.doc_id, r.section_id, r.first_rank, r.second_rank) for r in got] == [
+        ("y", "d2", "s2", 2, 1), ("x", None, "s1", 1, None)
+    ]
     with pytest.raises(ValueError):
         retrieval.fused(dense, lexical, rrf_k=0, id_col="chunk_id")
 
@@ -37,7 +43,9 @@ def test_hybrid_coalesces_where_hits_come_from(spark):
 @pytest.fixture(scope="module")
 def entries(spark):
     rows = [("q1", "What is  TEA?", True, ["c1", "c2"], []), ("q2", "and milk", True, [], ["s9"]), ("q3", "unknown", False, [], [])]
-    return spark.createDataFrame(rows, "query_id string, question string, answerable boolean, expected_chunk_ids array<string>, expected_section_ids array<string>")
+    return spark.createDataFrame(
+        rows, "query_id string, question string, answerable boolean, expected_chunk_ids array<string>, expected_section_ids array<string>"
+    )
 
 
 def test_fixture_retrievers(spark, entries):
@@ -46,7 +54,9 @@ def test_fixture_retrievers(spark, entries):
     assert of("first-gold") == [("q1", "c1", None, 1.0, 1), ("q2", "section-only::s9", "s9", 1.0, 1)] and of("empty") == []
     with pytest.raises(ValueError):
         retrieval.fixture("best")
-    known = spark.createDataFrame([("what is tea? ", "c9", 0.3, 7), ("What is tea?", "c8", 0.4, 2)], "question string, chunk_id string, score double, rank long")
+    known = spark.createDataFrame(
+        [("what is tea? ", "c9", 0.3, 7), ("What is tea?", "c8", 0.4, 2)], "question string, chunk_id string, score double, rank long"
+    )
     assert [tuple(r) for r in retrieval.canned(known)(entries, 1).select("query_id", "chunk_id", "rank").collect()] == [("q1", "c8", 1)]
 
 
@@ -57,7 +67,9 @@ def test_baseline_writes_results_and_summary(spark, entries, tmp_path):
     rows = {r.query_id: r for r in tables.read_results(spark, results).collect()}
     assert [(rows[q].hit, rows[q].recall, rows[q].reciprocal_rank, [h.chunk_id for h in rows[q].hits]) for q in ("q1", "q2", "q3")] == [(True, 0.5, 1.0, ["c1"]), (True, 1.0, 1.0, ["section-only::s9"]), (False, 0.0, 0.0, [])]
     got = tables.read_summary(spark, summary)
-    assert (got["queries"], got["answerable"], got["relevant"], got["hit_at_k"], got["recall_at_k"], got["mrr"], got["without_results"]) == (3, 2, 2, 1.0, 0.75, 1.0, 1)
+    assert (
+        got["queries"], got["answerable"], got["relevant"], got["hit_at_k"], got["recall_at_k"], got["mrr"], got["without_results"]
+    ) == (3, 2, 2, 1.0, 0.75, 1.0, 1)
     assert got["average_latency_ms"] > 0
     with pytest.raises(ValueError):
         evaluation.run_id("a", "b", "c", "d", 0)
@@ -66,7 +78,10 @@ def test_baseline_writes_results_and_summary(spark, entries, tmp_path):
 
 def test_timed_run_shares_its_time(spark, entries):
     ticks = iter([0, 9_000_000])
-    _, summary = evaluation.timed_run(retrieval.fixture("oracle"), entries, evaluation.relevant_ids(entries).select("query_id", F.col("id").alias("chunk_id")), 3, "chunk_id", lambda: next(ticks))
+    _, summary = evaluation.timed_run(
+        retrieval.fixture("oracle"), entries, evaluation.relevant_ids(entries).select("query_id", F.col("id").alias("chunk_id")), 3,
+        "chunk_id", lambda: next(ticks)
+    )
     row = summary.first()
     assert row.average_latency_ms == row.max_latency_ms == 3.0 and row.queries == 3
 
@@ -87,7 +102,10 @@ def test_ingest_from_manifest_to_chunks(spark, tmp_path):
     (tmp_path / "docs" / "b.md").write_text("# Bee\n\nHoney is sweet. Wax is not.\n\n## Sting\n\nIt hurts for a while, they say.\n")
     (tmp_path / "docs" / "a.html").write_text("<title>Ant</title><p>Ants march &amp; carry.</p>")
     (tmp_path / "docs" / "c.md").write_text("# never read")
-    rows = [("s1", f"docs/{n}", f"http://x/{n}", n.split(".")[0], language, "l", "a", allowed) for n, language, allowed in (("b.md", "en", "yes"), ("a.html", None, "x"), ("c.md", "en", ""))]
+    rows = [
+        ("s1", f"docs/{n}", f"http://x/{n}", n.split(".")[0], language, "l", "a", allowed) for n, language,
+        allowed in (("b.md", "en", "yes"), ("a.html", None, "x"), ("c.md", "en", ""))
+    ]
     manifest = spark.createDataFrame(rows, MANIFEST)
     parsed = corpus.parsed(manifest, tables.read_snapshot(spark, str(tmp_path)))
     got = parsed.orderBy("source_path", "doc_id", "section_index").collect()
@@ -107,7 +125,11 @@ def test_ingest_from_manifest_to_chunks(spark, tmp_path):
 
 
 def test_which_records_are_allowed(spark):
-    of = lambda rows, kind: [r[0] for r in spark.createDataFrame([(x,) for x in rows], f"allowed {kind}").select(corpus.is_allowed(spark.createDataFrame([], f"allowed {kind}"))).collect()]
+    of = lambda rows, kind: [
+        r[0] for r in spark.createDataFrame([(x,) for x in rows], f"allowed {kind}").select(
+            corpus.is_allowed(spark.createDataFrame([], f"allowed {kind}"))
+        ).collect()
+    ]
     assert of([True, False, None], "boolean") == [True, False, False]
     assert of(["no", "", None], "string") == [True, False, False] and of([2, 0, None], "int") == [True, False, False]
     assert spark.range(1).select(corpus.is_allowed(spark.range(1))).first()[0]
@@ -115,13 +137,17 @@ def test_which_records_are_allowed(spark):
 
 def test_source_urls(spark):
     rows = spark.createDataFrame([("content/en/docs/a/docs/b.x.md",), ("docs/index.html",)], "p string")
-    assert [r[0] for r in rows.select(corpus.source_url_of(F.col("p"), "https://s/")).collect()] == ["https://s/docs/a/docs/b.x/", "https://s/docs/index/"]
+    assert [r[0] for r in rows.select(corpus.source_url_of(F.col("p"), "https://s/")).collect()] == [
+        "https://s/docs/a/docs/b.x/", "https://s/docs/index/"
+    ]
     with pytest.raises(Exception, match="no folder docs"):
         spark.createDataFrame([("a/b.md",)], "p string").select(corpus.source_url_of(F.col("p"))).collect()
 
 
 def test_occurrences_of_a_hot_key(spark):
-    rows = spark.range(3000).select((F.col("id") * 7 % 3000).alias("n"), F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"))
+    rows = spark.range(3000).select(
+        (F.col("id") * 7 % 3000).alias("n"), F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k")
+    )
     got = sorted((r.k, r.n, r.occurrence) for r in corpus.occurrences(rows, "k", "n").collect())
     seen = {}
     for k, n, occurrence in got:
@@ -130,17 +156,26 @@ def test_occurrences_of_a_hot_key(spark):
     assert len(got) == 3000
 
 
-GOOD = {"final_answer": "Yes [1].", "citations": [{"marker": "[1]", "doc_id": "d", "chunk_id": "c1", "start_offset": 0, "end_offset": 3}], "refusal": {"is_refusal": False, "reason_code": None, "message": None}}
+GOOD = {
+    "final_answer": "Yes [1].", "citations": [{"marker": "[1]", "doc_id": "d", "chunk_id": "c1", "start_offset": 0, "end_offset": 3}],
+    "refusal": {"is_refusal": False, "reason_code": None, "message": None}
+}
 
 
 def test_replies(spark):
     assert generation.parsed_reply(json.dumps(GOOD))["final_answer"] == "Yes [1]."
     assert generation.parsed_reply(f"  ```json\n{json.dumps(GOOD, indent=1)}\n```  ")["citations"][0]["chunk_id"] == "c1"
-    bad = ["", "no JSON", "[]", "```json\n{}\n```", json.dumps(GOOD | {"extra": 1}), json.dumps(GOOD | {"final_answer": None}), json.dumps(GOOD | {"refusal": {"is_refusal": 1, "reason_code": None, "message": None}}), json.dumps(GOOD | {"refusal": {"is_refusal": True, "reason_code": "mood", "message": "m"}})]
+    bad = [
+        "", "no JSON", "[]", "```json\n{}\n```", json.dumps(GOOD | {"extra": 1}), json.dumps(GOOD | {"final_answer": None}),
+        json.dumps(GOOD | {"refusal": {"is_refusal": 1, "reason_code": None, "message": None}}),
+        json.dumps(GOOD | {"refusal": {"is_refusal": True, "reason_code": "mood", "message": "m"}})
+    ]
     for text in bad:
         with pytest.raises(ValueError):
             generation.parsed_reply(text)
-    assert generation.chat_content({"choices": [{"message": {"content": [{"type": "Text", "text": " a "}, {"type": "image"}, {"type": "text", "text": "b"}]}}]}) == "a\nb"
+    assert generation.chat_content(
+        {"choices": [{"message": {"content": [{"type": "Text", "text": " a "}, {"type": "image"}, {"type": "text", "text": "b"}]}}]}
+    ) == "a\nb"
     for payload in ({}, {"choices": []}, {"choices": [{"message": {"content": " "}}]}, {"choices": [{"message": {"content": []}}]}):
         with pytest.raises(ValueError):
             generation.chat_content(payload)
@@ -167,7 +202,9 @@ def test_http_clients(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     url = f"http://127.0.0.1:{server.server_port}/"
     rows = spark.createDataFrame([("a", "fine"), ("b", "fail"), ("c", "broken")], "query_id string, question string")
-    asked = rows.select("query_id", "question", F.lit("s").alias("system_prompt"), F.col("question").alias("user_prompt"), F.lit(1).alias("attempt"))
+    asked = rows.select(
+        "query_id", "question", F.lit("s").alias("system_prompt"), F.col("question").alias("user_prompt"), F.lit(1).alias("attempt")
+    )
     for dialect in ("http", "openai_compatible"):
         got = {r.query_id: r for r in generation.worker_generator(generation.http_client(url, dialect, "m"))(asked).collect()}
         assert got["a"].final_answer == "Yes [1]." and [got[k].failure_code for k in "abc"] == [None, "backend_error", "parse_error"]
@@ -179,7 +216,10 @@ def test_http_clients(spark):
 
 
 def test_replies_that_break_the_contract_are_asked_for_again(spark):
-    hits = spark.createDataFrame([("q", "c1", "a text", 0, 6, i, 0.9) for i in (1, 2, 3)], "query_id string, chunk_id string, text string, start_offset int, end_offset int, rank int, score double")
+    hits = spark.createDataFrame(
+        [("q", "c1", "a text", 0, 6, i, 0.9) for i in (1, 2, 3)],
+        "query_id string, chunk_id string, text string, start_offset int, end_offset int, rank int, score double"
+    )
     asked = spark.createDataFrame([("q", "why")], "query_id string, question string")
 
     def client(blank_until):
@@ -190,7 +230,9 @@ def test_replies_that_break_the_contract_are_asked_for_again(spark):
         return lambda: ask
 
     got = [generation.answered(asked, hits, generation.worker_generator(client(n))).first() for n in (1, 2)]
-    assert [(r.status, r.final_answer, r.attempts) for r in got] == [("answer", "So [1].", 2), ("refusal", "I cannot answer: no answer with sound citations was found.", 2)]
+    assert [(r.status, r.final_answer, r.attempts) for r in got] == [
+        ("answer", "So [1].", 2), ("refusal", "I cannot answer: no answer with sound citations was found.", 2)
+    ]
 
 
 def test_prompts_and_schema(spark):
@@ -199,25 +241,40 @@ def test_prompts_and_schema(spark):
     assert prompts.VERSION in prompts.system_prompt() and '"final_answer"' in prompts.system_prompt()
     with pytest.raises(ValueError):
         prompts.system_prompt(preamble=" ")
-    hits = spark.createDataFrame([("q", 2, "d2", "c2", "two"), ("q", 1, "d1", "c1", "one")], "query_id string, rank int, doc_id string, chunk_id string, text string")
-    got = {r.query_id: r.user_prompt for r in prompts.user_prompts(spark.createDataFrame([("q", " why? "), ("none", "what")], "query_id string, question string"), hits).collect()}
+    hits = spark.createDataFrame(
+        [("q", 2, "d2", "c2", "two"), ("q", 1, "d1", "c1", "one")], "query_id string, rank int, doc_id string, chunk_id string, text string"
+    )
+    got = {
+        r.query_id: r.user_prompt for r in prompts.user_prompts(
+            spark.createDataFrame([("q", " why? "), ("none", "what")], "query_id string, question string"), hits
+        ).collect()
+    }
     assert '[1]\ndoc_id: d1\nchunk_id: c1\ntext:\n"""\none\n"""\n\n[2]\ndoc_id: d2' in got["q"] and "QUESTION =====\nwhy?\n" in got["q"] and "(no evidence)" in got["none"]
 
 
 def test_settings_and_readiness(spark, tmp_path):
     with pytest.raises(ValueError, match="base_url, model"):
         service.Settings(generation="openai_compatible")
-    for bad in ({"retrieval": "other"}, {"retrieval": "sql"}, {"top_k": 0}, {"target": "cloud", "retrieval": "artifact"}, {"target": "cloud"}, {"table_prefix": "a b"}):
+    for bad in (
+        {"retrieval": "other"}, {"retrieval": "sql"}, {"top_k": 0}, {"target": "cloud", "retrieval": "artifact"}, {"target": "cloud"},
+        {"table_prefix": "a b"}
+    ):
         with pytest.raises(ValueError):
             service.Settings(**bad)
-    s = service.settings_of({"EVIDENTIA_TOP_K": " 3 ", "EVIDENTIA_GENERATION": "http", "EVIDENTIA_BASE_URL": "", "EVIDENTIA_HITS_PATH": str(tmp_path / "hits")})
+    s = service.settings_of(
+        {"EVIDENTIA_TOP_K": " 3 ", "EVIDENTIA_GENERATION": "http", "EVIDENTIA_BASE_URL": "", "EVIDENTIA_HITS_PATH": str(tmp_path / "hits")}
+    )
     assert (s.top_k, s.generation, s.base_url) == (3, "http", None) and "key" not in repr(service.Settings(api_key="key"))
     with pytest.raises(ValueError, match="hits_path"):
         service.require_ready(spark, s)
     hits = [("What is tea?", "d", "c1", "Tea is a drink made of leaves", 0, 29, i, 0.9) for i in (1, 2, 3)]
-    spark.createDataFrame(hits, "question string, doc_id string, chunk_id string, text string, start_offset int, end_offset int, rank int, score double").write.json(str(tmp_path / "hits"))
+    spark.createDataFrame(
+        hits, "question string, doc_id string, chunk_id string, text string, start_offset int, end_offset int, rank int, score double"
+    ).write.json(str(tmp_path / "hits"))
     record = {"marker": "[1]", "doc_id": "d", "chunk_id": "c1", "start_offset": 0, "end_offset": 5}
-    (tmp_path / "answers").write_text(json.dumps({"question": "what is  tea?", "final_answer": "A drink.", "citations": [record], "is_refusal": False}))
+    (tmp_path / "answers").write_text(
+        json.dumps({"question": "what is  tea?", "final_answer": "A drink.", "citations": [record], "is_refusal": False})
+    )
     s = service.Settings(hits_path=str(tmp_path / "hits"), answers_path=str(tmp_path / "answers"))
     service.require_ready(spark, s)
     asked = spark.createDataFrame([("1", "what is tea?"), ("2", "what is milk?")], "query_id string, question string")
@@ -227,14 +284,23 @@ def test_settings_and_readiness(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def two_chunks(spark):
-    rows = [(0, "c0", "s1", "Tea", ["Tea", "Water"], "u0", "p0", "Boil   water\nfirst, then pour it over the leaves"), (1, "c1", "s1", "Tea", [], "u1", "p1", "Milk")]
-    return spark.createDataFrame(rows, "row_index int, chunk_id string, snapshot_id string, doc_title string, section_path array<string>, source_url string, source_path string, text string")
+    rows = [
+        (0, "c0", "s1", "Tea", ["Tea", "Water"], "u0", "p0", "Boil   water\nfirst, then pour it over the leaves"),
+        (1, "c1", "s1", "Tea", [], "u1", "p1", "Milk")
+    ]
+    return spark.createDataFrame(
+        rows,
+        "row_index int, chunk_id string, snapshot_id string, doc_title string, section_path array<string>, source_url string, source_path "
+            "string, text string"
+    )
 
 
 def test_artifacts_of_two_chunks(spark, two_chunks, tmp_path):
     load = lambda: lambda texts: [[float("water" in t), float("Milk" in t), 0.5] for t in texts]
     about = vectors.write_embeddings(two_chunks, load, "m", str(tmp_path / "e"), "chunks.jsonl")
-    assert tables.read_embedding_metadata(spark, str(tmp_path / "e/metadata")) == about and about["snapshot_id"] == "s1" and about["vector_dimension"] == 3
+    assert tables.read_embedding_metadata(spark, str(tmp_path / "e/metadata")) == about and about["snapshot_id"] == "s1" and about[
+        "vector_dimension"
+    ] == 3
     (tmp_path / "x.json").write_text("{}")
     with pytest.raises(ValueError, match="no embedding metadata"):
         tables.read_embedding_metadata(spark, str(tmp_path / "x.json"))
@@ -242,7 +308,9 @@ def test_artifacts_of_two_chunks(spark, two_chunks, tmp_path):
     embed = lambda q: q.select("query_id", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.5)).alias("vector"))
     report = vectors.smoke_report(made, two_chunks, embed, "  boil  water ", 2, 20).orderBy("rank")
     rows = report.collect()
-    assert [(r["rank"], r.chunk_id, r.section_path, r.preview) for r in rows] == [(1, "c0", "Tea > Water", "Boil water first, t…"), (2, "c1", "(root)", "Milk")]
+    assert [(r["rank"], r.chunk_id, r.section_path, r.preview) for r in rows] == [
+        (1, "c0", "Tea > Water", "Boil water first, t…"), (2, "c1", "(root)", "Milk")
+    ]
     assert 'query: "boil water"' in vectors.smoke_text(report, " boil  water") and "[1] score=1.000000 chunk_id=c0" in vectors.smoke_text(report, "boil water")
     for bad in (("", 2, 20), ("x", 0, 20), ("x", 2, 0)):
         with pytest.raises(ValueError):
@@ -254,7 +322,9 @@ def test_artifacts_of_two_chunks(spark, two_chunks, tmp_path):
 
 
 def test_embedding_map(spark, tmp_path):
-    tables.write_embedding_map(spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.0, 1.0])], "text string, vector array<double>"), "m", str(tmp_path / "m"))
+    tables.write_embedding_map(
+        spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.0, 1.0])], "text string, vector array<double>"), "m", str(tmp_path / "m")
+    )
     name, rows = tables.read_embedding_map(spark, str(tmp_path / "m"))
     assert name == "m" and {r.text: r.vector for r in rows.collect()} == {"a": [1.0, 2.0], "b": [0.0, 1.0]}
     (tmp_path / "bad.json").write_text('{"model_name": "m", "vectors_by_text": {"a": [1], "b": [1, 2]}}')
@@ -290,11 +360,16 @@ def test_requests_and_logs(spark, tmp_path):
     with pytest.raises(Exception, match="no question"):
         tables.read_questions(spark, str(tmp_path / "bad.jsonl")).collect()
     line = json.loads(tables.log_line("asked", question="secret", n=1, inner={"Prompt": "p", "text": None, "list": [{"text": "x"}]}))
-    assert (line["question"], line["n"], line["inner"]) == ("[redacted]", 1, {"Prompt": "[redacted]", "text": None, "list": [{"text": "[redacted]"}]})
+    assert (line["question"], line["n"], line["inner"]) == (
+        "[redacted]", 1, {"Prompt": "[redacted]", "text": None, "list": [{"text": "[redacted]"}]}
+    )
 
 
 def test_scores_and_guards(spark):
-    rows = spark.createDataFrame([("q", "c", "t", 0, 1, float("nan"))], "query_id string, chunk_id string, text string, start_offset int, end_offset int, score double")
+    rows = spark.createDataFrame(
+        [("q", "c", "t", 0, 1, float("nan"))],
+        "query_id string, chunk_id string, text string, start_offset int, end_offset int, score double"
+    )
     with pytest.raises(Exception, match="not finite"):
         rows.select(retrieval.sound_unit_score(F.col("score"))).collect()
     with pytest.raises(Exception, match="unit interval"):
@@ -314,3 +389,35 @@ def test_tables_of_a_session_go(spark):
     assert os.path.isdir(path)
     storage.drop(table)
     assert not os.path.exists(path)
+
+
+def test_promoted_tables_change_at_once(spark, two_chunks):
+    about = {"runtime_id": "r1", "snapshot_id": "s", "embedding_model_name": "m", "vector_dimension": 2, "row_count": 2}
+    made = two_chunks.select("chunk_id", F.array(F.col("row_index").cast("float"), F.lit(1.0).cast("float")).alias("vector"))
+    vectors.promote(two_chunks, made, about, "promo")
+    first = {t.name for t in spark.catalog.listTables() if t.name.startswith("promo")}
+    vectors.promote(
+        two_chunks.where("row_index = 1"), made.where("chunk_id = 'c1'"), {**about, "row_count": 1, "runtime_id": "r2"}, "promo"
+    )
+    second = {t.name for t in spark.catalog.listTables() if t.name.startswith("promo")}
+    assert len(first) == len(second) == 3 and first & second == {"promo_metadata"}
+    assert [r.chunk_id for r in vectors.sql_search(spark, [1.0, 1.0], 5, "r2", "promo").collect()] == ["c1"]
+    with pytest.raises(ValueError, match="no metadata of runtime 'r1'"):
+        vectors.sql_search(spark, [1.0, 1.0], 5, "r1", "promo")
+    s = service.Settings(retrieval="sql", runtime_id="r2", table_prefix="promo", generation="http", base_url="http://x")
+    service.require_ready(spark, s)
+    embed = lambda q: q.select("query_id", F.array(F.lit(1.0), F.lit(1.0)).alias("vector"))
+    assert service.retriever_of(spark, s, embed)(
+        spark.createDataFrame([("q", "x")], "query_id string, question string"), 3
+    ).first().score == 1.0
+    for t in second:
+        spark.sql(f"DROP TABLE {t}")
+
+
+def test_reports_and_known_questions(spark, tmp_path):
+    tables.write_report(spark.range(1).selectExpr("id", "null AS a"), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).first().id == 0
+    with pytest.raises(ValueError):
+        tables.write_report(spark.range(2), str(tmp_path / "r2"))
+    rows = spark.createDataFrame([("  What is\tTEA?",), ("what is tea?",)], "question string")
+    assert [r[0] for r in retrieval.known_questions(rows).collect()] == ["what is tea?"]
