@@ -30,6 +30,12 @@ def found(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
+def once(c: Column) -> Column:
+    """A column that is computed once however often it is referred to: projections are merged with what they
+    read, but not with a generator's output."""
+    return F.explode(F.array(c))
+
+
 def token_count(c: Column) -> Column:
     return F.size(found(F.coalesce(c, F.lit("")), TOKEN)).cast("long")
 

@@ -141,10 +141,8 @@ def chunks(
     stride = most - overlap
     own = {f"_{c}": F.col(c) for c in digest}
     start = F.col(base).cast("long") if base else F.lit(0).cast("long")
-    segments = docs.select(
-        F.col(id_col), *keep, *[c.alias(n) for n, c in own.items()], start.alias("_base"),
-        X.found(F.coalesce(F.col(text_col), F.lit("")), X.SEGMENT).alias("segs")
-    )
+    segs = X.once(X.found(F.coalesce(F.col(text_col), F.lit("")), X.SEGMENT)).alias("segs")
+    segments = docs.select(F.col(id_col), *keep, *[c.alias(n) for n, c in own.items()], start.alias("_base"), segs)
     n = F.size("segs")
     last = F.greatest(F.lit(0), F.ceil((n - most) / stride)).cast("int")
     numbers = F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
@@ -157,7 +155,7 @@ def chunks(
             F.least(F.lit(most), n - at + 1).cast("long").alias("tokens")
         )
 
-    windows = segments.withColumn("windows", F.transform(numbers, window)).drop("segs")
+    windows = segments.select(id_col, *keep, *own, "_base", X.once(F.transform(numbers, window)).alias("windows"))
     # Where each window begins: the lengths of the strides before it.
     sums = F.aggregate("windows", F.array(F.lit(0).cast("long")), lambda s, w: F.concat(s, F.array(F.element_at(s, -1) + w["size"])))
     rows = windows.withColumn("before", sums).select(id_col, *keep, *own, "_base", "before", F.explode("windows").alias("w"))

@@ -40,7 +40,7 @@ class Postings:
     ):
         terms = queries.select(F.col(query_id).alias("query_id"), F.explode(X.terms(F.col(query_text))).alias("term"))
         self.asked = kept(terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
-        words = docs.select(F.col(doc_id).alias("doc_id"), X.terms(F.col(doc_text)).alias("terms"))
+        words = docs.select(F.col(doc_id).alias("doc_id"), X.once(X.terms(F.col(doc_text))).alias("terms"))
         # The document's own row leads its terms, so both come from one pass over the text.
         each = words.select(
             "doc_id", F.size("terms").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term")
