@@ -228,10 +228,9 @@ class Subtree:
         shared[:-1] |= same
         leaf = order[shared]
         self.doc, self.start = doc[run[leaf]], start[run[leaf]] + offset[leaf]
-        used = at[leaf][:, None] + np.arange(width)
-        alphabet, rank = np.unique(hashes[used.reshape(-1)], return_inverse=True)
-        words = rank.reshape(used.shape)
-        sort = np.lexsort((self.start, self.doc, *_joint(words, max(len(alphabet) - 1, 1).bit_length())[::-1]))
+        spelt, rank = K.distinct_at(hashes)  # words as numbers; any order of words will do for sorting
+        words = rank.astype(np.uint32)[at[leaf][:, None] + np.arange(width)]
+        sort = np.lexsort((self.start, self.doc, *_joint(words, max(len(spelt) - 1, 1).bit_length())[::-1]))
         words = words[sort]
         self.run, self.offset, self.doc, self.start = run[leaf][sort], offset[leaf][sort], self.doc[sort], self.start[sort]
         agree = words[1:] == words[:-1]
