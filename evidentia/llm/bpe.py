@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from evidentia.llm import blocks as B
 from evidentia.llm import kernel as K
-from evidentia.llm.storage import partitions, prepare
+from evidentia.llm.storage import partitions, prepare, trimmed
 
 _WORDS = "block long, bucket int, payload binary"
 TASK_BYTES = 256 << 20
@@ -103,7 +103,7 @@ class _Words:
 
 def _ask(text_col: str, buckets: int):
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 w = _Words(B.opened(payload.as_buffer()), text_col, buckets, True)
                 for bucket, part in w.buckets.items():
@@ -152,7 +152,7 @@ def _assemble(text_col: str, buckets: int, ranks, names: list[str], with_ids: bo
     def run(batches):
         table_of = TokenBytes(ranks.value)
         decimal = [str(i).encode() for i in range(len(table_of.size))]
-        for batch in batches:
+        for batch in trimmed(batches):
             for block, payload, got in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("answers").to_pylist()):
                 table = B.opened(payload.as_buffer())
                 w = _Words(table, text_col, buckets, False)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.llm import kernel as K
-from evidentia.llm.storage import drop, prepare, written
+from evidentia.llm.storage import drop, prepare, trimmed, written
 
 WIDTH = 10
 BLOCK_BYTES = 8 << 20
@@ -188,7 +188,7 @@ def _search(block, text_col: str, width: int, out_names: list[str], last: bool,
 
     def run(batches):
         index = None
-        for batch in batches:
+        for batch in trimmed(batches):
             if index is None:
                 index = TestIndex(*block.value, width)
             table = pa.Table.from_batches([batch])
@@ -238,7 +238,7 @@ def _sieve(items: DataFrame, gram: int, bits: int) -> np.ndarray:
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in trimmed(batches):
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held[i] = held.get(i, 0) | np.frombuffer(raw, np.uint8)
         yield pa.RecordBatch.from_pydict(

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import kernel as K
-from evidentia.llm.storage import prepare, release_memory
+from evidentia.llm.storage import prepare, release_memory, trimmed
 
 SAMPLE_DOCS = 1000
 ROUNDS = 2
@@ -293,7 +293,7 @@ def identify(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         scorer = Scorer(*shared.value) if shared.value[1] else None
-        for batch in batches:
+        for batch in trimmed(batches):
             if scorer:
                 names, scores = scorer.predict(batch.column(schema.names.index(text_col)))
             else:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import kernel as K
 from evidentia.llm.components import components
-from evidentia.llm.storage import partitions, prepare, release_memory, written
+from evidentia.llm.storage import partitions, prepare, release_memory, trimmed, written
 
 ROWS, BANDS = 5, 30
 SAMPLES = ROWS * BANDS
@@ -99,7 +99,7 @@ def odd_sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
 
 def _signatures(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             sets = shingle_sets(batch.column(1), width)
             keys = [band_keys(samples(s)) if len(s) else None for s in sets]
             sketches = [odd_sketch(s) if len(s) else (0, None) for s in sets]
@@ -121,7 +121,7 @@ def _signatures(width: int):
 
 def _linked(width: int, percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             left, right = shingle_sets(batch.column(2), width), shingle_sets(batch.column(3), width)
             keep = []
             for x, y in zip(left, right):
@@ -197,7 +197,7 @@ def _plausible(percent: int):
 
 def _carried(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             sets = [s.view(np.int64) if len(s) <= CARRIED else None for s in shingle_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 

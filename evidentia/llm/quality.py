@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.llm import kernel as K
-from evidentia.llm.storage import partitions, prepare, written
+from evidentia.llm.storage import partitions, prepare, trimmed, written
 
 FEATURES = 256
 WIDTH = 3.0
@@ -108,7 +108,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prepare(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in trimmed(batches):
             x = statistics(batch.column(1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32()), pa.array(x.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "x"])

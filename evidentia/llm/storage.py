@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -30,3 +31,10 @@ def release_memory() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """Batches one by one; what a worker freed while it worked on one is given back before the next."""
+    for batch in batches:
+        yield batch
+        release_memory()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm import kernel as K
-from evidentia.llm.storage import partitions, prepare
+from evidentia.llm.storage import partitions, prepare, trimmed
 
 END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
@@ -157,7 +157,7 @@ def write_tokens(
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0
         encoder = _encoder(definition.value, special_as_text)
-        for batch in batches:
+        for batch in trimmed(batches):
             done = 0
             for size, ids in encoder.encode(batch.column(1)):
                 n = len(size)
