@@ -72,6 +72,11 @@ def parsed(manifest: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def in_manifest_order(rows: DataFrame) -> DataFrame:
+    """Sections or chunks as a file of them is ordered: by path, document, section and chunk."""
+    return rows.orderBy("source_path", "doc_id", *[c for c in ("section_index", "chunk_index") if c in rows.columns])
+
+
 def chunked_sections(sections: DataFrame, most: int = 350, overlap: int = 50) -> DataFrame:
     """The chunks of sections (tables.SECTIONS), in the columns of tables.CHUNKS; offsets count from the document's beginning."""
     rows = chunks(

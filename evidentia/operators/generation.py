@@ -38,7 +38,7 @@ REPLY = {"final_answer", "citations", "refusal"}
 REFUSAL = {"is_refusal", "reason_code", "message"}
 CITATION = {"marker": str, "doc_id": str, "chunk_id": str, "start_offset": int, "end_offset": int}
 REASONS = ("insufficient_evidence", "no_relevant_docs", "citation_validation_failed", "out_of_scope")
-ENDPOINTS = {"http": "/generate", "openai_compatible": "/v1/chat/completions"}
+ENDPOINTS = {"http": "/query", "openai_compatible": "/v1/chat/completions"}
 
 Generator = Callable[[DataFrame], DataFrame]
 

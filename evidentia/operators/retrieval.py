@@ -41,14 +41,16 @@ class Postings:
         terms = queries.select(F.col(query_id).alias("query_id"), F.explode(X.terms(F.col(query_text))).alias("term"))
         self.asked = kept(terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
         words = docs.select(F.col(doc_id).alias("doc_id"), X.once(X.terms(F.col(doc_text))).alias("terms"))
-        # The document's own row leads its terms, so both come from one pass over the text.
-        each = words.select(
-            "doc_id", F.size("terms").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term")
-        )
+        # The document's own row leads its terms, so both come from one pass over the text; it has one of many
+        # terms that no text has, as rows of one key, or of none, would meet in one task of the join.
+        lead = F.concat(F.lit(" "), F.pmod(F.xxhash64("doc_id"), F.lit(4096)).cast("string"))
+        each = words.select("doc_id", F.size("terms").alias("len"), F.explode(F.concat(F.array(lead), "terms")).alias("term"))
         wanted = self.asked.select(F.col("term").alias("asked")).distinct()
         if wanted.count() <= BROADCAST_TERMS:
             wanted = F.broadcast(wanted)
-        found = each.join(wanted, F.col("term") == F.col("asked"), "left").where(F.col("term").isNull() | F.col("asked").isNotNull())
+        own = F.col("term").startswith(" ")
+        found = each.join(wanted, F.col("term") == F.col("asked"), "left").where(own | F.col("asked").isNotNull())
+        found = found.withColumn("term", F.when(~own, F.col("term")))
         self.rows = kept(found.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")))
 
     def ranked(self, k: int, k1: float = K1, b: float = B) -> DataFrame:

@@ -131,3 +131,30 @@ def answering(
     """Questions (query_id, question) -> answers, by the parts that the settings choose; readers are opened once."""
     retrieve, generate = retriever_of(spark, s, embed), generator_of(spark, s)
     return lambda questions: generation.answered(questions, retrieve(questions, s.top_k), generate, thresholds)
+
+
+def smoke_artifacts(spark: SparkSession, folder: str) -> Settings:
+    """Two chunks with their vectors, index, embedding map and canned answer below folder, and the settings of a service on them."""
+    texts = ("A lantern burns oil and gives a steady light.", "A bell is cast from bronze and rings when struck.")
+    chunks = [
+        (
+            "smoke", f"d{i}", f"d{i}-sec-0000", f"d{i}-chk-0000", 0, 0, "Things", ["Things"], f"docs/d{i}.md",
+            f"https://docs.example.org/docs/d{i}/", "l", "a", "en", 0, len(t), 10, t
+        )
+        for i, t in enumerate(texts)
+    ]
+    rows = spark.createDataFrame(chunks, tables.CHUNKS)
+    tables.write_jsonl(rows, f"{folder}/chunks")
+    known = [(texts[0], [1.0, 0.0]), (texts[1], [0.0, 1.0]), ("What gives light?", [0.9, 0.1])]
+    tables.write_embedding_map(spark.createDataFrame(known, "text string, vector array<double>"), "smoke", f"{folder}/map")
+    made = [(i, f"d{i}-chk-0000", known[i][1]) for i in range(2)]
+    vectors.write_index(spark.createDataFrame(made, tables.VECTORS), f"{folder}/index", "smoke", "smoke")
+    record = [("[1]", "d0", "d0-chk-0000", 0, len(texts[0]))]
+    answer = [("What gives light?", None, "A lantern gives light.", record, False, None, None, None)]
+    spark.createDataFrame(
+        answer, f"question string, {generation.RESPONSE}"
+    ).drop("query_id").write.mode("overwrite").json(f"{folder}/answers")
+    return Settings(
+        retrieval="artifact", top_k=2, embedder="fixture", chunks_path=f"{folder}/chunks", index_path=f"{folder}/index",
+        embedding_map_path=f"{folder}/map", answers_path=f"{folder}/answers",
+    )

@@ -160,17 +160,25 @@ def write_embeddings(
     return about
 
 
+def guarded(queries: DataFrame, width: int) -> DataFrame:
+    """Queries whose vector must have as many components as the index; another number is an error when read."""
+    wrong = F.raise_error(F.format_string("a query has %d components, the index " + str(width), F.coalesce(F.size("vector"), F.lit(0))))
+    vector = F.when(F.size("vector") == width, F.col("vector")).otherwise(wrong.cast(queries.schema["vector"].dataType))
+    return queries.withColumn("vector", vector)
+
+
 def retriever(vectors: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame]):
     """A retriever for questions: embed (query_id, question) -> (query_id, vector), search, chunks joined, unit scores besides raw ones.
 
     vectors: chunk_id, vector; chunks: chunk_id and what a hit shall carry.
     """
 
+    _, width = dimension(vectors, "vector")
+
     def retrieve(queries: DataFrame, k: int) -> DataFrame:
-        hits = retrieval.cosine(vectors, embed(queries), k, "chunk_id", "vector").withColumnRenamed("vec_id", "chunk_id")
-        return with_chunks(
-            hits.withColumn("raw_score", F.col("score")).withColumn("score", retrieval.sound_unit_score(F.col("score"))), chunks
-        )
+        hits = retrieval.cosine(vectors, guarded(embed(queries), width), k, "chunk_id", "vector").withColumnRenamed("vec_id", "chunk_id")
+        scored = hits.withColumn("raw_score", F.col("score")).withColumn("score", retrieval.sound_unit_score(F.col("score")))
+        return with_chunks(scored, chunks)
 
     return retrieve
 
@@ -189,6 +197,7 @@ def smoke_report(
     asked = embed(chunks.sparkSession.createDataFrame([(0, question)], "query_id int, question string"))
     if asked.count() != 1:
         raise ValueError("one question must have one vector")
+    asked = guarded(asked, dimension(vectors, "vector")[1])
     hits = retrieval.cosine(vectors, asked, k, "row_index", "vector").withColumnRenamed("vec_id", "row_index")
     full = with_chunks(hits.join(vectors.select("row_index", "chunk_id"), "row_index"), chunks, "row_index")
     return full.select(

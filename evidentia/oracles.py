@@ -139,7 +139,8 @@ z AS (SELECT *, base + pre + length(raw) - length(ltrim(raw)) AS start_offset, b
 SELECT doc_id, section_id, doc_id || '-chk-' || printf('%04d', chunk_index) || '-' || substr(sha1('s1|'
     || doc_id || '|' || section_id || '|' || chunk_index || '|' || start_offset || '|' || end_offset),
     1, 12) AS chunk_id,
-  chunk_index, doc_title, section_path, source_url, language, start_offset, end_offset, token_count FROM z"""
+  chunk_index::INTEGER AS chunk_index, doc_title, section_path, source_url, language, start_offset::INTEGER AS start_offset,
+  end_offset::INTEGER AS end_offset, token_count::INTEGER AS token_count FROM z"""
 _REGISTRY_IDS = """
 WITH s AS (SELECT source AS doc_id, source || '-' || lang AS section_id FROM documents WHERE lang <> 'de'),
 c AS (SELECT CASE WHEN lang <> 'en' THEN lang END AS doc_id, source || '-' || lang AS section_id,
@@ -359,7 +360,7 @@ def oracle_sql() -> dict[str, str]:
         "source_urls": "SELECT doc_id, 'https://site.example/docs/' || source || '/d.' || doc_id || '/' AS source_url FROM documents "
             "WHERE source IS NOT NULL",
         "user_prompts": _PROMPTS,
-        "matrix_rows": "SELECT vec_id AS row_index, round(list_sum(embedding::DOUBLE[]), 4) AS total, len(embedding) AS width FROM "
+        "matrix_rows": "SELECT vec_id AS row_index, round(list_sum(embedding::DOUBLE[]), 4) AS total, len(embedding)::INTEGER AS width FROM "
             "embeddings",
         "duplicate_rows": "SELECT doc_id, occurrence FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) "
             "AS occurrence FROM documents) WHERE occurrence > 1",

@@ -421,3 +421,43 @@ def test_reports_and_known_questions(spark, tmp_path):
         tables.write_report(spark.range(2), str(tmp_path / "r2"))
     rows = spark.createDataFrame([("  What is\tTEA?",), ("what is tea?",)], "question string")
     assert [r[0] for r in retrieval.known_questions(rows).collect()] == ["what is tea?"]
+
+
+def test_service_on_artifacts(spark, tmp_path):
+    s = service.smoke_artifacts(spark, str(tmp_path))
+    service.require_ready(spark, s)
+    loose = trust.Thresholds(top1=0.5, mean3=0.1, n_support=1)
+    asked = spark.createDataFrame([("1", "What gives light?")], "query_id string, question string")
+    got = service.answering(spark, s, thresholds=loose)(asked).first()
+    assert (got.status, got.final_answer) == ("answer", "A lantern gives light [1].")
+    hits = service.retriever_of(spark, s)(asked, 2).orderBy("rank").collect()
+    assert [(h.chunk_id, h.doc_title) for h in hits] == [("d0-chk-0000", "Things"), ("d1-chk-0000", "Things")]
+    with pytest.raises(Exception, match="no vector for text"):
+        service.retriever_of(spark, s)(asked.withColumn("question", F.lit("else")), 2).collect()
+    wide = lambda q: q.select("query_id", F.array(*[F.lit(1.0)] * 3).alias("vector"))
+    with pytest.raises(Exception, match="a query has 3 components, the index 2"):
+        vectors.retriever(vectors.read_index(spark, s.index_path), tables.read_chunks(spark, s.chunks_path), wide)(asked, 2).collect()
+
+
+def test_manifest_order(spark):
+    rows = spark.createDataFrame(
+        [("b", "x", 1), ("a", "y", 0), ("b", "x", 0), ("a", "x", 3)], "source_path string, doc_id string, section_index int"
+    )
+    assert [tuple(r) for r in corpus.in_manifest_order(rows).collect()] == [("a", "x", 3), ("a", "y", 0), ("b", "x", 0), ("b", "x", 1)]
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "a"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Session())
+    Session.conf = {"spark.checkpoint.dir": "/shared/"}
+    assert storage.shared_folder(Session()) == "/shared"
