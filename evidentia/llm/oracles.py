@@ -75,3 +75,29 @@ n AS (SELECT a AS id, count(*) AS n_links FROM two GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN n ON n.id = vec_id LEFT JOIN grp ON grp.id = vec_id
 """
+
+_FAILS = [f"f{x}" for x in "ABCDE"]
+_CASE = lambda value: f"CASE filter {' '.join(f"WHEN '{x}' THEN {value.format(x)}" for x in 'ABCDE')} END"
+AUDIT = f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_BLANK}, 0) AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, len(w) < 50 AS fA, 100 * len(list_distinct(w)) < 65 * len(w) AS fB,
+    100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS fC, regexp_matches(text, '[#$%&*|]') AS fD,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS fE, coalesce(good, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic
+  FROM t LEFT JOIN l USING (doc_id)),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) u(x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5),
+k AS (SELECT filter_order, step, filter_order[step] AS filter, filter_order[1 : step - 1] AS before FROM s),
+c AS (SELECT part, {', '.join(_FAILS)}, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM d GROUP BY ALL),
+m AS (SELECT part, filter_order, step, filter, n, n_good, n_toxic, {_CASE('f{0}')} AS fails,
+    {' OR '.join(f"(contains(before, '{x}') AND f{x})" for x in 'ABCDE')} AS gone, {' + '.join(f'f{x}::INT' for x in 'ABCDE')} = 1 AS alone
+  FROM c, k),
+r AS (SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails AND alone), 0)::BIGINT AS unique_fails, coalesce(sum(n_good) FILTER (NOT gone AND fails), 0)::BIGINT AS good_lost,
+    coalesce(sum(n_toxic) FILTER (NOT gone AND fails), 0)::BIGINT AS toxic_lost
+  FROM m GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM r
+"""
