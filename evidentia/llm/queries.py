@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import audit, bpe, chat, decontam, embeddings, langid, minhash, oracles, quality, substring, tokenstore, warc
+from evidentia.llm import audit, bpe, chat, decontam, embeddings, langid, minhash, oracles, quality, rules, substring, tokenstore, warc
 from evidentia.llm.storage import fresh_path
 
 
@@ -79,6 +79,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def oracle_sql() -> dict:
     return {
         "op1_warc_revisits": oracles.WARC,
@@ -94,6 +98,6 @@ def queries() -> dict:
     return {
         f.__name__: f for f in (
             op1_warc_revisits, op2_minhash_near_dedup, op3_language_id, op4_substring_dedup, op5_chat_format, op6_token_store,
-            op7_decontamination, op8_byte_bpe, op9_embedding_near_dedup, op10_quality, op12_filter_audit
+            op7_decontamination, op8_byte_bpe, op9_embedding_near_dedup, op10_quality, op12_filter_audit, op13_quality_rules
         )
     }
