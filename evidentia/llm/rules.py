@@ -137,7 +137,7 @@ def expected_path(n) -> np.ndarray:
     """The mean path of an unsuccessful search in a binary tree of n rows, by which paths are measured."""
     n = np.asarray(n, float)
     m = np.maximum(n, 2)
-    harmonic = np.log(np.maximum(m - 1, 1)) + 0.5772156649015329
+    harmonic = np.log(m - 1) + 0.5772156649015329 + 0.5 / (m - 1)
     return np.where(n > 2, 2 * harmonic - 2 * (m - 1) / m, np.where(n == 2, 1.0, 0.0))
 
 
