@@ -57,8 +57,7 @@ def _piece_encoder(ranks: bytes):
 class TokenBytes:
     """The token-byte table as arrays: the bytes of id i are flat[start[i] : start[i] + size[i]]."""
 
-    def __init__(self, ranks: bytes):
-        table = byte_table(ranks)
+    def __init__(self, table: dict[int, bytes]):
         self.size = np.full(max(table) + 1, -1, np.int64)
         for i, token in table.items():
             self.size[i] = len(token)
@@ -150,7 +149,7 @@ def _assemble(text_col: str, buckets: int, ranks, names: list[str], with_ids: bo
     """Sets each block's ids in by position."""
 
     def run(batches):
-        table_of = TokenBytes(ranks.value)
+        table_of = TokenBytes(byte_table(ranks.value))
         decimal = [str(i).encode() for i in range(len(table_of.size))]
         for batch in trimmed(batches):
             for block, payload, got in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("answers").to_pylist()):
@@ -222,7 +221,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):
-        table = TokenBytes(ranks.value)
+        table = TokenBytes(byte_table(ranks.value))
         for batch in batches:
             lists = pc.fill_null(batch.column(1), [])
             ids = np.asarray(lists.flatten()).astype(np.int64)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import audit, bpe, chat, decontam, embeddings, langid, minhash, oracles, quality, rules, substring, tokenstore, warc
+from evidentia.llm import align, audit, bpe, chat, decontam, embeddings, langid, minhash, oracles, quality, rules, substring, tokenstore, warc
 from evidentia.llm.storage import fresh_path
 
 
@@ -75,6 +75,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -98,6 +103,6 @@ def queries() -> dict:
     return {
         f.__name__: f for f in (
             op1_warc_revisits, op2_minhash_near_dedup, op3_language_id, op4_substring_dedup, op5_chat_format, op6_token_store,
-            op7_decontamination, op8_byte_bpe, op9_embedding_near_dedup, op10_quality, op12_filter_audit, op13_quality_rules
+            op7_decontamination, op8_byte_bpe, op9_embedding_near_dedup, op10_quality, op11_token_alignment, op12_filter_audit, op13_quality_rules
         )
     }
