@@ -14,8 +14,8 @@ goes block by block, one at a time: a sieve of all its short sequences (a bitmap
 first finds the documents that can hold any window; only these are written and searched for each block.
 
 Defined results: null and wordless texts have no words, no hits and are clean. Null and
-wordless items have no windows, items without id are not looked for, and items
-with one id count once. Words compare by 64-bit hashes. Repeated rows get equal results, empty tables stay
+wordless items have no windows. Words in windows of items without id are hit, and such items have matches with a
+null item_id; only n_items and items_sha256, which are of ids, leave them out. Items with one id count once. Words compare by 64-bit hashes. Repeated rows get equal results, empty tables stay
 empty. Columns of the input with a name that the operator returns are replaced.
 """
 
@@ -302,7 +302,7 @@ def _digest(table: pa.Table, found: list, counts: list[int], out_names: list[str
             np.add.at(edge, s[:, 0], 1)
             np.add.at(edge, s[:, 1], -1)
         hits.append(int((np.cumsum(edge) > 0).sum()))
-        items.append(sorted(set(ids)))
+        items.append(sorted(set(ids) - {None}))
     table = table.append_column("n_words", pa.array(counts, pa.int64())).append_column("n_hit", pa.array(hits, pa.int64()))
     table = table.append_column("n_items", pa.array([len(x) for x in items], pa.int64()))
     table = table.append_column("items_sha256", pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]))
@@ -331,7 +331,7 @@ def contamination(
     docs = docs.drop(*[c for c in own if c in docs.columns])
     items = benchmark.select(
         F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")
-    ).where("i is not null")
+    )
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
     final = T.StructType([f for f in docs.schema.fields if with_text or f.name != text_col] + _OWN.fields)

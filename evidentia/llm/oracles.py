@@ -52,13 +52,13 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}, 0) AS w FROM documents),
-b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all({_LOWER}, {_ALNUM}, 0) AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all({_LOWER}, {_ALNUM}, 0) AS w FROM benchmark),
 i AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS item_at FROM b WHERE len(w) > 0),
 t AS (SELECT item_id, n, item_at, array_to_string(w[item_at : item_at + n - 1], ' ') AS k FROM i),
 p AS (SELECT doc_id, w, sizes.n, unnest(range(1, len(w) - sizes.n + 2)) AS place FROM d, (SELECT DISTINCT n FROM t) sizes),
 h AS (SELECT DISTINCT p.doc_id, p.place, p.n, t.item_id, t.item_at FROM (SELECT *, array_to_string(w[place : place + n - 1], ' ') AS k FROM p) p JOIN t USING (n, k)),
 c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(place, place + n)) AS pos FROM h) GROUP BY doc_id),
-o AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id),
 l AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, item_id, place - item_at ORDER BY place) AS island FROM h),
 m AS (SELECT doc_id, min(place) - 1 AS place, max(place + n) - min(place) AS words FROM l GROUP BY doc_id, item_id, place - item_at, island),
 x AS (SELECT doc_id, count(*) AS n_matches, max(words) AS longest_match, min(struct_pack(words := -words, place := place)).place AS longest_start FROM m GROUP BY doc_id)
