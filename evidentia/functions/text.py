@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ def token_count(c: Column) -> Column:
 
 
 def terms(c: Column) -> Column:
-    """Lower-cased lexical terms."""
-    return F.transform(found(F.coalesce(c, F.lit("")), TERM), F.lower)
+    """Lexical terms, A-Z lower-cased; terms are ASCII, so the text may be lower-cased as a whole."""
+    return found(F.translate(F.coalesce(c, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), TERM)
 
 
 def preview(c: Column, n: int) -> Column:

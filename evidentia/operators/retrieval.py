@@ -1,4 +1,4 @@
-"""Lexical and vector ranking, fusion, canonical hits."""
+"""Vector ranking, fusion, canonical hits; inverted.py ranks by terms."""
 
 from __future__ import annotations
 
@@ -10,13 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from evidentia.functions import text as X
-from evidentia.sources.tables import kept
 
 K1, B, RRF_K, DEPTH = 1.5, 0.75, 60, 20
 #: Rows of a block of vectors or of queries, and queries compared at once within.
 BLOCK, AT_ONCE = 8192, 256
-#: Terms of all questions together up to which they go to every task; more are joined by a shuffle.
-BROADCAST_TERMS = 200_000
 
 
 def ranked(hits: DataFrame, k: int, query: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -27,58 +24,6 @@ def ranked(hits: DataFrame, k: int, query: str = "query_id", score: str = "score
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-class Postings:
-    """How often the terms of some questions occur in documents, kept as a table: one scan and one reading of
-    the texts, whatever is asked of it.
-
-    A document has a row of its own (term null, its length) besides one for each asked term.
-    """
-
-    def __init__(
-        self, docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "query_id",
-        query_text: str = "text"
-    ):
-        terms = queries.select(F.col(query_id).alias("query_id"), F.explode(X.terms(F.col(query_text))).alias("term"))
-        self.asked = kept(terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
-        words = docs.select(F.col(doc_id).alias("doc_id"), X.once(X.terms(F.col(doc_text))).alias("terms"))
-        # The document's own row leads its terms, so both come from one pass over the text; it has one of many
-        # terms that no text has, as rows of one key, or of none, would meet in one task of the join.
-        lead = F.concat(F.lit(" "), F.pmod(F.xxhash64("doc_id"), F.lit(4096)).cast("string"))
-        each = words.select("doc_id", F.size("terms").alias("len"), F.explode(F.concat(F.array(lead), "terms")).alias("term"))
-        wanted = self.asked.select(F.col("term").alias("asked")).distinct()
-        if wanted.count() <= BROADCAST_TERMS:
-            wanted = F.broadcast(wanted)
-        own = F.col("term").startswith(" ")
-        found = each.join(wanted, F.col("term") == F.col("asked"), "left").where(own | F.col("asked").isNotNull())
-        found = found.withColumn("term", F.when(~own, F.col("term")))
-        self.rows = kept(found.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")))
-
-    def ranked(self, k: int, k1: float = K1, b: float = B) -> DataFrame:
-        """(query_id, doc_id, score, rank): the k best by Okapi BM25 over all documents."""
-        own = F.col("term").isNull()
-        stats = self.rows.where(own).agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("mean")).first()
-        n, mean = stats["n"] or 0, F.lit(float(stats["mean"] or 0))
-        found = self.rows.where(~own)
-        df = found.groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weights = kept(self.asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight")))
-        if weights.count() <= BROADCAST_TERMS:
-            weights = F.broadcast(weights)
-        part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-        # Dealt by document: scores are whole, and the best of each task chosen, before anything is shuffled by question.
-        scores = found.repartition("doc_id").join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
-        return ranked(scores.where("score > 0"), k)
-
-
-def bm25(
-    docs: DataFrame, queries: DataFrame, k: int = 5, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "query_id",
-    query_text: str = "text", k1: float = K1, b: float = B
-) -> DataFrame:
-    """(query_id, doc_id, score, rank): Okapi BM25 over all documents, scores rounded to 9
-    places before ranking so that the order of summation decides nothing."""
-    return Postings(docs, queries, doc_id, doc_text, query_id, query_text).ranked(k, k1, b)
-
-
 def cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score, rank): exact cosine of queries (query_id, vector) against all vectors, to 6 places.
 

@@ -291,6 +291,9 @@ def oracle_sql() -> dict[str, str]:
             "unnest(string_split(text, chr(10))) AS t FROM documents), o AS (SELECT doc_id, section_index, t, coalesce(sum(length(t) + 2) "
             "OVER (PARTITION BY doc_id ORDER BY section_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "
             "start_offset FROM s) SELECT doc_id, section_index, start_offset, start_offset + length(t) AS end_offset FROM o",
+        "bm25_index": f"WITH words AS ({_WORDS}), t AS (SELECT doc_id, len(w) AS len, lower(unnest(w)) AS term FROM words), c AS (SELECT "
+            "doc_id, len, term, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS n_docs, max(tf) AS most, min(len) AS shortest "
+            "FROM c GROUP BY term",
         "bm25_topk": f"WITH words AS ({_WORDS}), {_bm25_sql('a', 5)} SELECT query_id, doc_id, score, rank FROM a",
         "rrf_topk": f"WITH words AS ({_WORDS}), {_bm25_sql('a', 20)}, {_bm25_sql('b', 20, 0.25)}, f AS (SELECT query_id, doc_id, a.rank AS "
             f"first_rank, b.rank AS second_rank, {gain.format('a.rank')} + {gain.format('b.rank')} AS score FROM a FULL JOIN b USING "

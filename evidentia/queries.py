@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
 from evidentia.oracles import oracle_sql  # noqa: F401
-from evidentia.operators import answers, checks, corpus, evaluation, generation, prompts, retrieval, sections, trust, vectors
+from evidentia.operators import answers, checks, corpus, evaluation, generation, inverted, prompts, retrieval, sections, trust, vectors
 from evidentia.sources import tables
-from evidentia.sources.storage import fresh_path
+from evidentia.sources.storage import file_system, fresh_path
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,17 +50,38 @@ def section_offsets(s, d):
     )
 
 
-def _postings(s, d) -> retrieval.Postings:
-    return retrieval.Postings(_t(s, d, "documents"), _t(s, d, "benchmark").withColumnRenamed("item_id", "query_id"))
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(s, d) -> inverted.Inverted:
+    """The documents' index, written by the first query of a session that asks it and read by all, until storage.clear()."""
+    key = s.sparkContext.applicationId, d
+    if key in _indexes:
+        files, at = file_system(s, f"{_indexes[key]}/bounds/_SUCCESS")
+        if files.exists(at):
+            return inverted.Inverted(s, _indexes[key])
+    _indexes[key] = fresh_path(s, "inverted")
+    return inverted.write_index(_t(s, d, "documents"), _indexes[key])
+
+
+def _items(s, d) -> DataFrame:
+    return _t(s, d, "benchmark").withColumnRenamed("item_id", "query_id")
+
+
+def bm25_index(s, d):
+    """What the index knows of every term: in how many documents it is, how often at most, and the shortest of them."""
+    of = _index(s, d).heads.where("term <> ''").groupBy("term")
+    return of.agg(F.sum("n").alias("n_docs"), F.max("most").cast("long").alias("most"), F.min("shortest").cast("long").alias("shortest"))
 
 
 def bm25_topk(s, d):
-    return _postings(s, d).ranked(5)
+    return _index(s, d).search(_items(s, d), 5)[0]
 
 
 def rrf_topk(s, d):
-    postings = _postings(s, d)
-    both = retrieval.fused(postings.ranked(20), postings.ranked(20, b=0.25), 5)
+    index = _index(s, d)
+    asked = index.weights(_items(s, d))
+    both = retrieval.fused(index.answered(asked, 20)[0], index.answered(asked, 20, b=0.25)[0], 5)
     return both.select("query_id", "doc_id", "first_rank", "second_rank", F.round("score", 9).alias("score"), "rank")
 
 
@@ -89,7 +110,9 @@ def hybrid_topk(s, d):
     dense = lambda q, k: retrieval.cosine(_t(s, d, "embeddings"), q, k).withColumnRenamed("vec_id", "chunk_id").join(
         of.select("chunk_id", "doc_id"), "chunk_id", "left"
     )
-    lexical = lambda q, k: retrieval.bm25(docs, q, k, "chunk_id", query_text="question").withColumnRenamed("doc_id", "chunk_id").join(of, "chunk_id", "left")
+    lexical = lambda q, k: _index(s, d).search(q, k, query_text="question")[0].withColumnRenamed("doc_id", "chunk_id").join(
+        of, "chunk_id", "left"
+    )
     hits = retrieval.hybrid(dense, lexical)(asked, 5)
     return hits.select(
         "query_id", "chunk_id", "doc_id", "section_id", "first_rank", "second_rank", F.round("score", 9).alias("score"), "rank"
@@ -486,7 +509,7 @@ def matrix_rows(s, d):
 
 def queries() -> dict:
     fs = (
-        token_count, chunks, ingest_report, manifest_allowlist, section_offsets, bm25_topk, rrf_topk, cosine_topk, hybrid_topk,
+        token_count, chunks, ingest_report, manifest_allowlist, section_offsets, bm25_index, bm25_topk, rrf_topk, cosine_topk, hybrid_topk,
         gate_decisions, retrieval_metrics, canonical_hits, latency_percentiles, citation_markers, registry, duplicate_rows
     )
     fs += (

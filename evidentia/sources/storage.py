@@ -50,6 +50,23 @@ def kept(df: DataFrame) -> DataFrame:
     return written(df, "kept")
 
 
+#: Tables of at most so many bytes are dealt out by spread().
+SPREAD_BYTES, SPREAD_FILES = 64 << 20, 64
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over as many partitions as shuffles have, where it reads a small table that lies in few row groups and would occupy few
+    cores; a larger one is returned as it is, since moving it would cost more than it gains."""
+    files = df.inputFiles()
+    if not 0 < len(files) <= SPREAD_FILES:
+        return df
+    size = 0
+    for name in files:
+        system, at = file_system(df.sparkSession, name)
+        size += system.getFileStatus(at).getLen()
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if size <= SPREAD_BYTES else df
+
+
 def file_system(spark: SparkSession, path: str):
     """(Hadoop file system, path in it)."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
