@@ -3,8 +3,8 @@
 Documents are dealt to small blocks of like documents. The index has a row per term and document, how often the
 one occurs in the other and the document's length, and a row per term and block: the most occurrences and the least length. A document with both
 would get the greatest part that the term can add to a score within the block, whatever the parameters, so a question's sum of such parts
-bounds every score of a block. A search scores a few blocks of the highest bounds
-first; a block whose bound lies below the k-th score found there cannot change the result and is never read further.
+bounds every score of a block. A search for the best k scores the k blocks of the
+highest bounds first, as each may hold one of them; a block whose bound lies below the k-th score found there cannot change the result and is never read further.
 
 Rows are laid out by ranges of (term, block), so a term that nearly all documents hold is spread over files, and a file's own
 statistics name the terms in it. Bounds read no postings. Scores are rounded to 9 places before they are
@@ -26,8 +26,8 @@ from evidentia.functions import text as X
 from evidentia.operators.retrieval import B, K1, ranked
 from evidentia.sources.storage import drop, fresh_path, kept, spread
 
-#: Documents of a block, about; blocks of a question that are scored before the others are judged.
-PER_BLOCK, FIRST_BLOCKS = 32, 2
+#: Documents of a block, about.
+PER_BLOCK = 32
 #: Kinds of documents by commonest term, and by length in half octaves.
 KINDS, LENGTHS = 256, 48
 #: (question, term) pairs that go to every task at once; more questions take their turn in further rounds.
@@ -192,8 +192,8 @@ class Inverted:
 
     def _answered(self, weights: Weights, k: int, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
         pairs = kept(self.bounds(weights, k1, b))
-        first = ranked(pairs, FIRST_BLOCKS, score="bound", tie="block").drop("rank").withColumn("first", F.lit(True))
-        begun = kept(self.scored(first, FIRST_BLOCKS * weights.n, weights, k, k1, b))
+        first = ranked(pairs, k, score="bound", tie="block").drop("rank").withColumn("first", F.lit(True))
+        begun = kept(self.scored(first, k * weights.n, weights, k, k1, b))
         floor = ranked(begun, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
         far = F.col("bound") + MARGIN < F.col("floor")
         judged = pairs.join(first.select("query_id", "block", "first"), ["query_id", "block"], "left").join(floor, "query_id", "left")
