@@ -49,6 +49,10 @@ def is_allowed(manifest: DataFrame) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+#: Fields of a manifest's record that its sections have, too.
+_CARRIED = ("snapshot_id", "source_path", "source_url", "license", "attribution", "language")
+
+
 def parsed(manifest: DataFrame, texts: DataFrame) -> DataFrame:
     """The sections of all allowed records, in the columns of tables.SECTIONS.
 
@@ -56,14 +60,13 @@ def parsed(manifest: DataFrame, texts: DataFrame) -> DataFrame:
     error when read; a document without any text has no sections. Sections are ordered by (source_path, doc_id, section_index) where
     order is asked for; nothing here sorts them.
     """
-    wanted = manifest.where(is_allowed(manifest)).withColumn("_key", F.struct("source_path", "doc_id"))
+    wanted = manifest.where(is_allowed(manifest))
     missing = F.raise_error(F.concat(F.lit("no file for "), F.col("source_path"))).cast("string")
     files = texts.select(F.col("path").alias("_path"), F.coalesce("text", F.lit("")).alias("_text"))
     full = wanted.join(files, F.col("source_path") == F.col("_path"), "left").withColumn("_text", F.coalesce("_text", missing))
-    rows = S.sections(
-        full.withColumn("_row", F.struct(*manifest.columns)), S.document, "_row", "_text", "source_path", F.col("_row.doc_id"), titled=True
-    )
-    of = lambda c: (F.col(f"_row.{c}") if c in manifest.columns else F.lit(None).cast("string")).alias(c)
+    carried = tuple(c for c in _CARRIED if c in manifest.columns)
+    rows = S.sections(full, S.BY_NAME, "doc_id", "_text", "source_path", titled=True, carried=carried)
+    of = lambda c: (F.col(c) if c in manifest.columns else F.lit(None).cast("string")).alias(c)
     language = F.coalesce(of("language"), F.lit("en")).alias("language")
     return rows.select(
         of("snapshot_id"), of("doc_id"), "section_id", F.col("section_index").cast("int").alias("section_index"), "doc_title", "heading",

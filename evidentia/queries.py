@@ -245,16 +245,16 @@ def _html(s, d):
 
 
 def markdown_sections(s, d):
-    return sections.sections(_markdown(s, d), sections.markdown).withColumn("section_path", X.breadcrumb(F.col("section_path")))
+    return sections.sections(_markdown(s, d), sections.MARKDOWN).withColumn("section_path", X.breadcrumb(F.col("section_path")))
 
 
 def html_sections(s, d):
-    return sections.sections(_html(s, d), sections.webpage).withColumn("section_path", X.breadcrumb(F.col("section_path")))
+    return sections.sections(_html(s, d), sections.PAGE).withColumn("section_path", X.breadcrumb(F.col("section_path")))
 
 
 def page_sections(s, d):
     """The sections of the pages as they are; html_sections holds the reader against pages of known sections."""
-    return sections.sections(_t(s, d, "pages"), sections.webpage, "page_id", "html").withColumn(
+    return sections.sections(_t(s, d, "pages"), sections.PAGE, "page_id", "html").withColumn(
         "section_path", X.breadcrumb(F.col("section_path"))
     )
 

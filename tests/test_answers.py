@@ -1,9 +1,16 @@
 """Claims, citation checks, repair, prompts, refusals and sections on literal cases."""
 
+import html
+import random
+from html.entities import html5
+
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia import queries as Q
+from evidentia.functions.entities import unescaped
 from evidentia.operators import answers as A
+from evidentia.operators import pages
 from evidentia.operators import sections as S
 
 SF = "/root/testdata/sf0.001"
@@ -110,7 +117,7 @@ def test_markdown(spark):
         [(1, MARKDOWN), (2, None), (3, "---\ntitle: only\n---\n"), (4, "no heading"), (5, "# Alone\n\n## Below")],
         "doc_id long, text string"
     )
-    rows = S.sections(docs, S.markdown).orderBy("doc_id", "section_index").collect()
+    rows = S.sections(docs, S.MARKDOWN).orderBy("doc_id", "section_index").collect()
     one = [r for r in rows if r.doc_id == 1]
     assert [r.section_path for r in one] == [["Tea, a manual"], ["Tea, a manual", "Water ##"], ["Tea, a manual", "Water ##", "Leaves"]]
     assert [r.text for r in one] == [
@@ -123,15 +130,48 @@ def test_markdown(spark):
     ]
 
 
-def test_html():
+def test_html(spark):
+    def read(page, name=None, kind=S.PAGE):
+        docs = spark.createDataFrame([(1, page, name)], "doc_id int, text string, name string")
+        return S.sections(docs, kind, name_col="name").orderBy("section_index").collect()
+
     page = "<html><head><title>Bread</title><style>b {}</style></head><body><header><p>menu</p></header><p>Flour<b>and</b>water , salt.<h2>Oven</h2><ul><li>Heat <i>it</i>!<li>Wait</ul><h4>Crust</h4><pre>minutes:\n    first : 20\n\n\n\n    then: 15</pre><div>loose</div></body></html>"
-    rows = S.webpage(page)
-    assert [r["section_path"] for r in rows] == [["Bread"], ["Bread", "Oven"], ["Bread", "Oven", "Crust"]]
-    assert [r["text"] for r in rows] == ["Flour and water, salt.", "Heat it!\n\nWait", "minutes:\n first : 20\n\n then: 15"]
-    assert S.webpage(None) == [] and S.webpage("bare &amp; text", "my-file_two.html")[0]["section_path"] == ["My File Two"]
-    assert [(r["section_path"], r["text"]) for r in S.document("<h1>One</h1><h2>Two</h2>", "a/b.HTM")] == [(["One"], "One\n\nTwo")]
-    assert [r["text"] for r in S.webpage("<ul><li>a<ol><li>b<li>c</ol>d<li>e</ul><p>f", "x")] == ["a b c d\n\ne\n\nf"]
-    assert S.document("<h1>One</h1>", "b.md")[0]["text"] == "One"
+    rows = read(page)
+    assert [r.section_path for r in rows] == [["Bread"], ["Bread", "Oven"], ["Bread", "Oven", "Crust"]]
+    assert [r.text for r in rows] == ["Flour and water, salt.", "Heat it!\n\nWait", "minutes:\n first : 20\n\n then: 15"]
+    assert read(None) == [] and read("bare &amp; text", "my-file_two.html")[0].section_path == ["My File Two"]
+    assert [(r.section_path, r.text) for r in read("<h1>One</h1><h2>Two</h2>", "a/b.HTM", S.BY_NAME)] == [(["One"], "One\n\nTwo")]
+    assert [r.text for r in read("<ul><li>a<ol><li>b<li>c</ol>d<li>e</ul><p>f", "x")] == ["a b c d\n\ne\n\nf"]
+    assert read("<h1>One</h1>", "b.md", S.BY_NAME)[0].text == "One"
+
+
+def test_page_blocks_from_sql(spark):
+    pages.register(spark)
+    row = spark.sql("SELECT b.* FROM VALUES ('<title>T</title><h2>A</h2><p>x <b>y</b></p>z') p(html), LATERAL page_blocks(p.html) b").first()
+    assert (row.title, row.loose, [tuple(b) for b in row.blocks]) == ("T", "z", [("h2", 2, "A"), ("p", 0, "x y")])
+    with pytest.raises(Exception, match="takes a string"):
+        spark.sql("SELECT * FROM page_blocks(7)").collect()
+
+
+def test_sections_of_markdown_run_no_python(spark):
+    docs = spark.sql("SELECT * FROM VALUES (1, '# A') d(doc_id, text)")
+    plan = S.sections(docs, S.MARKDOWN)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Exchange"))
+
+
+def test_fences_of_two_kinds_and_many_headings(spark):
+    many = "\n".join(f"{'#' * (1 + k % 6)} h{k}\ntext {k}" for k in range(1500))
+    docs = spark.createDataFrame(
+        [(1, "```\n# a\n~~~\n# b\n```\n# c\n```\n# d"), (2, many), (3, "~~~\n# a\n~~~\n## b\nx")], "doc_id int, text string"
+    )
+    rows = S.sections(docs, S.MARKDOWN).orderBy("doc_id", "section_index").collect()
+    assert [(r.section_path, r.text) for r in rows if r.doc_id == 1] == [(["d"], "a\nb\nc")]
+    path, want = [], []
+    for k in range(1500):
+        path = [*path[: k % 6], f"h{k}"]
+        want.append((["h0", *path] if path[0] != "h0" else path, f"text {k}"))
+    assert [(r.section_path, r.text) for r in rows if r.doc_id == 2] == want
+    assert [(r.section_path, r.text) for r in rows if r.doc_id == 3] == [(["Untitled Document"], "a"), (["Untitled Document", "b"], "x")]
 
 
 PAGES = "/root/testdata/sf0.001"
@@ -146,3 +186,13 @@ def test_page_sections_hold_all_text_of_blocks(spark):
         assert r.text.strip() == r.text and r.end_offset - r.start_offset == len(r.text)
         first = r.text.split()[0]
         assert first in html
+
+
+def test_entities_as_the_standard_library_resolves_them(spark):
+    r = random.Random(1)
+    names = list(html5)
+    texts = ["&amp;amp; &notit; &ampx", "&#0;&#128;&#13;&#xD800;&#x110000;&#99999999999;&#xFDD0;&#x1F600;", "& &; &# &#x; &foo; a&b", "", None]
+    some = lambda: r.choice(["&" + r.choice(names), "&" + r.choice(names)[:4], " x", "&", f"&#{r.randrange(1200000)};", f"&#x{r.randrange(70000):x}"])
+    texts += ["".join(some() for _ in range(20)) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", unescaped(F.col("t")).alias("t")).collect()
+    assert [t for _, t in sorted(rows)] == [t and html.unescape(t) for t in texts]
