@@ -504,7 +504,7 @@ def matrix_rows(s, d):
     v = _t(s, d, "embeddings")
     _, width = tables.write_matrix(v.select(F.col("vec_id").alias("row_index"), F.col("embedding").alias("vector")), path)
     sums = F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double"))
-    return tables.read_matrix(s, path, width).select("row_index", F.round(sums, 4).alias("total"), F.size("vector").alias("width"))
+    return tables.read_matrix(s, path, width, part_bytes=1 << 16).select("row_index", F.round(sums, 4).alias("total"), F.size("vector").alias("width"))
 
 
 def queries() -> dict:

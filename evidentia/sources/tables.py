@@ -5,12 +5,11 @@ from __future__ import annotations
 import datetime
 import json
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
+from evidentia.sources.matrix import read_matrix, write_matrix  # noqa: F401
 from evidentia.sources.storage import file_system, kept, shared_folder  # noqa: F401
 
 MANIFEST = "snapshot_id string, source_path string, source_url string, doc_id string, language string, license string, attribution string, allowed boolean"
@@ -181,62 +180,6 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return texts.select(F.substring_index("path", base, -1).alias("path"), "text")
 
 
-def read_matrix(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """(row_index, vector) of the float32 rows of a file, or of a folder's files in the order of their names.
-
-    A file's size must be a multiple of a row's; a task reads one file, which may have 2 GB. Parquet is the form that splits.
-    """
-    if width <= 0:
-        raise ValueError("width must be positive")
-    files = spark.read.format("binaryFile").load(path)
-    sizes = sorted((r.path, r.length) for r in files.select("path", "length").collect())  # a row per file
-    before, first = 0, {}
-    for name, size in sizes:
-        if size % (4 * width):
-            raise ValueError(f"{size} bytes are no whole rows of {width} float32 values")
-        first[name], before = before, before + size // (4 * width)
-
-    def run(batches):
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = np.frombuffer(raw.as_buffer(), "<f4").reshape(-1, width)
-                for at in range(0, len(rows), 4096):
-                    part = rows[at : at + 4096]
-                    ends = pa.array(np.arange(len(part) + 1) * width, pa.int32())
-                    index = pa.array(np.arange(len(part)) + at + first[name], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [index, pa.ListArray.from_arrays(ends, pa.array(part.reshape(-1)))], names=["row_index", "vector"]
-                    )
-
-    return files.select("path", "content").mapInArrow(run, "row_index long, vector array<float>")
-
-
-def write_matrix(vectors: DataFrame, path: str) -> tuple[int, int]:
-    """The vectors by row_index as one file of float32 rows, for tools that read no Parquet; (rows, width).
-
-    No rows, no components and several widths are errors. Rows pass the driver a partition at a time.
-    """
-    spark = vectors.sparkSession
-    size = F.coalesce(F.size("vector"), F.lit(-1))
-    facts = vectors.agg(F.count("*").alias("n"), F.min(size).alias("lo"), F.max(size).alias("hi")).first()
-    if not facts.n or facts.lo <= 0 or facts.lo != facts.hi:
-        raise ValueError("no vectors" if not facts.n else f"vectors have {facts.lo} to {facts.hi} components")
-    files, at = file_system(spark, path)
-    out = files.create(at, True)
-    try:
-        held = []
-        for row in vectors.orderBy("row_index").select(F.col("vector").cast("array<float>").alias("vector")).toLocalIterator():
-            held.append(row.vector)
-            if len(held) == 4096:
-                out.write(bytearray(np.array(held, "<f4").tobytes()))
-                held = []
-        if held:
-            out.write(bytearray(np.array(held, "<f4").tobytes()))
-    finally:
-        out.close()
-    return facts.n, facts.lo
-
-
 def write_embedding_metadata(spark: SparkSession, about: dict, path: str) -> None:
     """One JSON object that says what vectors are of: the fields of EMBEDDINGS."""
     write_json_object(spark, about, EMBEDDINGS, path)

@@ -156,7 +156,7 @@ def test_page_blocks_from_sql(spark):
 def test_sections_of_markdown_run_no_python(spark):
     docs = spark.sql("SELECT * FROM VALUES (1, '# A') d(doc_id, text)")
     plan = S.sections(docs, S.MARKDOWN)._jdf.queryExecution().executedPlan().toString()
-    assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Exchange"))
+    assert not any(word in plan for word in ("EvalPython", "MapInArrow", "MapInPandas", "Exchange"))
 
 
 def test_fences_of_two_kinds_and_many_headings(spark):

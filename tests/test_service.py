@@ -76,14 +76,14 @@ def test_baseline_writes_results_and_summary(spark, entries, tmp_path):
     assert evaluation.run_id("S", "", " Two Words ", "!!", 1) == "S-two-words-retriever-top1"
 
 
-def test_timed_run_shares_its_time(spark, entries):
-    ticks = iter([0, 9_000_000])
+def test_timed_run_times_each_query(spark, entries):
+    ticks = iter([0, 9_000_000, 9_000_000, 12_000_000, 20_000_000, 35_000_000])
     _, summary = evaluation.timed_run(
         retrieval.fixture("oracle"), entries, evaluation.relevant_ids(entries).select("query_id", F.col("id").alias("chunk_id")), 3,
         "chunk_id", lambda: next(ticks)
     )
     row = summary.first()
-    assert row.average_latency_ms == row.max_latency_ms == 3.0 and row.queries == 3
+    assert (row.average_latency_ms, row.p50_latency_ms, row.max_latency_ms, row.queries) == (9.0, 9.0, 15.0, 3)
 
 
 def test_alternative_summary_counts_answerable_queries(spark, entries):

@@ -1,5 +1,6 @@
 """Sources, sinks, vector tables, checks and the generation loop on literal cases."""
 
+import json
 import struct
 
 import pytest
@@ -45,6 +46,32 @@ def test_matrix(spark, tmp_path):
             tables.read_matrix(spark, str(path), width)
 
 
+def test_a_matrix_file_is_read_in_ranges(spark, tmp_path):
+    path = tmp_path / "v.f32"
+    path.write_bytes(struct.pack("<30000f", *range(30000)))
+    rows = tables.read_matrix(spark, str(path), 3, part_bytes=12 * 1500)
+    assert rows.rdd.getNumPartitions() == 7  # of one file
+    got = rows.orderBy("row_index").collect()
+    assert [r.row_index for r in got] == list(range(10000)) and all(r.vector == [3 * r.row_index + k for k in range(3)] for r in got)
+
+
+def test_a_written_matrix_is_its_listed_parts(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("4999 - id AS row_index", "array(float(4999 - id), 0.5f) AS vector").repartition(6)
+    path = str(tmp_path / "m")
+    assert tables.write_matrix(rows, path) == (5000, 2)
+    parts = json.loads((tmp_path / "m" / "_rows.json").read_text())
+    assert len(parts) > 1 and [p["row"] for p in parts] == [sum(q["rows"] for q in parts[:k]) for k in range(len(parts))]
+    raw = b"".join((tmp_path / "m" / p["name"]).read_bytes() for p in parts)
+    assert raw == struct.pack("<10000f", *(x for i in range(5000) for x in (i, 0.5)))
+    (tmp_path / "m" / "part-left.f32").write_bytes(b"1234")  # of a failed attempt
+    assert tables.read_matrix(spark, path, 2).count() == 5000
+    assert tables.write_matrix(rows.where("row_index < 10"), path) == (10, 2)
+    assert sorted(r.row_index for r in tables.read_matrix(spark, path, 2).collect()) == list(range(10))
+    assert not (tmp_path / "m" / "part-left.f32").exists()
+    with pytest.raises(ValueError, match="no matrix"):
+        tables.read_matrix(spark, str(tmp_path / "none"), 2)
+
+
 def test_thresholds(spark, tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text(
