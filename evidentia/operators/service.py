@@ -7,9 +7,9 @@ from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.operators import generation, retrieval, trust, vectors
+from evidentia.operators import generation, retrieval, runtime, trust, vectors
 from evidentia.sources import tables
-from evidentia.sources.storage import file_system
+from evidentia.sources.storage import file_system, kept
 
 RETRIEVAL, GENERATION, EMBEDDERS, TARGETS = ("fixture", "artifact", "sql"), (
     "fixture", "http", "openai_compatible"
@@ -20,7 +20,7 @@ RETRIEVAL, GENERATION, EMBEDDERS, TARGETS = ("fixture", "artifact", "sql"), (
 class Settings:
     """What a service runs on. Modes that need something name it, and an unsound combination is an error.
 
-    fixture retrieval answers from hits_path (question and hits), artifact from chunks and an index, sql from promoted tables.
+    fixture retrieval answers from hits_path (question and hits), artifact from chunks and an index, sql from the promoted runtime table_prefix.
     """
 
     retrieval: str = "fixture"
@@ -88,7 +88,7 @@ def readiness(spark: SparkSession, s: Settings) -> list[tuple[str, str, bool]]:
     out = [(n, getattr(s, n) or "(unset)", there(getattr(s, n))) for n in paths]
     out += [(n, getattr(s, n) or "(unset)", bool(getattr(s, n))) for n in values]
     if s.retrieval == "sql":
-        out.append((f"{s.table_prefix}_metadata", "table", spark.catalog.tableExists(f"{s.table_prefix}_metadata")))
+        out.append((f"{s.table_prefix}/CURRENT", "runtime", runtime.exists(spark, s.table_prefix)))
     return out
 
 
@@ -115,8 +115,13 @@ def retriever_of(spark: SparkSession, s: Settings, embed: Embed | None = None):
         raise ValueError("a local embedder must be given")
     if s.retrieval == "artifact":
         return vectors.retriever(vectors.read_index(spark, s.index_path), tables.read_chunks(spark, s.chunks_path), embed)
-    _, chunks, embeddings = vectors.promoted(spark, s.runtime_id, s.table_prefix)
-    return vectors.retriever(spark.table(embeddings), spark.table(chunks), embed)
+    return lambda questions, k: _from_runtime(spark, s, embed, questions, k)
+
+
+def _from_runtime(spark: SparkSession, s: Settings, embed: Embed, questions: DataFrame, k: int) -> DataFrame:
+    """The version that is current when questions come, for as long as they are answered."""
+    with runtime.pinned(spark, s.runtime_id, s.table_prefix) as found:
+        return kept(vectors.retriever(found.embeddings, found.chunks, embed)(questions, k))
 
 
 def generator_of(spark: SparkSession, s: Settings) -> generation.Generator:

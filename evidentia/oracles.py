@@ -341,9 +341,10 @@ def oracle_sql() -> dict[str, str]:
             "most FROM embeddings",
         "hit_sources": f"WITH {_cosine_sql(5)} SELECT query_id, vec_id, rank, source, lang FROM hits LEFT JOIN documents ON doc_id = "
             f"vec_id",
-        "promoted_search": "SELECT chunk_id, label, score FROM (SELECT e.vec_id::VARCHAR AS chunk_id, e.label, "
+        "promoted_search": "SELECT query_id, chunk_id, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY "
+            "score DESC, chunk_id)::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS chunk_id, e.label, "
             "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q "
-            "WHERE q.vec_id = 0) ORDER BY score DESC, chunk_id LIMIT 10",
+            "WHERE q.vec_id % 100 = 0)) WHERE rank <= 10",
         "run_summary": _SUMMARY,
         "hybrid_topk": _HYBRID,
         "claims": f"WITH {_ANSWERS}, {_claims_sql('ans', 'a')} SELECT * FROM aclaims",

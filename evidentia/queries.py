@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
 from evidentia.oracles import oracle_sql  # noqa: F401
-from evidentia.operators import answers, checks, corpus, evaluation, generation, inverted, prompts, retrieval, sections, trust, vectors
+from evidentia.operators import answers, checks, corpus, evaluation, generation, inverted, prompts, retrieval, runtime, sections, trust, vectors
 from evidentia.sources import tables
 from evidentia.sources.storage import file_system, fresh_path
 
@@ -386,14 +385,16 @@ def hit_sources(s, d):
 
 
 def promoted_search(s, d):
-    """The chunks nearest to the first vector, by SQL over promoted tables."""
+    """The chunks nearest to the stated vectors, by SQL in a promoted runtime."""
     v = _t(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
-    rows, width = vectors.dimension(v, "vector")
-    about = {"runtime_id": "r1", "snapshot_id": "s1", "embedding_model_name": "given", "vector_dimension": width, "row_count": rows}
-    prefix = f"evidentia_{uuid.uuid4().hex}"  # runs side by side do not meet
-    vectors.promote(v.select("chunk_id", "label"), v, about, prefix)
-    first = v.where("chunk_id = '0'").first().vector
-    return vectors.sql_search(s, first, 10, "r1", prefix).select("chunk_id", "label", F.round("raw_score", 6).alias("score"))
+    root = fresh_path(s, "runtimes")
+    rows = v.count()
+    if not rows:
+        return v.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "label", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    about = {"runtime_id": "r1", "snapshot_id": "s1", "embedding_model_name": "given", "vector_dimension": vectors.dimension(v, "vector")[1], "row_count": rows}
+    runtime.promote(v.select("chunk_id", "label"), v, about, root=root)
+    hits = runtime.sql_search(s, _asked(s, d).select("query_id", "vector"), 10, "r1", root=root)
+    return hits.select("query_id", "chunk_id", "label", F.round("raw_score", 6).alias("score"), "rank")
 
 
 def run_summary(s, d):

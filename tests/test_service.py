@@ -8,7 +8,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import corpus, evaluation, generation, prompts, retrieval, service, trust, vectors
+from evidentia.operators import corpus, evaluation, generation, prompts, retrieval, runtime, service, trust, vectors
 from evidentia.sources import storage, tables
 
 HIT = "query_id string, chunk_id string, score double, rank long"
@@ -391,27 +391,80 @@ def test_tables_of_a_session_go(spark):
     assert not os.path.exists(path)
 
 
-def test_promoted_tables_change_at_once(spark, two_chunks):
+def test_promoted_runtimes(spark, two_chunks, tmp_path):
     about = {"runtime_id": "r1", "snapshot_id": "s", "embedding_model_name": "m", "vector_dimension": 2, "row_count": 2}
     made = two_chunks.select("chunk_id", F.array(F.col("row_index").cast("float"), F.lit(1.0).cast("float")).alias("vector"))
-    vectors.promote(two_chunks, made, about, "promo")
-    first = {t.name for t in spark.catalog.listTables() if t.name.startswith("promo")}
-    vectors.promote(
-        two_chunks.where("row_index = 1"), made.where("chunk_id = 'c1'"), {**about, "row_count": 1, "runtime_id": "r2"}, "promo"
-    )
-    second = {t.name for t in spark.catalog.listTables() if t.name.startswith("promo")}
-    assert len(first) == len(second) == 3 and first & second == {"promo_metadata"}
-    assert [r.chunk_id for r in vectors.sql_search(spark, [1.0, 1.0], 5, "r2", "promo").collect()] == ["c1"]
+    prefix = f"promo{len(str(tmp_path))}_{abs(hash(str(tmp_path)))}"
+    runtime.promote(two_chunks, made, about, prefix)
+    runtime.promote(two_chunks.where("row_index = 1"), made.where("chunk_id = 'c1'"), {**about, "row_count": 1, "runtime_id": "r2"}, prefix)
+    asked = spark.createDataFrame([(7, [1.0, 1.0]), (8, [0.0, 0.0])], "query_id long, vector array<double>")
+    got = {r.query_id: (r.chunk_id, r.raw_score) for r in runtime.sql_search(spark, asked, 5, "r2", prefix).collect()}
+    assert got == {7: ("c1", pytest.approx(1.0)), 8: ("c1", None)}
     with pytest.raises(ValueError, match="no metadata of runtime 'r1'"):
-        vectors.sql_search(spark, [1.0, 1.0], 5, "r1", "promo")
-    s = service.Settings(retrieval="sql", runtime_id="r2", table_prefix="promo", generation="http", base_url="http://x")
+        runtime.sql_search(spark, asked, 5, "r1", prefix)
+    with pytest.raises(ValueError, match="another length"):
+        runtime.sql_search(spark, spark.createDataFrame([(1, [1.0])], "query_id long, vector array<double>"), 5, "r2", prefix)
+    with pytest.raises(ValueError, match="metadata say 3 rows"):
+        runtime.promote(two_chunks, made, {**about, "row_count": 3}, prefix)
+    s = service.Settings(retrieval="sql", runtime_id="r2", table_prefix=prefix, generation="http", base_url="http://x")
     service.require_ready(spark, s)
     embed = lambda q: q.select("query_id", F.array(F.lit(1.0), F.lit(1.0)).alias("vector"))
     assert service.retriever_of(spark, s, embed)(
         spark.createDataFrame([("q", "x")], "query_id string, question string"), 3
     ).first().score == 1.0
-    for t in second:
-        spark.sql(f"DROP TABLE {t}")
+
+
+def test_reading_while_ten_versions_are_promoted(spark):
+    root = storage.fresh_path(spark, "runtimes")
+
+    def version(n):
+        chunks = spark.range(20).selectExpr("concat('c', id) AS chunk_id", f"{n} AS version")
+        vectors_ = spark.range(20).selectExpr("concat('c', id) AS chunk_id", f"array(float({n}), 1f) AS vector")
+        runtime.promote(chunks, vectors_, {"runtime_id": "r", "vector_dimension": 2, "row_count": 20}, root=root)
+
+    version(0)
+    seen, wrong, over = [], [], threading.Event()
+
+    def read():
+        while not over.is_set():
+            try:
+                with runtime.pinned(spark, "r", root=root) as found:
+                    a = {r.version for r in found.chunks.collect()}
+                    b = {int(r.vector[0]) for r in found.embeddings.collect()}
+                    seen.append((found.meta["version"], a, b))
+            except Exception as e:  # noqa: BLE001
+                wrong.append(e)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for n in range(1, 11):
+        version(n)
+    over.set()
+    reader.join()
+    assert not wrong and len(seen) > 3
+    assert all(len(a) == 1 and a == b for _, a, b in seen) and [x[0] for x in seen] == sorted(x[0] for x in seen)
+    files, at = storage.file_system(spark, f"{root}/runtime/versions")
+    runtime.retire(spark, root=root)
+    assert len(files.listStatus(at)) == 2  # the current one and the one before
+    with runtime.pinned(spark, "r", root=root) as found:
+        for n in (11, 12, 13):
+            version(n)
+        assert found.chunks.count() == 20 and len(files.listStatus(at)) == 3  # the pinned one stays
+    runtime.retire(spark, root=root)
+    assert len(files.listStatus(at)) == 2
+
+
+def test_nothing_is_left_of_a_promoted_search_after_clear(spark, tmp_path):
+    before = {t.name for t in spark.catalog.listTables()}
+    from evidentia import queries as Q
+
+    assert Q.promoted_search(spark, "/root/testdata/sf0.001").count() > 0
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(0).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert Q.promoted_search(spark, str(tmp_path)).collect() == []
+    assert {t.name for t in spark.catalog.listTables()} == before
+    storage.clear(spark)
+    files, at = storage.file_system(spark, storage.session_folder(spark))
+    assert not files.exists(at)
 
 
 def test_reports_and_known_questions(spark, tmp_path):
