@@ -163,11 +163,11 @@ def repaired(checked: DataFrame, id_col: str) -> DataFrame:
 
 
 def prompt_context(hits: DataFrame, id_col: str, chunk_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(id, n_blocks, context): the hits' texts as numbered blocks in rank order."""
+    """(id, n_blocks, context): the hits' texts as numbered blocks in rank order; the mark of a block's end is escaped in texts."""
     block = F.struct("rank", F.col(chunk_col).cast("string").alias("c"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = hits.groupBy(id_col).agg(F.array_sort(F.collect_list(block)).alias("b"))
     line = lambda x, i: F.concat(
-        F.lit("["), (i + 1).cast("string"), F.lit("] chunk="), x.c, F.lit("\n<<<\n"), x.t, F.lit("\n>>>")
+        F.lit("["), (i + 1).cast("string"), F.lit("] chunk="), x.c, F.lit("\n<<<\n"), F.replace(x.t, F.lit(">>>"), F.lit(r"\>\>\>")), F.lit("\n>>>")
     )
     return rows.select(id_col, F.size("b").cast("long").alias("n_blocks"), F.array_join(F.transform("b", line), "\n\n").alias("context"))
 

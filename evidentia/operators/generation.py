@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import answers, checks, prompts, trust
 from evidentia.operators.retrieval import question_key
+from evidentia.sources.storage import file_system
 from evidentia.sources.tables import kept
 
 RESPONSE = f"query_id string, final_answer string, citations {answers.CITATIONS}, is_refusal boolean, reason_code string, message string, failure_code string"
@@ -60,10 +61,13 @@ def worker_generator(connect: Callable[[], Callable[[dict], dict]]) -> Generator
             out = []
             for request in batch.to_pylist():
                 try:
-                    got = client(request)
+                    row = {**client(request), "query_id": request["query_id"]}
+                    pa.RecordBatch.from_pylist([row], schema=_RESPONSE)
+                except pa.ArrowException:  # a field of another type
+                    row = {"query_id": request["query_id"], "failure_code": PARSE_ERROR}
                 except Exception as error:  # a failed request is a row, the job goes on
-                    got = {"failure_code": code(error)}
-                out.append({**got, "query_id": request["query_id"]})
+                    row = {"query_id": request["query_id"], "failure_code": code(error)}
+                out.append(row)
             yield pa.RecordBatch.from_pylist(out, schema=_RESPONSE)
 
     return lambda requests: requests.mapInArrow(run, RESPONSE)
@@ -172,7 +176,9 @@ def canned_generator(known: DataFrame) -> Generator:
     known: question and the fields of RESPONSE but query_id.
     """
     fields = [f for f in ("final_answer", "citations", "is_refusal", "reason_code", "message", "failure_code") if f in known.columns]
-    by_key = known.select(question_key(F.col("question")).alias("_key"), F.lit(True).alias("_known"), *fields).dropDuplicates(["_key"])
+    keyed = known.select(question_key(F.col("question")).alias("_key"), F.struct(*fields).alias("_row"))
+    # Of several rows of one question the first by its fields.
+    by_key = keyed.groupBy("_key").agg(F.min("_row").alias("_row")).select("_key", F.lit(True).alias("_known"), "_row.*")
 
     def run(requests: DataFrame) -> DataFrame:
         got = requests.select("query_id", question_key(F.col("question")).alias("_key")).join(by_key, "_key", "left")
@@ -186,20 +192,45 @@ def canned_generator(known: DataFrame) -> Generator:
     return run
 
 
+def sent_once(generate: Generator, ledger: str) -> Generator:
+    """generate with a table at `ledger` of what was answered, under a hash of the request (its id, prompts and attempt).
+
+    Responses are in the table before they go on, and a request that has one is not sent again: a driver that starts
+    over with the same ledger repeats only the requests of the batch that it was broken off in.
+    """
+
+    def run(requests: DataFrame) -> DataFrame:
+        spark = requests.sparkSession
+        parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("query_id", "system_prompt", "user_prompt", "attempt")]
+        key = F.sha2(F.concat_ws("\x1f", *[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]), 256)
+        keyed = kept(requests.withColumn("request_key", key))
+        files, at = file_system(spark, f"{ledger.rstrip('/')}/_SUCCESS")
+        new = keyed.join(spark.read.parquet(ledger).select("request_key"), "request_key", "left_anti") if files.exists(at) else keyed
+        if not new.isEmpty():
+            got = generate(new.drop("request_key")).join(new.select("query_id", "request_key"), "query_id")
+            got.write.mode("append").parquet(ledger)
+        answered_ = spark.read.parquet(ledger).join(keyed.select("request_key"), "request_key", "left_semi")
+        return answered_.select(*[f.name for f in _RESPONSE])
+
+    return run
+
+
 def answered(
     questions: DataFrame, hits: DataFrame, generate: Generator, thresholds: trust.Thresholds = trust.Thresholds(), attempts: int = 2,
-    messages: dict[str, str] | None = None, system_prompt: str | None = None
+    messages: dict[str, str] | None = None, system_prompt: str | None = None, ledger: str | None = None
 ) -> DataFrame:
     """(query_id, status, final_answer, citations, reason_code, failure_code, attempts), a row per question.
 
-    questions: query_id, question; hits: query_id, chunk_id, text, start_offset, end_offset, rank and
-    unit score. The gate refuses first; admitted questions are generated, their citations
+    questions: query_id, question; hits: query_id, chunk_id, text, start_offset, end_offset, rank, unit score and what else
+    prompts.user_prompts shows. ledger names a table in which requests are kept, see sent_once(). The gate refuses first; admitted questions are generated, their citations
     checked and missing ones repaired. A reply that breaks the contract counts as one that could not be parsed. An answer that fails, or that
     could not be parsed, is asked for again up to attempts times and then refused. Any other failure ends as status error. status is answer, refusal or error.
     """
     if attempts <= 0:
         raise ValueError("attempts must be positive")
     texts = messages or answers.MESSAGES
+    if ledger:
+        generate = sent_once(generate, ledger)
     asked = questions.select(F.col("query_id").cast("string").alias("query_id"), "question")
     hits = kept(hits.withColumn("query_id", F.col("query_id").cast("string")))
     gated = asked.join(trust.gate(hits, thresholds).select("query_id", "decision"), "query_id", "left").withColumn(
@@ -218,11 +249,12 @@ def answered(
         )
 
     done = refused(gated.where(~admitted), F.col("decision"), 0)
-    context = answers.prompt_context(hits, "query_id").select("query_id", F.col("context").alias("evidence"))
-    prompt = F.concat(F.lit("Question: "), F.coalesce("question", F.lit("")), F.lit("\n\n"), F.col("evidence"))
+    shown = hits if "doc_id" in hits.columns else hits.withColumn("doc_id", F.lit(None).cast("string"))
+    admitted_rows = gated.where(admitted).select("query_id", "question")
+    prompted = prompts.user_prompts(admitted_rows, shown)
     left = kept(
-        gated.where(admitted).join(context, "query_id").select(
-            "query_id", "question", F.lit(system_prompt or prompts.system_prompt()).alias("system_prompt"), prompt.alias("user_prompt")
+        admitted_rows.join(prompted, "query_id").select(
+            "query_id", "question", F.lit(system_prompt or prompts.system_prompt()).alias("system_prompt"), "user_prompt"
         )
     )
     spans = hits.select("query_id", "chunk_id", "text", "start_offset", "end_offset")

@@ -78,6 +78,8 @@ def system_prompt(preamble: str = PREAMBLE, policy: tuple[str, ...] = POLICY, ve
 def user_prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, user_prompt): the question and its evidence blocks in rank order, each between marks.
 
+    A text's own marks are escaped and fields keep to their line, so no evidence can end its block or begin another.
+
     hits: query_id, rank, doc_id, chunk_id, text and, if there are, section_path, source_path, source_url. A blank question is an error when read.
     """
     have = lambda c, kind="string": (F.col(c) if c in hits.columns else F.lit(None)).cast(kind).alias(c)
@@ -88,7 +90,7 @@ def user_prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
     listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
 
     def line(name: str, value: Column) -> Column:
-        return F.when(~X.blank(value), F.concat(F.lit(f"{name}: "), X.stripped(value)))
+        return F.when(~X.blank(value), F.concat(F.lit(f"{name}: "), F.regexp_replace(X.stripped(value), r"[\r\n]+", " ")))
 
     def shown(b, i):
         path = F.array_join(
@@ -97,7 +99,7 @@ def user_prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
         head = F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]"))
         return F.concat_ws(
             "\n", head, line("doc_id", b.doc_id), line("chunk_id", b.chunk_id), line("section_path", path),
-            line("source_path", b.source_path), line("source_url", b.source_url), F.lit('text:\n"""'), b.text, F.lit('"""')
+            line("source_path", b.source_path), line("source_url", b.source_url), F.lit('text:\n"""'), F.replace(b.text, F.lit('"""'), F.lit(r'\"\"\"')), F.lit('"""')
         )
 
     blank = F.raise_error(F.lit("a question is blank")).cast("string")

@@ -42,7 +42,7 @@ def embedded(
 
 def looked_up(rows: DataFrame, known: DataFrame, text_col: str = "text", out: str = "embedding") -> DataFrame:
     """rows with the vector that known (text, vector) has for their text; a text without one is an error when read."""
-    by_text = known.select(F.col("text").alias("_text"), F.col("vector").alias(out)).dropDuplicates(["_text"])
+    by_text = known.groupBy(F.col("text").alias("_text")).agg(F.min("vector").alias(out))  # of several vectors of a text the least
     full = rows.join(by_text, F.col(text_col) == F.col("_text"), "left").drop("_text")
     return full.withColumn(
         out,

@@ -411,7 +411,7 @@ def _citing_client():
 
     def ask(request: dict) -> dict:
         number, (chunk, text) = int(request["query_id"]) // 100, re.search(
-            r"\[1\] chunk=(.*)\n<<<\n([^.\n]*)", request["user_prompt"]
+            r'\[1\]\nchunk_id: (.*)\ntext:\n"""\n([^.\n]*)', request["user_prompt"]
         ).groups()
         if number % 3 == 1 and request["attempt"] == 1:
             raise ValueError("no JSON")
