@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from evidentia.functions import text as X
 from evidentia.operators import sections as S
 from evidentia.sources import tables
+from evidentia.sources.files import with_files
 from evidentia.sources.tables import kept
 
 #: Our own default; callers name their site.
@@ -61,9 +62,19 @@ def parsed(manifest: DataFrame, texts: DataFrame) -> DataFrame:
     order is asked for; nothing here sorts them.
     """
     wanted = manifest.where(is_allowed(manifest))
-    missing = F.raise_error(F.concat(F.lit("no file for "), F.col("source_path"))).cast("string")
     files = texts.select(F.col("path").alias("_path"), F.coalesce("text", F.lit("")).alias("_text"))
-    full = wanted.join(files, F.col("source_path") == F.col("_path"), "left").withColumn("_text", F.coalesce("_text", missing))
+    return _sectioned(wanted.join(files, F.col("source_path") == F.col("_path"), "left"), manifest)
+
+
+def parsed_files(manifest: DataFrame, root: str) -> DataFrame:
+    """parsed() of the files below root: only those of allowed records are opened, each in the task that has its record, and no text
+    is shuffled."""
+    return _sectioned(with_files(manifest.where(is_allowed(manifest)), root, "source_path", "_text"), manifest)
+
+
+def _sectioned(full: DataFrame, manifest: DataFrame) -> DataFrame:
+    missing = F.raise_error(F.concat(F.lit("no file for "), F.col("source_path"))).cast("string")
+    full = full.withColumn("_text", F.coalesce("_text", missing))
     carried = tuple(c for c in _CARRIED if c in manifest.columns)
     rows = S.sections(full, S.BY_NAME, "doc_id", "_text", "source_path", titled=True, carried=carried)
     of = lambda c: (F.col(c) if c in manifest.columns else F.lit(None).cast("string")).alias(c)

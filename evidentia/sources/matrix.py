@@ -25,7 +25,7 @@ NAME, LIST = "float_matrix", "_rows.json"
 PART_BYTES, BATCH_ROWS = 64 << 20, 4096
 
 
-def _system(path: str) -> tuple[fs.FileSystem, str]:
+def file_system_of(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -70,7 +70,7 @@ class Reader(DataSourceReader):
         if self.width <= 0:
             raise ValueError("width must be positive")
         out, before = [], 0
-        for name, size in _parts(*_system(self.path)):
+        for name, size in _parts(*file_system_of(self.path)):
             if size % (4 * self.width):
                 raise ValueError(f"{size} bytes are no whole rows of {self.width} float32 values")
             n = size // (4 * self.width)
@@ -79,7 +79,7 @@ class Reader(DataSourceReader):
         return out
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
-        system, _ = _system(self.path)
+        system, _ = file_system_of(self.path)
         with system.open_input_file(partition.path) as f:
             f.seek(partition.start)
             for at in range(0, partition.n, BATCH_ROWS):
@@ -104,7 +104,7 @@ class Writer(DataSourceArrowWriter):
         self.path, self.width = options["path"], int(options["width"])
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
-        system, at = _system(self.path)
+        system, at = file_system_of(self.path)
         system.create_dir(at, recursive=True)
         part, out = Part(f"part-{uuid.uuid4().hex}.f32", -1, 0), None
         try:
@@ -124,7 +124,7 @@ class Writer(DataSourceArrowWriter):
         return part
 
     def commit(self, messages: list[Part | None]) -> None:
-        system, at = _system(self.path)
+        system, at = file_system_of(self.path)
         parts, rows = sorted((m for m in messages if m and m.n), key=lambda m: m.first), []
         for m in parts:
             rows.append({"name": m.name, "row": sum(r["rows"] for r in rows), "rows": m.n})

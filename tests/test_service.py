@@ -571,3 +571,17 @@ def test_evidence_cannot_end_its_block(spark):
     )
     text = prompts.user_prompts(spark.createDataFrame([("q", "x?")], "query_id string, question string"), hits).first().user_prompt
     assert text.count('"""') == 2 and "doc_id: d [9]" in text
+
+
+def test_only_files_of_allowed_records_are_opened(spark, tmp_path):
+    for name in ("a.md", "b.html", "c.md"):
+        (tmp_path / name).write_text("# Top\nwords" if name.endswith("md") else "<h1>Page</h1><p>more</p>")
+    os.mkfifo(tmp_path / "never.md")  # whoever opened this would wait for ever
+    rows = [("s", n, "u", n.split(".")[0], "en", "l", "a", ok) for n, ok in (("a.md", True), ("b.html", True), ("never.md", False), ("c.md", None))]
+    manifest = spark.createDataFrame(rows, tables.MANIFEST)
+    got = corpus.parsed_files(manifest, str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [("a", "words"), ("b", "more")]
+    texts = spark.createDataFrame([("a.md", "# Top\nwords"), ("b.html", "<h1>Page</h1><p>more</p>")], "path string, text string")
+    assert sorted(map(str, corpus.parsed(manifest, texts).collect())) == sorted(map(str, got.collect()))
+    with pytest.raises(Exception, match="no file for d.md"):
+        corpus.parsed_files(spark.createDataFrame([("s", "d.md", "u", "d", "en", "l", "a", True)], tables.MANIFEST), str(tmp_path)).collect()
