@@ -35,9 +35,9 @@ from evidentia.llm.bpe import TokenBytes
 from evidentia.llm.storage import drop, prepare, trimmed, written
 from evidentia.llm.tokenstore import LibraryEncoder
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Different runs of blanks with what follows whose ids a worker remembers; beyond this it starts over, ids stay the same.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 OWN = ["n_a", "n_b", "n_groups", "n_links"]
 _BLOCKS = "block long, docs binary, pairs array<struct<pair:long,n:long>>"
 _MARK = "▁"
@@ -62,7 +62,7 @@ class PieceEncoder:
         self.blank = sp.piece_to_id(_MARK)
         plain = "".join(self.bytes[i].decode() for i in sp.encode("  a  b ")) == "   a  b "  # nothing is normalised away
         self.by_run = plain and not any(_MARK in p.lstrip(_MARK) for p in pieces)
-        self.known: dict[int, np.ndarray] = {}
+        self.known: dict[int, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
@@ -88,10 +88,10 @@ class PieceEncoder:
         raw = buf.tobytes()
         runs = [raw[start[at[k]] + 1 : end[at[k]]].decode() for k in new]
         for k, run, ids in zip(new, runs, self.whole(runs)):
-            self.known[keys[k]] = np.array(ids if run else [self.blank], np.int32)
+            self.known[keys[k]] = np.array(ids if run else [self.blank], np.int32).tobytes()
         ids = [self.known[key] for key in keys]
-        size = np.array([len(x) for x in ids], np.int64)
-        flat, first = np.concatenate([np.zeros(0, np.int32), *ids]), np.cumsum(size) - size
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        flat, first = np.frombuffer(b"".join(ids), np.int32), np.cumsum(size) - size
         each = size[inverse]
         text = np.searchsorted(bounds, start, side="right") - 1
         return np.bincount(text, weights=each, minlength=len(bounds) - 1).astype(np.int64), flat[K.ragged(first[inverse], each)]
