@@ -145,8 +145,8 @@ def test_decontamination(spark, docs, rows):
     for i, t in items:
         w = words(t)
         d = min(10, len(w))
-        for a in range(len(w) - d + 1) if d and i is not None else ():
-            windows.setdefault(tuple(w[a : a + d]), set()).add(str(i))
+        for a in range(len(w) - d + 1) if d else ():  # words of items without id are hit, too
+            windows.setdefault(tuple(w[a : a + d]), set()).update([] if i is None else [str(i)])
     want = {}
     for i, t in rows:
         w, hit, own = words(t), set(), set()
