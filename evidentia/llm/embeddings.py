@@ -9,10 +9,12 @@ grows with the square of n. Asymmetric distances from lookup tables discard memb
 be within reach given their own quantisation error (which is kept, so nothing within reach is
 discarded), and the exact cosine in double precision decides the rest.
 
-Lists are put on shelves of about CHUNK members, and a vector goes once to each shelf with a
-list it asks. Larger lists, and those who ask a shelf, are split into chunks of about CHUNK, and a
+Lists are put on shelves of about a chunk of members, and a vector goes once to each shelf, of its own and
+those after it, with a list it asks. Larger lists, and those who ask a shelf, are split into chunks, and a
 task holds one chunk against one other; it returns counts of links and the edges of a
-spanning forest, never the pairs. Each pair counts once, from its smaller id.
+spanning forest, never the pairs. Each pair counts once: within a shelf from its smaller id, between shelves from
+the one before. Chunks grow with the vectors (see chunk_rows), so a vector is sent to at most about SPLIT tasks a side until they
+reach LARGEST.
 
 Defined results: vectors that are null, zero, hold nulls or non-finite values link with
 nothing. Vectors of different lengths do not link; each length has an index of its own. Rows with one id are one vector,
@@ -34,7 +36,10 @@ from evidentia.llm.storage import prepare, written
 SAMPLE = 20_000
 SUBSPACES = 8
 CODES = 64
-CHUNK = 4096
+#: Rows of a chunk: the fewest, the most, and how many chunks there are in between.
+CHUNK, LARGEST, SPLIT = 4096, 65_536, 24
+#: Members and askers compared at once, whose products stay in a core's cache.
+MEMBERS, ASKERS = 512, 256
 #: Rounding that distances may carry: of double precision at a border, of single precision in the tables.
 _BORDER, _TABLES = 1e-9, 1e-4
 _EDGE = "kind int, a long, b long"
@@ -103,11 +108,18 @@ class Index:
         The squared distance of a query q to a member's point c + b is |q|^2 + |c + b|^2 - 2 q.c - 2 q.b, and
         q.c and q.b are looked up.
         """
-        product = (self.centers[lists] @ query.T).astype(np.float32)[own]
-        for s, table in enumerate(self.tables(query)):
-            product += table[codes[:, s]]
         least = ((point**2).sum(1) - (self.reach + left + _BORDER) ** 2 - _TABLES) / 2
-        return product >= (least[:, None] + (query**2).sum(1) / 2).astype(np.float32)
+        return self.reached(self.centers[lists] @ query.T, self.tables(query), (query**2).sum(1) / 2, own, codes, least)
+
+    def reached(
+        self, coarse: np.ndarray, tables: list[np.ndarray], half: np.ndarray, own: np.ndarray, codes: np.ndarray, least: np.ndarray
+    ) -> np.ndarray:
+        """within(), by what queries and members bring: products with centroids, tables, half the squares; lists, codes, least products."""
+        product = coarse.astype(np.float32)[own]
+        part = np.empty_like(product)
+        for s, table in enumerate(tables):
+            product += np.take(table, codes[:, s], axis=0, out=part, mode="clip")
+        return product >= (least[:, None] + half).astype(np.float32)
 
 
 def _vectors(column) -> np.ndarray:
@@ -141,11 +153,16 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[label[moved]]
 
 
-def shelves(members: np.ndarray) -> np.ndarray:
-    """The shelf of every list, by its number of members: consecutive lists of CHUNK at most, or one larger list."""
+def chunk_rows(n: int) -> int:
+    """Rows of a chunk of n vectors."""
+    return max(CHUNK, min(LARGEST, -(-n // SPLIT)))
+
+
+def shelves(members: np.ndarray, chunk: int) -> np.ndarray:
+    """The shelf of every list, by its number of members: consecutive lists of a chunk at most, or one larger list."""
     out, shelf, held = np.zeros(len(members), np.int64), 0, 0
     for i, n in enumerate(members.tolist()):
-        if held and held + n > CHUNK:
+        if held and held + n > chunk:
             shelf, held = shelf + 1, 0
         out[i], held = shelf, held + n
     return out
@@ -159,11 +176,12 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str =
     """
     spark = df.sparkSession
     prepare(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    kind = "array<float>" if dict(df.dtypes)[vec_col] == "array<float>" else "array<double>"  # half as much to send
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v"))
     sound = F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists(
         "v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))
     ) & F.exists("v", lambda e: e != 0)
-    good = rows.where(sound).groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    good = rows.where(sound).groupBy("id").agg(F.min_by("v", F.xxhash64(F.col("v").cast("array<double>"))).alias("v"))
     good = written(good, "vectors")
     sizes = good.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect()  # a row per length
     ids = rows.select("id")
@@ -198,11 +216,12 @@ def _found(good: DataFrame, n: int, threshold: float) -> DataFrame:
                 lists = index.value.own(unit(_vectors(batch.column(1))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.int32())], names=["id", "v", "list"])
 
-    placed = written(good.select("id", "v").mapInArrow(assign, "id long, v array<double>, list int"), "lists")
+    kind, chunk = dict(good.dtypes)["v"], chunk_rows(n)
+    placed = written(good.select("id", "v").mapInArrow(assign, f"id long, v {kind}, list int"), "lists")
     held = np.zeros(len(index.value.centers), np.int64)
     for r in placed.groupBy("list").count().collect():  # a row per centroid, 4096 at most
         held[r["list"]] = r["count"]
-    shelf = spark.sparkContext.broadcast((held, shelves(held)))
+    shelf = spark.sparkContext.broadcast((held, shelves(held, chunk)))
 
     def ask(batches):
         held, of = shelf.value
@@ -210,13 +229,16 @@ def _found(good: DataFrame, n: int, threshold: float) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 asked = np.logical_or.reduceat(index.value.asks(unit(_vectors(batch.column(1)))) & (held > 0), first, axis=1)
+                own = of[batch.column(2).to_numpy()]
+                asked &= np.arange(len(first)) >= own[:, None]  # those before ask this one's shelf
                 ends = np.concatenate([[0], np.cumsum(asked.sum(axis=1))])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(asked)[1], pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "v", "shelves"])
+                columns = [*batch.columns[:2], pa.array(own, pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "own", "shelves"])
 
-    asking = written(placed.select("id", "v").mapInArrow(ask, "id long, v array<double>, shelves array<int>"), "shelves")
+    asking = written(placed.select("id", "v", "list").mapInArrow(ask, f"id long, v {kind}, own int, shelves array<int>"), "shelves")
     members = np.bincount(shelf.value[1], held).astype(np.int64)
-    chunks = lambda n: max(1, -(-int(n) // CHUNK))
+    chunks = lambda n: max(1, -(-int(n) // chunk))
     load = [
         (r["shelf"], chunks(members[r["shelf"]]), chunks(r["count"])) for r in asking.select(
             F.explode("shelves").alias("shelf")
@@ -228,9 +250,9 @@ def _found(good: DataFrame, n: int, threshold: float) -> DataFrame:
     members = placed.join(lists, "list").join(load, "shelf").select(
         "shelf", part("members", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("q"), "id", "v", "list"
     )
-    askers = asking.select("id", "v", F.explode("shelves").alias("shelf")).join(load, "shelf").select(
+    askers = asking.select("id", "v", "own", F.explode("shelves").alias("shelf")).join(load, "shelf").select(
         "shelf", F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("m"), part("askers", "q").alias("q"),
-        F.col("id").alias("asker"), F.col("v").alias("w")
+        F.col("id").alias("asker"), F.col("v").alias("w"), (F.col("own") == F.col("shelf")).alias("same")
     )
 
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -238,30 +260,43 @@ def _found(good: DataFrame, n: int, threshold: float) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return empty
         it = index.value
-        left, right = left.sort_by("id"), right.sort_by("asker")
+        left, right = left.sort_by("id"), right.sort_by([("same", "ascending"), ("asker", "ascending")])
         member, asker = (unit(_vectors(c.combine_chunks())) for c in (left["v"], right["w"]))
-        mid, qid = left["id"].to_numpy(), right["asker"].to_numpy()
+        mid, qid, same = left["id"].to_numpy(), right["asker"].to_numpy(), right["same"].to_numpy()
         lists, own = np.unique(left["list"].to_numpy(), return_inverse=True)
         codes, lost = it.codes(member, it.centers[lists[own]])
-        point = it.rebuilt(codes, it.centers[lists[own]])
+        least = ((it.rebuilt(codes, it.centers[lists[own]]) ** 2).sum(1) - (it.reach + lost + _BORDER) ** 2 - _TABLES) / 2
         counts, pairs = [], []
-        for at in range(0, len(asker), 512):
-            q, i = asker[at : at + 512], qid[at : at + 512]
-            lo = int(np.searchsorted(mid, i[0], side="right"))  # those of a larger id than one of these
-            m = member[lo:]
-            near = it.within(q, lists, own[lo:], point[lo:], codes[lo:], lost[lo:]) & (i[None] < mid[lo:, None])
-            y, x = np.nonzero(near)
-            if len(x) * 32 > near.size:
-                y, x = np.nonzero(near & (m @ q.T >= threshold))
-            else:
-                ok = np.einsum("ij,ij->i", q[x], m[y]) >= threshold
-                x, y = x[ok], y[ok]
-            if len(x):
-                counts += [i[x], mid[lo + y]]
-                pairs.append(np.stack(_forest(i[x], mid[lo + y])))
+        turn = int(np.searchsorted(same, True))  # askers of this shelf come last
+        for at in (*range(0, turn, ASKERS), *range(turn, len(asker), ASKERS)):
+            end = min(at + ASKERS, turn if at < turn else len(asker))
+            q, i = asker[at:end], qid[at:end]
+            coarse, tables, half = it.centers[lists] @ q.T, it.tables(q), (q**2).sum(1) / 2
+            begin = 0 if at < turn else int(np.searchsorted(mid, i[0], side="right"))  # those of a larger id than one of these
+            found = []
+            for lo in range(begin, len(mid), MEMBERS):
+                part = slice(lo, lo + MEMBERS)
+                near = it.reached(coarse, tables, half, own[part], codes[part], least[part])
+                if at >= turn:
+                    near &= i[None] < mid[part, None]
+                y, x = np.divmod(np.flatnonzero(near), len(q))
+                if len(x) * 32 > near.size:
+                    y, x = np.nonzero(near & (member[part] @ q.T >= threshold))
+                elif len(x):
+                    ok = np.einsum("ij,ij->i", q[x], member[lo + y]) >= threshold
+                    x, y = x[ok], y[ok]
+                if len(x):
+                    found.append((i[x], mid[lo + y]))
+            if found:
+                x, y = (np.concatenate(c) for c in zip(*found))
+                counts += [np.stack(np.unique(np.concatenate([x, y]), return_counts=True))]
+                pairs.append(np.stack(_forest(x, y)))
         if not counts:
             return empty
-        ids, links = np.unique(np.concatenate(counts), return_counts=True)
+        told, n_links = np.concatenate(counts, axis=1)
+        ids, back = np.unique(told, return_inverse=True)
+        links = np.zeros(len(ids), np.int64)
+        np.add.at(links, back, n_links)
         a, b = np.concatenate(pairs, axis=1)
         a, b = _forest(a, b)
         return pa.table(

@@ -283,6 +283,30 @@ def test_vectors_finds_links_across_many_lists(spark):
     assert {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(links.sum(1).tolist()))
 
 
+def test_vectors_are_sent_to_tasks_that_do_not_grow_with_them():
+    for n in (100_000, 200_000, 800_000, 1_500_000):  # rows sent of a vector that asks all lists, on both sides
+        assert -(-n // embeddings.chunk_rows(n)) <= embeddings.SPLIT
+    assert embeddings.chunk_rows(100) == embeddings.CHUNK and embeddings.chunk_rows(10**8) == embeddings.LARGEST
+
+
+@pytest.mark.parametrize("chunk", [40, 700])
+def test_vectors_link_across_shelves_and_chunks_once(spark, monkeypatch, chunk):
+    monkeypatch.setattr(embeddings, "CHUNK", chunk)
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.standard_normal((60, 8)), 10, axis=0) + 0.2 * rng.standard_normal((600, 8))
+    x = x[rng.permutation(600)].astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    links = u @ u.T >= 0.9
+    np.fill_diagonal(links, False)
+    low = np.arange(600)
+    while (low != (new := np.where(links, low, 600).min(axis=1).clip(max=low))).any():
+        low = new
+    got = embeddings.near_duplicate_vectors(
+        spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    ).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(links[i].sum()), int(low[i])) for i in range(600)}
+
+
 def test_vectors_of_every_length_link(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [3.0, 0.1, 0.0]), (6, [1.0])]
     got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
