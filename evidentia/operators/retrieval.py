@@ -13,7 +13,9 @@ from evidentia.functions import text as X
 
 K1, B, RRF_K, DEPTH = 1.5, 0.75, 60, 20
 #: Rows of a block of vectors or of queries, and queries compared at once within.
-BLOCK, AT_ONCE = 8192, 256
+BLOCK, AT_ONCE = 8192, 64
+#: Stands for a cosine that is not defined; lower than any.
+_NONE = -2.0
 
 
 def ranked(hits: DataFrame, k: int, query: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -27,12 +29,20 @@ def ranked(hits: DataFrame, k: int, query: str = "query_id", score: str = "score
 def cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score, rank): exact cosine of queries (query_id, vector) against all vectors, to 6 places.
 
-    Both sides are dealt to blocks of about BLOCK rows; a task holds one block against one other and
-    returns the best k of each query. Zero vectors, and pairs of different lengths or with nulls, score 0.
+    Zero vectors, and pairs of different lengths or with nulls, score 0.
+    """
+    return ranked(nearest(vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("vector")), queries, k), k, tie="vec_id")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", raw: bool = False) -> DataFrame:
+    """(query_id, id, score): each query's k best by cosine to 6 places, then id, of every block of vectors (id, vector).
+
+    Both sides are dealt to blocks of about BLOCK rows; a task holds one block against one other. raw scores are not
+    rounded, and null, which comes last, where a cosine is not defined; others are 0 there.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    left = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    left = vectors.select(F.col(id_col).alias("vec_id"), F.col("vector").cast("array<double>").alias("v"))
     right = queries.select("query_id", F.col("vector").cast("array<double>").alias("w"))
     n_left, n_right = (max(1, -(-df.count() // BLOCK)) for df in (left, right))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -41,7 +51,7 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     right = right.select("query_id", "w", every(n_left).alias("m"), part("query_id", n_right).alias("q"))
     types = StructType(
         [
-            StructField("query_id", right.schema["query_id"].dataType), StructField("vec_id", left.schema["vec_id"].dataType),
+            StructField("query_id", right.schema["query_id"].dataType), StructField(id_col, left.schema["vec_id"].dataType),
             StructField("score", DoubleType())
         ]
     )
@@ -51,21 +61,20 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         by_length = _by_length(ours["v"])
         asked, found, scores = [], [], []
         for at in range(0, theirs.num_rows if ours.num_rows else 0, AT_ONCE):
-            block = _cosines(_by_length(theirs["w"].slice(at, AT_ONCE)), by_length, min(AT_ONCE, theirs.num_rows - at), ours.num_rows)
-            best = _best(block, k)
+            block = _cosines(
+                _by_length(theirs["w"].slice(at, AT_ONCE)), by_length, min(AT_ONCE, theirs.num_rows - at), ours.num_rows, _NONE if raw else 0.0
+            )
+            rounded = _rounded(block)
+            best = _best(rounded, k)
             asked.append(np.repeat(np.arange(at, at + len(best)), best.shape[1]))
             found.append(best.ravel())
-            scores.append(np.take_along_axis(block, best, axis=1).ravel())
+            scores.append(np.take_along_axis(block if raw else rounded, best, axis=1).ravel())
         asked, found = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (asked, found))
-        return pa.table(
-            {
-                "query_id": theirs["query_id"].take(asked), "vec_id": ours["vec_id"].take(found),
-                "score": pa.array(np.concatenate([np.zeros(0), *scores]), from_pandas=False)
-            }
-        )
+        scores = np.concatenate([np.zeros(0), *scores])
+        told = pa.array(scores, from_pandas=False, mask=scores == _NONE if raw else None)
+        return pa.table({"query_id": theirs["query_id"].take(asked), id_col: ours["vec_id"].take(found), "score": told})
 
-    hits = left.groupBy("m", "q").cogroup(right.groupBy("m", "q")).applyInArrow(compare, types)
-    return ranked(hits, k, tie="vec_id")
+    return left.groupBy("m", "q").cogroup(right.groupBy("m", "q")).applyInArrow(compare, types)
 
 
 def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -81,18 +90,23 @@ def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarra
     return out
 
 
-def _cosines(queries: dict, vectors: dict, n: int, m: int) -> np.ndarray:
-    """The cosines of n queries (rows) and m vectors, half away from zero to 6 places."""
-    out = np.zeros((n, m))
+def _cosines(queries: dict, vectors: dict, n: int, m: int, undefined: float) -> np.ndarray:
+    """The cosines of n queries (rows) and m vectors."""
+    out = np.full((n, m), undefined)
     for size in queries.keys() & vectors.keys():
         (rows, x), (columns, y) = queries[size], vectors[size]
         with np.errstate(all="ignore"):
             norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))
-            score = np.where(norms == 0, 0.0, x @ y.T / norms)
-            out[np.ix_(rows, columns)] = np.copysign(np.floor(np.abs(score) * 1e6 + 0.5) / 1e6, score) + 0.0
+            out[np.ix_(rows, columns)] = np.where(norms == 0, undefined, x @ y.T / norms)
     return out
 
 
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """Half away from zero to 6 places."""
+    with np.errstate(all="ignore"):
+        return np.copysign(np.floor(np.abs(scores) * 1e6 + 0.5) / 1e6, scores) + 0.0
+
+
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
     """The columns of the k highest scores of each row, the first of equal ones; NaN is the highest."""
     m = scores.shape[1]

@@ -5,6 +5,7 @@ import os
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,6 +353,29 @@ def test_identifiers():
             vectors.identifier(bad)
 
 
+def test_sql_search_compares_blocks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    monkeypatch.setattr(runtime, "BLOCK", 9)
+    x = np.random.default_rng(3).standard_normal((40, 4)).round(1)
+    x[10:20] = x[0]
+    rows = [*((f"c{i}", v) for i, v in enumerate(x.tolist())), ("zero", [0.0] * 4), ("hole", [1.0, None, 1.0, 1.0])]
+    v = spark.createDataFrame(rows, "chunk_id string, vector array<double>")
+    about = {"runtime_id": "b", "snapshot_id": "s", "embedding_model_name": "m", "vector_dimension": 4, "row_count": len(rows)}
+    runtime.promote(v.select("chunk_id"), v, about, root=str(tmp_path))
+    asked = spark.createDataFrame([*((i, w) for i, w in enumerate(x.tolist())), (40, [0.0] * 4)], "query_id long, vector array<double>")
+    found = runtime.sql_search(spark, asked, 41, "b", root=str(tmp_path))
+    plan = found._jdf.queryExecution().analyzed().toString() + runtime.SEARCH
+    assert "zip_with" not in plan  # pairs are compared by blocks, not by expressions
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = set()
+    for q in range(41):
+        scores = {n: None if q == 40 or n in ("zero", "hole") else round(float(unit[q] @ unit[int(n[1:])]), 6) for n, _ in rows}
+        best = sorted(scores, key=lambda n: (scores[n] is None, -(scores[n] or 0.0), n))[:41]
+        want |= {(q, n, i + 1, scores[n]) for i, n in enumerate(best)}
+    got = {(r.query_id, r.chunk_id, r["rank"], None if r.raw_score is None else round(r.raw_score, 6)) for r in found.collect()}
+    assert got == want
+
+
 def test_requests_and_logs(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"request_id": "  r1 ", "question": " why "}\n{"question": "what"}\n')
     rows = sorted((tuple(r) for r in tables.read_questions(spark, str(tmp_path / "q.jsonl")).collect()), key=lambda r: r[1])
