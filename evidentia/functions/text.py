@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space and word classes by code point, and the lexical token pattern.
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BLANKS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{WS}]"
 SEGMENT = rf"[{WS}]*(?:[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{WS}])"
 TERM = r"[A-Za-z0-9]+(?:[._:/-][A-Za-z0-9]+)*"
@@ -17,7 +21,18 @@ BRACKET = r"\[[^\[\]\n]*\]"
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def where_holding(text: Column, marks: tuple[str, ...], change: Callable[[Column], Column]) -> Column:
+    """change(text) where text holds one of these marks, else text: finding a mark costs far less than a pattern that needs one."""
+    held = lambda t: functools.reduce(operator.or_, [F.contains(t, F.lit(m)) for m in marks])
+    return let(text, lambda t: F.when(held(t), change(t)).otherwise(t))
 
 
 def collapsed(c: Column) -> Column:

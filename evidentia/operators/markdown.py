@@ -20,12 +20,13 @@ FRONT_TITLE = rf"""(?idm)^{BLANK}*title{BLANK}*:{BLANK}*["']?(.*?)["']?{BLANK}*$
 FENCE = rf"^[{X.WS}]*(```|~~~)"
 HEADING = rf"(?d)^[{X.WS}]*(#{{1,6}})[{X.WS}]+(.+?)[{X.WS}]*$"
 INLINE = (
-    (r"(?d)!?\[(.*?)\]\([^)\n]*\)", "$1"), (r"`([^`\n]+)`", "$1"),
-    (r"(?d)(?<!\*)\*\*(.*?)\*\*|__(.*?)__|(?<!\*)\*(.*?)\*|_(.*?)_", "$1$2$3$4"), (r"<[^>\n]+>", ""), (r"\\", ""),
+    (r"(?d)!?\[(.*?)\]\([^)\n]*\)", "$1", ("](",)), (r"`([^`\n]+)`", "$1", ("`",)),
+    (r"(?d)(?<!\*)\*\*(.*?)\*\*|__(.*?)__|(?<!\*)\*(.*?)\*|_(.*?)_", "$1$2$3$4", ("*", "_")), (r"<[^>\n]+>", "", ("<",)), (r"\\", "", ("\\",)),
 )
 BLOCK = (
-    (rf"(?dm)^{BLANK}*(?:```|~~~)[^\n]*(?:\n|\z)", ""), (rf"(?dm)^{BLANK}*#{{1,6}}{BLANK}+([^{X.WS}](?:[^\n]*?[^{X.WS}])?){BLANK}*$", "$1"),
-    (rf"(?dm)^{BLANK}*\p{{Nd}}+\.{BLANK}+", ""), (rf"(?dm)^{BLANK}*[-+*]{BLANK}+", ""), (rf"(?dm)^{BLANK}*>{BLANK}*", ""),
+    (rf"(?dm)^{BLANK}*(?:```|~~~)[^\n]*(?:\n|\z)", "", ("```", "~~~")),
+    (rf"(?dm)^{BLANK}*#{{1,6}}{BLANK}+([^{X.WS}](?:[^\n]*?[^{X.WS}])?){BLANK}*$", "$1", ("#",)), (rf"(?dm)^{BLANK}*\p{{Nd}}+\.{BLANK}+", "", (".",)),
+    (rf"(?dm)^{BLANK}*[-+*]{BLANK}+", "", ("-", "+", "*")), (rf"(?dm)^{BLANK}*>{BLANK}*", "", (">",)),
 )
 UNTITLED = "Untitled Document"
 
@@ -49,7 +50,8 @@ def with_sections(docs: DataFrame, text_col: str = "text", name_col: str = "name
     given = F.try_element_at(F.regexp_extract_all(F.coalesce("_front.head", F.lit("")), F.lit(FRONT_TITLE), F.lit(1)), F.lit(-1))
     df = df.select(*keep, "_name", given.alias("_given"), X.once(body).alias("_body"))
     df = df.withColumn("_lines", X.once(F.split("_body", "\n", -1)))
-    marks = F.transform("_lines", lambda x: F.regexp_extract(x, FENCE, 1))
+    fenced = lambda x: F.contains(x, F.lit("```")) | F.contains(x, F.lit("~~~"))
+    marks = F.transform("_lines", lambda x: F.when(fenced(x), F.regexp_extract(x, FENCE, 1)).otherwise(""))
     df = df.withColumn("_marks", X.once(marks))
     fences = F.array_compact(F.transform("_marks", lambda m, i: F.when(m != "", i)))
     kinds = F.array_join(F.transform(F.filter("_marks", lambda m: m != ""), lambda m: F.substring(m, 1, 1)), "")
@@ -59,7 +61,8 @@ def with_sections(docs: DataFrame, text_col: str = "text", name_col: str = "name
 
     def stretch(k: Column, lines: Column) -> Column:
         code = (k > 0) & F.coalesce(F.get("_opens", k - 1), F.lit(False))
-        level = lambda x, j: F.when(code | ((k > 0) & (j == 0)), 0).otherwise(F.length(F.regexp_extract(x, HEADING, 1)))
+        none = lambda x, j: code | ((k > 0) & (j == 0)) | ~F.contains(x, F.lit("#"))
+        level = lambda x, j: F.when(none(x, j), 0).otherwise(F.length(F.regexp_extract(x, HEADING, 1)))
         return F.transform(lines, lambda x, j: F.struct(level(x, j).alias("level"), x.alias("line")))
 
     df = df.withColumn("_items", X.once(F.flatten(cut(F.col("_lines"), F.col("_fences"), stretch))))
@@ -78,7 +81,5 @@ def with_sections(docs: DataFrame, text_col: str = "text", name_col: str = "name
         F.col("_items"), F.col("_places"),
         lambda k, items: F.array_join(F.transform(F.when(k == 0, items).otherwise(F.slice(items, F.lit(2), F.size(items))), lambda x: x["line"]), "\n")
     )
-    texts = F.transform(F.concat(raw, F.array("_body")), lambda t: block_text(t))
-    df = df.withColumn("_title", X.once(title)).withColumn("_blocks", X.once(texts))
-    df = df.withColumn("_texts", F.slice("_blocks", F.lit(1), F.size("_blocks") - 1)).withColumn("_whole", F.element_at("_blocks", -1))
-    return assembled(df, keep)
+    df = df.withColumn("_title", X.once(title)).withColumn("_texts", X.once(F.transform(raw, lambda t: block_text(t))))
+    return assembled(df, keep, block_text(F.col("_body")))

@@ -139,4 +139,4 @@ def with_sections(docs: DataFrame, text_col: str = "text", name_col: str = "name
     df = df.withColumn("_heads", F.filter("_blocks", lambda b: b["level"] > 0)).withColumn("_title", X.once(title)).withColumn(
         "_texts", X.once(under)
     )
-    return assembled(df.withColumn("_whole", F.when(everything != "", everything).otherwise(F.get("_all", F.lit(1))["text"])), keep)
+    return assembled(df, keep, X.let(everything, lambda t: F.when(t != "", t).otherwise(F.get("_all", F.lit(1))["text"])))

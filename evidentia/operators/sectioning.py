@@ -16,24 +16,28 @@ from evidentia.functions.entities import unescaped
 
 #: White space within a line.
 BLANK = rf"[{X.WS}&&[^\n]]"
+#: No printed ASCII character follows: quicker to rule out than the class of blanks.
+_NONE = "(?![!-~])"
 
 
-def replaced(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    for pattern, by in rules:
-        text = F.regexp_replace(text, pattern, by)
+def replaced(text: Column, rules: tuple[tuple, ...]) -> Column:
+    """Rules are (pattern, what stands for it, marks); with marks, a text that has none of them has no match of the pattern."""
+    for pattern, by, *marks in rules:
+        change = lambda t, p=pattern, b=by: F.regexp_replace(t, p, b)
+        text = X.where_holding(text, marks[0], change) if marks else change(text)
     return text
 
 
 def _resolved(text: Column) -> Column:
-    return F.replace(unescaped(F.regexp_replace(text, "\r\n?", "\n")), F.lit("\xa0"), F.lit(" "))
+    return F.replace(X.let(replaced(text, (("\r\n?", "\n", ("\r",)),)), unescaped), F.lit("\xa0"), F.lit(" "))
 
 
 def _collapsed(text: Column, keep_lines: bool) -> Column:
-    edges = rf"(?dm){BLANK}+$" if keep_lines else rf"(?dm)^{BLANK}+|{BLANK}+$"
-    text = replaced(text, ((edges, ""), ("[ \t]+", " ")))
+    edges = rf"(?dm){_NONE}{BLANK}+$" if keep_lines else rf"(?dm){_NONE}(?:^{BLANK}+|{BLANK}+$)"
+    text = replaced(text, ((edges, ""), ("[ \t]+", " ", ("  ", "\t"))))
     if not keep_lines:
-        text = F.regexp_replace(text, rf"{BLANK}+([,.;:!?])", "$1")
-    return X.stripped(F.regexp_replace(text, "\n{3,}", "\n\n"))
+        text = F.regexp_replace(text, rf"{_NONE}{BLANK}+([,.;:!?])", "$1")
+    return X.stripped(replaced(text, (("\n{3,}", "\n\n", ("\n\n\n",)),)))
 
 
 def plain(text: Column, keep_lines: Column | None = None) -> Column:
@@ -46,7 +50,7 @@ def plain(text: Column, keep_lines: Column | None = None) -> Column:
 
 def section_text(text: Column) -> Column:
     """A cleaned block as a section has it: cleaned once more, with its lines where there are several."""
-    return plain(text, F.contains(text, F.lit("\n")))
+    return X.let(text, lambda t: plain(t, F.contains(t, F.lit("\n"))))
 
 
 def name_title(name: Column) -> Column:
@@ -89,11 +93,11 @@ def cut(items: Column, at: Column, build: Callable[[Column, Column], Column]) ->
     return F.transform(F.sequence(F.lit(0), F.size(at)), lambda k: build(k, F.slice(items, begin(k) + 1, end(k) - begin(k))))
 
 
-def assembled(df: DataFrame, keep: list[str]) -> DataFrame:
+def assembled(df: DataFrame, keep: list[str], whole: Column) -> DataFrame:
     """The columns `keep` with rows: the array of (section_index, section_path, heading, text) of each document.
 
     df has _heads, an array of (level, text) of the headings; _texts, the cleaned text before the first and after each, one more;
-    _title; and _whole, the text of the one section of a document that has none of these texts. A heading without text leaves the path as it is.
+    _title. whole is the text of the one section of a document that has none of these texts. A heading without text leaves the path as it is.
     """
     df = df.withColumn("_shown", X.once(F.transform(F.concat(F.array("_title"), F.transform("_heads", lambda h: h["text"])), lambda t: plain(t))))
     heads = F.transform("_heads", lambda h, i: F.struct(h["level"], h["text"], F.get("_shown", i + 1).alias("shown")))
@@ -107,15 +111,12 @@ def assembled(df: DataFrame, keep: list[str]) -> DataFrame:
     none = F.array().cast("array<string>")
     stack = lambda k: F.coalesce(F.when(k > 0, F.get("_stacks", k - 1)), none)
     path = lambda s: _changes(F.filter(F.concat(F.slice("_shown", 1, 1), s), lambda p: p != ""))
-    # The last entry is what documents without any section text have instead.
-    df = df.withColumn("_texts", X.once(F.transform(F.concat("_texts", F.array("_whole")), lambda t: section_text(t))))
-    texts = F.filter(
-        F.transform(F.slice("_texts", F.lit(1), F.size("_texts") - 1), lambda t, k: F.struct(k.alias("k"), t.alias("text"))), lambda s: s["text"] != ""
-    )
+    df = df.withColumn("_texts", X.once(F.transform("_texts", lambda t: section_text(t))))
+    texts = F.filter(F.transform("_texts", lambda t, k: F.struct(k.alias("k"), t.alias("text"))), lambda s: s["text"] != "")
     found = F.transform(texts, lambda s, i: _row(i, path(stack(s["k"])), F.try_element_at(stack(s["k"]), F.lit(-1)), s["text"]))
     df = df.withColumn("_rows", X.once(found))
-    whole = _row(F.lit(0), F.array("_title"), F.lit(None).cast("string"), F.element_at("_texts", -1))
-    alone = F.filter(F.array(whole), lambda s: s["text"] != "")
+    # Read only where no section has a text.
+    alone = X.let(section_text(whole), lambda t: F.filter(F.array(_row(F.lit(0), F.array("_title"), F.lit(None).cast("string"), t)), lambda s: s["text"] != ""))
     return df.select(*keep, F.when(F.size("_rows") > 0, F.col("_rows")).otherwise(alone).alias("rows"))
 
 

@@ -196,3 +196,22 @@ def test_entities_as_the_standard_library_resolves_them(spark):
     texts += ["".join(some() for _ in range(20)) for _ in range(200)]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", unescaped(F.col("t")).alias("t")).collect()
     assert [t for _, t in sorted(rows)] == [t and html.unescape(t) for t in texts]
+
+
+def test_patterns_are_only_tried_on_texts_that_hold_their_marks(spark):
+    from evidentia.functions import text as X
+    from evidentia.operators import markdown, sectioning
+
+    texts = [
+        "", " ", "plain words", "a **b** _c_ `d` <e> \\f", "see [x](y) ![z](w)", "```py\ncode\n```", "~~~\nx\n~~~", "# head\n## two #",
+        "1. one\n2. two\n- a\n+ b\n* c\n> d\n٣. e", "a \t b  c\u2003d , e\u3000.\n\n\n\nf\u00a0", "\u2028\u0085 x y \u1680\u001c", "x\r\ny\rz", "é ; ü\u202f!  ",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    bare = lambda rules: tuple(r[:2] for r in rules)
+    for rules in (markdown.BLOCK, markdown.INLINE):
+        got = rows.select(sectioning.replaced(F.col("t"), rules).alias("a"), sectioning.replaced(F.col("t"), bare(rules)).alias("b")).collect()
+        assert all(r.a == r.b for r in got)
+    old = F.regexp_replace("t", rf"^[{X.WS}]+|[{X.WS}]+$", "")
+    assert all(r.a == r.b for r in rows.select(X.stripped(F.col("t")).alias("a"), old.alias("b")).collect())
+    plan = rows.select(markdown.block_text(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("contains") >= 12
