@@ -6,6 +6,7 @@ import functools
 import operator
 import re
 import time
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,13 +82,44 @@ def with_percentiles(
     return totals.join(found if by else F.broadcast(found), on, "left").drop(*[f"_of{i}" for i in range(len(by))])
 
 
-def per_query(hits: DataFrame, relevant: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(query_id, hit, recall, reciprocal_rank) for every query with relevant ids."""
-    wanted = relevant.select("query_id", id_col).distinct()
-    found = hits.select("query_id", id_col, "rank").join(wanted, ["query_id", id_col], "left_semi").groupBy("query_id").agg(
-        F.min("rank").alias("best"), F.countDistinct(id_col).alias("n")
-    )
-    total = wanted.groupBy("query_id").agg(F.count("*").alias("total"))
+class Shared(NamedTuple):
+    """What is relevant by a key: to a query (query_id, key), all items (id, key) with an equal one. Their pairs are never made."""
+
+    queries: DataFrame
+    items: DataFrame
+    key: str
+
+    def totals(self, id_col: str) -> DataFrame:
+        """(query_id, total): how many different ids are relevant to each query that has any."""
+        asked, held = self._asked(), self._held(id_col)
+        sizes = held.groupBy("_key").agg(F.count("*").alias("total"))
+        keys = asked.groupBy("query_id").agg(F.count("*").alias("_n"), F.max("_key").alias("_key"))
+        one = keys.where("_n = 1").join(sizes, "_key").select("query_id", "total")
+        # An id may have several keys of a query with several, so it is counted once.
+        more = asked.join(keys.where("_n > 1").select("query_id"), "query_id", "left_semi").join(held, "_key").select("query_id", id_col).distinct()
+        return one.union(more.groupBy("query_id").agg(F.count("*").alias("total")))
+
+    def among(self, hits: DataFrame, id_col: str) -> DataFrame:
+        """The hits (query_id, id, ...) that are relevant."""
+        told = hits.join(self._asked(), "query_id").join(self._held(id_col), [id_col, "_key"], "left_semi")
+        return told.select(*hits.columns).distinct()
+
+    def _asked(self) -> DataFrame:
+        return self.queries.select("query_id", F.col(self.key).alias("_key")).where("_key IS NOT NULL").distinct()
+
+    def _held(self, id_col: str) -> DataFrame:
+        return self.items.select(id_col, F.col(self.key).alias("_key")).where("_key IS NOT NULL").distinct()
+
+
+def per_query(hits: DataFrame, relevant: DataFrame | Shared, id_col: str = "doc_id") -> DataFrame:
+    """(query_id, hit, recall, reciprocal_rank) for every query with relevant ids, given as pairs (query_id, id) or by a shared key."""
+    shown = hits.select("query_id", id_col, "rank")
+    if isinstance(relevant, Shared):
+        right, total = relevant.among(shown, id_col), relevant.totals(id_col)
+    else:
+        wanted = relevant.select("query_id", id_col).distinct()
+        right, total = shown.join(wanted, ["query_id", id_col], "left_semi"), wanted.groupBy("query_id").agg(F.count("*").alias("total"))
+    found = right.groupBy("query_id").agg(F.min("rank").alias("best"), F.countDistinct(id_col).alias("n"))
     out = total.join(found, "query_id", "left")
     return out.select(
         "query_id", F.coalesce((F.col("n") > 0).cast("double"), F.lit(0.0)).alias("hit"),
@@ -96,7 +128,7 @@ def per_query(hits: DataFrame, relevant: DataFrame, id_col: str = "doc_id") -> D
     )
 
 
-def summary(queries: DataFrame, hits: DataFrame, relevant: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def summary(queries: DataFrame, hits: DataFrame, relevant: DataFrame | Shared, id_col: str = "doc_id") -> DataFrame:
     """One row for a run. queries: query_id, answerable, latency_ms; means are over queries with relevant ids, 0 without any.
 
     Latencies below 0 count as 0, and null ones, which were not measured, for nothing; percentiles are nearest ranks.
@@ -170,7 +202,7 @@ def run_paths(folder: str, name: str) -> tuple[str, str]:
     return f"{folder.rstrip('/')}/{name}.results.jsonl", f"{folder.rstrip('/')}/{name}.summary.json"
 
 
-def run(retrieve, queries: DataFrame, relevant: DataFrame, k: int, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def run(retrieve, queries: DataFrame, relevant: DataFrame | Shared, k: int, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(hits, summary) of a retriever, a callable (queries, k) -> (query_id, id, score, rank) for all queries at once."""
     if k <= 0:
         raise ValueError("k must be positive")

@@ -123,7 +123,7 @@ def gate_decisions(s, d):
 
 
 def retrieval_metrics(s, d):
-    same = _asked(s, d).join(_t(s, d, "embeddings").select("vec_id", "label"), "label").select("query_id", "vec_id")
+    same = evaluation.Shared(_asked(s, d), _t(s, d, "embeddings"), "label")
     return evaluation.per_query(_cosine(s, d), same, "vec_id")
 
 
@@ -402,7 +402,7 @@ def run_summary(s, d):
     asked = _asked(s, d).select(
         "query_id", (F.col("query_id") % 300 != 200).alias("answerable"), (F.col("query_id") * F.lit(1.5) - 1).alias("latency_ms"), "label"
     )
-    same = asked.where("answerable").select("query_id", "label").join(v.select("vec_id", "label"), "label").select("query_id", "vec_id")
+    same = evaluation.Shared(asked.where("answerable"), v, "label")
     return evaluation.run(lambda q, k: _cosine(s, d, k), asked.drop("label"), same, 5, "vec_id")[1]
 
 

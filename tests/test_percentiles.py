@@ -47,3 +47,14 @@ def test_a_slow_query_shows_in_the_percentiles(spark):
     assert len(few) == 3 and all(r.latency_ms > 0 for r in few)
     _, part = evaluation.timed_run(retrieve, queries.where("query_id <> 5"), relevant, 1, probes=2)
     assert part.first().max_latency_ms < 3000 and part.first().queries == 7
+
+
+def test_relevance_by_a_shared_key_equals_its_pairs(spark):
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "z"), (5, "a"), (5, "b")], "query_id long, label string")
+    items = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (2, "b"), (3, "b"), (4, None)], "vec_id long, label string")
+    hits = spark.createDataFrame(
+        [(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 4, 1), (5, 2, 2), (5, 4, 1)], "query_id long, vec_id long, rank long"
+    )
+    shared, pairs = evaluation.Shared(asked, items, "label"), asked.join(items, "label").select("query_id", "vec_id")
+    got, want = evaluation.per_query(hits, shared, "vec_id"), evaluation.per_query(hits, pairs, "vec_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, 1.0, 0.5, 1.0), (2, 1.0, 0.5, 0.5), (5, 1.0, 0.333333, 0.5)]
