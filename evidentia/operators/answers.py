@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
 from evidentia.operators import corpus
+from evidentia.sources.storage import kept
 
 # What ends a sentence (abbreviations do not), bullets, and texts that read as a refusal.
 ABBREVIATIONS = ("e.g", "i.e", "etc", "mr", "mrs", "ms", "dr", "vs")
@@ -138,7 +139,11 @@ def with_marker(text: Column, marker: Column) -> Column:
 
 
 def repaired(checked: DataFrame, id_col: str) -> DataFrame:
-    """Answers of validated() whose only failures are uncited claims get their first marker there; others stay."""
+    """Answers of validated() whose only failures are uncited claims get their first marker there; others stay.
+
+    What is read several times, the checked answers here and the repaired ones by a later check, is kept.
+    """
+    checked = kept(checked)
     only = F.forall("failures", lambda f: f.code == "missing_citation_coverage") & (F.size("failures") > 0) & (F.size("citations") > 0)
     marker = F.col("citations")[0]["marker"]
     todo = checked.where(only)
@@ -157,9 +162,9 @@ def repaired(checked: DataFrame, id_col: str) -> DataFrame:
         c.hi.alias("at"), F.concat(s.text, F.substring(answer, s.at + 1, c.lo - s.at), c.new).alias("text")
     )
     built = F.aggregate("spans", start, step, lambda s: F.concat(s.text, F.substring(answer, s.at + 1, F.length(answer))))
-    return checked.join(spans, id_col, "left").withColumn(
-        "answer", F.when(F.col("spans").isNotNull(), built).otherwise(answer)
-    ).drop("spans")
+    return kept(
+        checked.join(spans, id_col, "left").withColumn("answer", F.when(F.col("spans").isNotNull(), built).otherwise(answer)).drop("spans")
+    )
 
 
 def prompt_context(hits: DataFrame, id_col: str, chunk_col: str = "chunk_id", text_col: str = "text") -> DataFrame:

@@ -215,3 +215,10 @@ def test_patterns_are_only_tried_on_texts_that_hold_their_marks(spark):
     assert all(r.a == r.b for r in rows.select(X.stripped(F.col("t")).alias("a"), old.alias("b")).collect())
     plan = rows.select(markdown.block_text(F.col("t")))._jdf.queryExecution().analyzed().toString()
     assert plan.lower().count("contains") >= 12
+
+
+def test_repaired_answers_are_made_once(spark):
+    got, context = Q._answers(spark, "/root/testdata/sf0.001")
+    fixed = A.repaired(A.validated(got, context, "answer_id"), "answer_id")
+    plan = fixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # a table, however often a later check reads it
