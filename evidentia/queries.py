@@ -56,7 +56,7 @@ def _index(s, d) -> inverted.Inverted:
     """The documents' index, written by the first query of a session that asks it and read by all, until storage.clear()."""
     key = s.sparkContext.applicationId, d
     if key in _indexes:
-        files, at = file_system(s, f"{_indexes[key]}/bounds/_SUCCESS")
+        files, at = file_system(s, f"{_indexes[key]}/heads/_SUCCESS")
         if files.exists(at):
             return inverted.Inverted(s, _indexes[key])
     _indexes[key] = fresh_path(s, "inverted")
@@ -69,8 +69,9 @@ def _items(s, d) -> DataFrame:
 
 def bm25_index(s, d):
     """What the index knows of every term: in how many documents it is, how often at most, and the shortest of them."""
-    of = _index(s, d).heads.where("term <> ''").groupBy("term")
-    return of.agg(F.sum("n").alias("n_docs"), F.max("most").cast("long").alias("most"), F.min("shortest").cast("long").alias("shortest"))
+    return _index(s, d).heads.where("term <> ''").select(
+        "term", F.col("n").alias("n_docs"), F.col("most").cast("long").alias("most"), F.col("shortest").cast("long").alias("shortest")
+    )
 
 
 def bm25_topk(s, d):
