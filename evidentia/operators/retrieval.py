@@ -18,7 +18,7 @@ BLOCK, AT_ONCE = 8192, 64
 _NONE = -2.0
 
 
-def ranked(hits: DataFrame, k: int, query: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
+def ranked(hits: DataFrame, k: int, query: str | list[str] = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
     """The best k by (score descending, tie ascending), numbered from 1."""
     if k <= 0:
         raise ValueError("k must be positive")

@@ -56,7 +56,7 @@ def _index(s, d) -> inverted.Inverted:
     """The documents' index, written by the first query of a session that asks it and read by all, until storage.clear()."""
     key = s.sparkContext.applicationId, d
     if key in _indexes:
-        files, at = file_system(s, f"{_indexes[key]}/heads/_SUCCESS")
+        files, at = file_system(s, f"{_indexes[key]}/shards/_SUCCESS")
         if files.exists(at):
             return inverted.Inverted(s, _indexes[key])
     _indexes[key] = fresh_path(s, "inverted")
@@ -69,7 +69,7 @@ def _items(s, d) -> DataFrame:
 
 def bm25_index(s, d):
     """What the index knows of every term: in how many documents it is, how often at most, and the shortest of them."""
-    return _index(s, d).heads.where("term <> ''").select(
+    return _index(s, d).heads.select(
         "term", F.col("n").alias("n_docs"), F.col("most").cast("long").alias("most"), F.col("shortest").cast("long").alias("shortest")
     )
 
@@ -81,7 +81,8 @@ def bm25_topk(s, d):
 def rrf_topk(s, d):
     index = _index(s, d)
     asked = index.weights(_items(s, d))
-    both = retrieval.fused(index.answered(asked, 20)[0], index.answered(asked, 20, b=0.25)[0], 5)
+    first, second = index.rankings(asked, 20, [(retrieval.K1, retrieval.B), (retrieval.K1, 0.25)])[0]
+    both = retrieval.fused(first, second, 5)
     return both.select("query_id", "doc_id", "first_rank", "second_rank", F.round("score", 9).alias("score"), "rank")
 
 
